@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tools.oracle_check import _rows, duck
+from tools.oracle_check import duck, same_rows
 from wavepanel.plans import REGISTRY
 
 from .conftest import SF001
@@ -31,4 +31,5 @@ def test_query_matches_oracle(spark, con, name):
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
     assert len(rows) == len(drows)
-    assert _rows(df.columns, rows) == _rows(dcols, drows)
+    ok, diff = same_rows(df.columns, rows, dcols, drows)
+    assert ok, diff

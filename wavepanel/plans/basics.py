@@ -14,7 +14,7 @@ from .registry import query
 @query("trend_total", with_sql(f"""
 select snapshot_date, cast(count(distinct id) as bigint) as employees,
        {rs('sum(fte)', 4)} as total_fte,
-       {rs('sum(pay)')} as total_salary_nominal,
+       {rs('sum(pay)', 4)} as total_salary_nominal,
        {rs('sum(real_pay)')} as total_salary_real,
        {rs('sum(real_pay)/sum(fte)')} as salary_per_fte_real
 from panel_real where fte > 0 group by snapshot_date"""))
@@ -22,7 +22,7 @@ def trend_total(spark, sf_dir):
     """Per-snapshot headcount, FTE, nominal and real pay (zero-FTE rows excluded)."""
     t = agg.trend(panel_real(spark, sf_dir).where(F.col(FX.weight) > 0), FX)
     return t.select(FX.date, "employees", R("total_fte", 4).alias("total_fte"),
-                    R("total_salary_nominal").alias("total_salary_nominal"),
+                    R("total_salary_nominal", 4).alias("total_salary_nominal"),
                     R("total_salary_real").alias("total_salary_real"),
                     R("salary_per_fte_real").alias("salary_per_fte_real"))
 

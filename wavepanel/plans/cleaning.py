@@ -12,7 +12,7 @@ from ..functions.lookups import CATEGORY_RECODE, MAX_TOTAL_FTE
 from ..operators import clean as C
 from ..operators.primary import exact_dedup
 from ..sources import fixtures
-from .common import R, rs
+from .common import R, appointments, raw_snapshots, rs, stored
 from .registry import query
 
 CUTOFF = _dt.date(1998, 1, 1)
@@ -20,7 +20,7 @@ APPT = FX.with_(id="id", date="snapshot_date", seq="row_id", weight="fte", measu
 
 
 def _raw(spark, sf_dir):
-    return fixtures.raw_snapshots(spark, sf_dir)
+    return raw_snapshots(spark, sf_dir)
 
 
 def _sql_case_map(col: str, mapping: dict[str, str]) -> str:
@@ -138,7 +138,7 @@ select row_id from (select row_id, row_number() over (partition by id, snapshot_
                                                      order by row_id) as rn from a) where rn = 1""")
 def exact_dedup_q(spark, sf_dir):
     """E5: keep the first row of rows equal on the key columns (nulls equal)."""
-    a = fixtures.appointments(spark, sf_dir)
+    a = appointments(spark, sf_dir)
     return exact_dedup(a, ["id", "snapshot_date", "department", "fte"], "row_id").select("row_id")
 
 
@@ -147,7 +147,7 @@ with a as ({fixtures.APPOINTMENTS_SQL})
 select row_id, {rs('sum(fte) over (partition by id, snapshot_date)', 6)} as total_fte from a""")
 def fte_total_window(spark, sf_dir):
     """Each row gets its (id, snapshot) weight total (aggregate + join back)."""
-    a = fixtures.appointments(spark, sf_dir)
+    a = appointments(spark, sf_dir)
     t = a.groupBy("id", "snapshot_date").agg(F.sum("fte").alias("_t"))
     return a.join(t, ["id", "snapshot_date"]).select("row_id", R("_t", 6).alias("total_fte"))
 
@@ -158,7 +158,7 @@ with recursive a as ({fixtures.APPOINTMENTS_SQL}),
 select row_id from pruned""")
 def overallocation_prune(spark, sf_dir):
     """Greedy pruning of over-allocated (id, snapshot) groups."""
-    a = fixtures.appointments(spark, sf_dir)
+    a = appointments(spark, sf_dir)
     return C.prune_overallocated(a, APPT, limited_col="limited").select("row_id")
 
 
@@ -203,8 +203,9 @@ select f._row_seq, f.id, f."Date", f.date_of_hire, f.employee_category, f.jobcod
 from fin f left join jobs j on f.jobcode is not distinct from j.jobcode""")
 def clean_panel(spark, sf_dir):
     """K1: the whole cleaning job from raw snapshot rows to the panel."""
-    p = C.clean_panel(_raw(spark, sf_dir), fixtures.price_index(spark), fixtures.job_dimension(spark, sf_dir),
-                      hire_cutoff=CUTOFF, price_date="d", price_value="idx")
+    p = stored(spark, sf_dir, "clean_panel", lambda: C.clean_panel(
+        _raw(spark, sf_dir), fixtures.price_index(spark), fixtures.job_dimension(spark, sf_dir),
+        hire_cutoff=CUTOFF, price_date="d", price_value="idx"))
     return p.select(*_CLEAN_OUT, R("fte_adjusted_salary", 4).alias("fte_adjusted_salary"),
                     R("FTE_Adjusted_Salary_2021_Dollars", 4).alias("FTE_Adjusted_Salary_2021_Dollars"),
                     R("Real_Salary_2021_Dollars", 4).alias("Real_Salary_2021_Dollars"),

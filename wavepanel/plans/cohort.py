@@ -55,28 +55,28 @@ def keyword_category_q(spark, sf_dir):
 
 
 @query("cohort_two_group", with_sql(f"""
-select "group", cast(count(*) as bigint) as n, {rs('median(salary_start)')} as median_start,
-       {rs('median(salary_end)')} as median_end, {rs('median(pct_change)', 4)} as median_pct,
+select "group", cast(count(*) as bigint) as n, {rs('median(salary_start)', 6)} as median_start,
+       {rs('median(salary_end)', 6)} as median_end, {rs('median(pct_change)', 4)} as median_pct,
        {rs('avg(pct_change)', 4)} as mean_pct, {rs('quantile_cont(pct_change, 0.25)', 4)} as pct_25,
        {rs('quantile_cont(pct_change, 0.75)', 4)} as pct_75
 from m group by "group\"""", _COHORT_SQL))
 def cohort_two_group(spark, sf_dir):
     """Two-group pay comparison (moved vs originally in the admin units)."""
     g = CO.group_summary(_cohort(spark, sf_dir)["merged"], ["group"])
-    return g.select("group", "n", R("median_start").alias("median_start"), R("median_end").alias("median_end"),
+    return g.select("group", "n", R("median_start", 6).alias("median_start"), R("median_end", 6).alias("median_end"),
                     *[R(c, 4).alias(c) for c in ("median_pct", "mean_pct", "pct_25", "pct_75")])
 
 
 @query("cohort_by_function", with_sql(f"""
-select category, "group", cast(count(*) as bigint) as n, {rs('median(salary_start)')} as median_start,
-       {rs('median(salary_end)')} as median_end, {rs('median(pct_change)', 4)} as median_pct,
+select category, "group", cast(count(*) as bigint) as n, {rs('median(salary_start)', 6)} as median_start,
+       {rs('median(salary_end)', 6)} as median_end, {rs('median(pct_change)', 4)} as median_pct,
        {rs('avg(pct_change)', 4)} as mean_pct
 from m group by category, "group\"""", _COHORT_SQL))
 def cohort_by_function(spark, sf_dir):
     """The comparison by job function x group."""
     g = CO.group_summary(_cohort(spark, sf_dir)["merged"], ["category", "group"], quartiles=False)
-    return g.select("category", "group", "n", R("median_start").alias("median_start"),
-                    R("median_end").alias("median_end"), R("median_pct", 4).alias("median_pct"),
+    return g.select("category", "group", "n", R("median_start", 6).alias("median_start"),
+                    R("median_end", 6).alias("median_end"), R("median_pct", 4).alias("median_pct"),
                     R("mean_pct", 4).alias("mean_pct"))
 
 
@@ -100,15 +100,15 @@ def first_move_date(spark, sf_dir):
 
 @query("source_dept_summary", with_sql(f"""
 select source_dept, cast(count(*) as bigint) as n, {rs('median(pct_change)', 4)} as median_pct,
-       {rs('median(salary_start)')} as median_start, {rs('median(salary_end)')} as median_end
+       {rs('median(salary_start)', 6)} as median_start, {rs('median(salary_end)', 6)} as median_end
 from m where "group" = '{CO.MOVED}' group by source_dept""", _COHORT_SQL))
 def source_dept_summary(spark, sf_dir):
     """Moved people by source unit."""
     m = _cohort(spark, sf_dir)["merged"].where(F.col("group") == CO.MOVED)
     g = m.groupBy("source_dept").agg(F.count(F.lit(1)).alias("n"), F.median("pct_change").alias("a"),
                                      F.median("salary_start").alias("b"), F.median("salary_end").alias("c"))
-    return g.select("source_dept", "n", R("a", 4).alias("median_pct"), R("b").alias("median_start"),
-                    R("c").alias("median_end"))
+    return g.select("source_dept", "n", R("a", 4).alias("median_pct"), R("b", 6).alias("median_start"),
+                    R("c", 6).alias("median_end"))
 
 
 @query("cohort_detail_with_new", with_sql(f"""

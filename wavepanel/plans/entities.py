@@ -69,7 +69,7 @@ def _peer_stats_sql(name: str, keys: list[str]) -> str:
     nn = " and ".join(f"p.{k} is not null" for k in keys)
     return f"""
 select i.id, '{name}' as peer_set, cast(count(*) as bigint) as peer_count,
-       {rs('median(p.salary)')} as salary_median, {rs('avg(p.salary)')} as salary_mean
+       {rs('median(p.salary)', 6)} as salary_median, {rs('avg(p.salary)', 6)} as salary_mean
 from idx i join panel_real p on p.snapshot_date = i.snapshot_date and {on}
 where {nn} group by i.id having count(*) > 1"""
 
@@ -80,8 +80,8 @@ where {nn} group by i.id having count(*) > 1"""
 def peer_stats(spark, sf_dir):
     """Median, mean and size of each entity's peer sets."""
     s = P.peer_stats(panel_real(spark, sf_dir), FXP)
-    return s.select("id", "peer_set", "peer_count", R("salary_median").alias("salary_median"),
-                    R("salary_mean").alias("salary_mean"))
+    return s.select("id", "peer_set", "peer_count", R("salary_median", 6).alias("salary_median"),
+                    R("salary_mean", 6).alias("salary_mean"))
 
 
 def _tenure_sql() -> str:
@@ -127,7 +127,7 @@ def division_growth(spark, sf_dir):
 
 @query("history_with_medians", with_sql(f"""
 select p.id, p.snapshot_date, p.title, p.salary, {rs('p.real_salary', 4)} as real_salary,
-       {rs('m.ms')} as median_salary, {rs('m.mr')} as median_real_salary
+       {rs('m.ms', 6)} as median_salary, {rs('m.mr', 6)} as median_real_salary
 from prim p left join (select snapshot_date, title, median(salary) as ms, median(real_salary) as mr
                        from panel_real where title is not null group by snapshot_date, title) m
   on p.snapshot_date = m.snapshot_date and p.title = m.title""", _PRIM_SQL))
@@ -135,8 +135,8 @@ def history_with_medians(spark, sf_dir):
     """Each entity's primary history with the (date, code) medians."""
     h = P.history_with_medians(panel_real(spark, sf_dir), FXP, "title")
     return h.select("id", FX.date, "title", "salary", R("real_salary", 4).alias("real_salary"),
-                    R("median_salary").alias("median_salary"),
-                    R("median_real_salary").alias("median_real_salary"))
+                    R("median_salary", 6).alias("median_salary"),
+                    R("median_real_salary", 6).alias("median_real_salary"))
 
 
 @query("dept_roster", with_sql(f"""

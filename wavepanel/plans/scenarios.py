@@ -119,13 +119,13 @@ def management_first(spark, sf_dir):
 
 
 @query("management_first_by_title", with_sql(f"""
-select title, cast(count(*) as bigint) as positions, {rs('sum(salary)')} as saved, {rs('avg(salary)')} as avg_salary
+select title, cast(count(*) as bigint) as positions, {rs('sum(salary)')} as saved, {rs('avg(salary)', 6)} as avg_salary
 from mf group by title""", _BASE_SQL))
 def management_first_by_title(spark, sf_dir):
     """Positions cut and salary saved by title."""
     m = _mgmt_first(spark, sf_dir)
     return m.groupBy("title").agg(F.count(F.lit(1)).alias("positions"), R(F.sum("salary")).alias("saved"),
-                                  R(F.avg("salary")).alias("avg_salary"))
+                                  R(F.avg("salary"), 6).alias("avg_salary"))
 
 
 @query("management_first_by_unit", with_sql(f"""

@@ -8,6 +8,7 @@ from ..sources import fixtures
 from ..sources import pages as PG
 from ..sources.snapshots import RAW_TYPES, layout_frames, normalize_frame, to_target
 from ..sources.tables import read_table
+from .common import raw_snapshots
 from .registry import query
 
 _RAW_COLS = ["_row_seq", "Date"] + list(RAW_TYPES)
@@ -19,7 +20,7 @@ select {", ".join('"' + c + '"' for c in _RAW_COLS)} from raw""")
 def layout_union(spark, sf_dir):
     """Two raw layouts (legacy and new names, markers, text dates)
     detected, normalised, cast to the declared types and unioned by name."""
-    raw = fixtures.raw_snapshots(spark, sf_dir)
+    raw = raw_snapshots(spark, sf_dir)
     legacy, new = layout_frames(raw, fixtures.NEW_LAYOUT_FROM)
     a = to_target(normalize_frame(legacy))
     b = to_target(normalize_frame(new))

@@ -9,7 +9,7 @@ from ..columns import FIXTURE as FX
 from ..operators import aggregate as agg
 from ..operators.primary import primary_rows
 from ..sources import fixtures
-from .common import R, panel_real, rs, with_sql
+from .common import raw_snapshots, R, panel_real, rs, with_sql
 from .registry import query
 
 
@@ -18,59 +18,59 @@ def _pos(spark, sf_dir):
 
 
 @query("group_median_mean", with_sql(f"""
-select job_group, cast(count(salary) as bigint) as n, {rs('median(salary)')} as median_salary,
-       {rs('avg(salary)')} as mean_salary
+select job_group, cast(count(salary) as bigint) as n, {rs('median(salary)', 6)} as median_salary,
+       {rs('avg(salary)', 6)} as mean_salary
 from panel_real where fte > 0 and job_group is not null group by job_group"""))
 def group_median_mean(spark, sf_dir):
     """Count, median and mean per group (exact, interpolating median)."""
     g = agg.group_stats(_pos(spark, sf_dir), ["job_group"], "salary", quantiles=(0.5,))
-    return g.select("job_group", "n", R("p50").alias("median_salary"), R("mean").alias("mean_salary"))
+    return g.select("job_group", "n", R("p50", 6).alias("median_salary"), R("mean", 6).alias("mean_salary"))
 
 
 @query("group_quantiles", with_sql(f"""
-select div_type, {rs('quantile_cont(real_salary, 0.1)')} as p10, {rs('quantile_cont(real_salary, 0.25)')} as p25,
-       {rs('quantile_cont(real_salary, 0.75)')} as p75, {rs('quantile_cont(real_salary, 0.9)')} as p90
+select div_type, {rs('quantile_cont(real_salary, 0.1)', 6)} as p10, {rs('quantile_cont(real_salary, 0.25)', 6)} as p25,
+       {rs('quantile_cont(real_salary, 0.75)', 6)} as p75, {rs('quantile_cont(real_salary, 0.9)', 6)} as p90
 from panel_real where fte > 0 and div_type is not null group by div_type"""))
 def group_quantiles(spark, sf_dir):
     """10/25/75/90th percentiles per group, linear interpolation."""
     g = agg.group_stats(_pos(spark, sf_dir), ["div_type"], "real_salary", quantiles=(0.1, 0.25, 0.75, 0.9))
-    return g.select("div_type", *[R(c).alias(c) for c in ("p10", "p25", "p75", "p90")])
+    return g.select("div_type", *[R(c, 6).alias(c) for c in ("p10", "p25", "p75", "p90")])
 
 
 @query("jobcode_medians", with_sql(f"""
-select snapshot_date, title, {rs('median(salary)')} as median_salary,
-       {rs('median(real_salary)')} as median_real_salary
+select snapshot_date, title, {rs('median(salary)', 6)} as median_salary,
+       {rs('median(real_salary)', 6)} as median_real_salary
 from panel_real where title is not null group by snapshot_date, title"""))
 def jobcode_medians(spark, sf_dir):
     """Median nominal and real measure by (date, code)."""
     p = panel_real(spark, sf_dir).na.drop(subset=["title"])
     g = p.groupBy(FX.date, "title").agg(F.median("salary").alias("m"), F.median("real_salary").alias("r"))
-    return g.select(FX.date, "title", R("m").alias("median_salary"), R("r").alias("median_real_salary"))
+    return g.select(FX.date, "title", R("m", 6).alias("median_salary"), R("r", 6).alias("median_real_salary"))
 
 
 @query("category_headcount", with_sql(f"""
-select category, cast(count(*) as bigint) as headcount, {rs('median(salary)')} as median_salary
+select category, cast(count(*) as bigint) as headcount, {rs('median(salary)', 6)} as median_salary
 from panel_real where fte > 0 and category is not null group by category order by headcount desc"""))
 def category_headcount(spark, sf_dir):
     """Headcount and median per category, sorted by headcount."""
     p = _pos(spark, sf_dir).na.drop(subset=["category"])
     return (p.groupBy("category").agg(F.count(F.lit(1)).alias("headcount"),
-                                      R(F.median("salary")).alias("median_salary"))
+                                      R(F.median("salary"), 6).alias("median_salary"))
              .orderBy(F.col("headcount").desc()))
 
 
 @query("global_stats", with_sql(f"""
-select {rs('median(salary)')} as median_salary, {rs('avg(salary)')} as mean_salary,
+select {rs('median(salary)', 6)} as median_salary, {rs('avg(salary)', 6)} as mean_salary,
        min(salary) as min_salary, max(salary) as max_salary from panel_real where fte > 0"""))
 def global_stats(spark, sf_dir):
     """Global median, mean, min and max."""
     p = _pos(spark, sf_dir)
-    return p.agg(R(F.median("salary")).alias("median_salary"), R(F.avg("salary")).alias("mean_salary"),
+    return p.agg(R(F.median("salary"), 6).alias("median_salary"), R(F.avg("salary"), 6).alias("mean_salary"),
                  F.min("salary").alias("min_salary"), F.max("salary").alias("max_salary"))
 
 
 @query("median_trend", with_sql(f"""
-select snapshot_date, category, {rs('median(salary)')} as median_salary,
+select snapshot_date, category, {rs('median(salary)', 6)} as median_salary,
        cast(count(distinct id) as bigint) as employees, {rs('sum(fte)', 4)} as total_fte
 from panel_real where fte > 0 and division = 'NATION_3' and category is not null
 group by snapshot_date, category"""))
@@ -80,7 +80,7 @@ def median_trend(spark, sf_dir):
     g = p.groupBy(FX.date, "category").agg(F.median("salary").alias("m"),
                                            F.count_distinct("id").alias("employees"),
                                            F.sum("fte").alias("f"))
-    return g.select(FX.date, "category", R("m").alias("median_salary"), "employees",
+    return g.select(FX.date, "category", R("m", 6).alias("median_salary"), "employees",
                     R("f", 4).alias("total_fte"))
 
 
@@ -103,7 +103,7 @@ def first_last_change(spark, sf_dir):
 select a.org, a.median_salary, a.mean_salary, a.headcount, b.total_fte from a join b on a.org = b.org""", f"""
 prim as (select * from (select *, row_number() over (partition by id, snapshot_date
            order by salary desc nulls last, row_id) as rn from panel_real) where rn = 1),
-a as (select org, {rs('median(salary)')} as median_salary, {rs('avg(salary)')} as mean_salary,
+a as (select org, {rs('median(salary)', 6)} as median_salary, {rs('avg(salary)', 6)} as mean_salary,
              cast(count(*) as bigint) as headcount
       from prim where snapshot_date = (select max(snapshot_date) from panel_real) and org is not null group by org),
 b as (select org, {rs('sum(fte)', 4)} as total_fte from panel_real
@@ -112,8 +112,8 @@ def dept_summary_two_grain(spark, sf_dir):
     """Per unit at the latest date: median/mean/headcount over primary rows, FTE over all rows."""
     p = agg.at_latest(panel_real(spark, sf_dir), FX).na.drop(subset=[FX.org])
     prim = primary_rows(p, FX)
-    a = prim.groupBy(FX.org).agg(R(F.median("salary")).alias("median_salary"),
-                                 R(F.avg("salary")).alias("mean_salary"),
+    a = prim.groupBy(FX.org).agg(R(F.median("salary"), 6).alias("median_salary"),
+                                 R(F.avg("salary"), 6).alias("mean_salary"),
                                  F.count(F.lit(1)).alias("headcount"))
     b = p.groupBy(FX.org).agg(R(F.sum("fte"), 4).alias("total_fte"))
     return a.join(b, FX.org)           # both sides: one row per unit
@@ -151,15 +151,15 @@ def histogram20(spark, sf_dir):
 
 
 @query("box_stats", with_sql(f"""
-select div_type, {rs('min(real_salary)')} as min, {rs('quantile_cont(real_salary, 0.25)')} as q1,
-       {rs('quantile_cont(real_salary, 0.5)')} as median, {rs('quantile_cont(real_salary, 0.75)')} as q3,
+select div_type, {rs('min(real_salary)')} as min, {rs('quantile_cont(real_salary, 0.25)', 6)} as q1,
+       {rs('quantile_cont(real_salary, 0.5)', 6)} as median, {rs('quantile_cont(real_salary, 0.75)', 6)} as q3,
        {rs('max(real_salary)')} as max
 from panel_real where fte > 0 and div_type is not null group by div_type"""))
 def box_stats(spark, sf_dir):
     """Min, quartiles and max per group (box-plot data)."""
     g = agg.group_stats(_pos(spark, sf_dir), ["div_type"], "real_salary", quantiles=(0.25, 0.5, 0.75))
-    return g.select("div_type", R("min").alias("min"), R("p25").alias("q1"), R("p50").alias("median"),
-                    R("p75").alias("q3"), R("max").alias("max"))
+    return g.select("div_type", R("min").alias("min"), R("p25", 6).alias("q1"), R("p50", 6).alias("median"),
+                    R("p75", 6).alias("q3"), R("max").alias("max"))
 
 
 @query("tenure_regression", with_sql(f"""
@@ -191,4 +191,4 @@ with raw as ({fixtures.RAW_SNAPSHOTS_SQL})
     f"as non_empty from raw" for f in _COVER_FIELDS))
 def field_coverage(spark, sf_dir):
     """Non-empty values per field."""
-    return agg.field_coverage(fixtures.raw_snapshots(spark, sf_dir), _COVER_FIELDS)
+    return agg.field_coverage(raw_snapshots(spark, sf_dir), _COVER_FIELDS)
