@@ -60,6 +60,23 @@ def keyword_category_sql(expr: str, table: list[tuple[str, list[str]]], default:
     return f"case {' '.join(whens)} else '{default}' end"
 
 
+def matches_ci(c, pattern: str) -> Column:
+    """Case-insensitive regex match (e.g. an alternation), null -> false."""
+    return F.coalesce(_c(c).rlike("(?i)" + pattern), F.lit(False))
+
+
+def classify_lookup(c, mapping: dict[str, str], default: str = "Other") -> Column:
+    """Value -> class through a lookup, unmatched and null -> default.
+
+    For a small fixed list this is a map literal inside the projection; a
+    lookup that grows with the data belongs in a (broadcast) join instead.
+    """
+    if not mapping:
+        return F.lit(default)
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return F.coalesce(F.try_element_at(m, _c(c)), F.lit(default))
+
+
 def contains_ci(c, needle: str) -> Column:
     """Case-insensitive literal substring test, null -> false."""
     return F.coalesce(F.lower(_c(c)).contains(needle.lower()), F.lit(False))

@@ -37,9 +37,9 @@ def latest_date(df: DataFrame, cols: PanelCols = CLEAN) -> DataFrame:
 
 
 def at_latest(df: DataFrame, cols: PanelCols = CLEAN) -> DataFrame:
-    """Rows of the latest snapshot (one-row scalar broadcast, C19)."""
-    return (df.join(F.broadcast(latest_date(df, cols)), F.col(cols.date) == F.col("_latest"))
-              .drop("_latest"))
+    """Rows of the latest snapshot (C19: the date is a scalar subquery,
+    computed once and compared like a literal)."""
+    return df.where(F.col(cols.date) == latest_date(df, cols).scalar())
 
 
 def headline(df: DataFrame, cols: PanelCols = CLEAN) -> DataFrame:
@@ -64,9 +64,11 @@ def overview(df: DataFrame, cols: PanelCols = CLEAN, approx: bool = False) -> Da
     )
 
 
-def snapshot_bounds(df: DataFrame, cols: PanelCols = CLEAN) -> DataFrame:
-    """One row: first and last snapshot date (the calendar's ends)."""
-    return df.agg(F.min(cols.date).alias("_d0"), F.max(cols.date).alias("_d1"))
+def snapshot_bounds(df: DataFrame, cols: PanelCols = CLEAN):
+    """(first, last) snapshot date as scalar-subquery columns (one subquery,
+    reused for both ends)."""
+    b = df.agg(F.struct(F.min(cols.date).alias("d0"), F.max(cols.date).alias("d1"))).scalar()
+    return b["d0"], b["d1"]
 
 
 def compare_snapshots(df: DataFrame, keys: list[str], cols: PanelCols = CLEAN,
@@ -81,10 +83,9 @@ def compare_snapshots(df: DataFrame, keys: list[str], cols: PanelCols = CLEAN,
     """
     value_cols = value_cols or {"fte": cols.weight, "salary": cols.real_weighted}
     if start is None or end is None:
-        bounds = snapshot_bounds(df, cols)
-        df = df.crossJoin(F.broadcast(bounds))
-        d0 = F.col("_d0") if start is None else F.lit(start)
-        d1 = F.col("_d1") if end is None else F.lit(end)
+        b0, b1 = snapshot_bounds(df, cols)
+        d0 = b0 if start is None else F.lit(start)
+        d1 = b1 if end is None else F.lit(end)
     else:
         d0, d1 = F.lit(start), F.lit(end)
     df = _drop_null_keys(df, keys)
@@ -197,8 +198,13 @@ def histogram(df: DataFrame, value: str, bins: int = 20, keys: list[str] | None
     """
     keys = keys or []
     base = df.where(F.col(value).isNotNull())
-    rng = base.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    j = base.join(F.broadcast(rng), keys) if keys else base.crossJoin(F.broadcast(rng))
+    if keys:
+        # one row per group; AQE broadcasts it at run time when it is small
+        rng = base.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        j = base.join(rng, keys)
+    else:
+        r = base.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+        j = base.withColumn("_lo", r["lo"]).withColumn("_hi", r["hi"])
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("_lo")) / width).cast("int"), F.lit(bins - 1)))

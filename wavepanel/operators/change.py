@@ -103,15 +103,14 @@ def first_last_snapshot(df: DataFrame, cols: PanelCols = CLEAN, values: list[str
     (inner: entities present in both), as one grouped aggregation."""
     values = values or [cols.measure, cols.category, cols.real_weighted]
     if start is None or end is None:
-        b = df.agg(F.min(cols.date).alias("_d0"), F.max(cols.date).alias("_d1"))
-        df = df.crossJoin(F.broadcast(b))
-        d0 = F.col("_d0") if start is None else F.lit(start)
-        d1 = F.col("_d1") if end is None else F.lit(end)
+        b = df.agg(F.struct(F.min(cols.date).alias("d0"), F.max(cols.date).alias("d1"))).scalar()
+        d0 = b["d0"] if start is None else F.lit(start)
+        d1 = b["d1"] if end is None else F.lit(end)
     else:
         d0, d1 = F.lit(start), F.lit(end)
     ends = df.where((F.col(cols.date) == d0) | (F.col(cols.date) == d1)) \
              .withColumn("_is_end", F.col(cols.date) == d1)
-    prim = primary_rows(ends.drop("_d0", "_d1"), cols)
+    prim = primary_rows(ends, cols)
     row = F.struct(*[F.col(v) for v in values])
     g = prim.groupBy(cols.id).agg(F.max_by(row, F.when(~F.col("_is_end"), F.lit(1))).alias("_s"),
                                   F.max_by(row, F.when(F.col("_is_end"), F.lit(1))).alias("_e"))

@@ -135,11 +135,12 @@ def attach_job_dimension(df: DataFrame, jobs: DataFrame, cols: PanelCols = CLEAN
                          key: str = "jobcode") -> DataFrame:
     """C2 + B11: left join on the job code where null matches null.
 
-    The job dimension has one row per job code (first row kept), which is
-    bounded by the code catalogue, so it is broadcast.
+    The job dimension has one row per job code (first row kept).  It is not
+    hinted: AQE broadcasts it when its runtime size is under the broadcast
+    threshold and keeps a shuffle join otherwise.
     """
     jobs = jobs.withColumnRenamed(key, "_jk")
-    j = df.join(F.broadcast(jobs), F.col(cols.jobcode).eqNullSafe(F.col("_jk")), "left").drop("_jk")
+    j = df.join(jobs, F.col(cols.jobcode).eqNullSafe(F.col("_jk")), "left").drop("_jk")
     if "job_group" in jobs.columns:
         return j.withColumn("jobgroup", F.col("job_group"))
     return j.withColumn("jobgroup", F.lit(None).cast("string"))

@@ -109,7 +109,7 @@ def price_factor(index: DataFrame, start, date_col: str, idx_col: str) -> DataFr
 def _function_rows(df: DataFrame, start, end, keywords, factor: DataFrame, cols: PanelCols,
                    admin_units: list[str] | None, unit: str | None) -> DataFrame:
     x = df.where((F.col(cols.weight) > 0) & F.col(cols.date).isin(F.lit(start), F.lit(end)))
-    x = x.crossJoin(F.broadcast(factor))                       # one row
+    x = x.withColumn("_factor", factor.scalar())             # one-row scalar subquery
     is_start = F.col(cols.date) == F.lit(start)
     pay = F.col(cols.measure) * F.col(cols.weight) * F.when(is_start, F.col("_factor")).otherwise(F.lit(1.0))
     x = (x.withColumn("total_pay", pay)

@@ -15,10 +15,8 @@ def base_index(cpi: DataFrame, base_date, date_col: str = "Date", cpi_col: str =
     The price series has one row per month (bounded), so the one-row base value
     is broadcast.
     """
-    base = cpi.agg(F.max(F.when(F.col(date_col) == F.lit(base_date), F.col(cpi_col))).alias("_base"))
-    return (cpi.crossJoin(F.broadcast(base))
-               .withColumn(out, F.try_divide(F.col("_base"), F.col(cpi_col)))
-               .drop("_base"))
+    base = cpi.agg(F.max(F.when(F.col(date_col) == F.lit(base_date), F.col(cpi_col)))).scalar()
+    return cpi.withColumn(out, F.try_divide(base, F.col(cpi_col)))
 
 
 def _index_per_date(panel: DataFrame, index: DataFrame, cols: PanelCols, idx_date: str,
@@ -29,10 +27,9 @@ def _index_per_date(panel: DataFrame, index: DataFrame, cols: PanelCols, idx_dat
     if mode == "latest":
         # The reference fills every miss with the globally latest non-null row.
         latest = (index.where(F.col(idx_val).isNotNull())
-                       .agg(F.max_by(F.col(idx_val), F.col(idx_date)).alias("_fill")))
+                       .agg(F.max_by(F.col(idx_val), F.col(idx_date)))).scalar()
         return (dates.join(F.broadcast(exact), "_d", "left")
-                     .crossJoin(F.broadcast(latest))
-                     .select("_d", F.coalesce("_v", "_fill").alias("_idx")))
+                     .select("_d", F.coalesce(F.col("_v"), latest).alias("_idx")))
     if mode == "asof":
         # Nearest prior non-null row: union the calendar with the index and
         # carry the last value forward.  Both inputs are bounded (snapshot

@@ -15,7 +15,7 @@ one-to-one assignment, which is sequential within a group, runs per
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -56,6 +56,14 @@ def tolerance_match(plan: DataFrame, records: DataFrame, unit: str, title: str,
              .withColumn("diff", F.abs(F.col("rec_salary") - F.col("salary")))
              .where(F.col("diff") < F.lit(t))
              .select("department", "title", "line", "record", "rec_salary", "diff"))
+    # A line can lose at most (k - 1) candidates to the other k - 1 lines of
+    # its group, so its choice is always among its k nearest: keeping only
+    # those is exact and bounds what reaches Python by (lines x lines).
+    k = plan.groupBy("department", "title").agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy("line").orderBy("diff", "record")
+    near = (near.join(k, ["department", "title"])
+                .withColumn("_r", F.row_number().over(w))
+                .where(F.col("_r") <= F.col("_k")).drop("_r", "_k"))
     matched = near.groupBy("department", "title").applyInPandas(
         lambda pdf: _assign(pdf), schema=MATCH_SCHEMA)
     out = plan.join(matched, "line", "left")

@@ -129,8 +129,7 @@ def department_roster(df: DataFrame, cols: PanelCols = CLEAN, unit: str | None =
     from its first to its last primary record."""
     unit = unit or cols.org
     prim = primary_rows(df, cols)
-    latest = prim.agg(F.max(cols.date).alias("_latest"))
-    roster = prim.join(F.broadcast(latest), F.col(cols.date) == F.col("_latest")).drop("_latest")
+    roster = prim.where(F.col(cols.date) == prim.agg(F.max(cols.date)).scalar())
     growth = prim.groupBy(cols.id).agg(F.min_by(cols.measure, cols.date).alias("first_salary"),
                                        F.max_by(cols.measure, cols.date).alias("last_salary"))
     g = growth.withColumn("growth_pct", F.when(F.col("first_salary") > 0,

@@ -62,11 +62,9 @@ def entity_index(df: DataFrame, cols: PanelCols = CLEAN, tie: str = "highest") -
                     [(F.unix_date(F.col(cols.date)), False),
                      (F.col(cols.measure), tie != "highest"),
                      (F.col(cols.seq), True)])
-    latest = df.agg(F.max(cols.date).alias("_latest"))
-    return (last.crossJoin(F.broadcast(latest))      # one-row scalar, bounded
-                .withColumn("is_current", F.col(cols.date) == F.col("_latest"))
-                .withColumn("last_seen", F.col(cols.date))
-                .drop("_latest"))
+    latest = df.agg(F.max(cols.date)).scalar()         # scalar subquery
+    return (last.withColumn("is_current", F.col(cols.date) == latest)
+                .withColumn("last_seen", F.col(cols.date)))
 
 
 def first_last_records(df: DataFrame, cols: PanelCols = CLEAN,

@@ -60,9 +60,8 @@ def uniform_cut(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN) -> DataFra
         F.coalesce(F.sum(m), F.lit(0.0)).alias("total_salary"),
         F.coalesce(F.sum(F.when(up, m)), F.lit(0.0)).alias("unprotected_salary"),
         F.avg(F.when(up, m)).alias("mean_unprotected_salary"))
-    scalar = x.agg(F.sum(m).alias("_all")).select(
-        (F.lit(sc.target_salary) / F.col("_all")).alias("uniform_rate"))
-    j = units.crossJoin(F.broadcast(scalar))                  # one row
+    rate = x.agg(F.lit(sc.target_salary) / F.sum(m)).scalar()   # scalar subquery
+    j = units.withColumn("uniform_rate", rate)
     cut = F.col("uniform_rate") * F.col("total_salary")
     return (j.withColumn("required_cut", cut)
              .withColumn("effective_pct", safe_div(cut, "unprotected_salary") * F.lit(100.0))
@@ -86,8 +85,8 @@ def severity_rollup(cut: DataFrame, df: DataFrame, sc: Scenario, cols: PanelCols
                              F.coalesce(F.sum("est_positions"), F.lit(0.0)).alias("positions"),
                              F.sum("required_cut").alias("dollars"))
     x = classify(df, sc, cols)
-    mean_up = x.agg(F.avg(F.when(~F.col("is_protected"), F.col(cols.measure))).alias("_mu"))
-    g = g.crossJoin(F.broadcast(mean_up))
+    mean_up = x.agg(F.avg(F.when(~F.col("is_protected"), F.col(cols.measure)))).scalar()
+    g = g.withColumn("_mu", mean_up)
     return (g.withColumn("positions_global", F.when(F.col("tier").isNull(),
                                                     safe_div("dollars", "_mu")))
              .withColumn("tier", F.coalesce("tier", F.lit("Total"))).drop("_mu"))
@@ -145,11 +144,11 @@ def management_protected(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN) -
     pool size, pool salary, cut and estimated positions."""
     u = _unit(sc, cols)
     pool = classify(df, sc, cols).where(~F.col("is_protected") & ~F.col("is_management"))
-    rate = pool.agg((F.lit(sc.target_salary) / F.sum(cols.measure)).alias("pool_rate"))
+    rate = pool.agg(F.lit(sc.target_salary) / F.sum(cols.measure)).scalar()
     g = pool.na.drop(subset=[u]).groupBy(u).agg(F.count(F.lit(1)).alias("pool_staff"),
                                                 F.sum(cols.measure).alias("pool_salary"),
                                                 F.avg(cols.measure).alias("_mean"))
-    g = g.crossJoin(F.broadcast(rate))
+    g = g.withColumn("pool_rate", rate)
     return (g.withColumn("cut_amount", F.col("pool_rate") * F.col("pool_salary"))
              .withColumn("est_positions", safe_div("cut_amount", "_mean"))
              .withColumn("pool_pct", F.col("pool_rate") * F.lit(100.0)).drop("_mean"))

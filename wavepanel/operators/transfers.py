@@ -83,7 +83,8 @@ def reorg_mapping(flagged_pairs: DataFrame, cols: PanelCols = CLEAN, by: str = "
     prev = f"prev_{cols.org}"
     r = flagged_pairs.where(F.col("is_reorg"))
     if by == "count":
-        pick = F.max_by(F.col(cols.org), F.struct(F.col("transfer_count"), F.lit(0) - F.length(cols.org)))
+        # most moves; ties: first name in key order
+        pick = F.min_by(F.col(cols.org), F.struct(-F.col("transfer_count"), F.col(cols.org)))
     else:
         pick = F.min(cols.org)
     return r.groupBy(prev).agg(pick.alias("new_" + cols.org))
@@ -121,3 +122,14 @@ def track_transfers(panel: DataFrame, cols: PanelCols = CLEAN, rules: ReorgRules
                          F.sum("transfer_count").alias("total_employees"),
                          F.bround(F.avg("name_similarity"), 2).alias("avg_similarity")))
     return {"rows": rows, "counts": counts, "pairs": pairs, "summary": summary}
+
+
+def pair_statistics(pairs: DataFrame, top: int = 10) -> dict[str, DataFrame]:
+    """Moves and pairs by re-organisation flag, and the `top` largest
+    real (non-re-organisation) pairs (ties by names)."""
+    by_flag = pairs.groupBy("is_reorg").agg(F.count(F.lit(1)).alias("pairs"),
+                                            F.sum("transfer_count").alias("moves"))
+    real = pairs.where(~F.col("is_reorg"))
+    order = [F.col("transfer_count").desc()] + [F.col(c) for c in pairs.columns
+                                                if c.startswith("prev_")] + [F.col(pairs.columns[1])]
+    return {"by_flag": by_flag, "top_real": real.orderBy(*order).limit(top)}

@@ -8,6 +8,7 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from ..columns import FIXTURE as FX
+from ..operators import aggregate as agg
 from ..operators import change as CH
 from ..operators.clean import add_analysis_flags
 from ..operators.primary import first_last_records
@@ -233,9 +234,9 @@ def title_full_outer_change(spark, sf_dir):
     """Title-level before/after (full-outer semantics: missing side = 0),
     as one conditional aggregation instead of two aggregates and a full outer join."""
     p = _pos(spark, sf_dir).na.drop(subset=["job_group"])
-    b = p.agg(F.min(FX.date).alias("_d0"), F.max(FX.date).alias("_d1"))
-    x = p.crossJoin(F.broadcast(b)).where((F.col(FX.date) == F.col("_d0")) | (F.col(FX.date) == F.col("_d1")))
-    s, e = F.col(FX.date) == F.col("_d0"), F.col(FX.date) == F.col("_d1")
+    d0, d1 = agg.snapshot_bounds(p, FX)
+    x = p.where((F.col(FX.date) == d0) | (F.col(FX.date) == d1))
+    s, e = F.col(FX.date) == d0, F.col(FX.date) == d1
     g = x.groupBy("job_group", "title").agg(
         F.coalesce(F.sum(F.when(s, F.col("fte"))), F.lit(0.0)).alias("fs"),
         F.count_distinct(F.when(s, F.col("id"))).alias("n_start"),

@@ -225,10 +225,9 @@ def search_capped(spark, sf_dir):
     """Entity search over the latest record per entity, capped at 200 with the total."""
     idx = primary.entity_index(panel(spark, sf_dir), FX)
     hits = idx.where(F.coalesce(F.lower(F.col("division")).contains("ation_1"), F.lit(False)))
-    total = hits.agg(F.count(F.lit(1)).alias("total_matches"))
+    total = hits.agg(F.count(F.lit(1))).scalar()                  # scalar subquery
     top = hits.orderBy(F.col("salary").desc_nulls_last(), "id").limit(200)
-    return (top.crossJoin(F.broadcast(total))                     # one-row scalar
-               .select("id", "division", "department", "salary", "total_matches"))
+    return top.select("id", "division", "department", "salary", total.alias("total_matches"))
 
 
 @query("distinct_pickers", with_sql("""
