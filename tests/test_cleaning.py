@@ -78,6 +78,18 @@ def test_prune_differential_random(spark):
             assert g["full_time_equivalent"].sum() <= 1.4 + 1e-9 or len(g) == 1
 
 
+def test_prune_streaming_path_matches(spark):
+    """Groups above `fold_limit` take the sorted streaming walk; same result."""
+    rnd = random.Random(11)
+    rows = [(i, f"e{rnd.randrange(8)}", D, rnd.choice(["Limited Appointee", None]),
+             float(rnd.randrange(1, 30) * 1000), rnd.randrange(0, 60) / 100) for i in range(1, 600)]
+    pdf = pd.DataFrame(rows, columns=["_row_seq", "id", "Date", "employee_category",
+                                      "current_annual_contracted_salary", "full_time_equivalent"])
+    df = spark.createDataFrame(pdf, SCHEMA)
+    walked = sorted(r._row_seq for r in C.prune_overallocated(df, CLEAN, fold_limit=5).collect())
+    assert walked == _pandas_prune(pdf)
+
+
 def test_prune_is_idempotent(spark):
     rnd = random.Random(3)
     rows = [(i, f"e{rnd.randrange(20)}", D, None, float(rnd.randrange(1, 9)), rnd.randrange(1, 90) / 100)

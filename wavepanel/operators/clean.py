@@ -8,6 +8,7 @@ Dimension tables (price index, job codes) are bounded and broadcast.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,29 @@ def _limited_flag(df: DataFrame, cols: PanelCols, limited_col: str | None) -> Co
     return F.coalesce(F.lower(F.col(cols.category)).contains("limited"), F.lit(False))
 
 
+def _walk_sorted(limit: float, w: str, seq: str, keys: list[str]):
+    """mapInPandas body: walk candidate rows sorted by (group, order) and keep
+    a row iff running kept total + its weight <= limit.  State is one group's
+    running total, carried across Arrow batches: memory does not grow with
+    the group."""
+    def run(batches):
+        cur, total = None, None
+        for pdf in batches:
+            keep = []
+            for key, wt, pf in zip(zip(*[pdf[k] for k in keys]), pdf[w], pdf["_pf"]):
+                if key != cur:
+                    cur, total = key, pf
+                nxt = total + wt
+                ok = nxt <= limit
+                if ok:
+                    total = nxt
+                keep.append(ok)
+            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+    return run
+
+
 def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = MAX_TOTAL_FTE,
-                        limited_col: str | None = None) -> DataFrame:
+                        limited_col: str | None = None, fold_limit: int = 100_000) -> DataFrame:
     """Prune the rows of (id, date) groups whose total weight exceeds `limit`.
 
     Primary row: the highest-measure "limited" row if the group has one, else
@@ -65,9 +87,13 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
     Most rows are decided without the sequential walk: groups under the limit
     are kept whole; with non-negative weights the kept total stays within
     [primary, limit], so zero-weight rows are always admitted and rows that
-    do not fit beside the primary alone never are.  Only the remaining
-    candidates of over-limit groups enter a JVM-side fold
-    (`aggregate` over the measure-sorted candidate list).
+    do not fit beside the primary alone never are.  The remaining candidates
+    of an over-limit group are walked in order:
+    * groups of up to `fold_limit` rows: a JVM-side fold (`aggregate`) over
+      the group's measure-sorted candidate list;
+    * larger (hot) groups: rows shuffled by group, sorted within the
+      partition and walked by `mapInPandas` with constant memory -- no group
+      is ever collected into one value.
     """
     keys = [cols.id, cols.date]
     w, m, seq = F.col(cols.weight), F.col(cols.measure), F.col(cols.seq)
@@ -76,6 +102,7 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
     groups = (x.groupBy(*keys).agg(
         F.sum(cols.weight).alias("_tot"),
         F.min(cols.weight).alias("_minw"),
+        F.count(F.lit(1)).alias("_n"),
         F.max_by(F.struct(seq.alias("p_seq"), w.alias("p_fte")),
                  F.struct(F.col("_lim").cast("int"), m, -seq)).alias("_p"))
         # The total is compared at 1e-9 so that the result does not depend on
@@ -90,8 +117,12 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
                 .when(p_fte.isNull() | w.isNull(), F.lit(False))
                 .when(nonneg & (p_fte + w > F.lit(limit)), F.lit(False))
                 .when(nonneg & (w == 0), F.lit(True)))
-    j = j.withColumn("_decided", decided)
-    cand = j.where(F.col("_decided").isNull())
+    j = j.withColumn("_decided", decided).withColumn("_big", F.coalesce(F.col("_n") > fold_limit, F.lit(False)))
+    helper = ["_lim", "_tot", "_minw", "_n", "_p", "_decided", "_big"]
+
+    # (1) small groups: fold over the sorted candidate list
+    small = j.where(~F.col("_big"))
+    cand = small.where(F.col("_decided").isNull())
     ordered = F.sort_array(F.collect_list(F.struct(
         m.isNull().alias("a"), (-m).alias("b"), seq.alias("c"), w.alias("fte"))))
     init = F.struct(F.first(p_fte).alias("total"), F.array().cast("array<bigint>").alias("kept"))
@@ -105,10 +136,20 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
                          .otherwise(acc["kept"]).alias("kept"))
 
     kept = folded.select(*keys, F.aggregate("_arr", F.col("_init"), step)["kept"].alias("_kept"))
-    out = j.join(kept, keys, "left")
     keep = F.coalesce(F.col("_decided"),
                       F.coalesce(F.array_contains("_kept", seq.cast("bigint")), F.lit(False)))
-    return out.where(keep).drop("_lim", "_tot", "_minw", "_p", "_decided", "_kept")
+    out_small = small.join(kept, keys, "left").where(keep).drop(*helper, "_kept")
+
+    # (2) hot groups: decided rows directly, candidates by a streaming walk
+    big = j.where(F.col("_big"))
+    out_big_decided = big.where(F.coalesce(F.col("_decided"), F.lit(False))).drop(*helper)
+    walk_in = (big.where(F.col("_decided").isNull()).withColumn("_pf", p_fte)
+                  .withColumn("_a", m.isNull()).withColumn("_b", -m)
+                  .drop(*helper))
+    walk_in = walk_in.repartition(*keys).sortWithinPartitions(*keys, "_a", "_b", cols.seq)
+    walked = walk_in.mapInPandas(_walk_sorted(limit, cols.weight, cols.seq, keys), walk_in.schema)
+    out_big_walk = walked.drop("_pf", "_a", "_b")
+    return out_small.unionByName(out_big_decided).unionByName(out_big_walk)
 
 
 def add_analysis_flags(df: DataFrame, cols: PanelCols = CLEAN, faculty_label: str = "Faculty",
