@@ -53,6 +53,19 @@ def test_previous_unit_flags_same_day_and_null(spark):
     assert [(r.prev_org, r.org, r.transfer_count) for r in pairs] == [("X - 1", "X - 2", 1)]
 
 
+def test_previous_unit_two_level_matches_single_window(spark):
+    import random
+    from pyspark.sql import Window
+    rnd = random.Random(5)
+    rows = [(i, f"e{rnd.randrange(4)}", rnd.choice([D1, D2, D3]), rnd.choice(["A - 1", "A - 2", "B - 1", None]))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "seq BIGINT, id STRING, d DATE, org STRING")
+    got = {r.seq: r.prev_org for r in CH.previous_value(df, PC, "org", bucket_rows=7).collect()}
+    w = Window.partitionBy("id").orderBy("d", "seq")
+    want = {r.seq: r.p for r in df.select("seq", F.lag("org").over(w).alias("p")).collect()}
+    assert got == want
+
+
 def test_reorg_rule_ladder(spark):
     pairs = spark.createDataFrame([
         ("Div A - History Dept", "Div A - History Department", 20),     # similar + volume

@@ -28,19 +28,37 @@ def calendar(df: DataFrame, cols: PanelCols = CLEAN) -> DataFrame:
 
 
 def previous_value(df: DataFrame, cols: PanelCols = CLEAN, value: str | None = None,
-                   per: str = "row") -> DataFrame:
+                   per: str = "row", bucket_rows: int = 1 << 20) -> DataFrame:
     """Value of the entity's previous row (date, then row order).
 
     per="row" reproduces the reference: two same-day rows of one entity form
-    a move.  per="snapshot" first keeps the primary row per snapshot, which
-    bounds every window partition by the number of snapshots.
+    a move.  It is computed as a two-level lag so that no window partition
+    holds more than `bucket_rows` rows, whatever the size of one entity:
+    (1) a lag inside (entity, date, row bucket), where the row bucket is
+    `_row_seq // bucket_rows`; (2) for the first row of each bucket, the last
+    value of the entity's previous non-empty bucket, from a lag over the
+    per-bucket summaries (one row per bucket).
+    per="snapshot" first keeps the primary row per snapshot (at most one row
+    per snapshot per entity) and lags over those.
     """
     value = value or cols.org
-    src = primary_rows(df, cols) if per == "snapshot" else df
-    w = Window.partitionBy(cols.id).orderBy(cols.date, cols.seq)
-    prev = F.lag(value).over(w)
-    out = src.withColumn(f"prev_{value}", prev)
-    p, v = F.col(f"prev_{value}"), F.col(value)
+    out_col = f"prev_{value}"
+    if per == "snapshot":
+        src = primary_rows(df, cols)
+        out = src.withColumn(out_col, F.lag(value).over(Window.partitionBy(cols.id).orderBy(cols.date, cols.seq)))
+    else:
+        part = [cols.id, cols.date, "_sb"]
+        x = df.withColumn("_sb", F.floor(F.col(cols.seq) / F.lit(bucket_rows)))
+        w_in = Window.partitionBy(*part).orderBy(cols.seq)
+        x = x.withColumn("_lag_in", F.lag(value).over(w_in)).withColumn("_rn", F.row_number().over(w_in))
+        # per-bucket summaries (same partitioning as the window: no extra shuffle of rows)
+        last = x.groupBy(*part).agg(F.max_by(F.col(value), F.col(cols.seq)).alias("_last"))
+        w_out = Window.partitionBy(cols.id).orderBy(cols.date, "_sb")
+        last = last.withColumn("_prev_bucket", F.lag("_last").over(w_out)).drop("_last")
+        out = (x.join(last, part)
+                .withColumn(out_col, F.when(F.col("_rn") == 1, F.col("_prev_bucket")).otherwise(F.col("_lag_in")))
+                .drop("_sb", "_lag_in", "_rn", "_prev_bucket"))
+    p, v = F.col(out_col), F.col(value)
     # changed when previous exists and differs; a null current after a known
     # previous also counts (ledger L12)
     return out.withColumn("dept_changed", p.isNotNull() & ~v.eqNullSafe(p))

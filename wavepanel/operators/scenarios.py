@@ -219,7 +219,7 @@ def phase_savings(plan: DataFrame, overhead: float) -> DataFrame:
 def number_plan(plan: DataFrame) -> DataFrame:
     """Sequential line number in (phase, salary desc, row) order."""
     w = Window.orderBy("phase", F.col("salary").desc(), "_seq")
-    return plan.withColumn("line", F.row_number().over(w))
+    return plan.withColumn("line", F.row_number().over(w).cast("bigint"))
 
 
 def untouched_units(df: DataFrame, plan: DataFrame, unit: str) -> DataFrame:
