@@ -91,11 +91,17 @@ def reorg_mapping(flagged_pairs: DataFrame, cols: PanelCols = CLEAN, by: str = "
 
 
 def track_transfers(panel: DataFrame, cols: PanelCols = CLEAN, rules: ReorgRules = ReorgRules(),
-                    per: str = "row") -> dict[str, DataFrame]:
-    """K5: rows with transfer flags, per-unit counts, pair table, summary."""
+                    per: str = "row", flagged: DataFrame | None = None,
+                    pairs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """K5: rows with transfer flags, per-unit counts, pair table, summary.
+
+    `flagged` (rows with the previous unit) and `pairs` (the detected pair
+    table) may be passed in when they are already stored."""
     prev = f"prev_{cols.org}"
-    flagged = previous_value(panel, cols, cols.org, per=per)
-    pairs = detect_reorganizations(transfer_pairs(flagged, cols), cols, rules)
+    if flagged is None:
+        flagged = previous_value(panel, cols, cols.org, per=per)
+    if pairs is None:
+        pairs = detect_reorganizations(transfer_pairs(flagged, cols), cols, rules)
     reorg_set = pairs.where(F.col("is_reorg")).select(F.col(prev).alias("_rp"), F.col(cols.org).alias("_rc"),
                                                       F.lit(True).alias("_in"))
     rows = flagged.join(reorg_set, (F.col(prev) == F.col("_rp")) & (F.col(cols.org) == F.col("_rc")), "left")

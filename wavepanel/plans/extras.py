@@ -14,7 +14,7 @@ from ..sources import fixtures
 from ..sources.snapshots import probe_columns
 from .common import R, panel_real, raw_snapshots, rs, with_sql
 from .registry import query
-from .transfers import NO_REORG, _LAG_SQL, _base
+from .transfers import NO_REORG, _LAG_SQL, _tracked
 
 # Lookup of the fixture's unit types (a parameter table of the classifier).
 UNIT_TYPES = {"NATION_0": "Schools & Colleges", "NATION_1": "Administration", "NATION_2": "Service Units",
@@ -69,7 +69,7 @@ select prev_org, org, transfer_count from (
 order by transfer_count desc, prev_org, org limit 10""", _LAG_SQL))
 def top_real_pairs(spark, sf_dir):
     """The 10 largest real pairs (every move real: no similarity rule)."""
-    t = T.track_transfers(_base(spark, sf_dir), FX, NO_REORG)
+    t = _tracked(spark, sf_dir, NO_REORG)
     top = T.pair_statistics(t["pairs"])["top_real"]
     return top.select("prev_org", "org", "transfer_count")
 
@@ -77,7 +77,7 @@ def top_real_pairs(spark, sf_dir):
 @query("pair_stats")
 def pair_stats(spark, sf_dir):
     """D27 (rows-only): pairs and moves by re-organisation flag (similarity rules on)."""
-    return T.pair_statistics(T.track_transfers(_base(spark, sf_dir), FX)["pairs"])["by_flag"]
+    return T.pair_statistics(_tracked(spark, sf_dir)["pairs"])["by_flag"]
 
 
 @query("top15_trend", with_sql(f"""

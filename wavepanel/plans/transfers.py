@@ -10,7 +10,7 @@ from ..operators import transfers as T
 from ..operators.clean import add_analysis_flags
 from ..operators.change import previous_value
 from ..sources.tables import read_table
-from .common import panel_real, with_sql
+from .common import panel_real, stored, with_sql
 from .registry import query
 
 # Every move counts as real: the SQL-checkable variant (no similarity rule).
@@ -23,6 +23,24 @@ def _base(spark, sf_dir):
     return panel_real(spark, sf_dir).where(F.col(FX.weight) > 0.01)
 
 
+def _flagged(spark, sf_dir):
+    """Rows with their previous unit, stored once per application (read by
+    every transfer query)."""
+    return stored(spark, sf_dir, "transfer_flagged",
+                  lambda: previous_value(_base(spark, sf_dir), FX, FX.org))
+
+
+def _tracked(spark, sf_dir, rules=None):
+    """K5 results over the stored flagged rows; with the similarity rules the
+    detected pair table is stored once as well (the UDF runs once)."""
+    flagged = _flagged(spark, sf_dir)
+    if rules is not None:
+        return T.track_transfers(None, FX, rules, flagged=flagged)
+    pairs = stored(spark, sf_dir, "reorg_pairs",
+                   lambda: T.detect_reorganizations(T.transfer_pairs(flagged, FX), FX))
+    return T.track_transfers(None, FX, flagged=flagged, pairs=pairs)
+
+
 _LAG_SQL = """
 base as (select * from panel_real where fte > 0.01),
 fl as (select *, (prev_org is not null and org is distinct from prev_org) as dept_changed
@@ -38,14 +56,13 @@ select prev_org, org, cast(count(*) as bigint) as transfer_count from fl
 where dept_changed and prev_org is not null and org is not null group by prev_org, org""", _LAG_SQL))
 def transfer_pairs(spark, sf_dir):
     """Moves between units from the per-entity previous row."""
-    flagged = previous_value(_base(spark, sf_dir), FX, FX.org)
-    return T.transfer_pairs(flagged, FX)
+    return T.transfer_pairs(_flagged(spark, sf_dir), FX)
 
 
 @query("transfer_counts_ever_movers", with_sql("select * from counts", _LAG_SQL))
 def transfer_counts_ever_movers(spark, sf_dir):
     """Distinct entities per (unit, date) among those who ever really moved."""
-    return T.track_transfers(_base(spark, sf_dir), FX, NO_REORG)["counts"]
+    return _tracked(spark, sf_dir, NO_REORG)["counts"]
 
 
 @query("transfer_flags", with_sql("""
@@ -54,7 +71,7 @@ select fl.row_id, fl.prev_org, fl.dept_changed, false as is_reorg_transfer, fl.d
 from fl left join counts c on fl.org = c.org and fl.snapshot_date = c.snapshot_date""", _LAG_SQL))
 def transfer_flags(spark, sf_dir):
     """Per-row move flags and the significant-transfers flag (>= 10)."""
-    rows = T.track_transfers(_base(spark, sf_dir), FX, NO_REORG)["rows"]
+    rows = _tracked(spark, sf_dir, NO_REORG)["rows"]
     return rows.select("row_id", "prev_org", "dept_changed", "is_reorg_transfer", "is_real_transfer",
                        "has_significant_transfers")
 
@@ -62,25 +79,25 @@ def transfer_flags(spark, sf_dir):
 @query("reorg_detect")
 def reorg_detect(spark, sf_dir):
     """K3 (rows-only): pair table with name similarity and the re-organisation rules."""
-    return T.track_transfers(_base(spark, sf_dir), FX)["pairs"]
+    return _tracked(spark, sf_dir)["pairs"]
 
 
 @query("reorg_summary")
 def reorg_summary(spark, sf_dir):
     """D26 (rows-only): re-organisation pairs by reason: count, moves, mean similarity."""
-    return T.track_transfers(_base(spark, sf_dir), FX)["summary"]
+    return _tracked(spark, sf_dir)["summary"]
 
 
 @query("reorg_mapping")
 def reorg_mapping(spark, sf_dir):
     """K4 (rows-only): old unit -> new unit, first in key order."""
-    return T.reorg_mapping(T.track_transfers(_base(spark, sf_dir), FX)["pairs"], FX)
+    return T.reorg_mapping(_tracked(spark, sf_dir)["pairs"], FX)
 
 
 @query("reorg_flags")
 def reorg_flags(spark, sf_dir):
     """K5 (rows-only): per-row flags with the similarity rules switched on."""
-    rows = T.track_transfers(_base(spark, sf_dir), FX)["rows"]
+    rows = _tracked(spark, sf_dir)["rows"]
     return rows.select("row_id", "prev_org", "dept_changed", "is_reorg_transfer", "is_real_transfer",
                        "has_significant_transfers", "transferred", "DeptHas4PlusTransfers")
 
