@@ -160,7 +160,7 @@ fa as (select * from fx where category <> 'Other')"""
 
 @query("function_fte_compare", with_sql(f"""
 select category, {rs('fs', 4)} as fte_start, {rs('fe', 4)} as fte_end, {rs('ps')} as pay_start,
-       {rs('pe')} as pay_end, {rs('fe - fs', 4)} as fte_change, {rs('pe - ps')} as pay_change,
+       {rs('pe', 4)} as pay_end, {rs('fe - fs', 4)} as fte_change, {rs('pe - ps')} as pay_change,
        {rs('(fe - fs) / nullif(fs, 0) * 100', 4)} as fte_pct_change,
        {rs('(pe - ps) / nullif(ps, 0) * 100', 4)} as pay_pct_change
 from (select category, fs, fe, ps, pe from g
@@ -174,14 +174,14 @@ def function_fte_compare(spark, sf_dir):
     """FTE and pay per job function at two dates, start pay in end prices, TOTAL."""
     f = CO.function_compare(panel_real(spark, sf_dir), START, END, TITLE_KEYWORDS, _factor(spark), FX)
     return f.select("category", R("fte_start", 4).alias("fte_start"), R("fte_end", 4).alias("fte_end"),
-                    R("pay_start").alias("pay_start"), R("pay_end").alias("pay_end"),
+                    R("pay_start").alias("pay_start"), R("pay_end", 4).alias("pay_end"),
                     R("fte_change", 4).alias("fte_change"), R("pay_change").alias("pay_change"),
                     R("fte_pct_change", 4).alias("fte_pct_change"), R("pay_pct_change", 4).alias("pay_pct_change"))
 
 
 @query("function_title_change", with_sql(f"""
 select category, title, {rs('fs', 4)} as fte_start, ns as n_start, {rs('ps')} as pay_start,
-       {rs('fe', 4)} as fte_end, ne as n_end, {rs('pe')} as pay_end, {rs('fe - fs', 4)} as fte_change,
+       {rs('fe', 4)} as fte_end, ne as n_end, {rs('pe', 4)} as pay_end, {rs('fe - fs', 4)} as fte_change,
        {rs('pe - ps')} as pay_change
 from (select category, title,
         coalesce(sum(case when is_start then fte end), 0) as fs,
@@ -196,10 +196,16 @@ def function_title_change(spark, sf_dir):
     f = CO.function_by_title(panel_real(spark, sf_dir), START, END, TITLE_KEYWORDS, _factor(spark), FX)
     return f.select("category", "title", R("fte_start", 4).alias("fte_start"), "n_start",
                     R("pay_start").alias("pay_start"), R("fte_end", 4).alias("fte_end"), "n_end",
-                    R("pay_end").alias("pay_end"), R("fte_change", 4).alias("fte_change"),
+                    R("pay_end", 4).alias("pay_end"), R("fte_change", 4).alias("fte_change"),
                     R("pay_change").alias("pay_change"))
 
 
+def _digits(side: str, m: str) -> int:
+    """Rounding digits: FTE and end-date pay (salary x FTE) have 4 exact decimals;
+    start-date pay is deflated (many decimals) and is rounded to cents."""
+    return 4 if m == "fte" or side == "end" else 2
+
+
 _LOC_VALS = [(side, m, loc) for side in ("start", "end") for m in ("fte", "pay") for loc in ("admin", "depts")]
 
 
@@ -212,8 +218,8 @@ def _loc_sum(side, m, loc):
 
 @query("function_by_location", with_sql(
     "select category, " + ", ".join(
-        [f"{rs(f'{s}_{m}_{loc}', 4 if m == 'fte' else 2)} as {s}_{m}_{loc}" for s, m, loc in _LOC_VALS]
-        + [f"{rs(f'{s}_{m}_admin + {s}_{m}_depts', 4 if m == 'fte' else 2)} as {s}_{m}_total"
+        [f"{rs(f'{s}_{m}_{loc}', _digits(s, m))} as {s}_{m}_{loc}" for s, m, loc in _LOC_VALS]
+        + [f"{rs(f'{s}_{m}_admin + {s}_{m}_depts', _digits(s, m))} as {s}_{m}_total"
            for s in ('start', 'end') for m in ('fte', 'pay')]
         + [f"{rs('(end_fte_admin + end_fte_depts) - (start_fte_admin + start_fte_depts)', 4)} as fte_net_change",
            f"{rs('(end_pay_admin + end_pay_depts) - (start_pay_admin + start_pay_depts)')} as pay_net_change"])
@@ -228,5 +234,6 @@ def function_by_location(spark, sf_dir):
     for c in f.columns:
         if c == "category":
             continue
-        out.append(R(c, 4 if "fte" in c else 2).alias(c))
+        side, m = (c.split("_")[0], c.split("_")[1]) if c.startswith(("start_", "end_")) else ("", "pay")
+        out.append(R(c, 4 if "fte" in c else _digits(side, m)).alias(c))
     return f.select(*out)
