@@ -135,3 +135,20 @@ def department_roster(df: DataFrame, cols: PanelCols = CLEAN, unit: str | None =
     g = growth.withColumn("growth_pct", F.when(F.col("first_salary") > 0,
                                                pct_change("last_salary", "first_salary")))
     return roster.join(g, cols.id, "left")
+
+
+def history_change(df: DataFrame, cols: PanelCols = CLEAN) -> DataFrame:
+    """Each entity's first and last primary measure, nominal and real,
+    with the change and % change (only when the first value is positive)."""
+    prim = primary_rows(df, cols)
+    g = prim.groupBy(cols.id).agg(
+        F.min_by(cols.measure, cols.date).alias("first_nominal"),
+        F.max_by(cols.measure, cols.date).alias("last_nominal"),
+        F.min_by(cols.real_measure, cols.date).alias("first_real"),
+        F.max_by(cols.real_measure, cols.date).alias("last_real"))
+    out = g
+    for k in ("nominal", "real"):
+        f, l_ = F.col(f"first_{k}"), F.col(f"last_{k}")
+        out = (out.withColumn(f"{k}_change", F.when(f > 0, l_ - f))
+                  .withColumn(f"{k}_pct_change", F.when(f > 0, pct_change(f"last_{k}", f"first_{k}"))))
+    return out

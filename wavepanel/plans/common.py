@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..columns import FIXTURE as FX
 from ..functions.numeric import round_half_up, round_sql
 from ..operators.deflate import deflate
-from ..session import materialize
+from ..session import store_table
 from ..sources import fixtures
 
 R = round_half_up
 
-# Derived inputs stored once per application: (application id, sf_dir, name) -> DataFrame.
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+# Derived inputs stored once per application: (application id, sf_dir, name) -> Parquet path.
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -26,8 +26,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = materialize(build(), name)
-    return _STORED[key]
+        _STORED[key] = store_table(build(), name)
+    return spark.read.parquet(_STORED[key])          # read through the caller's session
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

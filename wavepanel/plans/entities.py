@@ -148,3 +148,22 @@ def dept_roster(spark, sf_dir):
     """Latest-snapshot roster with each entity's first-to-last growth."""
     r = P.department_roster(panel_real(spark, sf_dir), FX)
     return r.select("id", FX.org, "salary", "first_salary", R("growth_pct", 4).alias("growth_pct"))
+
+
+@query("entity_history_change", with_sql(f"""
+select id, first_nominal, last_nominal, {rs('first_real', 4)} as first_real, {rs('last_real', 4)} as last_real,
+       case when first_nominal > 0 then last_nominal - first_nominal end as nominal_change,
+       {rs('case when first_nominal > 0 then (last_nominal - first_nominal) / first_nominal * 100 end', 4)}
+         as nominal_pct_change,
+       {rs('case when first_real > 0 then last_real - first_real end', 4)} as real_change,
+       {rs('case when first_real > 0 then (last_real - first_real) / first_real * 100 end', 4)} as real_pct_change
+from (select id, arg_min(salary, snapshot_date) as first_nominal, arg_max(salary, snapshot_date) as last_nominal,
+             arg_min(real_salary, snapshot_date) as first_real, arg_max(real_salary, snapshot_date) as last_real
+      from prim group by id)""", _PRIM_SQL))
+def entity_history_change(spark, sf_dir):
+    """First-to-last nominal and real change of every entity's primary history."""
+    h = P.history_change(panel_real(spark, sf_dir), FX)
+    return h.select("id", "first_nominal", "last_nominal", R("first_real", 4).alias("first_real"),
+                    R("last_real", 4).alias("last_real"), "nominal_change",
+                    R("nominal_pct_change", 4).alias("nominal_pct_change"),
+                    R("real_change", 4).alias("real_change"), R("real_pct_change", 4).alias("real_pct_change"))

@@ -62,6 +62,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def store_table(df: DataFrame, name: str | None = None, partition_by: list[str] | None = None) -> str:
+    """Write `df` as Parquet under the shared checkpoint folder; return the path."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = os.path.join(root, "stored", spark.sparkContext.applicationId,
+                        f"{name or 'table'}-{uuid.uuid4().hex[:8]}")
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing `df` as a Parquet table under the shared folder
     named by `spark.checkpoint.dir` and returning a scan of it.
@@ -72,15 +85,7 @@ def materialize(df: DataFrame, name: str | None = None, partition_by: list[str]
     column pruning, filter pushdown and partition pruning for its readers.
     File sizes follow AQE's partition coalescing of the last stage.
     """
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "stored", spark.sparkContext.applicationId,
-                        f"{name or 'table'}-{uuid.uuid4().hex[:8]}")
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(store_table(df, name, partition_by))
 
 
 def sf_path(sf_dir: str, table: str) -> str:
