@@ -28,15 +28,15 @@ RAW_TYPES = {
 
 
 def list_snapshot_files(spark: SparkSession, folder: str) -> list[str]:
-    """A1: files in `folder` whose name contains YYYY-MM, sorted by name.
+    """A1: files directly in `folder` whose name contains YYYY-MM, sorted by name.
 
-    Uses the Hadoop file-system listing (metadata only), so it works for any
-    cluster file system.
+    Listed with the `binaryFile` source selecting only `path` (its content
+    column is pruned, so no file is read); the list has one entry per
+    snapshot file, a bounded amount of metadata for the driver.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [st.getPath().toString() for st in fs.listStatus(path) if st.isFile()]
+    paths = (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+                  .load(folder).select("path").where(F.col("path").rlike(r"[^/]*\d{4}-\d{2}[^/]*$")))
+    names = [r.path for r in paths.collect()]
     return sorted(n for n in names if SNAPSHOT_NAME.search(n.rsplit("/", 1)[-1]))
 
 
