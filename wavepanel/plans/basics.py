@@ -65,7 +65,7 @@ def primary_appointment(spark, sf_dir):
 select row_id, snapshot_date, idx, {rs('pay', 4)} as pay, {rs('real_pay', 4)} as real_pay,
        {rs('real_salary', 4)} as real_salary from panel_real"""))
 def deflate_latest_fill(spark, sf_dir):
-    """C1 (as coded): index by date; misses filled by the latest non-null index row."""
+    """C1/B8/B10 (as coded): index by date, misses filled by the latest non-null index row; pay and real pay."""
     p = panel_real(spark, sf_dir, mode="latest")
     return p.select("row_id", FX.date, "idx", R("pay", 4).alias("pay"),
                     R("real_pay", 4).alias("real_pay"), R("real_salary", 4).alias("real_salary"))

@@ -16,6 +16,8 @@ from .common import R, appointments, raw_snapshots, rs, stored
 from .registry import query
 
 CUTOFF = _dt.date(1998, 1, 1)
+# Division recode of the fixture (a parameter table: renamed unit -> kept name).
+DIVISION_MAP = {"NATION_24": "NATION_2", "NATION_23": "NATION_2"}
 APPT = FX.with_(id="id", date="snapshot_date", seq="row_id", weight="fte", measure="salary")
 
 
@@ -184,9 +186,10 @@ dedup as (select * exclude (rn) from (select *, row_number() over (partition by
              order by _row_seq) as rn from ided) where rn = 1),
 {prune_sql('dedup', 'id', '"Date"', '_row_seq', 'full_time_equivalent', 'current_annual_contracted_salary',
            "coalesce(lower(s.employee_category) like '%limited%', false)")},
-norm as (select * exclude (jobcode),
+norm as (select * exclude (jobcode, division),
            case when length(jobcode) = 6 and substr(jobcode,6,1) in ('U','A','X','N') then substr(jobcode,1,5)
-                else jobcode end as jobcode from pruned),
+                else jobcode end as jobcode,
+           {_sql_case_map('division', DIVISION_MAP)} as division from pruned),
 latest as (select idx from price_index where idx is not null order by d desc limit 1),
 fin as (select n.*, concat(n.division, ' - ', n.department) as division_department,
            concat(n.id, '_', n.jobcode) as id_jobcode,
@@ -202,10 +205,10 @@ select f._row_seq, f.id, f."Date", f.date_of_hire, f.employee_category, f.jobcod
        j.job_group as jobgroup, j.job_subgroup
 from fin f left join jobs j on f.jobcode is not distinct from j.jobcode""")
 def clean_panel(spark, sf_dir):
-    """K1: the whole cleaning job from raw snapshot rows to the panel."""
+    """The whole cleaning job from raw snapshot rows to the panel."""
     p = stored(spark, sf_dir, "clean_panel", lambda: C.clean_panel(
         _raw(spark, sf_dir), fixtures.price_index(spark), fixtures.job_dimension(spark, sf_dir),
-        hire_cutoff=CUTOFF, price_date="d", price_value="idx"))
+        hire_cutoff=CUTOFF, division_map=DIVISION_MAP, price_date="d", price_value="idx"))
     return p.select(*_CLEAN_OUT, R("fte_adjusted_salary", 4).alias("fte_adjusted_salary"),
                     R("FTE_Adjusted_Salary_2021_Dollars", 4).alias("FTE_Adjusted_Salary_2021_Dollars"),
                     R("Real_Salary_2021_Dollars", 4).alias("Real_Salary_2021_Dollars"),

@@ -228,7 +228,7 @@ def _loc_sum(side, m, loc):
     _FACTOR_SQL + ",\ng as (select category, " + ", ".join(_loc_sum(*v) for v in _LOC_VALS)
     + " from fa group by category)"))
 def function_by_location(spark, sf_dir):
-    """Function x location at both dates, totals and net change."""
+    """Function x location at both dates, totals and net change."""
     f = CO.function_by_location(panel_real(spark, sf_dir), START, END, TITLE_KEYWORDS, _factor(spark), ADMIN, FX)
     out = ["category"]
     for c in f.columns:

@@ -55,7 +55,7 @@ counts as (select org, snapshot_date, cast(count(distinct id) as bigint) as num_
 select prev_org, org, cast(count(*) as bigint) as transfer_count from fl
 where dept_changed and prev_org is not null and org is not null group by prev_org, org""", _LAG_SQL))
 def transfer_pairs(spark, sf_dir):
-    """Moves between units from the per-entity previous row."""
+    """Moves between units from the per-entity previous row (panel with weight > 0.01)."""
     return T.transfer_pairs(_flagged(spark, sf_dir), FX)
 
 
