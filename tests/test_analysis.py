@@ -152,3 +152,22 @@ def test_keyword_priority(spark):
     table = [("Leadership", ["Dean"]), ("Finance", ["Finance", "Accountant"])]
     assert [r.c for r in df.select(keyword_category("t", table).alias("c")).collect()] == \
         ["Leadership", "Finance", "Other", "Other"]
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from wavepanel.operators.aggregate import exact_quantiles
+    rnd = random.Random(9)
+    rows = [(g, float(rnd.randrange(0, 50))) for g in ("a", "b", "c") for _ in range(rnd.randrange(1, 40))]
+    rows += [("one", 7.0), ("two", 1.0), ("two", 4.0), ("nulls", None), ("nulls", 3.0)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+    qs = (0.1, 0.25, 0.5, 0.75, 0.9)
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs).collect()}
+    for g in {r[0] for r in rows}:
+        xs = [v for k, v in rows if k == g and v is not None]
+        for q in qs:
+            name = f"p{int(round(q * 100)):02d}"
+            assert got[g][name] == pytest.approx(float(np.percentile(xs, q * 100)), rel=1e-12, abs=1e-12)

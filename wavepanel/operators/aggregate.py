@@ -170,23 +170,69 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], var: str = "variab
     return df.unpivot(ids, values, var, val)
 
 
+def _qname(q: float) -> str:
+    return f"p{int(round(q * 100)):02d}"
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,)) -> DataFrame:
+    """Exact quantiles per group (linear interpolation between the order
+    statistics at (n-1)q, as numpy and SQL `percentile`) without holding a
+    group's values in memory.
+
+    Rows are reduced to (group, distinct value, multiplicity) by a map-side
+    aggregate; a running count over the distinct values of each group (a
+    window that spills, never an in-memory map) gives each value its range of
+    positions; the two order statistics around every requested position are
+    then picked by plain hash aggregates (exactly one value covers a
+    position).
+    """
+    vals = (df.where(F.col(value).isNotNull())
+              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    w_all = Window.partitionBy(*keys)
+    v = (vals.withColumn("_cum", F.sum("_c").over(w_run))
+             .withColumn("_n", F.sum("_c").over(w_all))
+             .withColumn("_start", F.col("_cum") - F.col("_c")))
+    aggs = []
+    for q in quantiles:
+        pos = (F.col("_n") - 1) * F.lit(float(q))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        covers = (lambda k: (F.col("_start") <= k) & (k < F.col("_cum")))
+        aggs += [F.max(F.when(covers(lo), F.col(value))).alias(f"_lo{_qname(q)}"),
+                 F.max(F.when(covers(hi), F.col(value))).alias(f"_hi{_qname(q)}"),
+                 F.max(pos - lo).alias(f"_fr{_qname(q)}")]
+    g = v.groupBy(*keys).agg(*aggs)
+    out = g
+    for q in quantiles:
+        n = _qname(q)
+        lo_v, hi_v, fr = F.col(f"_lo{n}"), F.col(f"_hi{n}"), F.col(f"_fr{n}")
+        out = out.withColumn(n, F.when(fr == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * fr))
+    return out.select(*keys, *[_qname(q) for q in quantiles])
+
+
 def group_stats(df: DataFrame, keys: list[str], value: str, quantiles=(0.1, 0.25, 0.5, 0.75, 0.9),
-                approx: bool = False) -> DataFrame:
-    """Count, mean, median and quantiles per group.
+                method: str = "distributed") -> DataFrame:
+    """Count, mean, min, max and quantiles per group.
 
-    Exact `percentile` (linear interpolation, equal to numpy) by default; the
-    `approx=True` switch uses `percentile_approx` for very large groups, whose
-    memory per group is bounded by the sketch instead of the distinct values.
+    method="distributed" (default): exact quantiles by `exact_quantiles`, safe
+    for a group holding a large share of all rows; "builtin": Spark's exact
+    `percentile` (keeps each group's distinct values in one task's memory);
+    "approx": `percentile_approx` with a bounded sketch.
     """
     df = _drop_null_keys(df, keys)
     aggs = [F.count(value).alias("n"), F.avg(value).alias("mean"),
             F.min(value).alias("min"), F.max(value).alias("max")]
+    if method == "distributed":
+        k = keys or ["_all"]
+        src = df if keys else df.withColumn("_all", F.lit(0))
+        base = src.groupBy(*k).agg(*aggs)
+        out = base.join(exact_quantiles(src, k, value, quantiles), k, "left")   # one row per group each side
+        return out if keys else out.drop("_all")
     for q in quantiles:
-        name = f"p{int(round(q * 100)):02d}"
-        if approx:
-            aggs.append(F.percentile_approx(value, q, 10000).alias(name))
+        if method == "approx":
+            aggs.append(F.percentile_approx(value, q, 10000).alias(_qname(q)))
         else:
-            aggs.append(F.percentile(value, F.lit(q)).alias(name))
+            aggs.append(F.percentile(value, F.lit(q)).alias(_qname(q)))
     return df.groupBy(*keys).agg(*aggs)
 
 
