@@ -98,17 +98,24 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
     keys = [cols.id, cols.date]
     w, m, seq = F.col(cols.weight), F.col(cols.measure), F.col(cols.seq)
     x = df.withColumn("_lim", _limited_flag(df, cols, limited_col))
-    # Partial aggregation map-side: a hot (id, date) group is pre-reduced.
-    groups = (x.groupBy(*keys).agg(
+    # Totals per group: a hash aggregate, combined map-side, so a hot
+    # (id, date) group is pre-reduced on every executor.
+    over_groups = (x.groupBy(*keys).agg(
         F.sum(cols.weight).alias("_tot"),
         F.min(cols.weight).alias("_minw"),
-        F.count(F.lit(1)).alias("_n"),
-        F.max_by(F.struct(seq.alias("p_seq"), w.alias("p_fte")),
-                 F.struct(F.col("_lim").cast("int"), m, -seq)).alias("_p"))
+        F.count(F.lit(1)).alias("_n"))
         # The total is compared at 1e-9 so that the result does not depend on
         # the (partition-dependent) order of the floating-point sum.
         .where(round_half_up("_tot", 9) > F.lit(limit)))
-    j = x.join(groups, keys, "left")
+    j = x.join(over_groups, keys, "left")
+    # The primary row is searched only inside over-limit groups (usually a
+    # small share of the panel; the struct-ordered max_by is sort-based).  The
+    # rows are already partitioned by the group keys after the join, so the
+    # aggregate and the join back need no further shuffle of the panel.
+    primaries = (j.where(F.col("_tot").isNotNull()).groupBy(*keys)
+                  .agg(F.max_by(F.struct(seq.alias("p_seq"), w.alias("p_fte")),
+                                F.struct(F.col("_lim").cast("int"), m, -seq)).alias("_p")))
+    j = j.join(primaries, keys, "left")
     over = F.col("_tot").isNotNull()
     p_seq, p_fte = F.col("_p.p_seq"), F.col("_p.p_fte")
     nonneg = F.col("_minw") >= 0
