@@ -17,7 +17,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 MATCH_SCHEMA = StructType([
     StructField("line", LongType()), StructField("record", LongType()), StructField("matched_salary", DoubleType()),
