@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..columns import FIXTURE as FX
 from ..operators import aggregate as agg
 from ..operators.primary import primary_rows
-from .common import R, panel, panel_real, rs, with_sql
+from .common import R, deflated_panel, panel, panel_real, rs, with_sql
 from .registry import query
 
 
@@ -66,7 +66,7 @@ select row_id, snapshot_date, idx, {rs('pay', 4)} as pay, {rs('real_pay', 4)} as
        {rs('real_salary', 4)} as real_salary from panel_real"""))
 def deflate_latest_fill(spark, sf_dir):
     """C1/B8/B10 (as coded): index by date, misses filled by the latest non-null index row; pay and real pay."""
-    p = panel_real(spark, sf_dir, mode="latest")
+    p = deflated_panel(spark, sf_dir, mode="latest")
     return p.select("row_id", FX.date, "idx", R("pay", 4).alias("pay"),
                     R("real_pay", 4).alias("real_pay"), R("real_salary", 4).alias("real_salary"))
 

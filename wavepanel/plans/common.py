@@ -35,13 +35,22 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "panel", lambda: fixtures.panel(spark, sf_dir))
 
 
-def panel_real(spark: SparkSession, sf_dir: str, mode: str = "latest") -> DataFrame:
-    """Fixture panel with pay, index, real pay, real salary and the org key."""
+def deflated_panel(spark: SparkSession, sf_dir: str, mode: str = "latest") -> DataFrame:
+    """Fixture panel with pay, index, real pay, real salary and the org key
+    (C1 applied to the stored panel)."""
     p = deflate(panel(spark, sf_dir), fixtures.price_index(spark), FX,
                 idx_date="d", idx_val="idx", mode=mode)
     return p.withColumn(FX.org, F.concat(F.col(FX.division), F.lit(" - "), F.col(FX.department)))
 
 
+def panel_real(spark: SparkSession, sf_dir: str, mode: str = "latest") -> DataFrame:
+    """The deflated panel every view reads: stored once per application for
+    the reference's fill rule; other modes are derived on the fly."""
+    if mode != "latest":
+        return deflated_panel(spark, sf_dir, mode)
+    return stored(spark, sf_dir, "panel_real", lambda: deflated_panel(spark, sf_dir, mode))
+
+
 def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw-layout rows of the cleaning job, stored once per application."""
     return stored(spark, sf_dir, "raw_snapshots", lambda: fixtures.raw_snapshots(spark, sf_dir))
