@@ -232,10 +232,11 @@ def search_capped(spark, sf_dir):
 
 @query("distinct_pickers", with_sql("""
 select distinct division, department from panel
-where division is not null and department is not null and starts_with(division, 'NATION_2')"""))
+where division is not null and department is not null"""))
 def distinct_pickers(spark, sf_dir):
-    """Sorted distinct departments of the chosen divisions (nulls dropped)."""
-    p = panel(spark, sf_dir).where(F.col("division").startswith("NATION_2"))
+    """Sorted distinct (division, department) values for pickers, nulls dropped;
+    a department list depends on the chosen division."""
+    p = panel(spark, sf_dir)
     return (p.select("division", "department").na.drop().distinct()
              .orderBy("division", "department"))
 
