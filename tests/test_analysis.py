@@ -171,3 +171,18 @@ def test_exact_quantiles_match_numpy(spark):
         for q in qs:
             name = f"p{int(round(q * 100)):02d}"
             assert got[g][name] == pytest.approx(float(np.percentile(xs, q * 100)), rel=1e-12, abs=1e-12)
+
+
+def test_linear_trend_matches_polyfit_and_guards(spark):
+    import numpy as np
+
+    from wavepanel.operators.aggregate import linear_trend
+    rows = [("a", 1.0, 10.0), ("a", 2.0, 14.0), ("a", 4.0, 19.0), ("a", 7.0, 31.0),
+            ("const", 3.0, 1.0), ("const", 3.0, 2.0), ("const", 3.0, 5.0),      # x does not vary
+            ("two", 1.0, 1.0), ("two", 2.0, 2.0)]                                # fewer than 3 points
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE, y DOUBLE")
+    for method in ("two_pass", "builtin"):
+        got = {r.g: r for r in linear_trend(df, "y", "x", ["g"], method=method).collect()}
+        slope, intercept = np.polyfit([1, 2, 4, 7], [10, 14, 19, 31], 1)
+        assert got["a"].slope == pytest.approx(slope) and got["a"].intercept == pytest.approx(intercept)
+        assert got["const"].slope is None and got["two"].slope is None and got["two"].n == 2

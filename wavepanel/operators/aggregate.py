@@ -261,15 +261,40 @@ def histogram(df: DataFrame, value: str, bins: int = 20, keys: list[str] | None
              .drop("_lo", "_hi"))
 
 
-def linear_trend(df: DataFrame, y: str, x: str, keys: list[str] | None = None) -> DataFrame:
-    """Least-squares slope/intercept of y on x, when >= 3 points and x varies."""
+def linear_trend(df: DataFrame, y: str, x: str, keys: list[str] | None = None,
+                 method: str = "two_pass") -> DataFrame:
+    """Least-squares slope/intercept of y on x, when >= 3 points and x varies.
+
+    method="two_pass" (default): group means first, then centred sums
+    slope = S(dx*dy) / S(dx^2), intercept = my - slope*mx -- two grouped
+    aggregates and a join on the group keys (no window), numerically stabler
+    than one-pass moments and reproducible by any SQL engine;
+    method="builtin": Spark's `regr_slope` / `regr_intercept`.
+    """
     keys = keys or []
-    g = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    g = g.groupBy(*keys) if keys else g.groupBy()
-    ok = (F.count(F.lit(1)) > 2) & (F.stddev_pop(x) > 0)
-    return g.agg(F.count(F.lit(1)).alias("n"),
-                 F.when(ok, F.regr_slope(y, x)).alias("slope"),
-                 F.when(ok, F.regr_intercept(y, x)).alias("intercept"))
+    k = keys or ["_all"]
+    src = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if not keys:
+        src = src.withColumn("_all", F.lit(0))
+    # "x varies" is tested exactly (min < max): a variance computed from
+    # rounded means can be a tiny non-zero number for constant x
+    if method == "builtin":
+        ok = (F.count(F.lit(1)) > 2) & (F.min(x) < F.max(x))
+        out = src.groupBy(*k).agg(F.count(F.lit(1)).alias("n"),
+                                  F.when(ok, F.regr_slope(y, x)).alias("slope"),
+                                  F.when(ok, F.regr_intercept(y, x)).alias("intercept"))
+        return out if keys else out.drop("_all")
+    means = src.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
+                                (F.min(x) < F.max(x)).alias("_varies"))
+    c = src.join(means, k)
+    dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    sums = c.groupBy(*k, "n", "_mx", "_my", "_varies").agg(F.sum(dx * dy).alias("_sxy"),
+                                                           F.sum(dx * dx).alias("_sxx"))
+    ok = (F.col("n") > 2) & F.col("_varies") & (F.col("_sxx") > 0)
+    slope = F.when(ok, F.col("_sxy") / F.col("_sxx"))
+    out = sums.select(*k, "n", slope.alias("slope"),
+                      F.when(ok, F.col("_my") - F.col("_sxy") / F.col("_sxx") * F.col("_mx")).alias("intercept"))
+    return out if keys else out.drop("_all")
 
 
 def field_coverage(df: DataFrame, fields: list[str]) -> DataFrame:

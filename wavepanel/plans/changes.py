@@ -179,8 +179,8 @@ select {('b.' + keys + ', ') if keys else ''}a.snapshot_date as date_start, b.sn
        {rs('a.f', 4)} as fte_start, {rs('b.f', 4)} as fte_end, {rs('b.f - a.f', 4)} as fte_change,
        {rs('a.v')} as salary_start, {rs('b.v')} as salary_end, {rs('b.v - a.v')} as salary_change,
        {rs('(b.v - a.v) / nullif(a.v, 0) * 100', 4)} as salary_pct_change,
-       {rs('greatest(datediff(\'day\', a.snapshot_date, b.snapshot_date) / 30.44, 1.0)', 4)} as months,
-       {rs('case when a.v > 0 then (pow(b.v / a.v, 12.0 / greatest(datediff(\'day\', a.snapshot_date, b.snapshot_date) / 30.44, 1.0)) - 1.0) * 100.0 end', 4)} as annualized_pct_change
+       {rs('greatest(datediff(\'day\', a.snapshot_date, b.snapshot_date) / cast(30.44 as double), 1.0)', 4)} as months,
+       {rs('case when a.v > 0 then (pow(b.v / a.v, cast(12.0 as double) / greatest(datediff(\'day\', a.snapshot_date, b.snapshot_date) / cast(30.44 as double), 1.0)) - 1.0) * 100.0 end', 4)} as annualized_pct_change
 from t a join t b on b.snap_idx = a.snap_idx + 1 {kjoin}""", f"""
 cal as (select snapshot_date, row_number() over (order by snapshot_date) - 1 as snap_idx
         from (select distinct snapshot_date from panel_real where fte > 0)),

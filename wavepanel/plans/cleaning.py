@@ -164,7 +164,8 @@ def overallocation_prune(spark, sf_dir):
     return C.prune_overallocated(a, APPT, limited_col="limited").select("row_id")
 
 
-_CLEAN_OUT = ["_row_seq", "id", "Date", "date_of_hire", "employee_category", "jobcode",
+_CLEAN_OUT = ["_row_seq", "id", "Date", "date_of_hire", "employee_category", "jobcode", "division",
+              "current_annual_contracted_salary",
               "division_department", "id_jobcode", "FullTime", "JobGroupCode", "JobNumber", "2021_Index"]
 
 
@@ -197,7 +198,8 @@ fin as (select n.*, concat(n.division, ' - ', n.department) as division_departme
            substr(n.jobcode, 1, 2) as "JobGroupCode", substr(n.jobcode, 3) as "JobNumber",
            coalesce(p.idx, (select idx from latest)) as "2021_Index"
         from norm n left join price_index p on n."Date" = p.d)
-select f._row_seq, f.id, f."Date", f.date_of_hire, f.employee_category, f.jobcode, f.division_department,
+select f._row_seq, f.id, f."Date", f.date_of_hire, f.employee_category, f.jobcode, f.division,
+       f.current_annual_contracted_salary, f.division_department,
        f.id_jobcode, f."FullTime", f."JobGroupCode", f."JobNumber", f."2021_Index",
        {rs('f.current_annual_contracted_salary * f.full_time_equivalent', 4)} as fte_adjusted_salary,
        {rs('f.current_annual_contracted_salary * f.full_time_equivalent * f."2021_Index"', 4)} as "FTE_Adjusted_Salary_2021_Dollars",

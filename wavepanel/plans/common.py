@@ -70,3 +70,19 @@ def with_sql(body: str, ctes: str = "") -> str:
 
 def rs(expr: str, n: int = 2) -> str:
     return round_sql(expr, n)
+
+
+def regression_ctes(src: str, keys: list[str], y: str, x: str, name: str = "reg") -> str:
+    """CTEs ending in `<name>(keys, n, slope, intercept)`: the two-pass centred
+    least-squares line of `operators.aggregate.linear_trend`, in SQL."""
+    k = ", ".join(keys)
+    on = " and ".join(f"t.{c} = m.{c}" for c in keys)
+    tk = ", ".join(f"t.{c}" for c in keys)
+    return f"""{name}_m as (select {k}, count(*) as n, avg({x}) as _mx, avg({y}) as _my,
+                    min({x}) < max({x}) as _varies from {src} group by {k}),
+{name}_s as (select {tk}, m.n, m._mx, m._my, m._varies,
+                sum((t.{x} - m._mx) * (t.{y} - m._my)) as _sxy, sum((t.{x} - m._mx) * (t.{x} - m._mx)) as _sxx
+         from {src} t join {name}_m m on {on} group by {tk}, m.n, m._mx, m._my, m._varies),
+{name} as (select {k}, n, case when n > 2 and _varies and _sxx > 0 then _sxy / _sxx end as slope,
+                 case when n > 2 and _varies and _sxx > 0 then _my - _sxy / _sxx * _mx end as intercept
+           from {name}_s)"""

@@ -7,7 +7,7 @@ from ..columns import CLEAN, FIXTURE as FX
 from ..functions.text import status_label
 from ..operators import peers as P
 from ..operators.primary import entity_index
-from .common import R, panel_real, rs, with_sql
+from .common import R, panel_real, regression_ctes, rs, with_sql
 from .registry import REGISTRY, query
 
 FXP = FX.with_(jobcode="title")
@@ -85,9 +85,9 @@ def peer_stats(spark, sf_dir):
 def _tenure_sql() -> str:
     inner = REGISTRY["clean_panel"].sql
     return f"""
-select _row_seq, id, "Date", {rs('datediff(\'day\', date_of_hire, "Date") / 365.25', 6)} as years_on_staff
+select _row_seq, id, "Date", {rs('datediff(\'day\', date_of_hire, "Date") / cast(365.25 as double)', 6)} as years_on_staff
 from ({inner}) c
-where date_of_hire is not null and datediff('day', date_of_hire, "Date") / 365.25 >= 0"""
+where date_of_hire is not null and datediff('day', date_of_hire, "Date") / cast(365.25 as double) >= 0"""
 
 
 @query("tenure_years", _tenure_sql())
@@ -165,3 +165,26 @@ def entity_history_change(spark, sf_dir):
                     R("last_real", 4).alias("last_real"), "nominal_change",
                     R("nominal_pct_change", 4).alias("nominal_pct_change"),
                     R("real_change", 4).alias("real_change"), R("real_pct_change", 4).alias("real_pct_change"))
+
+
+def _peer_regression_sql() -> str:
+    inner = REGISTRY["clean_panel"].sql
+    return f"""with t as (
+  select "Date" as d, division, jobcode, current_annual_contracted_salary as salary,
+         datediff('day', date_of_hire, "Date") / cast(365.25 as double) as years
+  from ({inner}) c),
+tt as (select * from t where years is not null and years >= 0 and salary is not null
+       and division is not null and jobcode is not null),
+{regression_ctes("tt", ["d", "division", "jobcode"], "salary", "years")}
+select d as "Date", division, jobcode, cast(n as bigint) as n, {rs('slope', 6)} as slope,
+       {rs('intercept', 6)} as intercept from reg"""
+
+
+@query("peer_tenure_regression", _peer_regression_sql())
+def peer_tenure_regression(spark, sf_dir):
+    """Salary-on-tenure line of every (date, division, job code) peer set of the cleaned panel."""
+    t = P.tenure_years(REGISTRY["clean_panel"].build(spark, sf_dir), CLEAN).na.drop(subset=["division", "jobcode"])
+    from ..operators.aggregate import linear_trend
+    r = linear_trend(t, "current_annual_contracted_salary", "years_on_staff", ["Date", "division", "jobcode"])
+    return r.select("Date", "division", "jobcode", "n", R("slope", 6).alias("slope"),
+                    R("intercept", 6).alias("intercept"))

@@ -9,7 +9,7 @@ from ..columns import FIXTURE as FX
 from ..operators import aggregate as agg
 from ..operators.primary import primary_rows
 from ..sources import fixtures
-from .common import raw_snapshots, R, panel_real, rs, with_sql
+from .common import R, panel_real, raw_snapshots, regression_ctes, rs, with_sql
 from .registry import query
 
 
@@ -163,13 +163,13 @@ def box_stats(spark, sf_dir):
 
 
 @query("tenure_regression", with_sql(f"""
-select job_group, cast(count(*) as bigint) as n,
-       {rs('case when count(*) > 2 and stddev_pop(tenure) > 0 then regr_slope(salary, tenure) end', 4)} as slope,
-       {rs('case when count(*) > 2 and stddev_pop(tenure) > 0 then regr_intercept(salary, tenure) end', 4)} as intercept
-from t where tenure is not null and salary is not null and job_group is not null group by job_group""", """
-t as (select p.*, datediff('day', f.first_seen, p.snapshot_date) / 365.25 as tenure
+select job_group, cast(n as bigint) as n, {rs('slope', 6)} as slope, {rs('intercept', 6)} as intercept from reg""",
+    """
+t as (select p.*, datediff('day', f.first_seen, p.snapshot_date) / cast(365.25 as double) as tenure
       from panel_real p join (select id, min(snapshot_date) as first_seen from panel_real group by id) f
-      on p.id = f.id where p.fte > 0)"""))
+      on p.id = f.id where p.fte > 0 and p.job_group is not null),
+tt as (select * from t where tenure is not null and salary is not null),
+""" + regression_ctes("tt", ["job_group"], "salary", "tenure")))
 def tenure_regression(spark, sf_dir):
     """Least-squares salary-on-tenure line per group (>= 3 points, tenure varies)."""
     p = panel_real(spark, sf_dir)
@@ -178,7 +178,7 @@ def tenure_regression(spark, sf_dir):
           .withColumn("tenure", F.datediff(FX.date, "first_seen") / F.lit(365.25))
           .na.drop(subset=["job_group"]))
     r = agg.linear_trend(t, "salary", "tenure", ["job_group"])
-    return r.select("job_group", "n", R("slope", 4).alias("slope"), R("intercept", 4).alias("intercept"))
+    return r.select("job_group", "n", R("slope", 6).alias("slope"), R("intercept", 6).alias("intercept"))
 
 
 _COVER_FIELDS = ["last_name", "first_name", "date_of_hire", "jobcode", "title", "employee_category"]
