@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..columns import CLEAN, PanelCols
 from ..functions.numeric import pct_change
+from .aggregate import exact_quantiles
 from .primary import entity_index, primary_rows
 
 PEER_SETS = {
@@ -63,16 +64,18 @@ def peer_percentiles(df: DataFrame, cols: PanelCols = CLEAN, sets: dict | None =
 
 def peer_stats(df: DataFrame, cols: PanelCols = CLEAN, sets: dict | None = None,
                tie: str = "highest") -> DataFrame:
-    """Median, mean and size of each entity's peer sets at its last date."""
+    """Median, mean and size of each entity's peer sets at its last date
+    (exact median by distributed quantiles: a peer set may be a hot group)."""
     sets = sets or PEER_SETS
     idx = entity_index(df, cols, tie)
     out = None
     for name, keyf in sets.items():
         keys = keyf(cols)
         g = [cols.date] + keys
-        s = (df.na.drop(subset=keys).groupBy(*g)
-               .agg(F.count(F.lit(1)).alias("peer_count"), F.median(cols.measure).alias("salary_median"),
-                    F.avg(cols.measure).alias("salary_mean")))
+        base = df.na.drop(subset=keys)
+        s = (base.groupBy(*g).agg(F.count(F.lit(1)).alias("peer_count"), F.avg(cols.measure).alias("salary_mean"))
+                 .join(exact_quantiles(base, g, cols.measure, (0.5,)).withColumnRenamed("p50", "salary_median"),
+                       g, "left"))
         j = (idx.select(cols.id, *g).na.drop(subset=keys).join(s, g)
                 .where(F.col("peer_count") > 1)
                 .select(cols.id, F.lit(name).alias("peer_set"), "peer_count", "salary_median", "salary_mean"))
@@ -114,12 +117,15 @@ def growth_in_current_division(df: DataFrame, cols: PanelCols = CLEAN) -> DataFr
 
 def history_with_medians(df: DataFrame, cols: PanelCols = CLEAN, code: str | None = None) -> DataFrame:
     """Each entity's primary row per date with the (date, code)
-    medians of the nominal and real measure.  The median table has one row
-    per (date, code) and AQE broadcasts it when small."""
+    medians of the nominal and real measure (exact, distributed quantiles).
+    The median table has one row per (date, code); AQE broadcasts it when
+    small."""
     code = code or cols.jobcode
-    med = (df.na.drop(subset=[code]).groupBy(cols.date, code)
-             .agg(F.median(cols.measure).alias("median_salary"),
-                  F.median(cols.real_measure).alias("median_real_salary")))
+    base = df.na.drop(subset=[code])
+    g = [cols.date, code]
+    med = (exact_quantiles(base, g, cols.measure, (0.5,)).withColumnRenamed("p50", "median_salary")
+           .join(exact_quantiles(base, g, cols.real_measure, (0.5,)).withColumnRenamed("p50", "median_real_salary"),
+                 g, "full"))
     prim = primary_rows(df, cols).select(cols.id, cols.date, code, cols.measure, cols.real_measure)
     return prim.join(med, [cols.date, code], "left")
 

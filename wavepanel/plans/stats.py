@@ -44,7 +44,9 @@ from panel_real where title is not null group by snapshot_date, title"""))
 def jobcode_medians(spark, sf_dir):
     """Median nominal and real measure by (date, code)."""
     p = panel_real(spark, sf_dir).na.drop(subset=["title"])
-    g = p.groupBy(FX.date, "title").agg(F.median("salary").alias("m"), F.median("real_salary").alias("r"))
+    k = [FX.date, "title"]
+    g = (agg.exact_quantiles(p, k, "salary", (0.5,)).withColumnRenamed("p50", "m")
+            .join(agg.exact_quantiles(p, k, "real_salary", (0.5,)).withColumnRenamed("p50", "r"), k, "full"))
     return g.select(FX.date, "title", R("m", 6).alias("median_salary"), R("r", 6).alias("median_real_salary"))
 
 
