@@ -56,9 +56,9 @@ from panel_real where fte > 0 and category is not null group by category order b
 def category_headcount(spark, sf_dir):
     """Headcount and median per category, sorted by headcount."""
     p = _pos(spark, sf_dir).na.drop(subset=["category"])
-    return (p.groupBy("category").agg(F.count(F.lit(1)).alias("headcount"),
-                                      R(F.median("salary"), 6).alias("median_salary"))
-             .orderBy(F.col("headcount").desc()))
+    g = (p.groupBy("category").agg(F.count(F.lit(1)).alias("headcount"))
+          .join(agg.exact_quantiles(p, ["category"], "salary", (0.5,)), "category"))
+    return g.select("category", "headcount", R("p50", 6).alias("median_salary")).orderBy(F.col("headcount").desc())
 
 
 @query("global_stats", with_sql(f"""
@@ -66,9 +66,9 @@ select {rs('median(salary)', 6)} as median_salary, {rs('avg(salary)', 6)} as mea
        min(salary) as min_salary, max(salary) as max_salary from panel_real where fte > 0"""))
 def global_stats(spark, sf_dir):
     """Global median, mean, min and max."""
-    p = _pos(spark, sf_dir)
-    return p.agg(R(F.median("salary"), 6).alias("median_salary"), R(F.avg("salary"), 6).alias("mean_salary"),
-                 F.min("salary").alias("min_salary"), F.max("salary").alias("max_salary"))
+    g = agg.group_stats(_pos(spark, sf_dir), [], "salary", quantiles=(0.5,))
+    return g.select(R("p50", 6).alias("median_salary"), R("mean", 6).alias("mean_salary"),
+                    F.col("min").alias("min_salary"), F.col("max").alias("max_salary"))
 
 
 @query("median_trend", with_sql(f"""
@@ -79,9 +79,9 @@ group by snapshot_date, category"""))
 def median_trend(spark, sf_dir):
     """Median trend by date and category for one division."""
     p = _pos(spark, sf_dir).where(F.col("division") == "NATION_3").na.drop(subset=["category"])
-    g = p.groupBy(FX.date, "category").agg(F.median("salary").alias("m"),
-                                           F.count_distinct("id").alias("employees"),
-                                           F.sum("fte").alias("f"))
+    k = [FX.date, "category"]
+    g = (p.groupBy(*k).agg(F.count_distinct("id").alias("employees"), F.sum("fte").alias("f"))
+          .join(agg.exact_quantiles(p, k, "salary", (0.5,)).withColumnRenamed("p50", "m"), k))
     return g.select(FX.date, "category", R("m", 6).alias("median_salary"), "employees",
                     R("f", 4).alias("total_fte"))
 
@@ -114,9 +114,10 @@ def dept_summary_two_grain(spark, sf_dir):
     """Per unit at the latest date: median/mean/headcount over primary rows, FTE over all rows."""
     p = agg.at_latest(panel_real(spark, sf_dir), FX).na.drop(subset=[FX.org])
     prim = primary_rows(p, FX)
-    a = prim.groupBy(FX.org).agg(R(F.median("salary"), 6).alias("median_salary"),
-                                 R(F.avg("salary"), 6).alias("mean_salary"),
-                                 F.count(F.lit(1)).alias("headcount"))
+    a = (prim.groupBy(FX.org).agg(R(F.avg("salary"), 6).alias("mean_salary"),
+                                  F.count(F.lit(1)).alias("headcount"))
+             .join(agg.exact_quantiles(prim, [FX.org], "salary", (0.5,)), FX.org)
+             .withColumn("median_salary", R("p50", 6)).drop("p50"))
     b = p.groupBy(FX.org).agg(R(F.sum("fte"), 4).alias("total_fte"))
     return a.join(b, FX.org)           # both sides: one row per unit
 
