@@ -114,8 +114,9 @@ from jumps group by reason""", _PAIRS_SQL))
 def jump_reasons(spark, sf_dir):
     """B24 over all qualifying adjacent pairs: count and median raise per reason."""
     j = _jumps(spark, sf_dir)
-    return j.groupBy("reason").agg(F.count(F.lit(1)).alias("pairs"),
-                                   R(F.median("pct_change"), 4).alias("median_pct_change"))
+    g = (j.groupBy("reason").agg(F.count(F.lit(1)).alias("pairs"))
+          .join(agg.exact_quantiles(j, ["reason"], "pct_change", (0.5,)), "reason"))
+    return g.select("reason", "pairs", R("p50", 4).alias("median_pct_change"))
 
 
 @query("long_tenure_increase_top10", with_sql(f"""
@@ -162,10 +163,11 @@ def growth_by_category(spark, sf_dir):
                     ((F.col("salary_end") - F.col("salary_start")) / F.col("salary_start") * 100.0).alias("nominal_pct"),
                     ((F.col("real_pay_end") - F.col("real_pay_start")) / F.col("real_pay_start") * 100.0).alias("real_pct"))
             .na.drop(subset=["category"]))
-    g = lt.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.median("nominal_pct").alias("a"),
-                                   F.median("real_pct").alias("b"),
-                                   F.percentile("real_pct", F.lit(0.9)).alias("c"),
-                                   F.percentile("real_pct", F.lit(0.1)).alias("d"))
+    k = ["category"]
+    g = (lt.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
+           .join(agg.exact_quantiles(lt, k, "nominal_pct", (0.5,)).withColumnRenamed("p50", "a"), k)
+           .join(agg.exact_quantiles(lt, k, "real_pct", (0.5, 0.9, 0.1))
+                    .withColumnRenamed("p50", "b").withColumnRenamed("p90", "c").withColumnRenamed("p10", "d"), k))
     return g.select("category", "n", R("a", 4).alias("median_nominal"), R("b", 4).alias("median_real"),
                     R("c", 4).alias("pct_90"), R("d", 4).alias("pct_10"))
 
