@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..columns import FIXTURE as FX
 from ..functions.text import keyword_category, keyword_category_sql
 from ..operators import cohort as CO
+from ..operators.aggregate import exact_quantiles
 from ..sources import fixtures
 from ..sources.tables import read_table
 from .common import R, panel_real, rs, with_sql
@@ -93,8 +94,10 @@ def first_move_date(spark, sf_dir):
     """When moved people first appear in the admin units; raises by move date."""
     c = _cohort(spark, sf_dir)
     m = CO.first_move_dates(panel_real(spark, sf_dir), c["merged"], ADMIN, FX, since=START)
-    g = (m.where(F.col("group") == CO.MOVED).groupBy("move_date")
-          .agg(F.count(F.lit(1)).alias("n"), F.median("pct_change").alias("a"), F.avg("pct_change").alias("b")))
+    mv = m.where(F.col("group") == CO.MOVED)
+    g = (mv.groupBy("move_date").agg(F.count(F.lit(1)).alias("n"), F.avg("pct_change").alias("b"))
+           .join(exact_quantiles(mv, ["move_date"], "pct_change").withColumnRenamed("p50", "a"),
+                 ["move_date"]))
     return g.select("move_date", "n", R("a", 4).alias("median_pct"), R("b", 4).alias("mean_pct"))
 
 
@@ -105,8 +108,11 @@ from m where "group" = '{CO.MOVED}' group by source_dept""", _COHORT_SQL))
 def source_dept_summary(spark, sf_dir):
     """Moved people by source unit."""
     m = _cohort(spark, sf_dir)["merged"].where(F.col("group") == CO.MOVED)
-    g = m.groupBy("source_dept").agg(F.count(F.lit(1)).alias("n"), F.median("pct_change").alias("a"),
-                                     F.median("salary_start").alias("b"), F.median("salary_end").alias("c"))
+    k = ["source_dept"]
+    g = (m.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
+          .join(exact_quantiles(m, k, "pct_change").withColumnRenamed("p50", "a"), k)
+          .join(exact_quantiles(m, k, "salary_start").withColumnRenamed("p50", "b"), k)
+          .join(exact_quantiles(m, k, "salary_end").withColumnRenamed("p50", "c"), k))
     return g.select("source_dept", "n", R("a", 4).alias("median_pct"), R("b", 6).alias("median_start"),
                     R("c", 6).alias("median_end"))
 
