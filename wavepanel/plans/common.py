@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..columns import FIXTURE as FX
 from ..functions.numeric import round_half_up, round_sql
 from ..operators.deflate import deflate
-from ..session import store_table
+from ..session import application_key, store_table
 from ..sources import fixtures
 
 R = round_half_up
@@ -24,7 +24,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     filter pushdown.  This is the reference's own model: the panel is built
     once, then every view reads it.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (application_key(spark), sf_dir, name)
     if key not in _STORED:
         _STORED[key] = store_table(build(), name)
     return spark.read.parquet(_STORED[key])          # read through the caller's session

@@ -42,7 +42,8 @@ def build_session(master: str | None = None, app: str = "wavepanel",
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    if _context(spark) is not None:
+        spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -53,20 +54,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder there; we only create our own when the
     setting is absent (local runs and tests).
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if not path and sc is not None:
+        path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="wavepanel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session (None for a remote session)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return None
+
+
+def application_key(spark: SparkSession) -> str:
+    """Identifier of the running application (falls back to the session id)."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.applicationId
+    return getattr(spark, "session_id", None) or str(id(spark))
+
+
 def store_table(df: DataFrame, name: str | None = None, partition_by: list[str] | None = None) -> str:
     """Write `df` as Parquet under the shared checkpoint folder; return the path."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "stored", spark.sparkContext.applicationId,
+    path = os.path.join(root, "stored", application_key(spark),
                         f"{name or 'table'}-{uuid.uuid4().hex[:8]}")
     w = df.write.mode("overwrite")
     if partition_by:
