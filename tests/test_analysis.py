@@ -154,7 +154,8 @@ def test_keyword_priority(spark):
         ["Leadership", "Finance", "Other", "Other"]
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("buckets", [1, 3, 1024])
+def test_exact_quantiles_match_numpy(spark, buckets):
     import random
 
     import numpy as np
@@ -165,7 +166,7 @@ def test_exact_quantiles_match_numpy(spark):
     rows += [("one", 7.0), ("two", 1.0), ("two", 4.0), ("nulls", None), ("nulls", 3.0)]
     df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
     qs = (0.1, 0.25, 0.5, 0.75, 0.9)
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", qs, buckets=buckets).collect()}
     for g in {r[0] for r in rows}:
         xs = [v for k, v in rows if k == g and v is not None]
         for q in qs:

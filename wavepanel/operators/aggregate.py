@@ -174,40 +174,59 @@ def _qname(q: float) -> str:
     return f"p{int(round(q * 100)):02d}"
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,)) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,),
+                    buckets: int = 1024) -> DataFrame:
     """Exact quantiles per group (linear interpolation between the order
     statistics at (n-1)q, as numpy and SQL `percentile`) without holding a
-    group's values in memory.
-
-    Rows are reduced to (group, distinct value, multiplicity) by a map-side
-    aggregate; a running count over the distinct values of each group (a
-    window that spills, never an in-memory map) gives each value its range of
-    positions; the two order statistics around every requested position are
-    then picked by plain hash aggregates (exactly one value covers a
-    position).
+    group's values in one task.
+
+    1. rows -> (group, distinct value, multiplicity), combined map-side;
+    2. each group's value range is cut into `buckets` equal-width buckets;
+       bucket counts and a running count over the buckets (at most `buckets`
+       rows per group) give every bucket its range of positions;
+    3. only the buckets that contain a requested position are ranked, by a
+       running count over their distinct values (a spilling window per
+       (group, bucket)), and hash aggregates pick the order statistics.
     """
+    k = list(keys)
     vals = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*keys)
-    v = (vals.withColumn("_cum", F.sum("_c").over(w_run))
-             .withColumn("_n", F.sum("_c").over(w_all))
-             .withColumn("_start", F.col("_cum") - F.col("_c")))
+              .groupBy(*k, value).agg(F.count(F.lit(1)).alias("_c")))
+    rng = vals.groupBy(*k).agg(F.min(value).alias("_lo_v"), F.max(value).alias("_hi_v"),
+                               F.sum("_c").alias("_n"))
+    width = (F.col("_hi_v") - F.col("_lo_v")) / F.lit(float(buckets))
+    bk = F.when(F.col("_hi_v") == F.col("_lo_v"), F.lit(0)).otherwise(
+        F.least(F.floor((F.col(value) - F.col("_lo_v")) / width), F.lit(buckets - 1))).cast("int")
+    v = vals.join(rng, k).withColumn("_b", bk)
+    bc = v.groupBy(*k, "_b", "_n").agg(F.sum("_c").alias("_bc"))
+    wb = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bc = bc.withColumn("_bstart", F.coalesce(F.sum("_bc").over(wb), F.lit(0)))
+    # positions needed per group: floor and ceil of (n-1)q for every q
+    need = None
+    for q in quantiles:
+        pos = (F.col("_n") - 1) * F.lit(float(q))
+        hit = lambda p: (F.col("_bstart") <= p) & (p < F.col("_bstart") + F.col("_bc"))
+        cond = hit(F.floor(pos)) | hit(F.ceil(pos))
+        need = cond if need is None else (need | cond)
+    sel = bc.where(need).select(*k, "_b", "_bstart")
+    inside = v.join(sel, k + ["_b"])
+    w_run = Window.partitionBy(*k, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    r = (inside.withColumn("_cum", F.col("_bstart") + F.sum("_c").over(w_run))
+               .withColumn("_start", F.col("_cum") - F.col("_c")))
     aggs = []
     for q in quantiles:
         pos = (F.col("_n") - 1) * F.lit(float(q))
         lo, hi = F.floor(pos), F.ceil(pos)
-        covers = (lambda k: (F.col("_start") <= k) & (k < F.col("_cum")))
+        covers = (lambda p: (F.col("_start") <= p) & (p < F.col("_cum")))
         aggs += [F.max(F.when(covers(lo), F.col(value))).alias(f"_lo{_qname(q)}"),
                  F.max(F.when(covers(hi), F.col(value))).alias(f"_hi{_qname(q)}"),
                  F.max(pos - lo).alias(f"_fr{_qname(q)}")]
-    g = v.groupBy(*keys).agg(*aggs)
+    g = r.groupBy(*k).agg(*aggs)
     out = g
     for q in quantiles:
         n = _qname(q)
         lo_v, hi_v, fr = F.col(f"_lo{n}"), F.col(f"_hi{n}"), F.col(f"_fr{n}")
         out = out.withColumn(n, F.when(fr == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * fr))
-    return out.select(*keys, *[_qname(q) for q in quantiles])
+    return out.select(*k, *[_qname(q) for q in quantiles])
 
 
 def group_stats(df: DataFrame, keys: list[str], value: str, quantiles=(0.1, 0.25, 0.5, 0.75, 0.9),
