@@ -7,15 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .idfiles import op4_token_files
 from .mixing import OP1_SQL, op1_mixing
+from .pieces import op9_pieces
+from .substring import op10_substrings
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer file lies (a parameter of the operators)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mixing(table(spark, sf_dir, "documents"))
 
 
+def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op4_id_files": op4_id_files,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {"op1_source_mixing": OP1_SQL.strip()}
