@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .idfiles import op4_token_files
 from .mixing import OP1_SQL, op1_mixing
+from .minhash import op2_minhash
 from .pieces import op9_pieces
+from .pii import op6_pii
+from .quality import op8_quality
 from .substring import op10_substrings
 
 
@@ -23,10 +26,22 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mixing(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_minhash(table(spark, sf_dir, "documents"))
+
+
 def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -37,7 +52,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_near_dedup": op2_near_dedup,
     "op4_id_files": op4_id_files,
+    "op6_personal_data": op6_personal_data,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substring_dedup": op10_substring_dedup,
 }
