@@ -21,9 +21,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A non-null 64-bit key of (doc_id, text).  Equal rows share it and get equal results."""
-    return F.xxhash64(F.col(doc_id), F.col(text), F.coalesce(F.col(doc_id), F.lit(NULL_ID)))
+    """A non-null 64-bit key of (doc_id, text), a null text being ''.  Equal rows share it and get equal results."""
+    ident = F.col(f"`{doc_id}`")
+    return F.xxhash64(ident, F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(ident, F.lit(NULL_ID)))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import components, row_key, stored
+from .common import components, fresh, row_key, stored
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 5, 0.8
 SIGN_BYTES = 256 << 10        # text signed at a time: the points fit a core's cache
@@ -206,7 +206,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE,
                     text: str = "text") -> DataFrame:
     """One row per document: doc_id, rid (key of the row), class_id (smallest
-    doc_id of its class), kept (whether it is that document).
+    doc_id of its class), single (no words), kept (whether it is that document).
 
     Words are compared unchanged.  A document without words (null, empty, only
     spaces) is a class of its own.  A null doc_id is never a class id unless all
@@ -260,7 +260,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     classes = labelled(signed.select("doc_id", "rid", "node"), labels, "node", "class")
     smallest = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return (classes.join(smallest, "class", "left")
-            .select("doc_id", "rid", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+            .select("doc_id", "rid", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+                    F.col("node").isNull().alias("single"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))))
 
 
@@ -270,11 +271,9 @@ def op2_minhash(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents with one row of every class (smallest doc_id, then row key); all columns."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    cols, rid = [F.col(f"`{c}`") for c in docs.columns], fresh(docs, "rid")
     classes = near_duplicates(docs, **options)
-    group = F.when(F.col("class_id").isNull(), F.struct(F.lit(None).cast("long").alias("c"), F.col("rid").alias("r"))).otherwise(
-        F.struct(F.col("class_id").alias("c"), F.lit(None).cast("long").alias("r")))
     # rows without words stand alone: their class is their own doc_id, told apart by the row key
-    chosen = (classes.where("kept").groupBy(group.alias("g")).agg(F.min("rid").alias("rid")).select(F.col("rid").alias("__rid")))
-    keyed = docs.select(*cols, F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("__rid"))
-    return keyed.join(chosen, "__rid", "left_semi").dropDuplicates(["__rid"]).select(*cols)
+    alone = F.when(F.col("class_id").isNull() | F.col("single"), F.col("rid"))
+    chosen = classes.where("kept").groupBy("class_id", alone.alias("alone")).agg(F.min("rid").alias(rid)).select(rid)
+    return docs.select(*cols, row_key().alias(rid)).join(chosen, rid, "left_semi").dropDuplicates([rid]).select(*cols)

@@ -94,11 +94,12 @@ def demand_time(words: Column, target: Column, knots: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, max_epochs: int = MAX_EPOCHS,
-        text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+        text: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size (words), source_size, target,
     taken (words the mix takes), copies (epochs that reach the document),
-    positions (one training time per copy), and the columns named in `keep`;
-    range-sorted by the first position (documents not taken last).
+    positions (one training time per copy); range-sorted by the first position
+    (documents not taken last).  With `carry` also row (all columns of `docs`),
+    unsorted, for a caller that sorts the copies.
 
     Within a source documents follow in the order of md5(doc_id), ties by doc_id
     and size; the mix takes that sequence, repeated, up to the target, so the
@@ -108,10 +109,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SH
     no rows; other columns of any name are ignored.
     """
     base = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                       *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep])
+                       *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     base = (base.withColumn("_order", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("g")))
             .withColumn("_bucket", F.substring("_order", 1, 3)))
-    if not keep:
+    if not carry:
         base = stored(base, "mix-sizes")       # a few dozen bytes a document: texts are counted once
     buckets = base.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, schedules, share, max_epochs)
@@ -132,18 +133,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SH
             .withColumn("copies", F.size("_epochs"))
             .withColumn("positions", F.transform("_epochs", lambda e: demand_time(
                 (e * F.col("source_size") + F.col("_start")).cast("double"), F.col("target"), F.col("_knots")))))
-    return (rows.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions",
-                        *[F.col(f"_keep_{c}").alias(c) for c in keep if c not in ("doc_id", "source")])
-            .orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id"))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions", *(["row"] if carry else []))
+    return out if carry else out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix as rows, one per copy, range-sorted by training
     position; all columns of `docs`."""
-    cols = docs.columns
-    mixed = mix(docs, keep=tuple(cols), **options)
-    return (mixed.withColumn("_position", F.explode("positions")).orderBy("_position", "doc_id")
-            .select(*[F.col(f"`{c}`") for c in cols]))
+    mixed = mix(docs, carry=True, **options).select("doc_id", "row", F.explode("positions").alias("position"))
+    return mixed.orderBy("position", "doc_id").select("row.*")
 
 
 # The same rows by one window per source (no buckets), for DuckDB.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import row_key, stored
+from .common import fresh, row_key, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("generalised", "removed")
@@ -276,13 +276,15 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     Texts are shuffled once by row key to meet their spans; a text without spans is unchanged.
     """
     cols = docs.columns
-    spans = find(docs, text=text, **options).select("rid", F.concat("base", "added").alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["rid"])
-    keyed = docs.withColumn("__rid", F.xxhash64(F.col("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))))
+    rid, extra = fresh(docs, "rid"), fresh(docs, "spans")
+    spans = (find(docs, text=text, **options).select(F.col("rid").alias(rid), F.concat("base", "added").alias(extra))
+             .where(F.size(extra) > 0).dropDuplicates([rid]))
+    keyed = docs.withColumn(rid, row_key(text=text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = cols.index(text)
         for batch in batches:
-            lists = batch["__spans"].to_pylist()
+            lists = batch[extra].to_pylist()
             change = [k for k, x in enumerate(lists) if x]
             if change:
                 texts = batch.column(at).to_pylist()
@@ -291,6 +293,6 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.select(list(range(len(cols))))
 
-    out = keyed.join(spans.withColumnRenamed("rid", "__rid"), "__rid", "left").select(*[F.col(f"`{c}`") for c in cols], "__spans")
+    out = keyed.join(spans, rid, "left").select(*[F.col(f"`{c}`") for c in cols], extra)
     out = out.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import stored
+from .common import fresh, stored
 
 SLICE = 512 << 10
 SHRINK, RIDGE = 0.05, 1e-3
@@ -263,12 +263,12 @@ def op8_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The documents whose score reaches the threshold; all columns, no shuffle of texts."""
     model = fit(features(docs, text), labels)
-    cols = docs.columns
-    src = docs.withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    cols, whole = docs.columns, fresh(docs, "whole_text")
+    src = docs.withColumn(whole, F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in tv.slices(batch, "__text", SLICE):
+            for rows, data, off in tv.slices(batch, whole, SLICE):
                 yield rows.select(list(range(len(cols)))).filter(pa.array(model.score(statistics(data, off)) >= threshold))
 
     return src.mapInArrow(run, docs.schema)
