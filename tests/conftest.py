@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from wavepanel.session import build_session  # noqa: E402
+from wavepanel.session import build_session, drop_stored  # noqa: E402
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
@@ -15,4 +15,5 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     s = build_session("local[*]", app="wavepanel-tests", shuffle_partitions=8)
     yield s
+    drop_stored(s)
     s.stop()

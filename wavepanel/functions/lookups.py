@@ -100,50 +100,3 @@ MASS_RESTRUCTURE_MIN_TRANSFERS = 100
 MASS_RESTRUCTURE_SIMILARITY = 0.5
 DIVISION_RENAME_SIMILARITY = 0.85
 SIGNIFICANT_TRANSFERS = 10
-
-# Title keywords per job function.
-JOB_FUNCTION_KEYWORDS = {
-    "Finance": [
-        "Financial Specialist", "Accountant", "Budget Planner",
-        "Post-Award", "Pre-Award", "Finance Associate", "Financial Manager",
-        "Fiscal",
-    ],
-    "HR": [
-        "HR ", "Human Resource", "Payroll", "Benefits Spec",
-        "Recruitment Specialist",
-    ],
-    "Research Admin": [
-        "Research Administrative", "Multi-fun Res Admin",
-        "Research CI Manager",
-    ],
-    "IT": [
-        "DevOps", "System Engineer", "User Support", "IT Manager",
-        "IT Director", "CADD Specialist", "Statistical Consultant",
-        "Database Administrator",
-    ],
-    "Leadership": [
-        "Dean", "Assistant Dean", "Assoc Dean", "Associate Dean",
-        "Director", "Innovation and Strategy",
-    ],
-    "Dept Admin": [
-        "Department Administrator", "Administrative Manager",
-        "Administrative Assistant", "Center Administrator",
-        "Administrative Specialist", "Admin Assoc Dir",
-        "Admin Asst Dir",
-    ],
-    "Communications": [
-        "Communications Specialist", "Writer", "Marketing",
-        "Teach, Learn & Tech",
-    ],
-}
-
-# Order in which the job functions are tried.
-JOB_FUNCTION_PRIORITY = [
-    "Leadership", "Finance", "HR", "Research Admin", "IT",
-    "Dept Admin", "Communications",
-]
-
-
-def job_function_table():
-    """(category, keywords) in priority order, the input of `keyword_category`."""
-    return [(c, JOB_FUNCTION_KEYWORDS[c]) for c in JOB_FUNCTION_PRIORITY]

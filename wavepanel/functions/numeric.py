@@ -15,14 +15,21 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# A double of this size or more has no fraction left: rounding changes nothing,
+# and `floor` (a BIGINT in Spark) would saturate a little further on.
+WHOLE = float(2 ** 52)
+
+
 def round_half_up(c, n: int = 2) -> Column:
     m = float(10 ** n)
-    return (F.floor(_c(c) * F.lit(m) + F.lit(0.5)) / F.lit(m)).cast("double")
+    x = _c(c).cast("double")
+    return F.when(F.abs(x * F.lit(m)) < F.lit(WHOLE), F.floor(x * F.lit(m) + F.lit(0.5)) / F.lit(m)).otherwise(x)
 
 
 def round_sql(expr: str, n: int = 2) -> str:
     m = float(10 ** n)
-    return f"cast(floor(({expr}) * {m} + 0.5) / {m} as double)"
+    return (f"case when abs(({expr}) * {m}) < {WHOLE:.0f} then cast(floor(({expr}) * {m} + 0.5) / {m} as double) "
+            f"else cast(({expr}) as double) end")
 
 
 def safe_div(a, b) -> Column:

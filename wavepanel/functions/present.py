@@ -20,9 +20,9 @@ def money(c) -> Column:
 
 
 def signed_money(c) -> Column:
-    """+$1,234 / -$1,234."""
+    """$+1,234 / $-1,234."""
     v = _c(c)
-    return F.concat(F.when(v < 0, F.lit("-$")).otherwise(F.lit("+$")), F.format_number(F.abs(F.round(v, 0)), 0))
+    return F.concat(F.when(v < 0, F.lit("$-")).otherwise(F.lit("$+")), F.format_number(F.abs(F.round(v, 0)), 0))
 
 
 def signed_number(c, digits: int = 0) -> Column:

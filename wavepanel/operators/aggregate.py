@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import CLEAN, PanelCols
-from ..functions.numeric import pct_change, safe_div
+from ..functions.numeric import pct_change, round_half_up, safe_div
 
 
 def _drop_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,8 +105,10 @@ def compare_snapshots(df: DataFrame, keys: list[str], cols: PanelCols = CLEAN,
 
 
 def with_total_row(cmp: DataFrame, key: str, value_names: list[str],
-                   label: str = "TOTAL") -> DataFrame:
+                   label: str = "TOTAL", parts: list[str] | None = None) -> DataFrame:
     """Append a TOTAL row whose percentages are recomputed from the sums.
+    With `parts` only the rows of these keys are shown and summed (the named
+    types; a residual type such as "Other" is neither).
 
     The input is an aggregated comparison (one row per key), so the extra
     global aggregate runs over (#keys) rows only.
@@ -114,6 +116,8 @@ def with_total_row(cmp: DataFrame, key: str, value_names: list[str],
     aggs = []
     for n in value_names:
         aggs += [F.sum(f"{n}_start").alias(f"{n}_start"), F.sum(f"{n}_end").alias(f"{n}_end")]
+    if parts is not None:
+        cmp = cmp.where(F.col(key).isin(parts))
     tot = cmp.agg(*aggs).withColumn(key, F.lit(label))
     for n in value_names:
         tot = (tot.withColumn(f"{n}_change", F.col(f"{n}_end") - F.col(f"{n}_start"))
@@ -121,6 +125,31 @@ def with_total_row(cmp: DataFrame, key: str, value_names: list[str],
     return cmp.unionByName(tot.select(*cmp.columns))
 
 
+def top_k(df: DataFrame, value: str, ties: list[str], k: int, largest: bool = True) -> DataFrame:
+    """the `k` rows with the largest (or smallest) value, ties by `ties`."""
+    order = F.col(value).desc() if largest else F.col(value).asc()
+    return df.orderBy(order, *ties).limit(k)
+
+
+def head_and_tail(df: DataFrame, value: str, ties: list[str], k: int) -> DataFrame:
+    """the first and the last `k` rows of one ordering, marked by `side`."""
+    up = top_k(df, value, ties, k).withColumn("side", F.lit("increase"))
+    return up.unionByName(top_k(df, value, ties, k, largest=False).withColumn("side", F.lit("decrease")))
+
+
+def cross_tab(df: DataFrame, key: str, by: str, by_values: list, k: int, cols: PanelCols = CLEAN) -> DataFrame:
+    """before/after of the `k` keys with the most weight at the last snapshot
+    (ties by key) for each given value of `by`; cells without rows are zeros.
+    The grid has k x len(by_values) rows."""
+    last = at_latest(df, cols).na.drop(subset=[key])
+    # sums compared at 4 digits: a floating-point sum depends on its order
+    top = top_k(last.groupBy(key).agg(round_half_up(F.sum(cols.weight), 4).alias("_w")), "_w", [key], k).select(key)
+    grid = top.withColumn(by, F.explode(F.array(*[F.lit(v) for v in by_values])))
+    cmp = compare_snapshots(df.where(F.col(by).isin(by_values)), [key, by], cols)
+    numbers = [c for c in cmp.columns if c not in (key, by) and not c.endswith("_pct_change")]
+    return F.broadcast(grid).join(cmp, [key, by], "left").na.fill(0.0, numbers)
+
+
 def group_proportion(df: DataFrame, cols: PanelCols = CLEAN, group: list[str] | None = None,
                      part: str | None = None) -> DataFrame:
     """FTE share of each `part` inside (group keys, date).
@@ -171,7 +200,9 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], var: str = "variab
 
 
 def _qname(q: float) -> str:
-    return f"p{int(round(q * 100)):02d}"
+    """p05, p50, p100; p99_5 for a fraction of a percent."""
+    text = f"{round(q * 100, 6):g}"
+    return "p" + (text.zfill(2) if "." not in text else text.replace(".", "_"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,),
@@ -334,7 +365,7 @@ def first_last_change(df: DataFrame, keys: list[str], value: str, date: str) ->
 
 def rollup_totals(df: DataFrame, keys: list[str], aggs: list[Column], label: str = "TOTAL") -> DataFrame:
     """Group rows plus subtotal/total rows via `rollup`."""
-    g = _drop_null_keys(df, keys).rollup(*keys).agg(*aggs)
-    for k in keys:
-        g = g.withColumn(k, F.coalesce(F.col(k).cast("string"), F.lit(label)))
-    return g
+    g = _drop_null_keys(df, keys).rollup(*keys).agg(*aggs, *[F.grouping(k).alias(f"_g{i}") for i, k in enumerate(keys)])
+    for i, k in enumerate(keys):
+        g = g.withColumn(k, F.when(F.col(f"_g{i}") == 1, F.lit(label)).otherwise(F.col(k).cast("string")))
+    return g.drop(*[f"_g{i}" for i in range(len(keys))])

@@ -53,11 +53,16 @@ def previous_value(df: DataFrame, cols: PanelCols = CLEAN, value: str | None = N
         x = x.withColumn("_lag_in", F.lag(value).over(w_in)).withColumn("_rn", F.row_number().over(w_in))
         # per-bucket summaries (same partitioning as the window: no extra shuffle of rows)
         last = x.groupBy(*part).agg(F.max_by(F.col(value), F.col(cols.seq)).alias("_last"))
-        w_out = Window.partitionBy(cols.id).orderBy(cols.date, "_sb")
+        w_out = Window.partitionBy(cols.id).orderBy(F.col(cols.date).asc_nulls_last(), "_sb")
         last = last.withColumn("_prev_bucket", F.lag("_last").over(w_out)).drop("_last")
-        out = (x.join(last, part)
+        last = last.toDF("_k_id", "_k_date", "_k_sb", "_prev_bucket")
+        same = (F.col(cols.id).eqNullSafe(F.col("_k_id")) & F.col(cols.date).eqNullSafe(F.col("_k_date"))
+                & F.col("_sb").eqNullSafe(F.col("_k_sb")))
+        out = (x.join(last, same)                       # null-safe: rows without an id or a date stay
                 .withColumn(out_col, F.when(F.col("_rn") == 1, F.col("_prev_bucket")).otherwise(F.col("_lag_in")))
-                .drop("_sb", "_lag_in", "_rn", "_prev_bucket"))
+                .drop("_sb", "_lag_in", "_rn", "_prev_bucket", "_k_id", "_k_date", "_k_sb"))
+        # no id, no history (a grouped shift gives nothing for a missing key)
+        out = out.withColumn(out_col, F.when(F.col(cols.id).isNotNull(), F.col(out_col)))
     p, v = F.col(out_col), F.col(value)
     # changed when previous exists and differs; a null current after a known
     # previous also counts (ledger L12)

@@ -107,10 +107,10 @@ def detail_with_new(merged: DataFrame, end_admin: DataFrame, keywords, cols: Pan
 
 def price_factor(index: DataFrame, start, date_col: str, idx_col: str) -> DataFrame:
     """One-row factor that moves start-date money into latest-index money."""
-    return index.agg(
-        (F.max(F.when(F.col(date_col) == F.lit(start), F.col(idx_col)))
-         / F.max_by(F.when(F.col(idx_col).isNotNull(), F.col(idx_col)),
-                    F.when(F.col(idx_col).isNotNull(), F.col(date_col)))).alias("_factor"))
+    return index.agg(F.try_divide(
+        F.max(F.when(F.col(date_col) == F.lit(start), F.col(idx_col))),
+        F.max_by(F.when(F.col(idx_col).isNotNull(), F.col(idx_col)),
+                 F.when(F.col(idx_col).isNotNull(), F.col(date_col)))).alias("_factor"))
 
 
 def _function_rows(df: DataFrame, start, end, keywords, factor: DataFrame, cols: PanelCols,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..columns import CLEAN, PanelCols
 from ..functions.numeric import pct_change
+from ..functions.text import contains_ci
 from .aggregate import exact_quantiles
 from .primary import entity_index, primary_rows
 
@@ -130,19 +131,45 @@ def history_with_medians(df: DataFrame, cols: PanelCols = CLEAN, code: str | Non
     return prim.join(med, [cols.date, code], "left")
 
 
-def department_roster(df: DataFrame, cols: PanelCols = CLEAN, unit: str | None = None) -> DataFrame:
-    """Primary rows of the latest snapshot with each entity's growth
-    from its first to its last primary record."""
-    unit = unit or cols.org
+def department_roster(df: DataFrame, cols: PanelCols = CLEAN) -> DataFrame:
+    """Primary rows of the latest snapshot with each entity's growth in
+    percent and money from its first to its last primary record *in the
+    division of its roster row*, and (with a hire date) its years on staff at
+    the latest snapshot, negative ones included."""
     prim = primary_rows(df, cols)
-    roster = prim.where(F.col(cols.date) == prim.agg(F.max(cols.date)).scalar())
-    growth = prim.groupBy(cols.id).agg(F.min_by(cols.measure, cols.date).alias("first_salary"),
+    latest = prim.agg(F.max(cols.date)).scalar()
+    roster = prim.where(F.col(cols.date) == latest)
+    if cols.hire_date in df.columns:
+        roster = roster.withColumn("years_on_staff", F.datediff(latest, F.col(cols.hire_date)) / F.lit(365.25))
+    here = prim.join(roster.select(F.col(cols.id).alias("_id"), F.col(cols.division).alias("_div")),
+                     (F.col(cols.id) == F.col("_id")) & (F.col(cols.division) == F.col("_div")), "left_semi")
+    growth = here.groupBy(cols.id).agg(F.min_by(cols.measure, cols.date).alias("first_salary"),
                                        F.max_by(cols.measure, cols.date).alias("last_salary"))
-    g = growth.withColumn("growth_pct", F.when(F.col("first_salary") > 0,
-                                               pct_change("last_salary", "first_salary")))
+    g = (growth.withColumn("growth_pct", F.when(F.col("first_salary") > 0, pct_change("last_salary", "first_salary")))
+               .withColumn("dollar_growth", F.col("last_salary") - F.col("first_salary")))
     return roster.join(g, cols.id, "left")
 
 
+def search_entities(index: DataFrame, first: str | None = None, last: str | None = None, division: str | None = None,
+                    department: str | None = None, cols: PanelCols = CLEAN, limit: int = 200,
+                    first_col: str = "first_name", last_col: str = "last_name") -> DataFrame:
+    """The entity index filtered by any of first and last name
+    (contains, ignoring case), division and department (equal), the largest
+    measures first (ties by id), at most `limit` rows, with the total number
+    of matches.  Without any filter there is no result."""
+    if not (first or last or division or department):
+        return index.withColumn("total_matches", F.lit(0).cast("bigint")).limit(0)
+    hits = index
+    for needle, col in ((first, first_col), (last, last_col)):
+        if needle:
+            hits = hits.where(contains_ci(col, needle))
+    for value, col in ((division, cols.division), (department, cols.department)):
+        if value:
+            hits = hits.where(F.col(col) == F.lit(value))
+    total = hits.agg(F.count(F.lit(1))).scalar()                  # scalar subquery
+    return hits.orderBy(F.col(cols.measure).desc_nulls_last(), cols.id).limit(limit).withColumn("total_matches", total)
+
+
 def history_change(df: DataFrame, cols: PanelCols = CLEAN) -> DataFrame:
     """Each entity's first and last primary measure, nominal and real,
     with the change and % change (only when the first value is positive)."""

@@ -60,7 +60,7 @@ def uniform_cut(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN) -> DataFra
         F.coalesce(F.sum(m), F.lit(0.0)).alias("total_salary"),
         F.coalesce(F.sum(F.when(up, m)), F.lit(0.0)).alias("unprotected_salary"),
         F.avg(F.when(up, m)).alias("mean_unprotected_salary"))
-    rate = x.agg(F.lit(sc.target_salary) / F.sum(m)).scalar()   # scalar subquery
+    rate = x.agg(F.try_divide(F.lit(sc.target_salary), F.sum(m))).scalar()   # scalar subquery; null for a zero sum
     j = units.withColumn("uniform_rate", rate)
     cut = F.col("uniform_rate") * F.col("total_salary")
     return (j.withColumn("required_cut", cut)
@@ -97,13 +97,16 @@ def composition(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN) -> DataFra
     subtotal, the protected group and the grand total (rollup)."""
     x = classify(df, sc, cols).withColumn(
         "class", F.when(F.col("is_protected"), F.lit("Protected")).otherwise(F.lit("Unprotected")))
-    g = x.rollup("class", cols.category).agg(F.count(F.lit(1)).alias("headcount"),
-                                             F.sum(cols.weight).alias("fte"),
-                                             F.sum(cols.measure).alias("total_salary"))
-    return (g.withColumn("level", F.when(F.col("class").isNull(), F.lit("grand_total"))
-                         .when(F.col(cols.category).isNull(), F.lit("subtotal")).otherwise(F.lit("category")))
-             .withColumn("class", F.coalesce("class", F.lit("All")))
-             .withColumn(cols.category, F.coalesce(F.col(cols.category), F.lit("All"))))
+    # a null category is no group (ledger L1); the level comes from the grouping
+    # itself, never from a null in the data
+    g = x.na.drop(subset=[cols.category]).rollup("class", cols.category).agg(
+        F.count(F.lit(1)).alias("headcount"), F.sum(cols.weight).alias("fte"), F.sum(cols.measure).alias("total_salary"),
+        F.grouping("class").alias("_all"), F.grouping(cols.category).alias("_sub"))
+    return (g.withColumn("level", F.when(F.col("_all") == 1, F.lit("grand_total"))
+                         .when(F.col("_sub") == 1, F.lit("subtotal")).otherwise(F.lit("category")))
+             .withColumn("class", F.when(F.col("_all") == 1, F.lit("All")).otherwise(F.col("class")))
+             .withColumn(cols.category, F.when(F.col("_sub") == 1, F.lit("All")).otherwise(F.col(cols.category)))
+             .drop("_all", "_sub"))
 
 
 def take_until(df: DataFrame, value: str, target: float, seq: str, bucket_width: float = 100.0) -> DataFrame:
@@ -144,7 +147,7 @@ def management_protected(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN) -
     pool size, pool salary, cut and estimated positions."""
     u = _unit(sc, cols)
     pool = classify(df, sc, cols).where(~F.col("is_protected") & ~F.col("is_management"))
-    rate = pool.agg(F.lit(sc.target_salary) / F.sum(cols.measure)).scalar()
+    rate = pool.agg(F.try_divide(F.lit(sc.target_salary), F.sum(cols.measure))).scalar()
     g = pool.na.drop(subset=[u]).groupBy(u).agg(F.count(F.lit(1)).alias("pool_staff"),
                                                 F.sum(cols.measure).alias("pool_salary"),
                                                 F.avg(cols.measure).alias("_mean"))

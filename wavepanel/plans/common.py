@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..columns import FIXTURE as FX
 from ..functions.numeric import round_half_up, round_sql
 from ..operators.deflate import deflate
-from ..session import application_key, store_table
+from ..session import application_key, input_version, store_table
 from ..sources import fixtures
 
 R = round_half_up
 
-# Derived inputs stored once per application: (application id, sf_dir, name) -> Parquet path.
-_STORED: dict[tuple[str, str, str], str] = {}
+# Derived inputs stored once per application and state of the input:
+# (application id, sf_dir, input version, name) -> Parquet path.
+_STORED: dict[tuple[str, str, str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -24,7 +25,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     filter pushdown.  This is the reference's own model: the panel is built
     once, then every view reads it.
     """
-    key = (application_key(spark), sf_dir, name)
+    key = (application_key(spark), sf_dir, input_version(spark, sf_dir), name)
     if key not in _STORED:
         _STORED[key] = store_table(build(), name)
     return spark.read.parquet(_STORED[key])          # read through the caller's session

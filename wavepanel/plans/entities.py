@@ -3,11 +3,14 @@ growth in division, history with medians, roster."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..columns import CLEAN, FIXTURE as FX
 from ..functions.text import status_label
 from ..operators import peers as P
 from ..operators.primary import entity_index
-from .common import R, panel_real, regression_ctes, rs, with_sql
+from ..sources import fixtures
+from .common import R, panel_real, raw_snapshots, regression_ctes, rs, with_sql
 from .registry import REGISTRY, query
 
 FXP = FX.with_(jobcode="title")
@@ -137,15 +140,54 @@ def history_with_medians(spark, sf_dir):
                     R("median_real_salary", 6).alias("median_real_salary"))
 
 
-@query("dept_roster", with_sql(f"""
-select r.id, r.org, r.salary, g.first_salary, {rs('case when g.first_salary > 0 then (g.last_salary - g.first_salary) / g.first_salary * 100 end', 4)} as growth_pct
-from (select * from prim where snapshot_date = (select max(snapshot_date) from prim)) r
-left join (select id, arg_min(salary, snapshot_date) as first_salary, arg_max(salary, snapshot_date) as last_salary
-           from prim group by id) g on r.id = g.id""", _PRIM_SQL))
+def _roster_sql(d: str, s: str, prim: str, extra: str = "") -> str:
+    return f"""
+select r.id, r.org, r.{s} as salary, g.first_salary, {rs('case when g.first_salary > 0 then (g.last_salary - g.first_salary) / g.first_salary * 100 end', 4)} as growth_pct,
+       {rs('g.last_salary - g.first_salary')} as dollar_growth{extra}
+from (select * from {prim} where {d} = (select max({d}) from {prim})) r
+left join (select p.id, arg_min(p.{s}, p.{d}) as first_salary, arg_max(p.{s}, p.{d}) as last_salary
+           from {prim} p join {prim} l on l.id = p.id and l.division = p.division
+           where l.{d} = (select max({d}) from {prim}) group by p.id) g on r.id = g.id"""
+
+
+@query("dept_roster", with_sql(_roster_sql("snapshot_date", "salary", "prim"), _PRIM_SQL))
 def dept_roster(spark, sf_dir):
-    """Latest-snapshot roster with each entity's first-to-last growth."""
+    """Latest-snapshot roster with each entity's growth inside its division."""
     r = P.department_roster(panel_real(spark, sf_dir), FX)
-    return r.select("id", FX.org, "salary", "first_salary", R("growth_pct", 4).alias("growth_pct"))
+    return r.select("id", FX.org, "salary", "first_salary", R("growth_pct", 4).alias("growth_pct"),
+                    R("dollar_growth").alias("dollar_growth"))
+
+
+@query("dept_roster_tenure", f"""with c as ({REGISTRY["clean_panel"].sql}),
+prim as (select *, division_department as org, current_annual_contracted_salary as salary
+         from (select *, row_number() over (partition by id, "Date" order by current_annual_contracted_salary desc nulls last, _row_seq) as rn from c)
+         where rn = 1)
+{_roster_sql('"Date"', "salary", "prim", f""",
+       {rs("datediff('day', r.date_of_hire, r." + '"Date"' + ") / cast(365.25 as double)", 6)} as years_on_staff""")}""")
+def dept_roster_tenure(spark, sf_dir):
+    """The roster of the cleaned panel with dollar growth and years on staff."""
+    r = P.department_roster(REGISTRY["clean_panel"].build(spark, sf_dir), CLEAN)
+    return r.select("id", F.col(CLEAN.org).alias("org"), F.col(CLEAN.measure).alias("salary"), "first_salary",
+                    R("growth_pct", 4).alias("growth_pct"), R("dollar_growth").alias("dollar_growth"),
+                    R("years_on_staff", 6).alias("years_on_staff"))
+
+
+@query("search_entities", f"""with c as ({REGISTRY["clean_panel"].sql}),
+n as (select c.*, r.last_name, r.first_name from c join ({fixtures.RAW_SNAPSHOTS_SQL}) r on c._row_seq = r._row_seq),
+idx as (select * from (select *, row_number() over (partition by id order by "Date" desc,
+          current_annual_contracted_salary desc nulls last, _row_seq) as rn from n) where rn = 1),
+hits as (select *, split_part(division_department, ' - ', 2) as department from idx
+         where contains(lower(last_name), 'customer#00000') and contains(lower(first_name), 'build')
+           and division = 'NATION_2' and split_part(division_department, ' - ', 2) = '1-URGENT')
+select id, division, department, current_annual_contracted_salary as salary, (select count(*) from hits) as total_matches
+from hits order by current_annual_contracted_salary desc nulls last, id limit 200""")
+def search_entities(spark, sf_dir):
+    """Search by first name, last name, division and department together, capped, with the total."""
+    clean = REGISTRY["clean_panel"].build(spark, sf_dir)
+    names = raw_snapshots(spark, sf_dir).select("_row_seq", "first_name", "last_name", "department")
+    index = entity_index(clean.join(names, "_row_seq"), CLEAN)
+    hits = P.search_entities(index, first="BUILD", last="Customer#00000", division="NATION_2", department="1-URGENT")
+    return hits.select("id", "division", "department", F.col(CLEAN.measure).alias("salary"), "total_matches")
 
 
 @query("entity_history_change", with_sql(f"""

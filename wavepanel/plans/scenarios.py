@@ -103,7 +103,7 @@ select coalesce(class, 'All') as class, coalesce(category, 'All') as category,
        cast(count(*) as bigint) as headcount, {rs('sum(fte)', 4)} as fte, {rs('sum(salary)')} as total_salary,
        case when grouping(class) = 1 then 'grand_total' when grouping(category) = 1 then 'subtotal'
             else 'category' end as level
-from (select *, case when is_protected then 'Protected' else 'Unprotected' end as class from snap)
+from (select *, case when is_protected then 'Protected' else 'Unprotected' end as class from snap where category is not null)
 group by rollup(class, category)""", _BASE_SQL))
 def composition_rollup(spark, sf_dir):
     """Workforce by category with subtotal and grand total."""

@@ -106,16 +106,48 @@ def compare_cross_topk(spark, sf_dir):
     return _cmp_out(c, ["division", "job_group"])
 
 
+# The named unit types: shown and totalled; any other type is neither.
+NAMED_TYPES = ["AMERICA", "ASIA", "EUROPE"]
+_NAMED_SQL = ", ".join(f"'{t}'" for t in NAMED_TYPES)
+
+
 @query("compare_total_rollup", with_sql(f"""
-select div_type, {CMP_COLS_SQL} from cmp
+select div_type, {CMP_COLS_SQL} from cmp where div_type in ({_NAMED_SQL})
 union all
 select 'TOTAL' as div_type, {CMP_COLS_SQL} from (
   select sum(fte_start) as fte_start, sum(fte_end) as fte_end,
-         sum(salary_start) as salary_start, sum(salary_end) as salary_end from cmp)""", _cmp_sql("div_type")))
+         sum(salary_start) as salary_start, sum(salary_end) as salary_end from cmp where div_type in ({_NAMED_SQL}))""",
+                                        _cmp_sql("div_type")))
 def compare_total_rollup(spark, sf_dir):
-    """Comparison by type plus a TOTAL row with recomputed percentages."""
+    """Comparison by named type plus their TOTAL row with recomputed percentages."""
     c = agg.compare_snapshots(_pos(spark, sf_dir), ["div_type"], FX)
-    return _cmp_out(agg.with_total_row(c, "div_type", ["fte", "salary"]), ["div_type"])
+    return _cmp_out(agg.with_total_row(c, "div_type", ["fte", "salary"], parts=NAMED_TYPES), ["div_type"])
+
+
+@query("cross_tab_keep_zeros", with_sql(f"""
+select k.title, t.div_type, {rs('coalesce(fte_start, 0)', 4)} as fte_start, {rs('coalesce(fte_end, 0)', 4)} as fte_end,
+       {rs('coalesce(fte_end, 0) - coalesce(fte_start, 0)', 4)} as fte_change,
+       {rs('coalesce(salary_end, 0) - coalesce(salary_start, 0)')} as salary_change
+from (select title from panel_real where fte > 0 and snapshot_date = (select d1 from bounds) and title is not null
+      group by title order by {rs('sum(fte)', 4)} desc, title limit 10) k
+cross join (select unnest([{_NAMED_SQL}, 'NOWHERE']) as div_type) t
+left join cmp c on c.title = k.title and c.div_type = t.div_type""", _cmp_sql("title, div_type")))
+def cross_tab_keep_zeros(spark, sf_dir):
+    """before/after cross-tab of the 10 largest titles by named type, empty cells kept as zeros."""
+    c = agg.cross_tab(_pos(spark, sf_dir), "title", "div_type", NAMED_TYPES + ["NOWHERE"], 10, FX)
+    return c.select("title", "div_type", R("fte_start", 4).alias("fte_start"), R("fte_end", 4).alias("fte_end"),
+                    R("fte_change", 4).alias("fte_change"), R("salary_change").alias("salary_change"))
+
+
+@query("top_divisions_headcount", with_sql("""
+select division, cast(count(*) as bigint) as employees from panel_real
+where division is not null and snapshot_date = (select max(snapshot_date) from panel_real)
+group by division order by employees desc, division limit 10"""))
+def top_divisions_headcount(spark, sf_dir):
+    """the 10 largest divisions by rows of the latest snapshot (ties by name)."""
+    last = agg.at_latest(panel_real(spark, sf_dir), FX)
+    g = last.na.drop(subset=["division"]).groupBy("division").agg(F.count(F.lit(1)).alias("employees"))
+    return agg.top_k(g, "employees", ["division"], 10)
 
 
 @query("dept_jobgroup_proportion", with_sql(f"""
@@ -199,20 +231,17 @@ def topk_jobgroup(spark, sf_dir):
 
 
 @query("top_bottom_titles", with_sql("""
-select * from (select title, fte_change, 'increase' as side from c order by fte_change desc, title limit 3)
+select * from (select org, fte_change, 'increase' as side from c order by fte_change desc, org limit 30)
 union all
-select * from (select title, fte_change, 'decrease' as side from c order by fte_change asc, title limit 3)""",
+select * from (select org, fte_change, 'decrease' as side from c order by fte_change asc, org limit 30)""",
     f"""bounds as (select min(snapshot_date) as d0, max(snapshot_date) as d1 from panel_real where fte > 0),
-c as (select title, {rs('coalesce(sum(case when snapshot_date = (select d1 from bounds) then fte end), 0) - coalesce(sum(case when snapshot_date = (select d0 from bounds) then fte end), 0)', 4)} as fte_change
-      from panel_real where fte > 0 and title is not null group by title)"""))
+c as (select org, {rs('coalesce(sum(case when snapshot_date = (select d1 from bounds) then fte end), 0) - coalesce(sum(case when snapshot_date = (select d0 from bounds) then fte end), 0)', 4)} as fte_change
+      from panel_real where fte > 0 and org is not null group by org)"""))
 def top_bottom_titles(spark, sf_dir):
-    """head-3 and tail-3 of one ordering (largest FTE gains and losses by title)."""
-    c = agg.compare_snapshots(_pos(spark, sf_dir), ["title"], FX, value_cols={"fte": FX.weight},
-                              drop_empty=False)
-    c = c.select("title", R("fte_change", 4).alias("fte_change"))
-    up = c.orderBy(F.col("fte_change").desc(), "title").limit(3).withColumn("side", F.lit("increase"))
-    down = c.orderBy(F.col("fte_change").asc(), "title").limit(3).withColumn("side", F.lit("decrease"))
-    return up.unionByName(down)
+    """The 30 largest FTE gains and the 30 largest losses of one ordering (by unit:
+    the fixture has more units than titles)."""
+    c = agg.compare_snapshots(_pos(spark, sf_dir), ["org"], FX, value_cols={"fte": FX.weight}, drop_empty=False)
+    return agg.head_and_tail(c.select("org", R("fte_change", 4).alias("fte_change")), "fte_change", ["org"], 30)
 
 
 @query("search_capped", with_sql("""

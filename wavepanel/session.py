@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -51,14 +52,18 @@ def build_session(master: str | None = None, app: str = "wavepanel",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only create our own when the
-    setting is absent (local runs and tests).
+    A cluster must name a folder that all its machines share.  Only a session
+    whose tasks run in the driver's own process (master ``local``) gets a
+    temporary folder when the setting is absent.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not path and sc is not None:
         path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        master = sc.master if sc is not None else ""
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="wavepanel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:
@@ -108,5 +113,32 @@ def materialize(df: DataFrame, name: str | None = None, partition_by: list[str]
     return df.sparkSession.read.parquet(store_table(df, name, partition_by))
 
 
+def _folder(spark: SparkSession, path: str):
+    """(Hadoop file system, path object) of a folder, whatever its store."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables this application has stored (call it when the work is done)."""
+    if _context(spark) is not None:
+        fs, p = _folder(spark, os.path.join(ensure_checkpoint_dir(spark), "stored", application_key(spark)))
+        fs.delete(p, True)
+
+
+def input_version(spark: SparkSession, path: str) -> str:
+    """What tells one state of the tables under `path` from another: names,
+    lengths and modification times of its entries and of the files in them."""
+    if _context(spark) is None:
+        return ""
+    fs, p = _folder(spark, path)
+    seen = []
+    for entry in fs.listStatus(p):
+        for f in ([entry] if entry.isFile() else fs.listStatus(entry.getPath())):
+            seen.append((f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    return str(hash(tuple(sorted(seen))))
+
+
 def sf_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")

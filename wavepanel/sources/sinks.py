@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +24,15 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, fill:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_panel(df: DataFrame, path: str, date_col: str = "Date", id_col: str = "id",
-                seq_col: str = "_row_seq", files_per_date: int = 64,
+def write_panel(df: DataFrame, path: str, date_col: str = "Date",
                 max_records_per_file: int = 5_000_000) -> None:
     """The cleaned panel as Parquet, one directory per snapshot date.
 
-    Rows are shuffled on (date, hash(id, row) mod `files_per_date`), so every
-    date is written by many tasks in parallel (neither a snapshot nor a hot
-    entity funnels into one task) and each task writes one directory; files
-    are capped in rows.
+    Rows are rebalanced on the date: partitions hold few dates each, and AQE
+    splits a partition beyond its advisory size, so a snapshot is written by as
+    many tasks as its bytes ask for.  Files are split by rows.
     """
-    key = [F.col(c) for c in (id_col, seq_col) if c in df.columns] or [F.col(date_col)]
-    salt = F.pmod(F.xxhash64(*key), F.lit(files_per_date))
-    (df.repartition(date_col, salt).write.mode("overwrite")
+    (df.hint("rebalance", date_col).write.mode("overwrite")
        .option("maxRecordsPerFile", max_records_per_file)
        .partitionBy(date_col).parquet(path))
 
@@ -45,8 +42,8 @@ def read_panel(spark: SparkSession, path: str, build: Callable[[], DataFrame] |
     build it, store it, and read the stored copy (lineage cut at the files)."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - path missing
-        if build is None:
+    except AnalysisException as e:
+        if build is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         write_panel(build(), path)
         return spark.read.parquet(path)
