@@ -1,18 +1,18 @@
-"""Snapshot files, dimension loaders, sinks, pages and the streaming ingest."""
+"""Snapshot files, dimension loaders, sinks and pages."""
 
 import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from wavepanel.sources import fixtures
 from wavepanel.sources.dimensions import load_job_dimension, load_price_index
 from wavepanel.sources.pages import page_records, parse_page
 from wavepanel.sources.sinks import read_panel, write_csv, write_panel
-from wavepanel.sources.snapshots import (detect_layout, layout_frames, list_snapshot_files, read_snapshots,
-                                         snapshot_date)
-from wavepanel.streaming.snapshots import ingest_snapshots
+from wavepanel.sources.snapshots import (detect_layout, layout_frames, list_snapshot_files, normalize_name, probe_columns,
+                                         read_snapshots, roles, snapshot_date)
 
 from .conftest import SF001
 
@@ -60,6 +60,62 @@ def test_read_snapshots_roundtrip(spark):
     assert got.where(F.col("date_of_hire").isNotNull()).count() == raw.where(F.col("date_of_hire").isNotNull()).count()
 
 
+def _csv(folder, name, rows, header="Last Name,First Name,Division,Pay Basis,Annual Full Salary,Full-Time Equivalent"):
+    path = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write(header + "\n" + "".join(",".join(map(str, r)) + "\n" for r in rows))
+
+
+@pytest.mark.parametrize("sep", ["_", " "])
+def test_every_file_of_a_date_is_kept_in_order(spark, sep):
+    folder = _scratch()
+    rows = lambda k: [(f"L{k}{i}", "F", "D", "Annual", 100 * k + i, 1) for i in range(3)]
+    _csv(folder, f"Pay{sep}2025-09{sep}part1.csv", rows(1))
+    _csv(folder, f"Pay{sep}2025-09{sep}part2.csv", rows(2))
+    _csv(folder, f"Pay{sep}2025-10/a.csv", rows(3))                       # a folder of part files
+    _csv(folder, f"Pay{sep}2025-10/b.csv", [("L40", "F", "D", "Salaried", "not a number", 0.5)],
+         "Last Name,First Name,Division,Pay Rate Type,Annualized Rate Amount,FTE")
+    got = sorted(read_snapshots(spark, folder).collect(), key=lambda r: r._row_seq)
+    assert [r._row_seq for r in got] == list(range(10))
+    assert [r.last_name for r in got] == ["L10", "L11", "L12", "L20", "L21", "L22", "L30", "L31", "L32", "L40"]
+    assert got[9].current_annual_contracted_salary is None and got[9].full_time_equivalent == 0.5
+    last = read_snapshots(spark, folder, keep="last", since=dt.date(2025, 9, 1))
+    assert sorted(r.last_name for r in last.where(F.col("Date") == dt.date(2025, 9, 1)).collect()) == ["L20", "L21", "L22"]
+
+
+def test_a_bad_month_is_an_error(spark):
+    folder = _scratch()
+    _csv(folder, "Pay_2026-13.csv", [("a", "b", "c", "Annual", 1, 1)])
+    with pytest.raises(Exception, match="no such month"):
+        read_snapshots(spark, folder).collect()
+
+
+def test_row_numbers_over_many_partitions(spark):
+    folder = _scratch()
+    for k in range(150):
+        _csv(folder, f"Pay_{2000 + k // 12}-{k % 12 + 1:02d}.csv", [(f"L{k}", "F", "D", "Annual", k, 1)] * 2)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))      # a partition per file
+    try:
+        rows = {r._row_seq: r.last_name for r in read_snapshots(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert rows == {i: f"L{i // 2}" for i in range(300)}
+
+
+def test_names_and_roles(spark):
+    assert normalize_name(" Full-Time Equivalent ") == "full-time_equivalent"
+    assert normalize_name(" Full-Time Equivalent ", hyphens=True) == "full_time_equivalent"
+    assert roles(["Last Name", "First-Name", "FTE", "Annual Full Salary", "Title"]) == {
+        "salary": "Annual Full Salary", "fte": "FTE", "first_name": "First-Name", "last_name": "Last Name", "title": "Title"}
+    df = spark.createDataFrame([("a", "b", "D", "T", "12x"), ("a", "b", None, "T", "12")],
+                               "`First Name` string, `Last Name` string, Department string, Title string, Annual_Full_Salary string")
+    assert [(r.salary, r.fte, r.name_key) for r in probe_columns(df).collect()] == [(None, 1.0, "B|A"), (12.0, 1.0, "B|A")]
+    with pytest.raises(ValueError, match="salary"):
+        probe_columns(df.drop("Annual_Full_Salary"))
+
+
 def test_dimension_loaders(spark):
     folder = _scratch()
     jobs = fixtures.job_dimension(spark, SF001).withColumnRenamed("jobcode", "job_code") \
@@ -104,29 +160,3 @@ def test_page_records_cover_all_pages(spark):
     pages = spark.read.parquet(f"{SF001}/pages.parquet")
     recs = page_records(pages)
     assert recs.count() == pages.count()            # every fixture page has a title
-
-
-def test_streaming_ingest(spark):
-    src, out = _scratch(), _scratch()
-    _export_snapshots(spark, src)
-    new_files = [f for f in os.listdir(src) if f.endswith(".csv") and f >= "Salaries 1998"]
-    stream_src = os.path.join(out, "incoming")
-    os.makedirs(stream_src)
-    for f in new_files:
-        os.link(os.path.join(src, f), os.path.join(stream_src, f))
-    schema = ", ".join(f"`{c}` STRING" for c in ["Last Name", "First Name", "Date of Hire", "Division", "Department",
-                                                 "Title", "Job Code", "Employee Category",
-                                                 "Employee Contract Type", "FTE", "Annualized Rate Amount",
-                                                 "Pay Rate Type"])
-    q = ingest_snapshots(spark, stream_src, os.path.join(out, "panel"), os.path.join(out, "trend"), schema,
-                         checkpoint=os.path.join(out, "ckpt"))
-    q.awaitTermination(120)
-    panel = spark.read.parquet(os.path.join(out, "panel"))
-    trend = spark.read.parquet(os.path.join(out, "trend"))
-    assert panel.select("Date").distinct().count() == len(new_files)
-    assert trend.count() == len(new_files)
-    # a second run finds nothing new and changes nothing
-    n = panel.count()
-    ingest_snapshots(spark, stream_src, os.path.join(out, "panel"), os.path.join(out, "trend"), schema,
-                     checkpoint=os.path.join(out, "ckpt")).awaitTermination(120)
-    assert spark.read.parquet(os.path.join(out, "panel")).count() == n

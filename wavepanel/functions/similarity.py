@@ -29,6 +29,21 @@ def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def edit_similarity(prev_norm, cur_norm) -> Column:
+    """1 - Levenshtein distance / longer length of two normalised names, native;
+    empty or missing -> 0.0."""
+    a = F.coalesce(F.col(prev_norm) if isinstance(prev_norm, str) else prev_norm, F.lit(""))
+    b = F.coalesce(F.col(cur_norm) if isinstance(cur_norm, str) else cur_norm, F.lit(""))
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longer)
+
+
+def edit_similarity_sql(a: str, b: str) -> str:
+    a, b = f"coalesce({a}, '')", f"coalesce({b}, '')"
+    return (f"case when {a} = '' or {b} = '' then 0.0::double "
+            f"else 1.0::double - levenshtein({a}, {b})::double / greatest(length({a}), length({b})) end")
+
+
 def name_similarity(prev_norm, cur_norm) -> Column:
     """Column expression: similarity of two normalised-name columns."""
     a = F.col(prev_norm) if isinstance(prev_norm, str) else prev_norm

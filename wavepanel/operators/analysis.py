@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from ..columns import CLEAN, PanelCols
 from ..session import materialize
 from .aggregate import group_proportion, pivot_by_date
-from .change import baseline_changes
+from .change import baseline_changes, previous_value
 from .clean import add_analysis_flags, load_panel
-from .transfers import ReorgRules, track_transfers
+from ..functions.similarity import name_similarity
+from .transfers import ReorgRules, detect_reorganizations, track_transfers, transfer_pairs
 
 
 def run_full_analysis(clean: DataFrame, cols: PanelCols = CLEAN, min_fte: float = 0.01,
                       faculty_label: str = "Faculty", jobgroups=None, min_date=None,
-                      rules: ReorgRules = ReorgRules(), store: bool = True) -> dict[str, DataFrame]:
+                      rules: ReorgRules = ReorgRules(), store: bool = True, similarity=name_similarity,
+                      dates: list | None = None) -> dict[str, DataFrame]:
     """K9: load (weight > min_fte) -> flags -> proportions, FTE pivot, FTE
     changes and their two pivots -> transfers, counts, pairs, summary."""
     data = add_analysis_flags(load_panel(clean, cols, min_fte), cols, faculty_label, jobgroups)
@@ -35,11 +37,16 @@ def run_full_analysis(clean: DataFrame, cols: PanelCols = CLEAN, min_fte: float
     def flag_pivot(value: str) -> DataFrame:
         return recent.groupBy(cols.jobgroup).pivot("IsFacultyDivision", [False, True]).agg(F.avg(value))
 
-    t = track_transfers(data, cols, rules)
+    # read by four of the frames: rows with their previous unit, and the detected pairs
+    flagged = previous_value(data, cols, cols.org)
+    flagged = materialize(flagged, "analysis_flagged") if store else flagged
+    pairs = detect_reorganizations(transfer_pairs(flagged, cols), cols, rules, similarity)
+    pairs = materialize(pairs, "analysis_pairs") if store else pairs
+    t = track_transfers(data, cols, rules, flagged=flagged, pairs=pairs)
     return {
         "salary_data": t["rows"],
         "dept_jobgroup_prop": group_proportion(data, cols),
-        "dept_fte_pivot": pivot_by_date(data, [cols.division, cols.department], cols),
+        "dept_fte_pivot": pivot_by_date(data, [cols.division, cols.department], cols, dates=dates),
         "fte_changes": changes,
         "fte_change_pivot": flag_pivot("fte_change"),
         "fte_pct_change_pivot": flag_pivot("fte_pct_change"),

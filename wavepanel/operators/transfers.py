@@ -46,8 +46,9 @@ def _dept_part(c):
 
 
 def detect_reorganizations(pairs: DataFrame, cols: PanelCols = CLEAN,
-                           rules: ReorgRules = ReorgRules()) -> DataFrame:
-    """K3: name similarity + volume rules, in order:
+                           rules: ReorgRules = ReorgRules(), similarity=name_similarity) -> DataFrame:
+    """K3: name similarity (`similarity`, a function of two columns of
+    normalised names) + volume rules, in order:
     name_change (sim >= thr and n >= min), mass_restructure (n >= mass_n and
     sim >= mass_sim), division_rename (both names have a ' - ' part whose
     similarity >= rename_sim, and n >= min)."""
@@ -58,8 +59,7 @@ def detect_reorganizations(pairs: DataFrame, cols: PanelCols = CLEAN,
               .withColumn("_pp", normalize_dept_name(_dept_part(prev)))
               .withColumn("_pc", normalize_dept_name(_dept_part(cols.org)))
               .withColumn("_both", _dept_part(prev).isNotNull() & _dept_part(cols.org).isNotNull()))
-    x = (x.withColumn("name_similarity", name_similarity("_np", "_nc"))
-          .withColumn("_dept_sim", name_similarity("_pp", "_pc")))
+    x = x.withColumn("name_similarity", similarity("_np", "_nc")).withColumn("_dept_sim", similarity("_pp", "_pc"))
     sim = F.col("name_similarity")
     if not rules.enabled:
         reason = F.lit("")
@@ -92,7 +92,7 @@ def reorg_mapping(flagged_pairs: DataFrame, cols: PanelCols = CLEAN, by: str = "
 
 def track_transfers(panel: DataFrame, cols: PanelCols = CLEAN, rules: ReorgRules = ReorgRules(),
                     per: str = "row", flagged: DataFrame | None = None,
-                    pairs: DataFrame | None = None) -> dict[str, DataFrame]:
+                    pairs: DataFrame | None = None, similarity=name_similarity) -> dict[str, DataFrame]:
     """K5: rows with transfer flags, per-unit counts, pair table, summary.
 
     `flagged` (rows with the previous unit) and `pairs` (the detected pair
@@ -101,7 +101,7 @@ def track_transfers(panel: DataFrame, cols: PanelCols = CLEAN, rules: ReorgRules
     if flagged is None:
         flagged = previous_value(panel, cols, cols.org, per=per)
     if pairs is None:
-        pairs = detect_reorganizations(transfer_pairs(flagged, cols), cols, rules)
+        pairs = detect_reorganizations(transfer_pairs(flagged, cols), cols, rules, similarity)
     reorg_set = pairs.where(F.col("is_reorg")).select(F.col(prev).alias("_rp"), F.col(cols.org).alias("_rc"),
                                                       F.lit(True).alias("_in"))
     rows = flagged.join(reorg_set, (F.col(prev) == F.col("_rp")) & (F.col(cols.org) == F.col("_rc")), "left")

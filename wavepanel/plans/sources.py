@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from ..sources import pages as PG
-from ..sources.snapshots import RAW_TYPES, layout_frames, normalize_frame, to_target
+from ..session import application_key, ensure_checkpoint_dir
+from ..sources.snapshots import RAW_TYPES, layout_frames, normalize_frame, read_snapshots, to_target
 from ..sources.tables import read_table
 from .common import raw_snapshots
 from .registry import query
@@ -28,6 +32,21 @@ def layout_union(spark, sf_dir):
     return u.select(*_RAW_COLS)
 
 
+@query("snapshot_files", f"""
+with raw as ({fixtures.RAW_SNAPSHOTS_SQL})
+select {", ".join('"' + c + '"' for c in _RAW_COLS if c != "_row_seq")} from raw""")
+def snapshot_files(spark, sf_dir):
+    """A1-A3/G1: the raw rows exported as CSV in two layouts, three part-file folders per
+    snapshot, listed and read back: every file of a date is kept."""
+    raw = raw_snapshots(spark, sf_dir)
+    folder = os.path.join(ensure_checkpoint_dir(spark), "exports", application_key(spark), uuid.uuid4().hex[:8])
+    for frame in layout_frames(raw, fixtures.NEW_LAYOUT_FROM):
+        name = F.concat(F.date_format("Date", "yyyy-MM"), F.lit(" part "), F.pmod("_row_seq", F.lit(3)).cast("string"))
+        (frame.withColumn("Export", name).drop("Date", "_row_seq").write.mode("append").partitionBy("Export")
+              .option("header", True).csv(folder))
+    return read_snapshots(spark, folder).select(*[c for c in _RAW_COLS if c != "_row_seq"])
+
+
 @query("page_fields", r"""
 select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,
        regexp_extract(html, '<html lang="([^"]*)"', 1) as lang,

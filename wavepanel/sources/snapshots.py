@@ -1,22 +1,28 @@
 """Raw snapshot exports -> one typed frame.
 
-Snapshots are CSV or Parquet exports, one file per snapshot, the date in the
-file name (YYYY-MM).  Layouts differ between releases, so each *layout* is
-read with its own header and normalised to the target names; the frames are
-then cast to one declared schema and unioned by name.  Only file names and
-headers are inspected on the driver (metadata); all rows stay in Spark.
+Snapshots are CSV or Parquet exports; a date (YYYY-MM) stands in the name of the
+file, or of the folder of part files directly above it.  A snapshot may come in
+several files: all of them are kept.  Layouts differ between releases, so files
+with equal headers are read together with their own column names, normalised to
+the target names, cast to one declared schema and unioned by name.  The driver
+sees file names and headers (metadata); headers are read by tasks.
 """
 
 from __future__ import annotations
 
+import csv
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookups import COLUMNS_TO_DROP, LEGACY_RENAMES, NEW_RENAMES
+from ..functions.text import matches_ci
 
-SNAPSHOT_NAME = re.compile(r"\d{4}-\d{2}")
+MONTH = r"\d{4}-\d{2}"
+HEADER_BYTES = 1 << 20
 
 # Target raw schema after normalisation (types of the cleaning job's input).
 RAW_TYPES = {
@@ -27,22 +33,33 @@ RAW_TYPES = {
 }
 
 
-def list_snapshot_files(spark: SparkSession, folder: str) -> list[str]:
-    """A1: files directly in `folder` whose name contains YYYY-MM, sorted by name.
+def snapshot_name(path_col) -> "F.Column":
+    """The part of a path that names the snapshot: the file's name if it has a
+    month, else its folder's name (null if neither has one)."""
+    parts = F.split(path_col, "/")
+    named = lambda k: F.when(F.try_element_at(parts, F.lit(k)).rlike(MONTH), F.try_element_at(parts, F.lit(k)))
+    return F.coalesce(named(-1), named(-2))
+
+
+def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A1: (path, uri, name) of the snapshot files in `folder` and in its folders
+    of part files.  Listed with the `binaryFile` source, whose content column is
+    pruned, so no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    inside = F.expr("substring(path, length(regexp_extract(path, '^[a-z0-9]+:/*', 0)) + 1)")
+    return (files.select("path", F.col("_metadata.file_path").alias("uri"), snapshot_name(inside).alias("name"))
+            .where(F.col("name").isNotNull()))
 
-    Listed with the `binaryFile` source selecting only `path` (its content
-    column is pruned, so no file is read); the list has one entry per
-    snapshot file, a bounded amount of metadata for the driver.
-    """
-    paths = (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-                  .load(folder).select("path").where(F.col("path").rlike(r"[^/]*\d{4}-\d{2}[^/]*$")))
-    names = [r.path for r in paths.collect()]
-    return sorted(n for n in names if SNAPSHOT_NAME.search(n.rsplit("/", 1)[-1]))
+
+def list_snapshot_files(spark: SparkSession, folder: str) -> list[str]:
+    """The snapshot files' paths by name (metadata for display and tests)."""
+    return [r.path for r in snapshot_files(spark, folder).orderBy("name", "path").collect()]
 
 
-def normalize_name(c: str) -> str:
-    """Strip, lower-case, spaces -> '_'."""
-    return c.strip().lower().replace(" ", "_")
+def normalize_name(c: str, hyphens: bool = False) -> str:
+    """A5: strip, lower-case, spaces -> '_'; A6: with `hyphens` also '-' -> '_'."""
+    c = c.strip().lower().replace(" ", "_")
+    return c.replace("-", "_") if hyphens else c
 
 
 def detect_layout(columns: list[str]) -> str:
@@ -77,10 +94,13 @@ def normalize_frame(df: DataFrame, layout: str | None = None) -> DataFrame:
 
 
 def snapshot_date(path_col) -> "F.Column":
-    """A3: first YYYY-MM in the file *name* -> first day of that month (null if none)."""
-    name = F.regexp_extract(path_col, r"([^/]*)$", 1)
-    ym = F.regexp_extract(name, r"(\d{4}-\d{2})", 1)
-    return F.when(ym != "", F.try_to_date(F.concat(ym, F.lit("-01")), "yyyy-MM-dd"))
+    """A3: first YYYY-MM in the snapshot's name -> first day of that month.  Null
+    for a name without one; a month that does not exist is an error, never a
+    dropped file."""
+    ym = F.regexp_extract(snapshot_name(path_col), f"({MONTH})", 1)
+    day = F.try_to_date(F.concat(ym, F.lit("-01")), "yyyy-MM-dd")
+    bad = F.raise_error(F.concat(F.lit("no such month in the snapshot name: "), path_col)).cast("date")
+    return F.when(ym != "", F.when(day.isNull(), bad).otherwise(day))
 
 
 def to_target(df: DataFrame, types: dict[str, str] = RAW_TYPES) -> DataFrame:
@@ -100,41 +120,68 @@ def to_target(df: DataFrame, types: dict[str, str] = RAW_TYPES) -> DataFrame:
     return out
 
 
-def read_snapshots(spark: SparkSession, folder: str, fmt: str = "csv",
-                   since=None) -> DataFrame:
+def layouts(spark: SparkSession, files: DataFrame, fmt: str) -> list[tuple[list[str], list[str]]]:
+    """(columns, paths) of every distinct header: one job reads the first line
+    (CSV) or the footer (Parquet) of each file; a few rows per layout return."""
+    def header(uri: str) -> str:
+        from pyarrow import fs, parquet
+        store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri))
+        if fmt == "parquet":
+            with store.open_input_file(inner) as f:
+                return json.dumps([[x.name, str(x.type)] for x in parquet.read_schema(f)])
+        with store.open_input_stream(inner) as f:
+            first = f.read(HEADER_BYTES).decode("utf-8-sig").splitlines()[:1]
+        return json.dumps([[c, "string"] for row in csv.reader(first) for c in row])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"path": batch["path"], "header": [header(x) for x in batch["uri"].to_pylist()]},
+                                             pa.schema([("path", pa.string()), ("header", pa.string())]))
+
+    rows = (files.select("path", "uri").mapInArrow(run, "path string, header string")
+            .groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect())
+    return [([c for c, _ in json.loads(r.header)], list(r.paths)) for r in rows if json.loads(r.header)]
+
+
+def read_snapshots(spark: SparkSession, folder: str, fmt: str = "csv", since=None, keep: str = "all") -> DataFrame:
     """All snapshot files of a folder as one frame with
-    `Date`, `_file_idx` (file order) and `_row_seq` (file, row) for ties.
+    `Date` and `_row_seq` (0, 1, 2, ... by file name, path and position in the file).
 
-    Files are grouped by header so that each layout is read with its own
-    column names; a later file replaces an earlier one with the same date.
+    keep="all" (default) keeps every file of a date; keep="last" only the last
+    by name (the cohort study's loader, where a later export replaces an earlier
+    one).  A split of a file is read in order by one task, so a row's number is
+    the number of rows in the splits before it (a sum over one short row per
+    split) plus its place in its own.  Raises for a folder without snapshots.
     """
-    files = list_snapshot_files(spark, folder)
-    groups: dict[tuple, list[tuple[int, str]]] = {}
-    for i, f in enumerate(files):
-        reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-        cols = tuple(reader.format(fmt).load(f).columns)        # header only
-        groups.setdefault(cols, []).append((i, f))
-    frames = []
-    for _cols, members in groups.items():
-        idx_map = F.create_map(*[x for i, f in members for x in (F.lit(f), F.lit(i))])
-        reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-        raw = reader.format(fmt).load([f for _, f in members])
-        path = F.col("_metadata.file_path")
-        raw = (raw.withColumn("_path", path)
-                  .withColumn("_file_idx", F.coalesce(F.try_element_at(idx_map, path), F.lit(-1)))
+    files = snapshot_files(spark, folder)
+    frames, splits = [], []
+    for columns, paths in layouts(spark, files, fmt):
+        if fmt == "csv":
+            raw = spark.read.option("header", True).schema(", ".join(f"`{c}` STRING" for c in columns)).csv(paths)
+        else:
+            raw = spark.read.format(fmt).load(paths)
+        raw = (raw.withColumn("_uri", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start"))
                   .withColumn("_pos", F.monotonically_increasing_id()))
-        norm = normalize_frame(raw)
-        frames.append(to_target(norm).withColumn("Date", snapshot_date(F.col("_path"))))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    out = out.withColumn("_row_seq", F.col("_file_idx").cast("bigint") * F.lit(1 << 40) + F.col("_pos"))
+        splits.append(raw.groupBy("_uri", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")))
+        frames.append(to_target(normalize_frame(raw)))
+    if not frames:
+        raise ValueError(f"no snapshot files in {folder}")
+    out, where = frames[0], splits[0]
+    for f, g in zip(frames[1:], splits[1:]):
+        out, where = out.unionByName(f, allowMissingColumns=True), where.union(g)
+    # one row per split: metadata
+    order = Window.orderBy("name", "path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    named = files.withColumn("Date", snapshot_date(F.col("path"))).withColumnRenamed("uri", "_uri")
+    if keep == "last":
+        last = named.groupBy("Date").agg(F.max("name").alias("name"))
+        named = named.join(last, ["Date", "name"])
+    where = where.join(named, "_uri").withColumn("_base", F.coalesce(F.sum("_n").over(order), F.lit(0)))
     if since is not None:
-        out = out.where(F.col("Date") >= F.lit(since))
-    # One frame per date -- the last file of a date wins
-    last = out.groupBy("Date").agg(F.max("_file_idx").alias("_keep"))
-    out = out.join(F.broadcast(last), "Date").where(F.col("_file_idx") == F.col("_keep"))
-    return out.drop("_keep", "_pos", "_path")
+        where = where.where(F.col("Date") >= F.lit(since))
+    where = where.select("_uri", "_block", "_base", "_first", "Date")
+    return (out.join(where, ["_uri", "_block"])
+            .withColumn("_row_seq", F.col("_base") + F.col("_pos") - F.col("_first"))
+            .drop("_uri", "_block", "_base", "_first", "_pos"))
 
 
 def layout_frames(raw: DataFrame, split_date) -> tuple[DataFrame, DataFrame]:
@@ -165,38 +212,42 @@ def layout_frames(raw: DataFrame, split_date) -> tuple[DataFrame, DataFrame]:
     return legacy, new
 
 
-# Raw salary column names recognised by the keyword loader.
-SALARY_COLUMNS = ["Annual_Full_Salary", "Annualized_Rate_Amount"]
-DATE_IN_NAME = r"(\d{4})[-._ ]?(\d{2})"
+# What a normalised column name must match to play a role.
+ROLES = {
+    "salary": "^(annual_full_salary|annualized_rate_amount)$",
+    "fte": "full_time|^fte$",
+    "first_name": "^(?=.*first)(?=.*name)",
+    "last_name": "^(?=.*last)(?=.*name)",
+    "division": "^division$",
+    "department": "^department$",
+    "title": "^title$",
+}
+
+
+def roles(columns: list[str]) -> dict[str, str]:
+    """Role -> the first column whose normalised name plays it."""
+    named = [(normalize_name(c, hyphens=True), c) for c in columns]
+    return {role: hit for role, rule in ROLES.items()
+            if (hit := next((c for n, c in named if re.search(rule, n)), None)) is not None}
 
 
 def probe_columns(df: DataFrame, division_pattern: str | None = None) -> DataFrame:
-    """Resolve a snapshot's columns by keyword (driver-side, on the
-    column names only) and return the compact cohort layout
-    (first_name, last_name, department, title, salary, fte, name_key).
-
-    Salary: the first recognised salary column, else an error.  FTE: the first
-    column whose normalised name contains 'full_time' or equals 'fte', else
-    1.0.  Names: the first columns containing first/last and name.  With
-    `division_pattern`, rows are kept whose Division matches it
-    case-insensitively (a regex alternation, null never matches).
+    """The compact cohort layout (first_name, last_name, department,
+    title, salary, fte, name_key), columns found by role.
+
+    A salary and both names are required; without an FTE column it is 1.0.
+    Amounts that are no numbers become null.  With `division_pattern`, rows are
+    kept whose division matches it case-insensitively (null never matches).
     """
-    cols = df.columns
-    sal = next((c for c in cols if c in SALARY_COLUMNS), None)
-    if sal is None:
-        raise ValueError(f"no salary column among {cols}")
-    fte = next((c for c in cols
-                if "full_time" in c.lower().replace(" ", "_").replace("-", "_")
-                or c.lower().replace(" ", "_").replace("-", "_") == "fte"), None)
-    first = [c for c in cols if "first" in c.lower() and "name" in c.lower()][0]
-    last = [c for c in cols if "last" in c.lower() and "name" in c.lower()][0]
+    found = roles(df.columns)
+    lacking = {"salary", "first_name", "last_name"} - found.keys()
+    if lacking:
+        raise ValueError(f"no column for {', '.join(sorted(lacking))} among {df.columns}")
+    col = {role: F.col(f"`{c}`") for role, c in found.items()}
     if division_pattern is not None:
-        df = df.where(F.coalesce(F.col("Division").cast("string").rlike("(?i)" + division_pattern), F.lit(False)))
-    q = lambda c: F.col(f"`{c}`")
-    out = df.select(q(first).alias("first_name"), q(last).alias("last_name"), q("Department").alias("department"),
-                    q("Title").alias("title"), q(sal).cast("double").alias("salary"),
-                    (q(fte).cast("double") if fte else F.lit(1.0)).alias("fte"))
-    return out.withColumn("name_key", F.concat(F.upper(F.trim(F.coalesce(F.col("last_name").cast("string"),
-                                                                          F.lit("NAN")))), F.lit("|"),
-                                               F.upper(F.trim(F.coalesce(F.col("first_name").cast("string"),
-                                                                         F.lit("NAN"))))))
+        df = df.where(matches_ci(col["division"].cast("string"), division_pattern))
+    upper = lambda role: F.upper(F.trim(F.coalesce(col[role].cast("string"), F.lit("NAN"))))
+    number = lambda role: col[role].try_cast("double") if role in col else F.lit(1.0)
+    return df.select(*[col[r].alias(r) for r in ("first_name", "last_name", "department", "title")],
+                     number("salary").alias("salary"), number("fte").alias("fte"),
+                     F.concat(upper("last_name"), F.lit("|"), upper("first_name")).alias("name_key"))
