@@ -14,7 +14,8 @@ from ..sources import fixtures
 from ..sources.snapshots import probe_columns
 from .common import R, panel_real, raw_snapshots, rs, with_sql
 from .registry import query
-from .transfers import NO_REORG, _LAG_SQL, _tracked
+from ..functions.similarity import edit_similarity
+from .transfers import NO_REORG, RULES, _LAG_SQL, _tracked, reorg_sql
 
 # Lookup of the fixture's unit types (a parameter table of the classifier).
 UNIT_TYPES = {"NATION_0": "Schools & Colleges", "NATION_1": "Administration", "NATION_2": "Service Units",
@@ -74,9 +75,11 @@ def top_real_pairs(spark, sf_dir):
     return top.select("prev_org", "org", "transfer_count")
 
 
-@query("pair_stats")
+@query("pair_stats", with_sql("""
+select reorg_reason <> '' as is_reorg, cast(count(*) as bigint) as pairs, cast(sum(transfer_count) as bigint) as moves
+from pairs group by 1""", reorg_sql()))
 def pair_stats(spark, sf_dir):
-    """D27 (rows-only): pairs and moves by re-organisation flag (similarity rules on)."""
+    """Pairs and moves by re-organisation flag (similarity rules on)."""
     return T.pair_statistics(_tracked(spark, sf_dir)["pairs"])["by_flag"]
 
 
@@ -100,14 +103,62 @@ def top15_trend(spark, sf_dir):
                                           R(F.sum("real_pay")).alias("total_salary_real"))
 
 
-@query("full_analysis_bundle")
+@query("real_pairs_with_rules", with_sql("""
+select prev_org, org, transfer_count from pairs where reorg_reason = '' order by transfer_count desc, prev_org, org limit 10""",
+                                         reorg_sql()))
+def real_pairs_with_rules(spark, sf_dir):
+    """The 10 largest real pairs with the similarity rules on."""
+    top = T.pair_statistics(_tracked(spark, sf_dir)["pairs"])["top_real"]
+    return top.select("prev_org", "org", "transfer_count")
+
+
+_CHANGES_SQL = """
+fac as (select distinct division from panel_real where category = 'F' and fte > 0.01),
+ft as (select (f.division is not null) as flag, p.job_group, p.snapshot_date, sum(p.fte) as fte
+       from panel_real p left join fac f on p.division = f.division where p.fte > 0.01 and p.job_group is not null group by all),
+ch as (select *, fte - first_value(fte) over w as fte_change,
+              (fte - first_value(fte) over w) / nullif(first_value(fte) over w, 0) * 100 as fte_pct_change
+       from ft window w as (partition by flag, job_group order by snapshot_date
+                            rows between unbounded preceding and unbounded following)),
+recent as (select job_group, flag, avg(fte_change) as c, avg(fte_pct_change) as p from ch
+           where snapshot_date >= date '1999-01-01' group by job_group, flag)"""
+
+
+@query("full_analysis_bundle", with_sql(f"""
+select 'salary_data' as frame, cast(count(*) as bigint) as rows, cast(count(case when is_real_transfer then 1 end) as double) as total from flags
+union all select 'dept_jobgroup_prop', count(*), {rs('sum(prop)', 4)} from (
+  select sum(fte) / nullif(sum(sum(fte)) over (partition by division, department, snapshot_date), 0) as prop from panel_real
+  where fte > 0.01 and division is not null and department is not null and job_group is not null
+  group by division, department, snapshot_date, job_group)
+union all select 'dept_fte_pivot', count(distinct (division, department)), {rs('sum(fte)', 4)} from panel_real
+  where fte > 0.01 and division is not null and department is not null
+union all select 'fte_changes', count(*), {rs('sum(fte_change)', 4)} from ch
+union all select 'fte_change_pivot', count(distinct job_group), {rs('sum(c)', 4)} from recent
+union all select 'fte_pct_change_pivot', count(distinct job_group), {rs('sum(p)', 4)} from recent
+union all select 'transfer_counts', count(*), cast(sum(num_real_transfers) as double) from counts
+union all select 'transfer_pairs', count(*), cast(sum(transfer_count) as double) from pairs
+union all select 'reorg_summary', count(distinct reorg_reason), cast(sum(transfer_count) as double) from pairs where reorg_reason <> ''
+""", reorg_sql() + "," + _CHANGES_SQL))
 def full_analysis_bundle(spark, sf_dir):
-    """K9 (rows-only): the nine-frame analysis bundle; one row per frame with its row count."""
+    """K9: the nine-frame analysis bundle; per frame its rows and the total of its measure."""
     cols = FX.with_(jobgroup="job_group")
     out = run_full_analysis(panel_real(spark, sf_dir), cols, faculty_label="F", jobgroups=["MACHINERY"],
-                            min_date="1999-01-01")
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).withColumn("frame", F.lit(name)) for name, df in out.items()]
+                            min_date="1999-01-01", rules=RULES, similarity=edit_similarity)
+    wide = lambda df, keys: sum((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in df.columns if c not in keys), F.lit(0.0))
+    total = {
+        "salary_data": F.col("is_real_transfer").cast("double"),
+        "dept_jobgroup_prop": F.col("fte_proportion"),
+        "dept_fte_pivot": wide(out["dept_fte_pivot"], ("division", "department")),
+        "fte_changes": F.col("fte_change"),
+        "fte_change_pivot": wide(out["fte_change_pivot"], ("job_group",)),
+        "fte_pct_change_pivot": wide(out["fte_pct_change_pivot"], ("job_group",)),
+        "transfer_counts": F.col("num_real_transfers"),
+        "transfer_pairs": F.col("transfer_count"),
+        "reorg_summary": F.col("total_employees"),
+    }
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), R(F.sum(total[name]), 4).alias("total")).withColumn("frame", F.lit(name))
+             for name, df in out.items()]
     u = parts[0]
     for x in parts[1:]:
         u = u.unionByName(x)
-    return u.select("frame", "rows")
+    return u.select("frame", "rows", "total")

@@ -228,9 +228,24 @@ def pipe_lines_q(spark, sf_dir):
     return pipe_lines(p, ["phase", "department", "title", "salary"])
 
 
-@query("tolerance_match")
+@query("tolerance_match", with_sql("""
+select p.line, p.phase, p.department, p.title, p.salary, t.record, r.salary as matched_salary,
+       case when t.record is null then 'NO MATCH' else 'MATCH' end as status
+from pl p left join took t on t.line = p.line left join snap r on r.row_id = t.record""", _BASE_SQL + """,
+pl as (select row_number() over (order by phase, salary desc, _seq) as line, * from plan),
+near as (select p.line, r.row_id, abs(r.salary - p.salary) as diff from pl p join snap r
+           on r.division = p.department and r.title = p.title and abs(r.salary - p.salary) < 100),
+rounds as (select line, row_number() over (order by line) as k from (select distinct line from near)),
+-- the greedy walk: each step carries the records used so far
+walk as (select 0::bigint as k, null::bigint as line, null::bigint as record, []::bigint[] as used
+         union all
+         select r.k, r.line, pick.row_id, case when pick.row_id is null then w.used else list_append(w.used, pick.row_id) end
+         from walk w join rounds r on r.k = w.k + 1
+         left join lateral (select n.row_id from near n where n.line = r.line and not list_contains(w.used, n.row_id)
+                            order by n.diff, n.row_id limit 1) pick on true),
+took as (select line, record from walk where record is not null)""").replace("with ", "with recursive ", 1))
 def tolerance_match_q(spark, sf_dir):
-    """C20/K32 (rows-only): plan lines matched one-to-one to snapshot records within $100."""
+    """Plan lines matched one-to-one to snapshot records within $100."""
     plan = S.number_plan(_plan(spark, sf_dir)).drop("_seq")
     m = tolerance_match(plan, _snap(spark, sf_dir), "division", "title", "salary", "row_id", 100.0)
     return m.select("line", "phase", "department", "title", "salary", "record", "matched_salary", "status")

@@ -10,11 +10,16 @@ from ..operators import transfers as T
 from ..operators.clean import add_analysis_flags
 from ..operators.change import previous_value
 from ..sources.tables import read_table
-from .common import panel_real, stored, with_sql
+from ..functions.similarity import edit_similarity, edit_similarity_sql
+from .common import R, panel_real, rs, stored, with_sql
 from .registry import query
 
-# Every move counts as real: the SQL-checkable variant (no similarity rule).
+# Every move counts as real (no similarity rule).
 NO_REORG = T.ReorgRules(enabled=False)
+# The fixture's unit names differ in a number and a priority word, so its rules
+# are looser than the defaults; every branch of the ladder is taken.  The edit
+# similarity is computed by both engines (the default is the matcher's ratio).
+RULES = T.ReorgRules(similarity=0.65, min_transfers=20, mass_transfers=24, mass_similarity=0.55, rename_similarity=0.19)
 FAC_GROUPS = ["MACHINERY", "BUILDING"]
 
 
@@ -32,13 +37,13 @@ def _flagged(spark, sf_dir):
 
 def _tracked(spark, sf_dir, rules=None):
     """K5 results over the stored flagged rows; with the similarity rules the
-    detected pair table is stored once as well (the UDF runs once)."""
+    detected pair table is stored once as well."""
     flagged = _flagged(spark, sf_dir)
     if rules is not None:
         return T.track_transfers(None, FX, rules, flagged=flagged)
     pairs = stored(spark, sf_dir, "reorg_pairs",
-                   lambda: T.detect_reorganizations(T.transfer_pairs(flagged, FX), FX))
-    return T.track_transfers(None, FX, flagged=flagged, pairs=pairs)
+                   lambda: T.detect_reorganizations(T.transfer_pairs(flagged, FX), FX, RULES, edit_similarity))
+    return T.track_transfers(None, FX, RULES, flagged=flagged, pairs=pairs)
 
 
 _LAG_SQL = """
@@ -51,6 +56,39 @@ counts as (select org, snapshot_date, cast(count(distinct id) as bigint) as num_
            group by org, snapshot_date)"""
 
 
+def _part_sql(c: str) -> str:
+    return f"case when contains({c}, ' - ') then substr({c}, strpos({c}, ' - ') + 3) end"
+
+
+def reorg_sql(base: str = "panel_real where fte > 0.01") -> str:
+    """CTEs down to `pairs` (the rule ladder) and `flags` (rows with their flags)."""
+    lag = _LAG_SQL.split("movers as")[0].replace("panel_real where fte > 0.01", base)
+    norm = normalize_dept_name_sql
+    return lag + f"""
+tp as (select prev_org, org, cast(count(*) as bigint) as transfer_count from fl
+       where dept_changed and prev_org is not null and org is not null group by prev_org, org),
+tn as (select *, {norm('prev_org')} as np, {norm('org')} as nc, {norm(_part_sql('prev_org'))} as pp, {norm(_part_sql('org'))} as pc,
+              contains(prev_org, ' - ') and contains(org, ' - ') as parts from tp),
+ts as (select *, {edit_similarity_sql('np', 'nc')} as name_similarity, {edit_similarity_sql('pp', 'pc')} as part_similarity from tn),
+pairs as (select prev_org, org, transfer_count, name_similarity,
+            case when name_similarity >= {RULES.similarity} and transfer_count >= {RULES.min_transfers} then 'name_change'
+                 when transfer_count >= {RULES.mass_transfers} and name_similarity >= {RULES.mass_similarity} then 'mass_restructure'
+                 when parts and part_similarity >= {RULES.rename_similarity} and transfer_count >= {RULES.min_transfers}
+                   then 'division_rename' else '' end as reorg_reason from ts),
+moved as (select fl.*, fl.dept_changed and p.org is not null as is_reorg_transfer,
+                 fl.dept_changed and p.org is null as is_real_transfer
+          from fl left join pairs p on fl.prev_org = p.prev_org and fl.org = p.org and p.reorg_reason <> ''),
+counts as (select org, snapshot_date, cast(count(distinct id) as bigint) as num_real_transfers from moved
+           where id in (select id from moved where is_real_transfer) and org is not null and snapshot_date is not null
+           group by org, snapshot_date),
+flags as (select m.*, coalesce(c.num_real_transfers >= {RULES.significant}, false) as has_significant_transfers
+          from moved m left join counts c on m.org = c.org and m.snapshot_date = c.snapshot_date)"""
+
+
+SUMMARY_SQL = """select reorg_reason, cast(count(*) as bigint) as num_pairs, cast(sum(transfer_count) as bigint) as total_employees,
+       round_even(avg(name_similarity), 2) as avg_similarity from pairs where reorg_reason <> '' group by reorg_reason"""
+
+
 @query("transfer_pairs", with_sql("""
 select prev_org, org, cast(count(*) as bigint) as transfer_count from fl
 where dept_changed and prev_org is not null and org is not null group by prev_org, org""", _LAG_SQL))
@@ -76,27 +114,33 @@ def transfer_flags(spark, sf_dir):
                        "has_significant_transfers")
 
 
-@query("reorg_detect")
+@query("reorg_detect", with_sql(f"""
+select prev_org, org, transfer_count, {rs('name_similarity', 6)} as name_similarity, reorg_reason, reorg_reason <> '' as is_reorg
+from pairs""", reorg_sql()))
 def reorg_detect(spark, sf_dir):
-    """K3 (rows-only): pair table with name similarity and the re-organisation rules."""
-    return _tracked(spark, sf_dir)["pairs"]
+    """K3: pair table with name similarity and the re-organisation rules."""
+    p = _tracked(spark, sf_dir)["pairs"]
+    return p.select("prev_org", "org", "transfer_count", R("name_similarity", 6).alias("name_similarity"), "reorg_reason", "is_reorg")
 
 
-@query("reorg_summary")
+@query("reorg_summary", with_sql(SUMMARY_SQL, reorg_sql()))
 def reorg_summary(spark, sf_dir):
-    """D26 (rows-only): re-organisation pairs by reason: count, moves, mean similarity."""
+    """Re-organisation pairs by reason: count, moves, mean similarity."""
     return _tracked(spark, sf_dir)["summary"]
 
 
-@query("reorg_mapping")
+@query("reorg_mapping", with_sql("""
+select prev_org, min(org) as new_org from pairs where reorg_reason <> '' group by prev_org""", reorg_sql()))
 def reorg_mapping(spark, sf_dir):
-    """K4 (rows-only): old unit -> new unit, first in key order."""
+    """K4: old unit -> new unit, first in key order."""
     return T.reorg_mapping(_tracked(spark, sf_dir)["pairs"], FX)
 
 
-@query("reorg_flags")
+@query("reorg_flags", with_sql("""
+select row_id, prev_org, dept_changed, is_reorg_transfer, is_real_transfer, has_significant_transfers,
+       dept_changed as transferred, has_significant_transfers as "DeptHas4PlusTransfers" from flags""", reorg_sql()))
 def reorg_flags(spark, sf_dir):
-    """K5 (rows-only): per-row flags with the similarity rules switched on."""
+    """Per-row flags with the similarity rules switched on."""
     rows = _tracked(spark, sf_dir)["rows"]
     return rows.select("row_id", "prev_org", "dept_changed", "is_reorg_transfer", "is_real_transfer",
                        "has_significant_transfers", "transferred", "DeptHas4PlusTransfers")
