@@ -39,7 +39,7 @@ from . import textvec as tv
 from .common import NULL_ID, row_key, text_bytes
 
 WINDOW, GRAM = 13, 5
-BLOCK_BYTES = 32 << 20        # text behind one index block
+BLOCK_BYTES = 16 << 20        # text behind one index block
 NEW, KNOWN, PASS = 0, 1, 2
 
 
@@ -137,27 +137,50 @@ def anchor_rows(batches, blocks: int, window: int, gram: int) -> Iterator[pa.Rec
                                                  names=["block", "kind", "keys", "counts", "owners"])
 
 
-def _per_owner(owner: np.ndarray, values: np.ndarray, name: str) -> pa.Table:
-    order = np.argsort(owner, kind="stable")
-    owner, values = owner[order], np.ascontiguousarray(values[order])
-    start, length = _runs(owner)
-    return pa.table({"rid": pa.array(owner[start], pa.int64()),
-                     name: pa.array(tv.blobs(values, np.append(start, len(owner))), pa.binary())})
+def _packed(owner: np.ndarray, values: np.ndarray, blocks: int) -> pa.Table:
+    """An answer by destination: one row for every block of owners, each holding
+    its owners, their numbers of values and the values."""
+    to = owner.view(np.uint64) % np.uint64(blocks)
+    order = np.lexsort((owner, to))
+    owner, values, to = owner[order], values[order], to[order]
+    start, length = _runs(to)
+    rows = []
+    for i, j in zip(start.tolist(), (start + length).tolist()):
+        a, n = _runs(owner[i:j])
+        rows.append((int(to[i]), owner[i:j][a].tobytes(), n.astype(np.uint32).tobytes(), values[i:j].tobytes()))
+    cols = list(zip(*rows)) if rows else [()] * 4
+    return pa.table({"to": pa.array(cols[0], pa.int64()),
+                     **{k: pa.array(c, pa.binary()) for k, c in zip(("owners", "counts", "found"), cols[1:])}})
+
+
+PACKED = "to long, owners binary, counts binary, found binary"
+
+
+def _per_owner(dtype):
+    """The answers to one block of owners, as one row (rid, found) per owner."""
+    def gathered(t: pa.Table) -> pa.Table:
+        owner, values = np.repeat(_as(t["owners"], np.int64), _as(t["counts"], np.uint32)), _as(t["found"], dtype)
+        order = np.argsort(owner, kind="stable")
+        owner, values = owner[order], np.ascontiguousarray(values[order])
+        start, _ = _runs(owner)
+        return pa.table({"rid": pa.array(owner[start], pa.int64()),
+                         "found": pa.array(tv.blobs(values, np.append(start, len(owner))), pa.binary())})
+    return gathered
 
 
 def _kind(t: pa.Table, kind: int) -> pa.Table:
     return t.filter(pa.compute.equal(t["kind"], kind))
 
 
-def shared_anchors(t: pa.Table) -> pa.Table:
+def shared_anchors(t: pa.Table, blocks: int) -> pa.Table:
     """One index block: the anchors that more than one document holds, by document."""
     new, known, passed = (_kind(t, k) for k in (NEW, KNOWN, PASS))
     value, owner = _as(new["keys"], np.uint64), np.repeat(_as(new["owners"], np.int64), _as(new["counts"], np.uint32))
     distinct, at, n = np.unique(value, return_inverse=True, return_counts=True)
     shared = (n > 1) | np.isin(distinct, _as(known["keys"], np.uint64))
     hit = shared[at] if len(value) else np.zeros(0, bool)
-    return _per_owner(np.concatenate([owner[hit], np.repeat(_as(passed["owners"], np.int64), _as(passed["counts"], np.uint32))]),
-                      np.concatenate([value[hit], _as(passed["keys"], np.uint64)]), "anchors")
+    return _packed(np.concatenate([owner[hit], np.repeat(_as(passed["owners"], np.int64), _as(passed["counts"], np.uint32))]),
+                   np.concatenate([value[hit], _as(passed["keys"], np.uint64)]), blocks)
 
 
 def factor_rows(batches, blocks: int, window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -167,9 +190,9 @@ def factor_rows(batches, blocks: int, window: int, gram: int) -> Iterator[pa.Rec
             s, e, upto = tv.words(data, off)
             h = tv.span_hash(data, s, e)
             start, value, doc = window_anchors(h, upto, window, gram)
-            lists = rows.column("anchors").to_pylist()
-            sizes = np.array([sum(map(len, x)) // 8 for x in lists], np.int64)
-            known = np.frombuffer(b"".join(y for x in lists for y in x), np.uint64)
+            lists = rows.column("found").to_pylist()
+            sizes = np.array([len(x) // 8 for x in lists], np.int64)
+            known = np.frombuffer(b"".join(lists), np.uint64)
             key = lambda v, d: tv.mix(v + (d.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
             hit = np.isin(key(value, doc), key(known, np.repeat(np.arange(len(rid)), sizes)))
             start, doc = start[hit], doc[hit]
@@ -204,7 +227,7 @@ def factor_rows(batches, blocks: int, window: int, gram: int) -> Iterator[pa.Rec
                                              names=["block", "kind", "w1", "w2", "pos", "counts", "owners", "idents"])
 
 
-def repeated_windows(t: pa.Table) -> pa.Table:
+def repeated_windows(t: pa.Table, blocks: int) -> pa.Table:
     """One block of fingerprints: positions whose window a smaller doc_id has, by document."""
     new, passed = _kind(t, NEW), _kind(t, PASS)
     counts = _as(new["counts"], np.uint32)
@@ -214,8 +237,8 @@ def repeated_windows(t: pa.Table) -> pa.Table:
     w1, w2, pos, owner, ident = w1[order], w2[order], pos[order], owner[order], ident[order]
     first = np.flatnonzero(_changes(w1, w2))
     later = ident > np.repeat(ident[first], np.diff(np.append(first, len(w1))))
-    return _per_owner(np.concatenate([owner[later], np.repeat(_as(passed["owners"], np.int64), _as(passed["counts"], np.uint32))]),
-                      np.concatenate([pos[later], _as(passed["pos"], np.uint32)]), "positions")
+    return _packed(np.concatenate([owner[later], np.repeat(_as(passed["owners"], np.int64), _as(passed["counts"], np.uint32))]),
+                   np.concatenate([pos[later], _as(passed["pos"], np.uint32)]), blocks)
 
 
 def kept_rows(batches, window: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +246,9 @@ def kept_rows(batches, window: int, keep: list[str]) -> Iterator[pa.RecordBatch]
         for rows, data, off in tv.slices(batch, "text"):
             s, e, upto = tv.words(data, off)
             n = np.diff(upto)
-            lists = [x or [] for x in rows.column("positions").to_pylist()]
-            sizes = np.array([sum(map(len, x)) // 4 for x in lists], np.int64)
-            start = np.frombuffer(b"".join(y for x in lists for y in x), np.uint32).astype(np.int64) + np.repeat(upto[:-1], sizes)
+            lists = [x or b"" for x in rows.column("found").to_pylist()]
+            sizes = np.array([len(x) // 4 for x in lists], np.int64)
+            start = np.frombuffer(b"".join(lists), np.uint32).astype(np.int64) + np.repeat(upto[:-1], sizes)
             cover = np.zeros(len(s) + 1, np.int64)
             np.add.at(cover, start, 1)
             np.add.at(cover, start + window, -1)
@@ -270,14 +293,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     anchors = (src.select("rid", "text")
                .mapInArrow(lambda it: anchor_rows(it, blocks, window, gram),
                            "block long, kind int, keys binary, counts binary, owners binary")
-               .groupBy("block").applyInArrow(shared_anchors, "rid long, anchors binary")
-               .groupBy("rid").agg(F.collect_list("anchors").alias("anchors")))
-    positions = (src.join(anchors, "rid").select("rid", F.coalesce("doc_id", F.lit(NULL_ID)).alias("ident"), "text", "anchors")
+               .groupBy("block").applyInArrow(lambda t: shared_anchors(t, blocks), PACKED)
+               .groupBy("to").applyInArrow(_per_owner(np.uint64), "rid long, found binary"))
+    positions = (src.join(anchors, "rid").select("rid", F.coalesce("doc_id", F.lit(NULL_ID)).alias("ident"), "text", "found")
                  .mapInArrow(lambda it: factor_rows(it, blocks, window, gram),
                              "block long, kind int, w1 binary, w2 binary, pos binary, counts binary, owners binary, idents binary")
-                 .groupBy("block").applyInArrow(repeated_windows, "rid long, positions binary")
-                 .groupBy("rid").agg(F.collect_list("positions").alias("positions")))
-    return (src.join(positions, "rid", "left").select("doc_id", "text", "positions")
+                 .groupBy("block").applyInArrow(lambda t: repeated_windows(t, blocks), PACKED)
+                 .groupBy("to").applyInArrow(_per_owner(np.uint32), "rid long, found binary"))
+    return (src.join(positions, "rid", "left").select("doc_id", "text", "found")
             .mapInArrow(lambda it: kept_rows(it, window, ["doc_id"]),
                         "doc_id long, n_words long, n_removed long, factors array<struct<start:int,end:int>>, kept_text string"))
 
