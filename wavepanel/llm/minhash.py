@@ -22,7 +22,8 @@ nodes gives n - 1 links to its smallest node, not all pairs; links are verified
 on the multisets, the best link of each node first, others only while their ends
 lie in different components.  Buckets that still hold several components are
 then resolved pair by pair across components, so no link between components is
-lost.  Multisets are read again from the texts of the nodes that have a
+lost; a pair is left out only if its sizes, less the shingles that no other node
+of these buckets has, rule the threshold out.  Multisets are read again from the texts of the nodes that have a
 candidate, never kept for all documents.
 """
 
@@ -165,6 +166,20 @@ def bags(docs: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame:
             .join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
+def alone(bag: DataFrame) -> DataFrame:
+    """(node, own): how many of a node's shingles, counted, no other of these nodes has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, grams, counts in zip(batch["node"].to_pylist(), batch["grams"].to_pylist(), batch["counts"].to_pylist()):
+                gram = np.frombuffer(grams, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(gram), pa.binary()), pa.array(gram),
+                                                  pa.array(np.frombuffer(counts, np.uint32).astype(np.int64))], names=["node", "gram", "n"])
+
+    return (bag.select("node", "grams", "counts").mapInArrow(run, "node binary, gram long, n long")
+            .groupBy("gram").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node"), F.min("n").alias("n"))
+            .where("nodes = 1").groupBy("node").agg(F.sum("n").alias("own")))
+
+
 def overlap(a_grams: bytes, a_counts: bytes, b_grams: bytes, b_counts: bytes) -> int:
     """Sum of the smaller counts of two multisets (shingles sorted)."""
     a, b = np.frombuffer(a_grams, np.uint64), np.frombuffer(b_grams, np.uint64)
@@ -248,8 +263,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
     placed = stored(placed.join(mixed, "band").select("band", "node", "size", "component"), "minhash-mixed")
     if not placed.isEmpty():
-        x, y = (placed.select("band", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("component").alias(f"c{n}")) for n in "ab")
-        cross = (x.join(y, "band").where((F.col("ca") < F.col("cb")) & fits(F.col("sa"), F.col("sb")))
+        own = alone(bags(docs, nodes.join(placed.select("node").distinct(), "node", "left_semi"), k))
+        # the most that a node can share: shingles that no other node of these buckets has are lost
+        placed = (placed.join(own, "node", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0)))
+                  .where(F.col("most") >= threshold * F.col("size") - 1e-9).drop("own"))
+        x, y = (placed.select("band", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("most").alias(f"m{n}"),
+                              F.col("component").alias(f"c{n}")) for n in "ab")
+        both = F.least("ma", "mb")
+        cross = (x.join(y, "band").where((F.col("ca") < F.col("cb")) & (both >= threshold * (F.col("sa") + F.col("sb") - both) - 1e-9))
                  .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
                  .join(star.select("a", "b"), ["a", "b"], "left_anti"))
         cross = stored(cross, "minhash-cross")
