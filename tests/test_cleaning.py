@@ -78,16 +78,29 @@ def test_prune_differential_random(spark):
             assert g["full_time_equivalent"].sum() <= 1.4 + 1e-9 or len(g) == 1
 
 
-def test_prune_streaming_path_matches(spark):
-    """Groups above `fold_limit` take the sorted streaming walk; same result."""
+def test_prune_hot_groups(spark):
+    """Hundreds of rows in a group, many of one weight: the bounded lists lose nothing."""
     rnd = random.Random(11)
-    rows = [(i, f"e{rnd.randrange(8)}", D, rnd.choice(["Limited Appointee", None]),
-             float(rnd.randrange(1, 30) * 1000), rnd.randrange(0, 60) / 100) for i in range(1, 600)]
+    rows = [(i, f"e{rnd.randrange(3)}", D, rnd.choice(["Limited Appointee", None]),
+             float(rnd.randrange(1, 30) * 1000), rnd.choice([0.0, 0.05, 0.1, 0.25, rnd.randrange(0, 60) / 100])) for i in range(1, 900)]
     pdf = pd.DataFrame(rows, columns=["_row_seq", "id", "Date", "employee_category",
                                       "current_annual_contracted_salary", "full_time_equivalent"])
     df = spark.createDataFrame(pdf, SCHEMA)
-    walked = sorted(r._row_seq for r in C.prune_overallocated(df, CLEAN, fold_limit=5).collect())
-    assert walked == _pandas_prune(pdf)
+    for salts in (1, 7):
+        assert sorted(r._row_seq for r in C.prune_overallocated(df, CLEAN, salts=salts).collect()) == _pandas_prune(pdf)
+
+
+def test_prune_null_keys_and_plan(spark):
+    df = spark.createDataFrame([(1, None, D, None, 10.0, 1.0), (2, None, D, None, 9.0, 1.0), (3, "a", None, None, 9.0, 1.0),
+                                (4, "a", D, None, None, 1.0), (5, "a", D, None, 5.0, 1.0), (6, "b", D, None, 5.0, None)], SCHEMA)
+    out = C.prune_overallocated(df, CLEAN)
+    assert out.columns == df.columns
+    assert sorted(r._row_seq for r in out.collect()) == [1, 3, 5, 6]
+    import tempfile
+    path = tempfile.mkdtemp(prefix="wavepanel-test-") + "/t"
+    df.write.parquet(path)
+    plan = C.prune_overallocated(spark.read.parquet(path), CLEAN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 4 and "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_prune_is_idempotent(spark):
@@ -160,6 +173,9 @@ def test_deflate_latest_fill_and_asof(spark):
     assert latest == {1: 1.2, 2: 1.5, 3: 1.2}
     asof = {r._row_seq: r["2021_Index"] for r in deflate(panel, idx, CLEAN, mode="asof").collect()}
     assert asof == {1: None, 2: 1.5, 3: 1.2}
+    cpi = idx.withColumn("CPI", F.lit(300.0) / F.col("CPI_2021_Index"))
+    got = deflate(panel, cpi, CLEAN, carry=["CPI", "CPI_2021_Index"]).collect()
+    assert {r._row_seq: (r.CPI, r.CPI_2021_Index) for r in got} == {1: (250.0, 1.2), 2: (200.0, 1.5), 3: (250.0, 1.2)}
 
 
 def test_job_dimension_null_safe(spark):

@@ -1,21 +1,21 @@
 """Cleaning job: raw snapshot rows -> panel (K1, K2; B1-B11, C1-C3, E4-E6).
 
-One lazy plan.  Shuffles: the name-key aggregate of the hire-date fix, the
-(id, Date) aggregate that finds over-allocated groups (its exchange is
-reused by the join back and by the fold), and the dedup aggregate.
-Dimension tables (price index, job codes) are bounded and broadcast.
+Shuffles: the name-key aggregate of the hire-date fix, the dedup aggregate
+(whose result is stored), and the (id, Date) aggregate and joins of the pruning.
+The price index has one row per month and is broadcast; the job dimension is
+joined by AQE's size check.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import CLEAN, PanelCols
 from ..functions import keys as K
 from ..functions.lookups import CATEGORY_RECODE, MAX_TOTAL_FTE
 from ..functions.numeric import round_half_up
+from ..session import materialize
 from .deflate import deflate
 from .primary import exact_dedup
 
@@ -52,29 +52,8 @@ def _limited_flag(df: DataFrame, cols: PanelCols, limited_col: str | None) -> Co
     return F.coalesce(F.lower(F.col(cols.category)).contains("limited"), F.lit(False))
 
 
-def _walk_sorted(limit: float, w: str, seq: str, keys: list[str]):
-    """mapInPandas body: walk candidate rows sorted by (group, order) and keep
-    a row iff running kept total + its weight <= limit.  State is one group's
-    running total, carried across Arrow batches: memory does not grow with
-    the group."""
-    def run(batches):
-        cur, total = None, None
-        for pdf in batches:
-            keep = []
-            for key, wt, pf in zip(zip(*[pdf[k] for k in keys]), pdf[w], pdf["_pf"]):
-                if key != cur:
-                    cur, total = key, pf
-                nxt = total + wt
-                ok = nxt <= limit
-                if ok:
-                    total = nxt
-                keep.append(ok)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-    return run
-
-
 def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = MAX_TOTAL_FTE,
-                        limited_col: str | None = None, fold_limit: int = 100_000) -> DataFrame:
+                        limited_col: str | None = None, salts: int = 64) -> DataFrame:
     """Prune the rows of (id, date) groups whose total weight exceeds `limit`.
 
     Primary row: the highest-measure "limited" row if the group has one, else
@@ -84,79 +63,57 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
     budget.  A null weight is never admitted, and a null-weight primary
     admits nobody.
 
-    Most rows are decided without the sequential walk: groups under the limit
-    are kept whole; with non-negative weights the kept total stays within
-    [primary, limit], so zero-weight rows are always admitted and rows that
-    do not fit beside the primary alone never are.  The remaining candidates
-    of an over-limit group are walked in order:
-    * groups of up to `fold_limit` rows: a JVM-side fold (`aggregate`) over
-      the group's measure-sorted candidate list;
-    * larger (hot) groups: rows shuffled by group, sorted within the
-      partition and walked by `mapInPandas` with constant memory -- no group
-      is ever collected into one value.
+    The plan reads `df` three times and is native throughout:
+    1. per group the total, smallest weight and primary (one grouped aggregate,
+       combined map-side); groups above the limit are kept;
+    2. their undecided rows.  With non-negative weights the kept total stays
+       within [primary, limit], so zero weights are always admitted, rows that
+       do not fit beside the primary never are, and of the rows of one weight w
+       at most floor((limit - primary) / w) + 1 can be admitted (one more for
+       rounding): the first ones in visiting order.  Only those are kept, by a
+       top-k inside salted parts of (group, weight) and one over the survivors,
+       so no window holds a hot group's rows; they are folded per group;
+    3. the rows meet the group's result and are filtered.
+    Groups with negative weights have no such bound and are folded whole.
     """
     keys = [cols.id, cols.date]
     w, m, seq = F.col(cols.weight), F.col(cols.measure), F.col(cols.seq)
     x = df.withColumn("_lim", _limited_flag(df, cols, limited_col))
-    # Totals per group: a hash aggregate, combined map-side, so a hot
-    # (id, date) group is pre-reduced on every executor.
-    over_groups = (x.groupBy(*keys).agg(
-        F.sum(cols.weight).alias("_tot"),
-        F.min(cols.weight).alias("_minw"),
-        F.count(F.lit(1)).alias("_n"))
-        # The total is compared at 1e-9 so that the result does not depend on
-        # the (partition-dependent) order of the floating-point sum.
-        .where(round_half_up("_tot", 9) > F.lit(limit)))
-    j = x.join(over_groups, keys, "left")
-    # The primary row is searched only inside over-limit groups (usually a
-    # small share of the panel; the struct-ordered max_by is sort-based).  The
-    # rows are already partitioned by the group keys after the join, so the
-    # aggregate and the join back need no further shuffle of the panel.
-    primaries = (j.where(F.col("_tot").isNotNull()).groupBy(*keys)
-                  .agg(F.max_by(F.struct(seq.alias("p_seq"), w.alias("p_fte")),
-                                F.struct(F.col("_lim").cast("int"), m, -seq)).alias("_p")))
-    j = j.join(primaries, keys, "left")
-    over = F.col("_tot").isNotNull()
-    p_seq, p_fte = F.col("_p.p_seq"), F.col("_p.p_fte")
+    over = (x.groupBy(*keys).agg(
+        F.sum(cols.weight).alias("_tot"), F.min(cols.weight).alias("_minw"),
+        F.max_by(F.struct(seq.alias("seq"), w.alias("w")), F.struct(F.col("_lim").cast("int"), m, -seq)).alias("_p"))
+        # compared at 1e-9: the order of a distributed floating-point sum must not matter
+        .where(round_half_up("_tot", 9) > F.lit(limit))
+        .select(F.col(cols.id).alias("_id"), F.col(cols.date).alias("_date"), "_minw",
+                F.col("_p.seq").alias("_pseq"), F.col("_p.w").alias("_pw")))
+    same = F.col(cols.id).eqNullSafe(F.col("_id")) & F.col(cols.date).eqNullSafe(F.col("_date"))
     nonneg = F.col("_minw") >= 0
-    decided = (F.when(~over, F.lit(True))
-                .when(seq == p_seq, F.lit(True))
-                .when(p_fte.isNull() | w.isNull(), F.lit(False))
-                .when(nonneg & (p_fte + w > F.lit(limit)), F.lit(False))
+    decided = (F.when(seq == F.col("_pseq"), F.lit(True))
+                .when(F.col("_pw").isNull() | w.isNull(), F.lit(False))
+                .when(nonneg & (F.col("_pw") + w > F.lit(limit)), F.lit(False))
                 .when(nonneg & (w == 0), F.lit(True)))
-    j = j.withColumn("_decided", decided).withColumn("_big", F.coalesce(F.col("_n") > fold_limit, F.lit(False)))
-    helper = ["_lim", "_tot", "_minw", "_n", "_p", "_decided", "_big"]
-
-    # (1) small groups: fold over the sorted candidate list
-    small = j.where(~F.col("_big"))
-    cand = small.where(F.col("_decided").isNull())
-    ordered = F.sort_array(F.collect_list(F.struct(
-        m.isNull().alias("a"), (-m).alias("b"), seq.alias("c"), w.alias("fte"))))
-    init = F.struct(F.first(p_fte).alias("total"), F.array().cast("array<bigint>").alias("kept"))
-    folded = cand.groupBy(*keys).agg(ordered.alias("_arr"), init.alias("_init"))
+    visit = F.struct(m.isNull().alias("a"), (-m).alias("b"), seq.alias("c"), w.alias("fte"))
+    most = F.when(nonneg, F.floor((F.lit(limit) - F.col("_pw")) / w) + F.lit(2))
+    c = (x.join(over, same).withColumn("_open", decided.isNull())
+          .withColumn("_visit", F.when(F.col("_open"), visit)).withColumn("_most", F.when(F.col("_open"), most))
+          .withColumn("_salt", F.pmod(F.xxhash64(seq), F.lit(salts)))
+          .select("_id", "_date", "_minw", "_pseq", "_pw", w.alias("_w"), "_open", "_visit", "_most", "_salt"))
+    for part in (["_id", "_date", "_w", "_salt"], ["_id", "_date", "_w"]):
+        rank = F.row_number().over(Window.partitionBy(*part, "_open").orderBy("_visit"))
+        # decided rows carry nothing on; one per part keeps the group in the result
+        c = c.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("_open"), F.coalesce("_most", F.col("_r"))).otherwise(F.lit(1)))
+    init = F.struct(F.first("_pw").alias("total"), F.array().cast("array<bigint>").alias("kept"))
+    folded = c.groupBy("_id", "_date", "_minw", "_pseq", "_pw").agg(F.sort_array(F.collect_list("_visit")).alias("_rows"), init.alias("_init"))
 
     def step(acc, r):
         nxt = acc["total"] + r["fte"]
         ok = F.coalesce(nxt <= F.lit(limit), F.lit(False))
         return F.struct(F.when(ok, nxt).otherwise(acc["total"]).alias("total"),
-                        F.when(ok, F.array_append(acc["kept"], r["c"].cast("bigint")))
-                         .otherwise(acc["kept"]).alias("kept"))
-
-    kept = folded.select(*keys, F.aggregate("_arr", F.col("_init"), step)["kept"].alias("_kept"))
-    keep = F.coalesce(F.col("_decided"),
-                      F.coalesce(F.array_contains("_kept", seq.cast("bigint")), F.lit(False)))
-    out_small = small.join(kept, keys, "left").where(keep).drop(*helper, "_kept")
-
-    # (2) hot groups: decided rows directly, candidates by a streaming walk
-    big = j.where(F.col("_big"))
-    out_big_decided = big.where(F.coalesce(F.col("_decided"), F.lit(False))).drop(*helper)
-    walk_in = (big.where(F.col("_decided").isNull()).withColumn("_pf", p_fte)
-                  .withColumn("_a", m.isNull()).withColumn("_b", -m)
-                  .drop(*helper))
-    walk_in = walk_in.repartition(*keys).sortWithinPartitions(*keys, "_a", "_b", cols.seq)
-    walked = walk_in.mapInPandas(_walk_sorted(limit, cols.weight, cols.seq, keys), walk_in.schema)
-    out_big_walk = walked.drop("_pf", "_a", "_b")
-    return out_small.unionByName(out_big_decided).unionByName(out_big_walk)
+                        F.when(ok, F.array_append(acc["kept"], r["c"].cast("bigint"))).otherwise(acc["kept"]).alias("kept"))
+
+    groups = folded.select("_id", "_date", "_minw", "_pseq", "_pw", F.aggregate("_rows", F.col("_init"), step)["kept"].alias("_kept"))
+    stays = F.coalesce(decided, F.array_contains("_kept", seq.cast("bigint")), F.lit(False))
+    return x.join(groups, same, "left").where(F.col("_pseq").isNull() | stays).select(*[F.col(f"`{k}`") for k in df.columns])
 
 
 def add_analysis_flags(df: DataFrame, cols: PanelCols = CLEAN, faculty_label: str = "Faculty",
@@ -198,8 +155,11 @@ def clean_panel(raw: DataFrame, price: DataFrame | None, jobs: DataFrame | None
                 hire_cutoff=None, category_map=None, division_map=None,
                 cols: PanelCols = CLEAN, limit: float = MAX_TOTAL_FTE,
                 price_date: str = "Date", price_value: str = "CPI_2021_Index",
-                price_mode: str = "latest") -> DataFrame:
-    """K1: the reference's cleaning order, as one lazy plan.
+                price_mode: str = "latest", store: bool = True) -> DataFrame:
+    """K1: the reference's cleaning order.
+
+    With `store` the deduplicated rows are written once to the shared folder
+    (pruning reads them three times); without it the whole job is one lazy plan.
 
     hire-date fix -> id -> category recode -> exact dedup -> over-allocation
     pruning -> job-code normalisation -> division recode -> derived columns ->
@@ -213,6 +173,8 @@ def clean_panel(raw: DataFrame, price: DataFrame | None, jobs: DataFrame | None
                                                CATEGORY_RECODE if category_map is None else category_map))
     dedup_keys = [c for c in DEDUP_COLUMNS if c in df.columns]
     df = exact_dedup(df, dedup_keys, cols.seq)
+    if store:
+        df = materialize(df, "deduplicated")
     df = prune_overallocated(df, cols, limit)
     df = df.withColumn(cols.jobcode, K.normalize_jobcode(cols.jobcode))
     df = df.withColumn(cols.division, K.recode(cols.division, division_map or {}))
@@ -222,7 +184,8 @@ def clean_panel(raw: DataFrame, price: DataFrame | None, jobs: DataFrame | None
             .withColumn("JobGroupCode", K.job_group_prefix(cols.jobcode))
             .withColumn("JobNumber", K.job_number(cols.jobcode)))
     if price is not None:
-        df = deflate(df, price, cols, idx_date=price_date, idx_val=price_value, mode=price_mode)
+        df = deflate(df, price, cols, idx_date=price_date, idx_val=price_value, mode=price_mode,
+                     carry=[c for c in ("CPI", "CPI_2021_Index") if c in price.columns])
     if jobs is not None:
         df = attach_job_dimension(df, jobs, cols)
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import CLEAN, PanelCols
@@ -19,43 +19,35 @@ def base_index(cpi: DataFrame, base_date, date_col: str = "Date", cpi_col: str =
     return cpi.withColumn(out, F.try_divide(base, F.col(cpi_col)))
 
 
-def _index_per_date(panel: DataFrame, index: DataFrame, cols: PanelCols, idx_date: str,
-                    idx_val: str, mode: str) -> DataFrame:
-    """Index value for every snapshot date of the panel (bounded: #snapshots rows)."""
-    dates = panel.select(F.col(cols.date).alias("_d")).distinct()
-    exact = index.select(F.col(idx_date).alias("_d"), F.col(idx_val).alias("_v"))
-    if mode == "latest":
-        # The reference fills every miss with the globally latest non-null row.
-        latest = (index.where(F.col(idx_val).isNotNull())
-                       .agg(F.max_by(F.col(idx_val), F.col(idx_date)))).scalar()
-        return (dates.join(F.broadcast(exact), "_d", "left")
-                     .select("_d", F.coalesce(F.col("_v"), latest).alias("_idx")))
-    if mode == "asof":
-        # Nearest prior non-null row: union the calendar with the index and
-        # carry the last value forward.  Both inputs are bounded (snapshot
-        # dates, index months) so the single ordered window is tiny.
-        u = (exact.where(F.col("_v").isNotNull()).withColumn("_is_idx", F.lit(1))
-                  .unionByName(dates.withColumn("_v", F.lit(None).cast("double"))
-                                    .withColumn("_is_idx", F.lit(0))))
-        w = Window.orderBy("_d", F.col("_is_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        return (u.withColumn("_idx", F.last("_v", ignorenulls=True).over(w))
-                 .where(F.col("_is_idx") == 0).select("_d", "_idx"))
-    raise ValueError(f"unknown mode {mode!r}")
-
-
-def deflate(panel: DataFrame, index: DataFrame, cols: PanelCols = CLEAN,
-            idx_date: str = "Date", idx_val: str = "CPI_2021_Index", mode: str = "latest") -> DataFrame:
+def deflate(panel: DataFrame, index: DataFrame, cols: PanelCols = CLEAN, idx_date: str = "Date",
+            idx_val: str = "CPI_2021_Index", mode: str = "latest", carry: list[str] | None = None) -> DataFrame:
     """C1 + B8 + B10: attach the index and derive nominal and real measures.
 
     Adds ``cols.index``, ``cols.weighted`` (measure x weight),
-    ``cols.real_weighted`` and ``cols.real_measure``.  The per-date index
-    table has one row per snapshot date, so it is broadcast.
+    ``cols.real_weighted``, ``cols.real_measure`` and the index columns named in
+    `carry`.  The panel is read once.  mode="latest" joins the index (one row
+    per month, broadcast) on the date and fills every miss with the latest
+    non-null row (the reference's rule); mode="asof" takes the nearest earlier
+    non-null row, looked up in the sorted months (one small array value).
     """
-    per_date = _index_per_date(panel, index, cols, idx_date, idx_val, mode)
+    values = [idx_val, *[c for c in carry or [] if c != idx_val]]
+    known = index.where(F.col(idx_val).isNotNull()).select(F.col(idx_date).alias("d"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    row = F.struct("d", *[f"v{i}" for i in range(len(values))])
+    if mode == "latest":
+        last = known.agg(F.max_by(row, "d")).scalar()
+        months = F.broadcast(index.select(F.col(idx_date).alias("_d"), *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)]))
+        out = panel.join(months, F.col(cols.date) == F.col("_d"), "left").drop("_d")
+        found = [F.coalesce(F.col(f"_v{i}"), last[f"v{i}"]) for i in range(len(values))]
+    elif mode == "asof":
+        months = known.agg(F.sort_array(F.collect_list(row))).scalar()
+        out = panel.withColumn("_months", months)
+        out = out.withColumn("_m", F.try_element_at(F.filter("_months", lambda r: r["d"] <= F.col(cols.date)), F.lit(-1)))
+        found = [F.col("_m")[f"v{i}"] for i in range(len(values))]
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
     m, w = F.col(cols.measure), F.col(cols.weight)
-    out = (panel.join(F.broadcast(per_date), F.col(cols.date) == F.col("_d"), "left")
-                .drop("_d")
-                .withColumnRenamed("_idx", cols.index))
+    out = out.withColumns({cols.index: found[0], **{c: found[values.index(c)] for c in carry or []}})
+    out = out.drop("_m", "_months", *[f"_v{i}" for i in range(len(values))])
     return (out.withColumn(cols.weighted, m * w)
                .withColumn(cols.real_weighted, m * w * F.col(cols.index))
                .withColumn(cols.real_measure, m * F.col(cols.index)))
