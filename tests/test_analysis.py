@@ -237,3 +237,37 @@ def test_rounding_of_large_sums_and_formats(spark):
                               round_half_up(F.lit(-2.675), 1).alias("c"), round_half_up(F.lit(None).cast("double")).alias("d"),
                               signed_money(F.lit(1234.4)).alias("e"), signed_money(F.lit(-1234.6)).alias("f")).first()
     assert tuple(r) == (3.2e15, 1e16, -2.7, None, "$+1,234", "$-1,235")
+
+
+def test_buckets_survive_outliers(spark):
+    from wavepanel.operators.aggregate import exact_quantiles, exact_quantiles_of, value_buckets
+    df = spark.range(20000).select(F.lit("g").alias("k"), (F.col("id") * 1.0).alias("v")).unionByName(
+        spark.createDataFrame([("g", 1e12), ("g", float("nan")), ("g", None)], "k STRING, v DOUBLE"))
+    share = [r["count"] for r in value_buckets(df, ["k"], "v").groupBy("_b").count().collect()]
+    assert max(share) < 20001 * 0.05 and sum(share) == 20001
+    assert exact_quantiles(df, ["k"], "v", (0.5, 0.995, 1.0)).first().asDict() == {"k": "g", "p50": 10000.0, "p99_5": 19900.0, "p100": 1e12}
+    two = exact_quantiles_of(df.withColumn("w", -F.col("v")), ["k"], {"v": "a", "w": {0.5: "b", 0.0: "c"}}).first()
+    assert (two.a, two.b, two.c) == (10000.0, -10000.0, -1e12)
+
+
+def test_plan_numbers_without_a_global_window(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([1, 2, 3]), rnd.choice([None, *[float(rnd.randrange(1, 60) * 250)] * 5])) for i in range(500)]
+    df = spark.createDataFrame(rows, "_seq BIGINT, phase INT, salary DOUBLE")
+    got = {r._seq: r.line for r in S.number_plan(df).collect()}
+    want = sorted(rows, key=lambda r: (r[1], r[2] is None, -(r[2] or 0), r[0]))
+    assert got == {r[0]: i for i, r in enumerate(want, 1)}
+
+
+def test_take_until_edges(spark):
+    df = spark.createDataFrame([(i, 100.0) for i in range(50)] + [(99, None)], "seq BIGINT, s DOUBLE")
+    ids = lambda t: sorted(r.seq for r in S.take_until(df, "s", t, "seq").collect())
+    assert ids(0.0) == [] and ids(250.0) == [0, 1, 2] and ids(300.0) == [0, 1, 2] and ids(1e9) == list(range(50))
+
+
+def test_matching_with_many_equal_salaries(spark):
+    plan = spark.createDataFrame([(i, "D", "T", 100.0) for i in range(1, 4)], "line BIGINT, department STRING, title STRING, salary DOUBLE")
+    recs = spark.createDataFrame([(i, "D", "T", 100.0) for i in range(500)], "rid BIGINT, dept STRING, title STRING, s DOUBLE")
+    out = {r.line: r.record for r in tolerance_match(plan, recs, "dept", "title", "s", "rid").collect()}
+    assert out == {1: 0, 2: 1, 3: 2}

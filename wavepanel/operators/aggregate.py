@@ -205,29 +205,50 @@ def _qname(q: float) -> str:
     return "p" + (text.zfill(2) if "." not in text else text.replace(".", "_"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,),
-                    buckets: int = 1024) -> DataFrame:
+def value_buckets(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
+    """(keys, value, _c, _n, _b): the distinct values of each group with their
+    multiplicities, the group's size and a bucket number that rises with the
+    value.
+
+    Bucket edges are approximate quantiles of the group's distinct values (a
+    bounded sketch per group), so outliers and long tails do not crowd one
+    bucket: each holds about 1/`buckets` of the distinct values.  Nulls and
+    NaNs are no values.
+    """
+    vals = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = vals.groupBy(*keys).agg(F.percentile_approx(value, cuts, 16 * buckets).alias("_edges"), F.sum("_c").alias("_n"))
+    return (vals.join(edges, keys).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges"))
+
+
+def exact_quantiles_of(df: DataFrame, keys: list[str], values: dict[str, dict[float, str] | str]) -> DataFrame:
+    """Exact quantiles of several measures in a single pass: `values` maps a
+    measure to the names of its quantiles (or just its median's).  The measures
+    become a key column."""
+    names = {v: {0.5: n} if isinstance(n, str) else n for v, n in values.items()}
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("v")) for v in values]))
+                     .alias("_x")).select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
+    found = exact_quantiles(long, [*keys, "_m"], "_v", tuple(sorted({q for n in names.values() for q in n})))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == v, F.col(_qname(q)))).alias(name)
+                                      for v, n in names.items() for q, name in n.items()])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,), buckets: int = 64) -> DataFrame:
     """Exact quantiles per group (linear interpolation between the order
     statistics at (n-1)q, as numpy and SQL `percentile`) without holding a
     group's values in one task.
 
-    1. rows -> (group, distinct value, multiplicity), combined map-side;
-    2. each group's value range is cut into `buckets` equal-width buckets;
-       bucket counts and a running count over the buckets (at most `buckets`
+    1. rows -> (group, distinct value, multiplicity), combined map-side, in
+       buckets between quantiles of the data (`value_buckets`);
+    2. bucket counts and a running count over the buckets (at most `buckets`
        rows per group) give every bucket its range of positions;
     3. only the buckets that contain a requested position are ranked, by a
        running count over their distinct values (a spilling window per
        (group, bucket)), and hash aggregates pick the order statistics.
     """
     k = list(keys)
-    vals = (df.where(F.col(value).isNotNull())
-              .groupBy(*k, value).agg(F.count(F.lit(1)).alias("_c")))
-    rng = vals.groupBy(*k).agg(F.min(value).alias("_lo_v"), F.max(value).alias("_hi_v"),
-                               F.sum("_c").alias("_n"))
-    width = (F.col("_hi_v") - F.col("_lo_v")) / F.lit(float(buckets))
-    bk = F.when(F.col("_hi_v") == F.col("_lo_v"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col(value) - F.col("_lo_v")) / width), F.lit(buckets - 1))).cast("int")
-    v = vals.join(rng, k).withColumn("_b", bk)
+    v = value_buckets(df, k, value, buckets)
     bc = v.groupBy(*k, "_b", "_n").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bc = bc.withColumn("_bstart", F.coalesce(F.sum("_bc").over(wb), F.lit(0)))
@@ -293,7 +314,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20, keys: list[str] | None
     the counting itself is one more grouped aggregate.
     """
     keys = keys or []
-    base = df.where(F.col(value).isNotNull())
+    base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if keys:
         # one row per group; AQE broadcasts it at run time when it is small
         rng = base.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..columns import CLEAN, PanelCols
 from ..functions.numeric import pct_change
 from ..functions.text import keyword_category
-from .aggregate import exact_quantiles
+from .aggregate import exact_quantiles_of
 from .primary import pick_one
 
 ORIGINAL = "Administration (original)"
@@ -57,18 +57,11 @@ def cohort_moves(df: DataFrame, start, end, admin_units: list[str], keywords,
 def group_summary(merged: DataFrame, keys: list[str], quartiles: bool = True) -> DataFrame:
     """N, medians of start/end measure, median/mean % change (+ quartiles).
 
-    Exact quantiles by `exact_quantiles` (a group may hold most rows)."""
+    Exact quantiles of all three measures in one pass (a group may hold most rows)."""
     base = merged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("pct_change").alias("mean_pct"))
-    qs = (0.25, 0.5, 0.75) if quartiles else (0.5,)
-    pct = exact_quantiles(merged, keys, "pct_change", qs).withColumnRenamed("p50", "median_pct")
-    if quartiles:
-        pct = pct.withColumnRenamed("p25", "pct_25").withColumnRenamed("p75", "pct_75")
-    out = (base.join(pct, keys, "left")
-               .join(exact_quantiles(merged, keys, "salary_start").withColumnRenamed("p50", "median_start"),
-                     keys, "left")
-               .join(exact_quantiles(merged, keys, "salary_end").withColumnRenamed("p50", "median_end"),
-                     keys, "left"))
-    return out
+    pct = {0.25: "pct_25", 0.5: "median_pct", 0.75: "pct_75"} if quartiles else {0.5: "median_pct"}
+    found = exact_quantiles_of(merged, keys, {"pct_change": pct, "salary_start": "median_start", "salary_end": "median_end"})
+    return base.join(found, keys, "left")
 
 
 def first_move_dates(df: DataFrame, merged: DataFrame, admin_units: list[str], cols: PanelCols = CLEAN,

@@ -23,6 +23,8 @@ MATCH_SCHEMA = StructType([
     StructField("line", LongType()), StructField("record", LongType()), StructField("matched_salary", DoubleType()),
 ])
 
+SALTS = 64
+
 
 def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
     # rows: one per (plan line, candidate) pair within the tolerance
@@ -48,9 +50,17 @@ def tolerance_match(plan: DataFrame, records: DataFrame, unit: str, title: str,
     t = float(tolerance)
     p = (plan.withColumn("_b0", F.floor(F.col("salary") / F.lit(t)))
              .withColumn("_bk", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1))))
-    r = records.select(F.col(unit).alias("_u"), F.col(title).alias("_t"), F.col(salary).alias("rec_salary"),
-                       F.col(record_id).alias("record"),
-                       F.floor(F.col(salary) / F.lit(t)).alias("_bk"))
+    k = plan.groupBy("department", "title").agg(F.count(F.lit(1)).alias("_k"))
+    # Records of one (unit, title, salary) are alike but for their id, and a
+    # group of k lines can use at most k of them: the k smallest ids are exact.
+    # A first cut inside salted parts keeps a popular salary out of one window.
+    r = (records.select(F.col(unit).alias("_u"), F.col(title).alias("_t"), F.col(salary).alias("rec_salary"),
+                        F.col(record_id).alias("record"))
+         .join(k, (F.col("department") == F.col("_u")) & (F.col("title") == F.col("_t"))).drop("department", "title")
+         .withColumn("_salt", F.pmod(F.xxhash64("record"), F.lit(SALTS))))
+    for part in (["_u", "_t", "rec_salary", "_salt"], ["_u", "_t", "rec_salary"]):
+        r = r.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("record"))).where(F.col("_r") <= F.col("_k"))
+    r = r.select("_u", "_t", "rec_salary", "record", F.floor(F.col("rec_salary") / F.lit(t)).alias("_bk"))
     near = (p.join(r, (F.col("department") == F.col("_u")) & (F.col("title") == F.col("_t"))
                    & (p["_bk"] == r["_bk"]))
              .withColumn("diff", F.abs(F.col("rec_salary") - F.col("salary")))
@@ -59,7 +69,6 @@ def tolerance_match(plan: DataFrame, records: DataFrame, unit: str, title: str,
     # A line can lose at most (k - 1) candidates to the other k - 1 lines of
     # its group, so its choice is always among its k nearest: keeping only
     # those is exact and bounds what reaches Python by (lines x lines).
-    k = plan.groupBy("department", "title").agg(F.count(F.lit(1)).alias("_k"))
     w = Window.partitionBy("line").orderBy("diff", "record")
     near = (near.join(k, ["department", "title"])
                 .withColumn("_r", F.row_number().over(w))

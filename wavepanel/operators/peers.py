@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..columns import CLEAN, PanelCols
 from ..functions.numeric import pct_change
 from ..functions.text import contains_ci
-from .aggregate import exact_quantiles
+from .aggregate import exact_quantiles, exact_quantiles_of, histogram, linear_trend, value_buckets
 from .primary import entity_index, primary_rows
 
 PEER_SETS = {
@@ -28,18 +28,19 @@ def peer_ranks(df: DataFrame, keys: list[str], cols: PanelCols = CLEAN) -> DataF
     number of non-null values and the peer-set size.
 
     The rows are first reduced to distinct values with their multiplicity
-    (partial aggregation), so the ordered window runs over distinct measure
-    values of a peer set, not over its rows: a peer set holding a third of
-    all rows still contributes only its distinct values to one task.
+    (partial aggregation) in buckets between quantiles of the peer set: a
+    running count over the buckets, then one inside each bucket, so a window
+    holds a share of a peer set's distinct values.
     """
     g = [cols.date] + keys
     m = cols.measure
-    vals = (df.where(F.col(m).isNotNull()).groupBy(*g, m).agg(F.count(F.lit(1)).alias("_c")))
-    w_below = Window.partitionBy(*g).orderBy(m).rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*g)
-    ranked = (vals.withColumn("lower", F.coalesce(F.sum("_c").over(w_below), F.lit(0)))
-                  .withColumn("n_values", F.sum("_c").over(w_all))
-                  .drop("_c"))
+    v = value_buckets(df, g, m)
+    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    start = (v.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"))
+              .withColumn("_start", F.coalesce(F.sum("_bc").over(before), F.lit(0))).drop("_bc"))
+    inside = Window.partitionBy(*g, "_b").orderBy(m).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (v.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(start, [*g, "_b"])
+               .select(*g, m, (F.col("_start") + F.col("_in")).alias("lower"), F.col("_n").alias("n_values")))
     sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("peer_count"))
     return ranked.join(sizes, g)
 
@@ -84,6 +85,29 @@ def peer_stats(df: DataFrame, cols: PanelCols = CLEAN, sets: dict | None = None,
     return out
 
 
+def peer_lines(df: DataFrame, cols: PanelCols = CLEAN, sets: dict | None = None) -> DataFrame:
+    """The salary-on-tenure line of every peer set of every date, for
+    each kind of set: (peer_set, key, date, n, slope, intercept)."""
+    t = tenure_years(df, cols)
+    return _per_set(t, cols, sets, lambda x, keys: linear_trend(x, cols.measure, "years_on_staff", [cols.date, *keys]))
+
+
+def peer_histograms(df: DataFrame, cols: PanelCols = CLEAN, sets: dict | None = None, bins: int = 20) -> DataFrame:
+    """The salary histogram of every peer set of every date, for each
+    kind of set: (peer_set, key, date, bin, count, bin_low, bin_high)."""
+    return _per_set(df, cols, sets, lambda x, keys: histogram(x, cols.measure, bins, [cols.date, *keys]))
+
+
+def _per_set(df: DataFrame, cols: PanelCols, sets: dict | None, fn) -> DataFrame:
+    out = None
+    for name, keyf in (sets or PEER_SETS).items():
+        keys = keyf(cols)
+        one = fn(df.na.drop(subset=[cols.date, *keys]), keys)
+        one = one.select(F.lit(name).alias("peer_set"), F.concat_ws(" | ", *keys).alias("peer_key"), *[c for c in one.columns if c not in keys])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def tenure_years(df: DataFrame, cols: PanelCols = CLEAN, at: str | None = None) -> DataFrame:
     """Years between hire date and the row's date (days / 365.25);
     rows with a missing or negative tenure are dropped."""
@@ -124,9 +148,7 @@ def history_with_medians(df: DataFrame, cols: PanelCols = CLEAN, code: str | Non
     code = code or cols.jobcode
     base = df.na.drop(subset=[code])
     g = [cols.date, code]
-    med = (exact_quantiles(base, g, cols.measure, (0.5,)).withColumnRenamed("p50", "median_salary")
-           .join(exact_quantiles(base, g, cols.real_measure, (0.5,)).withColumnRenamed("p50", "median_real_salary"),
-                 g, "full"))
+    med = exact_quantiles_of(base, g, {cols.measure: "median_salary", cols.real_measure: "median_real_salary"})
     prim = primary_rows(df, cols).select(cols.id, cols.date, code, cols.measure, cols.real_measure)
     return prim.join(med, [cols.date, code], "left")
 

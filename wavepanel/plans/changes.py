@@ -165,9 +165,7 @@ def growth_by_category(spark, sf_dir):
             .na.drop(subset=["category"]))
     k = ["category"]
     g = (lt.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
-           .join(agg.exact_quantiles(lt, k, "nominal_pct", (0.5,)).withColumnRenamed("p50", "a"), k)
-           .join(agg.exact_quantiles(lt, k, "real_pct", (0.5, 0.9, 0.1))
-                    .withColumnRenamed("p50", "b").withColumnRenamed("p90", "c").withColumnRenamed("p10", "d"), k))
+           .join(agg.exact_quantiles_of(lt, k, {"nominal_pct": "a", "real_pct": {0.5: "b", 0.9: "c", 0.1: "d"}}), k, "left"))
     return g.select("category", "n", R("a", 4).alias("median_nominal"), R("b", 4).alias("median_real"),
                     R("c", 4).alias("pct_90"), R("d", 4).alias("pct_10"))
 

@@ -12,7 +12,8 @@ from ..functions.lookups import CATEGORY_RECODE, MAX_TOTAL_FTE
 from ..operators import clean as C
 from ..operators.primary import exact_dedup
 from ..sources import fixtures
-from .common import R, appointments, raw_snapshots, rs, stored
+from ..operators.deflate import deflate
+from .common import R, appointments, panel, raw_snapshots, rs, stored, with_sql
 from .registry import query
 
 CUTOFF = _dt.date(1998, 1, 1)
@@ -215,3 +216,14 @@ def clean_panel(spark, sf_dir):
                     R("FTE_Adjusted_Salary_2021_Dollars", 4).alias("FTE_Adjusted_Salary_2021_Dollars"),
                     R("Real_Salary_2021_Dollars", 4).alias("Real_Salary_2021_Dollars"),
                     "jobgroup", "job_subgroup")
+
+
+@query("cpi_columns", with_sql("""
+select row_id, coalesce(i.cpi, (select 100 / idx from latest_idx)) as "CPI",
+       coalesce(i.idx, (select idx from latest_idx)) as "CPI_2021_Index"
+from panel p left join (select d, 100 / idx as cpi, idx from price_index) i on p.snapshot_date = i.d"""))
+def cpi_columns(spark, sf_dir):
+    """The price columns carried to the panel, misses filled with the latest month."""
+    price = fixtures.price_index(spark).select("d", (F.lit(100.0) / F.col("idx")).alias("CPI"), F.col("idx").alias("CPI_2021_Index"))
+    out = deflate(panel(spark, sf_dir), price, FX, idx_date="d", idx_val="CPI_2021_Index", carry=["CPI", "CPI_2021_Index"])
+    return out.select("row_id", "CPI", "CPI_2021_Index")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..columns import FIXTURE as FX
 from ..functions.text import keyword_category, keyword_category_sql
 from ..operators import cohort as CO
-from ..operators.aggregate import exact_quantiles
+from ..operators.aggregate import exact_quantiles, exact_quantiles_of
 from ..sources import fixtures
 from ..sources.tables import read_table
 from .common import R, panel_real, rs, with_sql
@@ -110,9 +110,7 @@ def source_dept_summary(spark, sf_dir):
     m = _cohort(spark, sf_dir)["merged"].where(F.col("group") == CO.MOVED)
     k = ["source_dept"]
     g = (m.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
-          .join(exact_quantiles(m, k, "pct_change").withColumnRenamed("p50", "a"), k)
-          .join(exact_quantiles(m, k, "salary_start").withColumnRenamed("p50", "b"), k)
-          .join(exact_quantiles(m, k, "salary_end").withColumnRenamed("p50", "c"), k))
+          .join(exact_quantiles_of(m, k, {"pct_change": "a", "salary_start": "b", "salary_end": "c"}), k, "left"))
     return g.select("source_dept", "n", R("a", 4).alias("median_pct"), R("b", 6).alias("median_start"),
                     R("c", 6).alias("median_end"))
 

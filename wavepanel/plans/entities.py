@@ -230,3 +230,44 @@ def peer_tenure_regression(spark, sf_dir):
     r = linear_trend(t, "current_annual_contracted_salary", "years_on_staff", ["Date", "division", "jobcode"])
     return r.select("Date", "division", "jobcode", "n", R("slope", 6).alias("slope"),
                     R("intercept", 6).alias("intercept"))
+
+
+_SETS = {"department": ["division_department"], "division_title": ["division", "jobcode"], "university_title": ["jobcode"]}
+
+
+def _peer_lines_sql() -> str:
+    inner = REGISTRY["clean_panel"].sql
+    keyed = " union all ".join(
+        f"""select "Date" as d, '{n}' as peer_set, concat_ws(' | ', {", ".join(k)}) as peer_key, current_annual_contracted_salary as salary,
+                   datediff('day', date_of_hire, "Date") / cast(365.25 as double) as years
+            from c where {" and ".join(x + " is not null" for x in k)}""" for n, k in _SETS.items())
+    return f"""with c as ({inner}), t as ({keyed}),
+tt as (select * from t where years is not null and years >= 0 and salary is not null),
+{regression_ctes("tt", ["d", "peer_set", "peer_key"], "salary", "years")}
+select d as "Date", peer_set, peer_key, cast(n as bigint) as n, {rs('slope', 4)} as slope, {rs('intercept', 4)} as intercept from reg"""
+
+
+@query("peer_lines", _peer_lines_sql())
+def peer_lines(spark, sf_dir):
+    """Salary-on-tenure line of every peer set, all three kinds."""
+    p = P.peer_lines(REGISTRY["clean_panel"].build(spark, sf_dir), CLEAN)
+    return p.select("Date", "peer_set", "peer_key", "n", R("slope", 4).alias("slope"), R("intercept", 4).alias("intercept"))
+
+
+def _peer_histograms_sql() -> str:
+    inner = REGISTRY["clean_panel"].sql
+    keyed = " union all ".join(
+        f"""select "Date" as d, '{n}' as peer_set, concat_ws(' | ', {", ".join(k)}) as peer_key, current_annual_contracted_salary as s
+            from c where {" and ".join(x + " is not null" for x in k)}""" for n, k in _SETS.items())
+    return f"""with c as ({inner}), t as (select * from ({keyed}) where s is not null),
+r as (select d, peer_set, peer_key, min(s) as lo, max(s) as hi from t group by all)
+select t.d as "Date", t.peer_set, t.peer_key,
+       cast(case when hi = lo then 0 else least(floor((s - lo) / ((hi - lo) / 20)), 19) end as int) as bin, cast(count(*) as bigint) as count
+from t join r on t.d = r.d and t.peer_set = r.peer_set and t.peer_key = r.peer_key group by all"""
+
+
+@query("peer_histograms", _peer_histograms_sql())
+def peer_histograms(spark, sf_dir):
+    """Salary histogram of every peer set, all three kinds."""
+    h = P.peer_histograms(REGISTRY["clean_panel"].build(spark, sf_dir), CLEAN)
+    return h.select("Date", "peer_set", "peer_key", "bin", "count")

@@ -45,8 +45,7 @@ def jobcode_medians(spark, sf_dir):
     """Median nominal and real measure by (date, code)."""
     p = panel_real(spark, sf_dir).na.drop(subset=["title"])
     k = [FX.date, "title"]
-    g = (agg.exact_quantiles(p, k, "salary", (0.5,)).withColumnRenamed("p50", "m")
-            .join(agg.exact_quantiles(p, k, "real_salary", (0.5,)).withColumnRenamed("p50", "r"), k, "full"))
+    g = agg.exact_quantiles_of(p, k, {"salary": "m", "real_salary": "r"})
     return g.select(FX.date, "title", R("m", 6).alias("median_salary"), R("r", 6).alias("median_real_salary"))
 
 

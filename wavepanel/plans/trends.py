@@ -3,6 +3,8 @@ top-k, search, pickers, union by name."""
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import functions as F
 
 from ..columns import FIXTURE as FX
@@ -12,6 +14,7 @@ from .common import R, panel, panel_real, rs, with_sql
 from .registry import query
 
 YEARS = list(range(1995, 2002))
+CALENDAR = [_dt.date(y, 1, 1) for y in YEARS]          # the fixture's snapshots
 
 
 def _pos(spark, sf_dir):
@@ -199,7 +202,7 @@ select division, department, {_PIVOT_COLS} from panel_real
 where fte > 0 and division is not null and department is not null group by division, department"""))
 def dept_fte_pivot(spark, sf_dir):
     """FTE by (division, department) x snapshot date, wide."""
-    w = agg.pivot_by_date(_pos(spark, sf_dir), ["division", "department"], FX)
+    w = agg.pivot_by_date(_pos(spark, sf_dir), ["division", "department"], FX, dates=CALENDAR)
     return w.select("division", "department",
                     *[R(F.col(f"`{c}`"), 4).alias(c) for c in w.columns if c not in ("division", "department")])
 
@@ -211,7 +214,7 @@ def dept_fte_pivot(spark, sf_dir):
     for y in YEARS)))
 def unpivot_fte(spark, sf_dir):
     """The wide pivot back to long (missing cells kept as nulls)."""
-    w = agg.pivot_by_date(_pos(spark, sf_dir), ["division", "department"], FX)
+    w = agg.pivot_by_date(_pos(spark, sf_dir), ["division", "department"], FX, dates=CALENDAR)
     dcols = [c for c in w.columns if c not in ("division", "department")]
     w = w.select("division", "department", *[F.col(f"`{c}`").alias(c) for c in dcols])
     long = agg.unpivot(w, ["division", "department"], dcols, "snapshot", "fte")
