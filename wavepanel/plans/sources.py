@@ -11,6 +11,8 @@ from ..sources import fixtures
 from ..sources import pages as PG
 from ..session import application_key, ensure_checkpoint_dir
 from ..sources.snapshots import RAW_TYPES, layout_frames, normalize_frame, read_snapshots, to_target
+from ..sources.dimensions import JOB_COLUMNS, load_job_dimension, load_price_index
+from ..sources.sinks import read_panel, write_csv
 from ..sources.tables import read_table
 from .common import raw_snapshots
 from .registry import query
@@ -66,3 +68,67 @@ def page_fields(spark, sf_dir):
 def pages_extract(spark, sf_dir):
     """A12 (rows-only): full HTML parse of every page into one record per titled page."""
     return PG.page_records(read_table(spark, sf_dir, "pages"))
+
+
+def _job_html():
+    return F.concat(
+        F.lit('<details><summary><h3>'), F.col("p_name"), F.lit('</h3><div>Job Group: '), F.col("p_brand"),
+        F.lit(' <b>Job Subgroup:</b> <span>'), F.lit("Sub "), F.col("p_brand"), F.lit('</span></div><div>Salary Range (Annual): $'),
+        F.col("p_size").cast("string"), F.lit(',000 &amp; up Employee Category: '), F.col("p_type"),
+        F.lit('</div><div>Job Code: P'), F.col("p_partkey").cast("string"),
+        F.lit('</div></summary><div class="sjd-inner"><ul><li><strong>Job Summary:</strong> <p>Makes '), F.col("p_name"),
+        F.lit('.</p></li><li><strong>Education</strong><ul><li>'), F.lit("Degree "), F.col("p_size").cast("string"),
+        F.lit('</li><li>or more</li></ul></li></ul><h4>More</h4><ul><li><strong>Skills:</strong> '), F.col("p_type"),
+        F.lit('</li></ul><div style="border-top: 1px"><a href="/job/'), F.col("p_partkey").cast("string"), F.lit('">Link</a></div></div></details>'))
+
+
+@query("job_records", """
+select p_name as title, 'P' || p_partkey as job_code, p_brand as job_group, 'Sub ' || p_brand as job_subgroup,
+       '$' || p_size || ',000 & up' as salary_range_summary, p_type as employee_category,
+       'Makes ' || p_name || '.' as job_summary, 'Degree ' || p_size || ' or more' as education, p_type as skills,
+       cast(null as varchar) as knowledges, '/job/' || p_partkey as direct_link
+from part""")
+def job_records(spark, sf_dir):
+    """Labelled job fields from pages with many records each (pages made of the part table's rows)."""
+    part = read_table(spark, sf_dir, "part").withColumn("_html", _job_html())
+    pages = (part.groupBy(F.floor(F.col("p_partkey") / 50).alias("page_id"))       # at most 50 blocks a page
+                 .agg(F.concat(F.lit("<html><body>"), F.array_join(F.collect_list("_html"), "\n"), F.lit("</body></html>")).alias("html")))
+    out = PG.job_records(pages)
+    return out.select("title", "job_code", "job_group", "job_subgroup", "salary_range_summary", "employee_category",
+                      "job_summary", "education", "skills", "knowledges", "direct_link")
+
+
+def _scratch(spark, name: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "exports", application_key(spark), f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+@query("price_csv", f"""
+select d as "Date", 100 / idx as "CPI", 100 / 1.2 / (100 / idx) as "CPI_2021_Index" from ({fixtures.PRICE_INDEX_SQL})""")
+def price_csv(spark, sf_dir):
+    """The price series of the snapshots' years written as CSV, read back, index computed on a base month."""
+    years = read_table(spark, sf_dir, "orders").select(F.make_date(F.year("o_orderdate"), F.lit(1), F.lit(1)).alias("d")).distinct()
+    price = fixtures.price_index(spark).join(years, "d", "left_semi")
+    path = _scratch(spark, "cpi")
+    write_csv(price.select(F.col("d").alias("Date"), (F.lit(100.0) / F.col("idx")).alias("CPI"), F.lit(None).cast("double").alias("CPI_2021_Index")), path)
+    return load_price_index(spark, path, base_date=fixtures.PRICE_INDEX_FIRST)
+
+
+@query("job_csv", f"""
+select jobcode, job_group, job_subgroup, cast(null as varchar) as education from ({fixtures.JOB_DIMENSION_SQL})""")
+def job_csv(spark, sf_dir):
+    """The job dimension written with the 18 fixed columns, lower-case codes, read back by code."""
+    jobs = fixtures.job_dimension(spark, sf_dir).withColumn("job_code", F.lower("jobcode")).drop("jobcode")
+    path = _scratch(spark, "jobs")
+    write_csv(jobs, path, columns=JOB_COLUMNS, fill="")
+    out = load_job_dimension(spark, path)
+    return out.select("jobcode", "job_group", "job_subgroup", F.nullif("education", F.lit("")).alias("education"))
+
+
+@query("panel_store", f"""
+with raw as ({fixtures.RAW_SNAPSHOTS_SQL})
+select "Date", cast(count(*) as bigint) as n, cast(sum(_row_seq) as bigint) as seqs from raw group by "Date" """)
+def panel_store(spark, sf_dir):
+    """The panel written by date, built on first read, read back."""
+    path = _scratch(spark, "panel")
+    back = read_panel(spark, path, lambda: raw_snapshots(spark, sf_dir))
+    return back.groupBy("Date").agg(F.count(F.lit(1)).alias("n"), F.sum("_row_seq").alias("seqs"))

@@ -83,6 +83,9 @@ PRICE_INDEX_ROWS = [
 ]
 
 
+PRICE_INDEX_FIRST = _dt.date(PRICE_INDEX_ROWS[0][0], 1, 1)
+
+
 def price_index(spark: SparkSession) -> DataFrame:
     rows = [(_dt.date(y, 1, 1), float(v)) for y, v in PRICE_INDEX_ROWS]
     return spark.createDataFrame(rows, "d DATE, idx DOUBLE")

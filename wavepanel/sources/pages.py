@@ -1,6 +1,8 @@
 """Web pages -> records (A12, re-aimed to the `pages(page_id, url, html)` table).
 
-Two forms:
+Three forms:
+* `job_records` -- many records per page: folding blocks with a title, a summary
+  of labelled values and a list of labelled fields, by native expressions;
 * `page_fields` -- native per-field regex extraction (`regexp_extract`),
   JVM-side, for fields with a fixed pattern (title, language, counts);
 * `page_records` -- a real HTML parse with the standard library's
@@ -11,7 +13,6 @@ Two forms:
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,12 +22,9 @@ from pyspark.sql import functions as F
 RECORD_SCHEMA = ("page_id BIGINT, title STRING, lang STRING, heading STRING, links STRING, "
                  "n_links INT, n_paragraphs INT, text STRING")
 
-_WS = re.compile(r"\s+")
 
-
-def clean_text(s: str | None) -> str:
-    """Collapse whitespace runs to one space and strip."""
-    return _WS.sub(" ", s).strip() if s else ""
+def _squeeze(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
 
 
 class _PageParser(HTMLParser):
@@ -54,7 +52,7 @@ class _PageParser(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "a" and self._in_link:
-            self.links.append(clean_text("".join(self._link)))
+            self.links.append(_squeeze(self._link))
             self._in_link = False
         if tag in self.stack:
             while self.stack and self.stack.pop() != tag:
@@ -82,12 +80,12 @@ def parse_page(page_id: int, html: str | None) -> dict | None:
         p.close()
     except Exception:  # noqa: BLE001 - malformed page: keep what was parsed
         pass
-    title = clean_text("".join(p.title)) or clean_text("".join(p.heading))
+    title = _squeeze(p.title) or _squeeze(p.heading)
     if not title:
         return None
-    paras = [clean_text("".join(x)) for x in p.paras]
+    paras = [_squeeze(x) for x in p.paras]
     paras = [x for x in paras if x]
-    return {"page_id": page_id, "title": title, "lang": p.lang, "heading": clean_text("".join(p.heading)),
+    return {"page_id": page_id, "title": title, "lang": p.lang, "heading": _squeeze(p.heading),
             "links": "; ".join(p.links), "n_links": len(p.links), "n_paragraphs": len(paras),
             "text": " ".join(paras)}
 
@@ -116,3 +114,48 @@ def page_fields(pages: DataFrame) -> DataFrame:
         (F.size(F.split(h, "<p>")) - 1).alias("n_p_tags"),
         (F.size(F.split(h, "<a ")) - 1).alias("n_a_tags"),
         F.length(h).alias("n_chars"))
+
+
+# Labels of a job's folding block -> column.
+SUMMARY_LABELS = {"Job Group": "job_group", "Job Subgroup": "job_subgroup", "Salary Range (Annual)": "salary_range_summary",
+                  "Employee Category": "employee_category", "Job Code": "job_code"}
+FIELD_LABELS = {"Job Summary": "job_summary", "Job Responsibilities": "job_responsibilities", "Education": "education",
+                "FLSA Status": "flsa_status", "Institution Job": "institution_job",
+                "Required Supervisory Duty of at Least 2.0 Full-Time Equivalent (FTE) Employees": "supervisory_required",
+                "Scaled Job": "scaled_job", "Salary Range (Annual)": "salary_range_detail", "Job Code": "job_codes_detail",
+                "Knowledges": "knowledges", "Skills": "skills"}
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": "\"", "&#39;": "'", "&amp;": "&"}
+
+
+def plain_text(html: "F.Column") -> "F.Column":
+    """Text of an HTML fragment: tags to spaces, common entities, white space squeezed."""
+    text = F.regexp_replace(html, "(?s)<[^>]*>", " ")
+    for entity, char in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def job_records(pages: DataFrame) -> DataFrame:
+    """One row per titled folding block of every page: page_id, position,
+    title, the summary's labelled values, the labelled fields and the direct link
+    (null where absent).  A summary value ends where the next label begins.
+    Native expressions; a page may hold any number of records.
+    """
+    tag = lambda block, name: F.regexp_extract(block, f"(?is)<{name}\\b[^>]*>(.*?)</{name}>", 1)
+    blocks = F.slice(F.split(F.col("html"), r"(?i)<details\b[^>]*>"), 2, 1 << 30)
+    rows = pages.select("page_id", F.posexplode(blocks).alias("position", "_block"))
+    rows = rows.withColumn("_block", F.split("_block", "(?i)</details>", 2)[0])
+    rows = rows.withColumn("title", plain_text(tag(F.col("_block"), "h3"))).where(F.col("title") != "")
+    rows = rows.withColumn("_summary", plain_text(tag(F.col("_block"), "summary")))
+    stop = "|".join(label.replace("(", "\\(").replace(")", "\\)") for label in SUMMARY_LABELS)
+    value = lambda label: F.nullif(F.trim(F.regexp_extract(
+        "_summary", f"(?:{label.replace('(', chr(92) + '(').replace(')', chr(92) + ')')}):(.*?)(?=(?:{stop}):|$)", 1)), F.lit(""))
+    items = F.regexp_extract_all("_block", F.lit(r"(?is)<li\b[^>]*>\s*(<strong\b.*?</strong>.*?)(?=<li\b[^>]*>\s*<strong\b|</ul>\s*(?:<h|<div|<ul|$)|\z)"), 1)
+    pairs = F.transform(items, lambda i: F.struct(
+        F.regexp_replace(plain_text(tag(i, "strong")), r":\s*$", "").alias("k"),
+        plain_text(F.regexp_replace(i, r"(?is)^.*?</strong>", "")).alias("v")))
+    rows = rows.withColumn("_fields", pairs)
+    field = lambda label: F.try_element_at(F.filter("_fields", lambda p: p["k"] == label), F.lit(-1))["v"]
+    link = F.nullif(F.regexp_extract("_block", r'(?is)border-top.*?<a\b[^>]*href="([^"]*)"', 1), F.lit(""))
+    return rows.select("page_id", "position", "title", *[value(k).alias(c) for k, c in SUMMARY_LABELS.items()],
+                       *[field(k).alias(c) for k, c in FIELD_LABELS.items()], link.alias("direct_link"))
