@@ -73,8 +73,8 @@ def test_every_file_of_a_date_is_kept_in_order(spark, sep):
     rows = lambda k: [(f"L{k}{i}", "F", "D", "Annual", 100 * k + i, 1) for i in range(3)]
     _csv(folder, f"Pay{sep}2025-09{sep}part1.csv", rows(1))
     _csv(folder, f"Pay{sep}2025-09{sep}part2.csv", rows(2))
-    _csv(folder, f"Pay{sep}2025-10/a.csv", rows(3))                       # a folder of part files
-    _csv(folder, f"Pay{sep}2025-10/b.csv", [("L40", "F", "D", "Salaried", "not a number", 0.5)],
+    _csv(folder, f"Pay{sep}2025-10/part-00000-1234-4321-13ab.csv", rows(3))        # a folder of part files
+    _csv(folder, f"Pay{sep}2025-10/part-00001-2026-13ab.csv", [("L40", "F", "D", "Salaried", "not a number", 0.5)],
          "Last Name,First Name,Division,Pay Rate Type,Annualized Rate Amount,FTE")
     got = sorted(read_snapshots(spark, folder).collect(), key=lambda r: r._row_seq)
     assert [r._row_seq for r in got] == list(range(10))

@@ -217,9 +217,10 @@ def value_buckets(df: DataFrame, keys: list[str], value: str, buckets: int = 64)
     """
     vals = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = vals.groupBy(*keys).agg(F.percentile_approx(value, cuts, 16 * buckets).alias("_edges"), F.sum("_c").alias("_n"))
-    return (vals.join(edges, keys).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges"))
+    cuts = F.array(*[F.lit(i / buckets) for i in range(1, max(buckets, 2))]) if buckets > 1 else F.array(F.lit(0.5))
+    edges = vals.groupBy(*keys).agg(F.percentile_approx(value, cuts, 16 * max(buckets, 2)).alias("_edges"), F.sum("_c").alias("_n"))
+    number = F.size(F.filter("_edges", lambda e: e < F.col(value))) if buckets > 1 else F.lit(0)
+    return vals.join(edges, keys).withColumn("_b", number).drop("_edges")
 
 
 def exact_quantiles_of(df: DataFrame, keys: list[str], values: dict[str, dict[float, str] | str]) -> DataFrame:

@@ -227,7 +227,7 @@ select org, {rs('f', 4)} as fte from (
   where fte > 0 and org is not null and snapshot_date = (select max(snapshot_date) from panel_real where fte > 0)
   group by org) order by {rs('f', 4)} desc, org limit 10"""))
 def topk_jobgroup(spark, sf_dir):
-    """10 largest units by FTE at the latest snapshot (ties by name)."""
+    """10 largest units by FTE at the latest snapshot (ties by name)."""
     last = agg.at_latest(_pos(spark, sf_dir), FX)
     g = last.na.drop(subset=[FX.org]).groupBy(FX.org).agg(R(F.sum(FX.weight), 4).alias("fte"))
     return g.orderBy(F.col("fte").desc(), FX.org).limit(10)

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.lookups import COLUMNS_TO_DROP, LEGACY_RENAMES, NEW_RENAMES
 from ..functions.text import matches_ci
 
-MONTH = r"\d{4}-\d{2}"
+MONTH = r"(?<!\d)\d{4}-\d{2}(?!\d)"
+PART_FILE = r"^part-\d+"            # a writer's part file: its name says nothing, its folder's does
 HEADER_BYTES = 1 << 20
 
 # Target raw schema after normalisation (types of the cleaning job's input).
@@ -37,7 +38,8 @@ def snapshot_name(path_col) -> "F.Column":
     """The part of a path that names the snapshot: the file's name if it has a
     month, else its folder's name (null if neither has one)."""
     parts = F.split(path_col, "/")
-    named = lambda k: F.when(F.try_element_at(parts, F.lit(k)).rlike(MONTH), F.try_element_at(parts, F.lit(k)))
+    at = lambda k: F.try_element_at(parts, F.lit(k))
+    named = lambda k: F.when(at(k).rlike(MONTH) & ~at(k).rlike(PART_FILE), at(k))
     return F.coalesce(named(-1), named(-2))
 
 
