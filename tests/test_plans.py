@@ -31,7 +31,22 @@ def test_dimension_joins_are_broadcast(spark):
     assert "BroadcastHashJoin" in p2                     # per-date price index
 
 
-@pytest.mark.parametrize("name", ["trend_total", "compare_by_division", "peer_percentile", "clean_panel",
+def test_cleaning_job_is_native(spark):
+    """The operator's own plan (the query returns a scan of the stored copy)."""
+    from wavepanel.operators.clean import clean_panel
+    from wavepanel.plans.cleaning import CUTOFF, DIVISION_MAP
+    from wavepanel.plans.common import raw_snapshots
+    from wavepanel.sources import fixtures
+    job = lambda store: _plan(clean_panel(raw_snapshots(spark, SF001), fixtures.price_index(spark), fixtures.job_dimension(spark, SF001),
+                                          hire_cutoff=CUTOFF, division_map=DIVISION_MAP, price_date="d", price_value="idx", store=store))
+    for plan in (job(True), job(False)):
+        assert not any(n in plan for n in ("EvalPython", "InPandas", "InArrow"))
+    # deduplicated rows are read three times (pruning), the job dimension's two tables once each
+    initial = job(True).split("\n\n(1)")[0]
+    assert initial.count("Scan parquet") <= 3 + 3
+
+
+@pytest.mark.parametrize("name", ["trend_total", "compare_by_division", "peer_percentile",
                                   "subperiod_growth", "uniform_cut"])
 def test_no_python_in_native_queries(spark, name):
     p = _plan(REGISTRY[name].build(spark, SF001))

@@ -54,11 +54,16 @@ def headline(df: DataFrame, cols: PanelCols = CLEAN) -> DataFrame:
 
 
 def overview(df: DataFrame, cols: PanelCols = CLEAN, approx: bool = False) -> DataFrame:
-    """Date range and distinct counts (approximate HLL option at scale)."""
+    """Date range and distinct counts (approximate HLL option at scale).
+
+    Rows are first reduced to distinct (entity, division, department, code)
+    with their counts, so the distinct counts expand those, not raw rows."""
     cd = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    return df.agg(
-        F.min(cols.date).alias("first_date"), F.max(cols.date).alias("last_date"),
-        F.count(F.lit(1)).alias("records"),
+    each = df.groupBy(cols.id, cols.division, cols.department, cols.jobcode).agg(
+        F.min(cols.date).alias("_d0"), F.max(cols.date).alias("_d1"), F.count(F.lit(1)).alias("_n"))
+    return each.agg(
+        F.min("_d0").alias("first_date"), F.max("_d1").alias("last_date"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("records"),
         cd(cols.id).alias("entities"), cd(cols.division).alias("divisions"),
         cd(cols.department).alias("departments"), cd(cols.jobcode).alias("jobcodes"),
     )
