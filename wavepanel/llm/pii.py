@@ -4,7 +4,7 @@ Base spans come from four patterns (email, ip, card, phone).  Then, in the sense
 of information-theoretic sanitisation, every value found is a protected entity
 e, and the corpus itself tells which terms t give it away:
 
-    p(e)    occurrences of e among all term occurrences
+    p(e)    texts that name e, per term occurrence of the corpus
     p(e|t)  share of t's occurrences that lie within `reach` terms of e
     PMI(e;t) = log2 p(e|t) / p(e),    IC(e) = -log2 p(e)
 
@@ -235,7 +235,7 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise
                  .agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("together")).where(F.col("texts") >= support)
     pairs = stored(pairs, "pii-pairs")
     seen = counts.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    # occurrences of the entity, from the spans of all documents
+    # texts that name the entity
     own = found.where(F.col("kind") == CONTEXT).groupBy("entity").agg(F.countDistinct("rid").alias("n_entity"))
     p_e = F.col("n_entity") / F.lit(float(max(total, 2)))
     p_et = F.least(F.lit(1.0), F.col("together") / F.col("n_term"))

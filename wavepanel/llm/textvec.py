@@ -91,7 +91,7 @@ def _powers(base: int, n: int):
     store = process_store().setdefault("powers", {})
     got = store.get(base)
     if got is None or len(got[0]) < n:
-        size = max(n, SLICE_BYTES + 2)
+        size = max(1, (n + (1 << 18) - 1) >> 18) << 18        # as long as needed so far, rounded up
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, dtype=U64)
