@@ -12,7 +12,20 @@ from ..session import materialize, sf_path
 NULL_ID = (1 << 63) - 1
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES: ten thousand rows of text have no
+    bound of their own.  A smaller limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(sf_path(sf_dir, name))
 
 
@@ -38,6 +51,7 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` under the cluster's shared checkpoint folder and read it again:
     lineage is cut and a lost executor costs no recomputation."""
+    bounded_batches(df.sparkSession)
     return materialize(df, "llm-" + re.sub(r"\W+", "-", name))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from ..session import application_key, ensure_checkpoint_dir
 from . import textvec as tv
-from .common import stored
+from .common import bounded_batches, stored
 from .spancache import SpanCache
 
 END_ID = 2
@@ -212,6 +212,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
     one batch of ids.  An empty partition writes no file.  Ids are stored as
     unsigned 16-bit integers where the vocabulary allows, else 32-bit.
     """
+    bounded_batches(docs.sparkSession)
     src = (docs.select("doc_id", F.col(f"`{text}`").alias("text"))
            .repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import bounded_batches
 
 BUCKETS, CLASSES, WIDTH = 8192, 64, 16
 PLACES = (-2, -1, 1, 2)
@@ -216,6 +217,7 @@ def train(docs: DataFrame, buckets: int = BUCKETS, classes: int = CLASSES, width
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, n_words, log_prob (sum over all words), mean_log_prob (null without words)."""
+    bounded_batches(docs.sparkSession)
     buckets = len(model.class_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

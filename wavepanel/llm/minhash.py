@@ -20,10 +20,10 @@ registers of a band meet in a bucket; with 32 bands of 5 registers a pair at
 similarity 0.8 is missed with probability 3e-6 (less above).  A bucket of n
 nodes gives n - 1 links to its smallest node, not all pairs; links are verified
 on the multisets, the best link of each node first, others only while their ends
-lie in different components.  Buckets that still hold several components are
-then resolved pair by pair across components, so no link between components is
-lost; a pair is left out only if its sizes, less the shingles that no other node
-of these buckets has, rule the threshold out.  Multisets are read again from the texts of the nodes that have a
+lie in different components.  The nodes of buckets that still hold several
+components are then compared across components by an exact prefix filter: pairs
+at the threshold share one of their rarest shingles, so a group of near copies
+just below it yields few candidates, and no link between components is lost.  Multisets are read again from the texts of the nodes that have a
 candidate, never kept for all documents.
 """
 
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textvec as tv
 from .common import components, fresh, row_key, stored
@@ -166,18 +167,46 @@ def bags(docs: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame:
             .join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
-def alone(bag: DataFrame) -> DataFrame:
-    """(node, own): how many of a node's shingles, counted, no other of these nodes has."""
+def rare_prefixes(bag: DataFrame, threshold: float) -> DataFrame:
+    """(node, token, rank, size): of every node the rarest tokens that any partner
+    at the threshold must share one of, rarest first.
+
+    A shingle with count c is c tokens.  With tokens in one global order (by the
+    number of nodes that have them), two multisets with an overlap of at least o
+    have their first common token at a rank of at most size - o + 1 in both; o is
+    at least threshold * size.  Tokens of a single node are ranked, then dropped.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, grams, counts in zip(batch["node"].to_pylist(), batch["grams"].to_pylist(), batch["counts"].to_pylist()):
-                gram = np.frombuffer(grams, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(gram), pa.binary()), pa.array(gram),
-                                                  pa.array(np.frombuffer(counts, np.uint32).astype(np.int64))], names=["node", "gram", "n"])
-
-    return (bag.select("node", "grams", "counts").mapInArrow(run, "node binary, gram long, n long")
-            .groupBy("gram").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node"), F.min("n").alias("n"))
-            .where("nodes = 1").groupBy("node").agg(F.sum("n").alias("own")))
+                count = np.frombuffer(counts, np.uint32).astype(np.int64)
+                token = tv.mix(np.repeat(np.frombuffer(grams, np.uint64), count) + tv.spread(count).astype(np.uint64) * GOLD).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(token), pa.binary()), pa.array(token),
+                                                  pa.array(np.full(len(token), len(token)))], names=["node", "token", "size"])
+
+    tokens = bag.select("node", "grams", "counts").mapInArrow(run, "node binary, token long, size long")
+    seen = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"))
+    order = Window.partitionBy("node").orderBy("nodes", "token")              # the tokens of one text
+    return (tokens.join(seen, "token").withColumn("rank", F.row_number().over(order))
+            .where((F.col("nodes") > 1) & (F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1))
+            .select("node", "token", "rank", "size"))
+
+
+def prefix_pairs(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that can reach the threshold:
+    they share a token within the rank that their sizes allow.
+
+    Of the nodes with one token those of its largest component meet the others
+    only, so a large group of near copies is not paired with itself."""
+    most = (prefixes.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
+            .agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    left = prefixes.join(most, "token").where(F.col("component") != F.col("top"))
+    cols = lambda df, n: df.select("token", F.col("node").alias(n), F.col("rank").alias(f"r{n}"), F.col("size").alias(f"s{n}"),
+                                   F.col("component").alias(f"c{n}"))
+    need = F.ceil(threshold / (1 + threshold) * (F.col("sa") + F.col("sb")) - 1e-9)
+    return (cols(left, "a").join(cols(prefixes, "b"), "token")
+            .where((F.col("ca") != F.col("cb")) & (F.col("ra") <= F.col("sa") - need + 1) & (F.col("rb") <= F.col("sb") - need + 1))
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
 def overlap(a_grams: bytes, a_counts: bytes, b_grams: bytes, b_counts: bytes) -> int:
@@ -261,18 +290,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # buckets that hold several components: pairs across them that have not been compared
     placed = labelled(member, labels, "node", "component")
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    placed = stored(placed.join(mixed, "band").select("band", "node", "size", "component"), "minhash-mixed")
+    placed = stored(placed.join(mixed, "band").select("node", "component").distinct(), "minhash-mixed")
     if not placed.isEmpty():
-        own = alone(bags(docs, nodes.join(placed.select("node").distinct(), "node", "left_semi"), k))
-        # the most that a node can share: shingles that no other node of these buckets has are lost
-        placed = (placed.join(own, "node", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0)))
-                  .where(F.col("most") >= threshold * F.col("size") - 1e-9).drop("own"))
-        x, y = (placed.select("band", F.col("node").alias(n), F.col("size").alias(f"s{n}"), F.col("most").alias(f"m{n}"),
-                              F.col("component").alias(f"c{n}")) for n in "ab")
-        both = F.least("ma", "mb")
-        cross = (x.join(y, "band").where((F.col("ca") < F.col("cb")) & (both >= threshold * (F.col("sa") + F.col("sb") - both) - 1e-9))
-                 .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-                 .join(star.select("a", "b"), ["a", "b"], "left_anti"))
+        bag = stored(bags(docs, nodes.join(placed.select("node"), "node", "left_semi"), k), "minhash-mixed-bags")
+        prefixes = stored(rare_prefixes(bag, threshold).join(placed, "node"), "minhash-prefixes")
+        cross = prefix_pairs(prefixes, threshold).join(star.select("a", "b"), ["a", "b"], "left_anti")
         cross = stored(cross, "minhash-cross")
         if not cross.isEmpty():
             links = links.union(verify(cross, docs, nodes, threshold, k, "minhash-cross"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
+from .common import bounded_batches
 from .spancache import SpanCache
 
 SPACE = "▁"
@@ -72,7 +73,7 @@ class PrefixTable:
         key = a << 20 | b
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             x, y = self.piece[a], self.piece[b]
             ok = self.pairs[key] = self.merged(list(x + y)) == [x, y]
@@ -190,6 +191,7 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", keep: tuple[s
     shuffle); repeated rows give repeated results; an empty table gives none.
     `model` is a path readable on the executors.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = src.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
 

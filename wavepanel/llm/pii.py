@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import fresh, row_key, stored
+from .common import bounded_batches, fresh, row_key, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("generalised", "removed")
@@ -276,6 +276,7 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     Texts are shuffled once by row key to meet their spans; a text without spans is unchanged.
     """
     cols = docs.columns
+    bounded_batches(docs.sparkSession)
     rid, extra = fresh(docs, "rid"), fresh(docs, "spans")
     spans = (find(docs, text=text, **options).select(F.col("rid").alias(rid), F.concat("base", "added").alias(extra))
              .where(F.size(extra) > 0).dropDuplicates([rid]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import fresh, stored
+from .common import bounded_batches, fresh, stored
 
 SLICE = 512 << 10
 SHRINK, RIDGE = 0.05, 1e-3
@@ -263,6 +263,7 @@ def op8_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The documents whose score reaches the threshold; all columns, no shuffle of texts."""
     model = fit(features(docs, text), labels)
+    bounded_batches(docs.sparkSession)
     cols, whole = docs.columns, fresh(docs, "whole_text")
     src = docs.withColumn(whole, F.coalesce(F.col(f"`{text}`"), F.lit("")))
 

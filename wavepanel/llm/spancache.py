@@ -28,7 +28,7 @@ class _Level:
 
 
 class SpanCache:
-    def __init__(self, dtype, limit: int = 3_000_000):
+    def __init__(self, dtype, limit: int = 1_000_000):
         self.dtype, self.limit = dtype, limit
         self._reset()
 

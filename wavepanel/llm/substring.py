@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import NULL_ID, row_key, text_bytes
+from .common import NULL_ID, bounded_batches, row_key, text_bytes
 
 WINDOW, GRAM = 13, 5
 BLOCK_BYTES = 16 << 20        # text behind one index block
@@ -286,6 +286,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     do not remove each other's words.  A null text has no words; other columns
     are ignored; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     src = src.withColumn("rid", row_key())
     blocks = text_bytes(src) // block_bytes + 1

@@ -12,6 +12,7 @@ holds on UTF-8 bytes.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
@@ -34,8 +35,16 @@ def process_store() -> dict:
     return mod.store
 
 
-def as_batches(table_or_batch):
-    return table_or_batch.to_batches() if isinstance(table_or_batch, pa.Table) else [table_or_batch]
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    store = process_store()
+    if "libc" not in store:
+        try:
+            store["libc"] = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):           # another C library: nothing to ask for
+            store["libc"] = lambda _: 0
+    store["libc"](0)
 
 
 def text_column(batch, name: str) -> pa.Array:
@@ -57,6 +66,7 @@ def slices(batch, name: str, budget: int = SLICE_BYTES):
         b = max(a + 1, int(np.searchsorted(off, off[a] + budget, side="right")) - 1)
         yield batch.slice(a, b - a), data[off[a]:off[b]], off[a:b + 1] - off[a]
         a = b
+    release()
 
 
 def edges_of(inside: np.ndarray, off: np.ndarray):
