@@ -111,19 +111,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SH
     base = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     base = (base.withColumn("_order", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("g")))
-            .withColumn("_bucket", F.substring("_order", 1, 3)))
+            .withColumn("_bucket", F.substring("_order", 1, 3))
+            # a key without nulls: window and join then share one exchange of the rows
+            .withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))))
     if not carry:
         base = stored(base, "mix-sizes")       # a few dozen bytes a document: texts are counted once
-    buckets = base.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
+    buckets = base.groupBy("source", "_key", "_bucket").agg(F.sum("size").alias("_words"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, schedules, share, max_epochs)
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = (buckets.withColumn("_bucket_start", F.coalesce(F.sum("_words").over(before), F.lit(0)))
             .join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-            .select(F.col("_s"), F.col("_bucket").alias("_b"), "_bucket_start", "source_size", "target", "_knots"))
-    inside = (Window.partitionBy("source", "_bucket").orderBy("_order", F.col("doc_id").asc_nulls_last(), "size")
+            .select("_key", "_bucket", "_bucket_start", "source_size", "target", "_knots"))
+    inside = (Window.partitionBy("_key", "_bucket").orderBy("_order", F.col("doc_id").asc_nulls_last(), "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     rows = (base.withColumn("_in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-            .join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+            .join(plan, ["_key", "_bucket"])
             .withColumn("_start", F.col("_bucket_start") + F.col("_in_bucket")))
     epochs = F.sequence(F.lit(0), F.lit(max_epochs - 1))
     upto = F.floor("target")
