@@ -58,6 +58,22 @@ def test_disclosing_terms(make):
     assert 1 + math.log2(1.0) / -math.log2(8 / total) == 1.0
 
 
+def test_disclosing_terms_everywhere(make):
+    """A term that gives a value away is marked far from the value, and in texts without it."""
+    far = "filler " * 20
+    rows = CONTACT + [(40, f"mail kim.lee@example.org now {far}é zanzibar, {far}zanzibar@example.org"), (41, f"é {far}Quux and Zanzibars"), (41, f"é {far}Quux and Zanzibars")]
+    rows += [(100 + i, "the now here mail end of mail now the here " * 30 + str(i)) for i in range(30)]
+    got = rows_of(make, rows)
+    text = dict(rows)
+    marked = lambda d: [(s["kind"], text[d][s["start"]:s["end"]], s["start"]) for s in got[d]["added"]]
+    assert [x[1] for x in marked(0)] == ["Zanzibar", "Quux"]
+    assert marked(40) == [("removed", "zanzibar", text[40].index("zanzibar"))]      # not the one inside an address
+    assert marked(41) == [("removed", "Quux", text[41].index("Quux"))]              # no part of a longer term
+    assert all(not got[100 + i]["added"] for i in range(30))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(make(rows)).collect()}
+    assert "zanzibar" not in clean[40] and "Quux" not in clean[41] and "Zanzibars" in clean[41]
+
+
 def test_edges_and_digest(make):
     rows = EDGE + [(50, "mail kim.lee@example.org and 10.0.0.1, é +1 555 123 4567 4111 1111 1111 1111"), (51, None)]
     got = pii.op6_pii(make(rows, ("spans", "base"))).collect()

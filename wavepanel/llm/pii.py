@@ -11,12 +11,15 @@ e, and the corpus itself tells which terms t give it away:
 A term that always stands next to an entity has PMI = IC: it says as much as the
 entity.  Terms with PMI/IC at or above `remove` are removed, from `generalise`
 on they are replaced by a general mark.  A pair needs `support` different texts.
-Terms are runs of letters (ASCII case folded), three bytes or more.
+Terms are runs of letters (ASCII case folded), three bytes or more.  A term that
+gives a value away does so wherever it stands: all its occurrences in all texts
+are marked, near the value or not, whether or not the text names the value.
 
 One pass over the texts writes a table of base spans, contexts (a few rows per
 entity occurrence) and term counts (combined per task); statistics cover all
-documents.  Only grouped sums and key joins follow; one number, the corpus size,
-reaches the driver.
+documents.  Grouped sums and key joins make the table of disclosing terms; a
+second pass finds their occurrences, by a bitmap of fixed size (MAP_BITS) first
+and then exactly by a key join.  The corpus size and the bitmap reach the driver.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ ADDED = ("generalised", "removed")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
 REACH, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.8, 0.9
 COUNT_LIMIT = 1_000_000       # distinct terms that a task holds before it passes them on
+ROWS = 1 << 16                # rows of a batch of counts
+MAP_BITS = 1 << 23            # bits of the map of disclosing terms: 1 MB
+MAP_ROW = 1 << 15             # bits in a row of bitmap_construct_agg
+SALTS = 16                    # shares of a term's occurrences in the join
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -169,7 +176,9 @@ def scan(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBat
 
     def count_rows():
         keys, n = counts.take()
-        return _rows(len(keys), kind=np.full(len(keys), COUNT, np.int32), term=keys.view(np.int64), n=n)
+        for k in range(0, len(keys), ROWS):
+            part = keys[k:k + ROWS]
+            yield _rows(len(part), kind=np.full(len(part), COUNT, np.int32), term=part.view(np.int64), n=n[k:k + ROWS])
 
     for batch in batches:
         for rows, data, off in tv.slices(batch, "text"):
@@ -181,7 +190,7 @@ def scan(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBat
             if counts.held > COUNT_LIMIT:
                 counts.merge()
                 if len(counts.keys) > COUNT_LIMIT:
-                    yield count_rows()
+                    yield from count_rows()
             texts, rid = rows.column("text").to_pylist(), rows.column("rid").to_pylist()
             spans, ctx = [], []
             for k, text in enumerate(texts):
@@ -212,7 +221,54 @@ def scan(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBat
                 point = lambda x: [v if m is None else int(np.searchsorted(m, v)) for v, m in zip(x, lead)]
                 yield _rows(len(r), kind=np.full(len(r), CONTEXT, np.int32), rid=r, entity=e, term=t, start=point(i), end=point(j))
     if counts.held or len(counts.keys):
-        yield count_rows()
+        yield from count_rows()
+
+
+def term_map(telling: DataFrame) -> np.ndarray:
+    """MAP_BITS bits in bytes, lowest first, set at the low bits of every term in the table."""
+    slot = F.expr(f"term & {MAP_BITS - 1}L") + 1                     # Spark's bitmaps count from 1
+    rows = telling.groupBy(F.bitmap_bucket_number(slot).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in rows.collect():
+        out[(r["row"] - 1) * MAP_ROW // 8:r["row"] * MAP_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+PLACES = "rid long, term long, places array<struct<start:int,end:int>>"
+
+
+def occurrences(batches: Iterator[pa.RecordBatch], marked: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The places of every term that the map holds, outside personal data: a row per document and term."""
+    for batch in batches:
+        for rows, data, off in tv.slices(batch, "text"):
+            a, z = tv.edges_of(LETTER[data], off)
+            long = z - a >= 3
+            a, z = a[long], z[long]
+            terms = tv.span_hash(FOLD[data], a, z)
+            slot = (terms & np.uint64(MAP_BITS - 1)).astype(np.int64)
+            hit = np.flatnonzero(marked[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            a, z, terms = a[hit], z[hit], terms[hit]
+            first = np.searchsorted(a, off)
+            free = np.ones(len(a), bool)
+            for k in np.flatnonzero(np.diff(first)).tolist():
+                lo, hi, t = off[k], off[k + 1], slice(first[k], first[k + 1])
+                text = rows.column("text")[k].as_py()
+                byte = np.array([x[1:] for x in base_spans(text)], np.int64).reshape(-1, 2)
+                lead = None if len(text) == hi - lo else np.append(np.flatnonzero((data[lo:hi] & 0xC0) != 0x80), hi - lo)
+                for i, j in lo + (byte if lead is None else lead[byte]):
+                    free[t.start + np.searchsorted(z[t], i, side="right"):t.start + np.searchsorted(a[t], j)] = False
+                a[t], z[t] = (x[t] - lo if lead is None else np.searchsorted(lead, x[t] - lo) for x in (a, z))
+            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[free]
+            a, z, terms = a[free], z[free], terms[free]
+            if not len(doc):
+                continue
+            order = np.lexsort((terms, doc))                          # stable: places stay in order
+            a, z, terms, doc = a[order], z[order], terms[order], doc[order]
+            head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (terms[1:] != terms[:-1])))
+            places = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["start", "end"])
+            yield pa.RecordBatch.from_arrays([rows.column("rid").take(pa.array(doc[head])), pa.array(terms[head].view(np.int64)),
+                                              pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), places)],
+                                             names=["rid", "term", "places"])
 
 
 def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE,
@@ -241,9 +297,15 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise
     p_et = F.least(F.lit(1.0), F.col("together") / F.col("n_term"))
     said = (F.lit(1.0) + F.log2(p_et) / -F.log2(F.least(p_e, F.lit(0.5))))        # PMI / IC
     telling = (pairs.join(seen, "term").join(own, "entity").withColumn("said", said).where(F.col("said") >= generalise)
-               .select("entity", "term", F.when(F.col("said") >= remove, ADDED[1]).otherwise(ADDED[0]).alias("kind")))
-    added = (place.join(telling, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("kind").alias("kind"))
-             .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added")))
+               .groupBy("term").agg(F.max(F.when(F.col("said") >= remove, ADDED[1]).otherwise(ADDED[0])).alias("kind")))
+    telling = stored(telling, "pii-telling")
+    marked = term_map(telling)
+    salted = telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = (src.select("rid", "text").mapInArrow(lambda it: occurrences(it, marked), PLACES)
+              .withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]))
+    # repeated rows share a key and their places: a set
+    kinded = F.transform("places", lambda x: F.struct(F.col("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    added = places.select("rid", kinded.alias("spans")).groupBy("rid").agg(F.sort_array(F.flatten(F.collect_set("spans"))).alias("added"))
     return (found.where(F.col("kind") == DOCUMENT).select("doc_id", "rid", F.col("spans").alias("base")).join(added, "rid", "left")
             .select("doc_id", "rid", "base", F.coalesce("added", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")).alias("added")))
 
