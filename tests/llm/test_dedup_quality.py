@@ -191,6 +191,31 @@ def test_lm_sums_and_edges(make):
     assert masked_lm.op5_masked_lm(make([])).collect() == []
 
 
+@pytest.mark.parametrize("head", [16, masked_lm.HEAD])
+def test_lm_counts_words_exactly(make, head):
+    """More words than buckets: a word's share of its class is its own, whatever shares its bucket or slot."""
+    rows = [(i, " ".join(["often"] * 50 + [f"r{i}x{k}" for k in range(300)] + [f"t{k}" for k in range(i % 3)])) for i in range(40)]
+    rows += [rows[0], (None, "often t0 unheard")]
+    n = Counter(w for _, t in rows for w in t.split())
+    assert len(n) > masked_lm.BUCKETS
+    docs = make(rows)
+    model, words = trained = masked_lm.train(docs, head=head)
+    assert sorted(r["n"] for r in words.collect()) == sorted(n.values())
+    for scored in (rows, rows + [(99, "never seen")]):
+        got = {r["doc_id"]: r for r in masked_lm.score(make(scored), trained).collect()}
+        for d, t in dict(scored).items():
+            data, off = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])
+            w, around, _ = masked_lm.windows(data, off, masked_lm.BUCKETS, model.heads)
+            classes = masked_lm.Model(model.tables, model.out, model.class_of, np.zeros_like(model.log_share)).word_scores(w, around)
+            of_class = Counter()
+            for word, k in n.items():
+                key = masked_lm.keys_of(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0]
+                of_class[int(model.class_of[masked_lm.symbols(key, model.heads)[0]])] += k
+            want = classes.sum() + sum(np.log(n.get(x, 0.5) / max(of_class[int(model.class_of[c])], 1)) for x, c in zip(t.split(), w))
+            assert abs(got[d]["log_prob"] - want) < 1e-6 * abs(want)
+    assert masked_lm.score(docs, trained).count() == len(rows)
+
+
 def test_lm_gradient():
     counts = np.ones(50)
     model = masked_lm.start(counts, 8, 4)
