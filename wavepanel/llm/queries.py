@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import OP13_SQL, op13_clusters
 from .common import table
 from .hnsw import op3_nearest
 from .idfiles import op4_token_files
@@ -65,6 +66,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_substrings(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_near_dedup": op2_near_dedup,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
-ORACLE: dict[str, str] = {"op1_source_mixing": OP1_SQL.strip()}
+ORACLE: dict[str, str] = {"op1_source_mixing": OP1_SQL.strip(), "op13_centroid_clusters": OP13_SQL.strip()}
