@@ -17,6 +17,7 @@ from .neardup_vectors import op7_vectors
 from .pieces import op9_pieces
 from .pii import op6_pii
 from .quality import op8_quality
+from .runs import op11_runs
 from .substring import op10_substrings
 
 
@@ -66,6 +67,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_substrings(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_runs(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 
