@@ -14,6 +14,7 @@ from .mixing import OP1_SQL, op1_mixing
 from .masked_lm import op5_masked_lm
 from .minhash import op2_minhash
 from .neardup_vectors import op7_vectors
+from .phrases import op12_fingerprints
 from .pieces import op9_pieces
 from .pii import op6_pii
 from .quality import op8_quality
@@ -71,6 +72,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 
