@@ -127,7 +127,7 @@ def test_take_until_matches_running_sum(spark):
     rows = [(i, float(rnd.randrange(1000, 400000))) for i in range(2000)]
     df = spark.createDataFrame(rows, "seq BIGINT, s DOUBLE")
     target = 5_000_000.0
-    got = sorted(r.seq for r in S.take_until(df, "s", target, "seq", bucket_width=1000.0).collect())
+    got = sorted(r.seq for r in S.take_until(df, "s", target, "seq").collect())
     run, want = 0.0, []
     for seq, s in sorted(rows, key=lambda r: (-r[1], r[0])):
         if run >= target:

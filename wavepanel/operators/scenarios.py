@@ -2,9 +2,9 @@
 
 All scenarios run on one snapshot of a unit hierarchy.  Scalars (college
 totals, uniform rates) are one-row aggregates broadcast to the unit rows;
-per-unit figures are grouped conditional aggregations.  The only ordered
-walk over raw rows -- "cut the highest salaries until the target is met"
-(E16) -- is done in two levels so that no single task sorts all rows.
+per-unit figures are grouped conditional aggregations.  The ordered walks over raw
+rows -- "cut the highest salaries until the target is met" (E16), plan numbers
+(E18) -- are distributed prefix sums (`prefix`).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..columns import CLEAN, PanelCols
 from ..functions.numeric import safe_div
 from ..functions.text import keyword_category
+from . import prefix
 
 
 @dataclass(frozen=True)
@@ -109,46 +110,17 @@ def composition(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN) -> DataFra
              .drop("_all", "_sub"))
 
 
-def take_until(df: DataFrame, value: str, target: float, seq: str, bucket_width: float = 100.0) -> DataFrame:
+def take_until(df: DataFrame, value: str, target: float, seq: str) -> DataFrame:
     """Rows in descending `value` order (ties by `seq`) until the running
-    total reaches `target`; the row that crosses is kept.
-
-    Three levels of totals, each combined map-side and run over by a window of
-    one row per group: value buckets; in the last bucket that begins before the
-    target, its values and blocks of `seq`; then the rows of the one block that
-    crosses.  The levels meet the rows as scalar thresholds: no join, no
-    broadcast, and no window over the rows of a bucket or a popular value.
-    """
-    b = (df.where(F.col(value).isNotNull()).withColumn("_b", F.floor(F.col(value) / F.lit(bucket_width)))
-           .withColumn("_k", F.floor(F.col(seq) / F.lit(SEQ_BLOCK))))
-    goal, v, k = F.lit(float(target)), F.col(value), F.col("_k")
-
-    def last_begun(totals: DataFrame, *order: Column, base=F.lit(0.0)) -> Column:
-        """The last group, in order, whose running total before it is below the target."""
-        names = [c for c in totals.columns if c != "_t"]
-        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        run = totals.withColumn("before", base + F.coalesce(F.sum("_t").over(w), F.lit(0.0)))
-        run = run.withColumn("_at", F.row_number().over(Window.orderBy(*order))).where(F.col("before") < goal)
-        return run.agg(F.max_by(F.struct(*names, "before"), "_at")).scalar()
-
-    bucket = last_begun(b.groupBy("_b").agg(F.sum(v).alias("_t")), F.col("_b").desc())
-    here = b.where(F.col("_b") == bucket["_b"])
-    block = last_begun(here.groupBy(v.alias("_v"), "_k").agg(F.sum(v).alias("_t")), F.col("_v").desc(), F.col("_k"), base=bucket["before"])
-    whole = b.where((F.col("_b") > bucket["_b"]) | ((F.col("_b") == bucket["_b"])
-                    & ((v > block["_v"]) | ((v == block["_v"]) & (k < block["_k"])))))
-    edge = here.where((v == block["_v"]) & (k == block["_k"]))
-    wr = Window.partitionBy("_k").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    edge = (edge.withColumn("_run", block["before"] + F.coalesce(F.sum(v).over(wr), F.lit(0.0)))
-                .where(F.col("_run") < goal).drop("_run"))
-    return whole.unionByName(edge).drop("_b", "_k")
-
-
-def management_first(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN,
-                     bucket_width: float = 100.0) -> DataFrame:
+    total reaches `target`; the row that crosses is kept (see `prefix.until`)."""
+    return prefix.until(df, value, [F.col(seq)], float(target))
+
+
+def management_first(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN) -> DataFrame:
     """Management rows cut from the highest salary down until the
     listed-salary target is met."""
     x = classify(df, sc, cols).where(F.col("is_management"))
-    return take_until(x, cols.measure, sc.target_salary, cols.seq, bucket_width)
+    return take_until(x, cols.measure, sc.target_salary, cols.seq)
 
 
 def management_protected(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN) -> DataFrame:
@@ -176,9 +148,6 @@ def compare_scenarios(uniform: DataFrame, first: DataFrame, protected: DataFrame
     return j.na.fill(0, ["mgmt_first_positions"]).na.fill(0.0, ["mgmt_protected_positions", "uniform_positions"])
 
 
-# Rows of one value that a window may hold: blocks of the row number.
-SEQ_BLOCK = 1 << 20
-
 # Salary band edges (lower bounds, descending) and labels.
 SALARY_BANDS = [(200000, ">$200K"), (150000, "$150K-$200K"), (125000, "$125K-$150K"),
                 (100000, "$100K-$125K"), (75000, "$75K-$100K"), (None, "<$75K")]
@@ -232,26 +201,9 @@ def phase_savings(plan: DataFrame, overhead: float) -> DataFrame:
 
 
 def number_plan(plan: DataFrame) -> DataFrame:
-    """Sequential line number in (phase, salary desc, row) order (no salary last).
-
-    Counts of phase x salary bucket give every bucket its first number (a
-    window over the buckets), counts of salary x block of rows inside a bucket
-    give every block its own, and only the rows of a block are numbered.
-    """
-    pay = F.coalesce(F.col("salary"), F.lit(float("-inf")))
-    x = (plan.withColumn("_pay", pay).withColumn("_b", F.when(pay == float("-inf"), F.lit(None)).otherwise(F.floor(pay / F.lit(1000.0))))
-             .withColumn("_k", F.floor(F.col("_seq") / F.lit(SEQ_BLOCK))))
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    big = (x.groupBy("phase", "_b").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_first", F.coalesce(F.sum("_n").over(upto(Window.orderBy("phase", F.col("_b").desc_nulls_last()))), F.lit(0))))
-    part = (x.groupBy("phase", "_b", "_pay", "_k").agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_in", F.coalesce(F.sum("_n").over(upto(Window.partitionBy("phase", "_b").orderBy(F.col("_pay").desc(), "_k"))), F.lit(0))))
-    same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
-    base = (part.alias("p").join(big.alias("g"), same("p", "g", ["phase", "_b"]))
-            .select(F.col("p.phase").alias("phase"), "p._pay", "p._k", (F.col("_first") + F.col("_in")).alias("_base")))
-    own = F.row_number().over(Window.partitionBy("phase", "_pay", "_k").orderBy("_seq"))
-    return (x.withColumn("_own", own).alias("x").join(base.alias("b"), same("x", "b", ["phase", "_pay", "_k"]))
-            .select(*[F.col(f"x.{c}") for c in plan.columns], (F.col("_base") + F.col("_own")).cast("bigint").alias("line")))
+    """Sequential line number in (phase, salary desc, row) order (no salary last)."""
+    order = [F.col("phase"), F.col("salary").desc_nulls_last(), F.col("_seq")]
+    return prefix.running_count(plan, order, "line").select(*plan.columns, "line")
 
 
 def untouched_units(df: DataFrame, plan: DataFrame, unit: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..columns import FIXTURE as FX
 from ..operators import scenarios as S
 from ..operators.matching import pipe_lines, tolerance_match
-from .common import R, panel_real, rs, with_sql
+from .common import R, panel_real, rs, stored, with_sql
 from .registry import query
 
 SNAP = _dt.date(2000, 1, 1)
@@ -61,7 +61,8 @@ def _mgmt_first(spark, sf_dir):
 
 
 def _plan(spark, sf_dir):
-    return S.plan_from_cuts(_mgmt_first(spark, sf_dir), FX, "division")
+    """The position plan, an input of several views: stored once per application."""
+    return stored(spark, sf_dir, "position_plan", lambda: S.plan_from_cuts(_mgmt_first(spark, sf_dir), FX, "division"))
 
 
 @query("uniform_cut", with_sql(f"""
