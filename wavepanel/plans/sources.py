@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as _dt
 import os
 import uuid
 
@@ -14,6 +15,7 @@ from ..sources.snapshots import RAW_TYPES, layout_frames, normalize_frame, read_
 from ..sources.dimensions import JOB_COLUMNS, load_job_dimension, load_price_index
 from ..sources.sinks import read_panel, write_csv
 from ..sources.tables import read_table
+from ..sources.workbooks import write_workbooks
 from .common import raw_snapshots
 from .registry import query
 
@@ -49,6 +51,40 @@ def snapshot_files(spark, sf_dir):
     return read_snapshots(spark, folder).select(*[c for c in _RAW_COLS if c != "_row_seq"])
 
 
+def _exports(frame, copies, date="Date"):
+    """(named rows) an export name per date and copy."""
+    return frame.withColumn("Export", F.concat(F.date_format(date, "yyyy-MM"), F.lit(" "), copies)).drop("Date", "_row_seq")
+
+
+@query("workbook_files", f"""
+with raw as ({fixtures.RAW_SNAPSHOTS_SQL})
+select {", ".join('"' + c + '"' for c in _RAW_COLS if c != "_row_seq")} from raw""")
+def workbook_files(spark, sf_dir):
+    """The raw rows exported as workbooks in two layouts, three files or more per
+    snapshot (dates as date cells), and read back by streaming their sheets."""
+    raw = raw_snapshots(spark, sf_dir)
+    folder = _scratch(spark, "workbooks")
+    for frame in layout_frames(raw, fixtures.NEW_LAYOUT_FROM):
+        frame = frame.withColumn("Date of Hire", F.col("Date of Hire").cast("date"))
+        write_workbooks(_exports(frame, F.concat(F.lit("part "), F.pmod("_row_seq", F.lit(3)).cast("string"))), folder, file="Export")
+    return read_snapshots(spark, folder, "xlsx").select(*[c for c in _RAW_COLS if c != "_row_seq"])
+
+
+@query("snapshot_last", f"""
+with raw as ({fixtures.RAW_SNAPSHOTS_SQL})
+select {", ".join('"' + c + '"' for c in _RAW_COLS if c != "_row_seq")} from raw
+where "Date" >= date '1997-01-01' and _row_seq % 4 = 3""")
+def snapshot_last(spark, sf_dir):
+    """Every date exported as releases 0 to 3; of each date from 1997-01 on, the last release by name is read."""
+    raw = raw_snapshots(spark, sf_dir)
+    folder = _scratch(spark, "releases")
+    for frame in layout_frames(raw, fixtures.NEW_LAYOUT_FROM):
+        (_exports(frame, F.concat(F.lit("release "), F.pmod("_row_seq", F.lit(4)).cast("string"))).write.mode("append")
+         .partitionBy("Export").option("header", True).csv(folder))
+    out = read_snapshots(spark, folder, since=_dt.date(1997, 1, 1), keep="last")
+    return out.select(*[c for c in _RAW_COLS if c != "_row_seq"])
+
+
 @query("page_fields", r"""
 select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,
        regexp_extract(html, '<html lang="([^"]*)"', 1) as lang,

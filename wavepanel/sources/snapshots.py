@@ -1,29 +1,33 @@
 """Raw snapshot exports -> one typed frame.
 
-Snapshots are CSV or Parquet exports; a date (YYYY-MM) stands in the name of the
-file, or of the folder of part files directly above it.  A snapshot may come in
-several files: all of them are kept.  Layouts differ between releases, so files
-with equal headers are read together with their own column names, normalised to
-the target names, cast to one declared schema and unioned by name.  The driver
-sees file names and headers (metadata); headers are read by tasks.
+Snapshots are CSV, Parquet or workbook exports; a date (YYYY-MM) stands in the
+name of the file, or of the folder of part files directly above it.  A snapshot
+may come in several files: all of them are kept.  Layouts differ between
+releases.  Every file is read as rows of cells by position, and the header of
+each file says which cells make up a target column: a table of (file, header),
+made by tasks, meets the rows by a join.  The driver sees the distinct headers
+and column names (metadata), never a list of files.
 """
 
 from __future__ import annotations
 
 import csv
-import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lookups import COLUMNS_TO_DROP, LEGACY_RENAMES, NEW_RENAMES
 from ..functions.text import matches_ci
+from ..operators import prefix
+from ..session import materialize
+from .workbooks import read_workbooks
 
 MONTH = r"(?<!\d)\d{4}-\d{2}(?!\d)"
 PART_FILE = r"^part-\d+"            # a writer's part file: its name says nothing, its folder's does
-HEADER_BYTES = 1 << 20
+LOCK_FILE = r"/~\$[^/]*$"           # left by a program that has a workbook open
 
 # Target raw schema after normalisation (types of the cleaning job's input).
 RAW_TYPES = {
@@ -43,14 +47,18 @@ def snapshot_name(path_col) -> "F.Column":
     return F.coalesce(named(-1), named(-2))
 
 
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """Files under a folder, by the `binaryFile` source (the content is read only where it is used)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+
+
 def snapshot_files(spark: SparkSession, folder: str) -> DataFrame:
     """A1: (path, uri, name) of the snapshot files in `folder` and in its folders
     of part files.  Listed with the `binaryFile` source, whose content column is
     pruned, so no file is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     inside = F.expr("substring(path, length(regexp_extract(path, '^[a-z0-9]+:/*', 0)) + 1)")
-    return (files.select("path", F.col("_metadata.file_path").alias("uri"), snapshot_name(inside).alias("name"))
-            .where(F.col("name").isNotNull()))
+    return (_listed(spark, folder).select("path", F.col("_metadata.file_path").alias("uri"), snapshot_name(inside).alias("name"))
+            .where(F.col("name").isNotNull() & ~F.col("path").rlike(LOCK_FILE)))
 
 
 def list_snapshot_files(spark: SparkSession, folder: str) -> list[str]:
@@ -122,68 +130,144 @@ def to_target(df: DataFrame, types: dict[str, str] = RAW_TYPES) -> DataFrame:
     return out
 
 
-def layouts(spark: SparkSession, files: DataFrame, fmt: str) -> list[tuple[list[str], list[str]]]:
-    """(columns, paths) of every distinct header: one job reads the first line
-    (CSV) or the footer (Parquet) of each file; a few rows per layout return."""
-    def header(uri: str) -> str:
+def column_plan(header: list[str]) -> dict[str, list[int]]:
+    """A4/A5: target column -> the positions in the header whose first non-null
+    cell it takes, in the order of the renames.  A repeated name gets a suffix
+    (`.1`, `.2`), an empty one its position; layout markers are left out."""
+    seen: dict[str, int] = {}
+    names = []
+    for i, c in enumerate(header):
+        c = c if c and c.strip() else f"Unnamed: {i}"
+        n = seen[c] = seen.get(c, -1) + 1
+        names.append(normalize_name(f"{c}.{n}" if n else c))
+    renames = NEW_RENAMES if detect_layout(names) == "new" else LEGACY_RENAMES
+    plan: dict[str, list[int]] = {}
+    for source, target in renames.items():
+        plan.setdefault(target, []).extend(i for i, n in enumerate(names) if n == source)
+    for i, n in enumerate(names):
+        if n not in renames and n not in COLUMNS_TO_DROP:
+            plan.setdefault(n, []).append(i)
+    return {target: at for target, at in plan.items() if at}
+
+
+# Each reader gives (rows, heads): rows (uri, block, pos, cells), pos growing inside a split (uri, block);
+# heads (uri, header).
+
+def csv_cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """CSV files of any layouts in one scan: columns by position, as many as the
+    longest header has.  Headers are the first non-empty lines of the files."""
+    place = [F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select("value", *place, F.monotonically_increasing_id().alias("pos"))
+    first = (lines.where((F.col("block") == 0) & (F.trim("value") != "")).groupBy("uri").agg(F.min_by("value", "pos").alias("line")))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [next(csv.reader([line.removeprefix("\ufeff")])) for line in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.string()))], names=["uri", "header"])
+
+    heads = materialize(first.mapInArrow(split, "uri string, header array<string>"), "headers")
+    width = heads.agg(F.max(F.size("header")).alias("n")).first()["n"] or 1
+    raw = (spark.read.option("recursiveFileLookup", "true").option("header", True)
+           .schema(", ".join(f"c{i} string" for i in range(width))).csv(folder))
+    rows = raw.select(*place, F.monotonically_increasing_id().alias("pos"), F.array(*[f"c{i}" for i in range(width)]).alias("cells"))
+    return rows, heads
+
+
+def parquet_cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Parquet files of any schemas: a row per (file, row group) is dealt out, and
+    each task streams its row groups as text cells (types are declared later, and
+    one column may have several)."""
+    def opened(uri: str):
         from pyarrow import fs, parquet
         store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri))
-        if fmt == "parquet":
-            with store.open_input_file(inner) as f:
-                return json.dumps([[x.name, str(x.type)] for x in parquet.read_schema(f)])
-        with store.open_input_stream(inner) as f:
-            first = f.read(HEADER_BYTES).decode("utf-8-sig").splitlines()[:1]
-        return json.dumps([[c, "string"] for row in csv.reader(first) for c in row])
-
-    def run(batches):
+        return parquet.ParquetFile(store.open_input_file(inner))
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                with opened(uri) as f:
+                    sizes = [f.metadata.row_group(i).num_rows for i in range(f.num_row_groups)] or [0]
+                    names = f.schema_arrow.names
+                at = [sum(sizes[:i]) for i in range(len(sizes))]
+                yield pa.RecordBatch.from_pydict({"uri": [uri] * len(sizes), "part": range(len(sizes)), "at": at, "header": [names] * len(sizes)},
+                                                 pa.schema([("uri", pa.string()), ("part", pa.int32()), ("at", pa.int64()), ("header", pa.list_(pa.string()))]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"path": batch["path"], "header": [header(x) for x in batch["uri"].to_pylist()]},
-                                             pa.schema([("path", pa.string()), ("header", pa.string())]))
+            for uri, part, at in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                with opened(uri) as f:
+                    for rows in f.iter_batches(4096, [part] if f.num_row_groups else []):
+                        text = [c.cast(pa.string()).to_pylist() for c in rows.columns]
+                        yield pa.RecordBatch.from_arrays([pa.array([uri] * rows.num_rows), pa.array([0] * rows.num_rows, pa.int64()),
+                                                          pa.array(range(at, at + rows.num_rows), pa.int64()),
+                                                          pa.array([list(r) for r in zip(*text)], pa.list_(pa.string()))], names=["uri", "block", "pos", "cells"])
+                        at += rows.num_rows
+
+    listed = _listed(spark, folder).select(F.col("_metadata.file_path").alias("uri")).where(F.col("uri").endswith(".parquet"))
+    groups = materialize(listed.mapInArrow(footers, "uri string, part int, at long, header array<string>"), "footers")
+    dealt = groups.select("uri", "part", "at").repartition(F.col("uri"), F.col("part"))
+    return (dealt.mapInArrow(read, "uri string, block long, pos long, cells array<string>"),
+            groups.where("part = 0").select("uri", "header"))
 
-    rows = (files.select("path", "uri").mapInArrow(run, "path string, header string")
-            .groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect())
-    return [([c for c, _ in json.loads(r.header)], list(r.paths)) for r in rows if json.loads(r.header)]
+
+def workbook_cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The first sheets of the workbooks, read once and stored."""
+    files = (_listed(spark, folder).select(F.col("_metadata.file_path").alias("uri"), "path", "content")
+             .where(F.lower("path").rlike(r"\.xls[xm]$") & ~F.col("path").rlike(LOCK_FILE)))
+    rows = materialize(read_workbooks(files).select("uri", F.lit(0).cast("long").alias("block"), "pos", "cells"), "workbooks")
+    return rows.where("pos >= 0"), rows.where("pos < 0").select("uri", F.col("cells").alias("header"))
+
+
+READERS = {"csv": csv_cells, "parquet": parquet_cells, "xlsx": workbook_cells}
 
 
 def read_snapshots(spark: SparkSession, folder: str, fmt: str = "csv", since=None, keep: str = "all") -> DataFrame:
     """All snapshot files of a folder as one frame with
     `Date` and `_row_seq` (0, 1, 2, ... by file name, path and position in the file).
 
-    keep="all" (default) keeps every file of a date; keep="last" only the last
-    by name (the cohort study's loader, where a later export replaces an earlier
-    one).  A split of a file is read in order by one task, so a row's number is
-    the number of rows in the splits before it (a sum over one short row per
-    split) plus its place in its own.  Raises for a folder without snapshots.
+    `fmt` is csv, parquet or xlsx.  keep="all" (default) keeps every file of a
+    date; keep="last" only the last by name (the cohort study's loader, where a
+    later export replaces an earlier one); `since` leaves out earlier dates
+    without changing the row numbers.  A split of a file is read in order by one
+    task, so a row's number is the number of rows in the splits before it (a
+    distributed running total over one short row per split) plus its place in its
+    own.  Dates and layouts are columns of that table: rows meet them by one join.
+    Raises for a folder without snapshots.
     """
-    files = snapshot_files(spark, folder)
-    frames, splits = [], []
-    for columns, paths in layouts(spark, files, fmt):
-        if fmt == "csv":
-            raw = spark.read.option("header", True).schema(", ".join(f"`{c}` STRING" for c in columns)).csv(paths)
-        else:
-            raw = spark.read.format(fmt).load(paths)
-        raw = (raw.withColumn("_uri", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start"))
-                  .withColumn("_pos", F.monotonically_increasing_id()))
-        splits.append(raw.groupBy("_uri", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")))
-        frames.append(to_target(normalize_frame(raw)))
-    if not frames:
-        raise ValueError(f"no snapshot files in {folder}")
-    out, where = frames[0], splits[0]
-    for f, g in zip(frames[1:], splits[1:]):
-        out, where = out.unionByName(f, allowMissingColumns=True), where.union(g)
-    # one row per split: metadata
-    order = Window.orderBy("name", "path", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    named = files.withColumn("Date", snapshot_date(F.col("path"))).withColumnRenamed("uri", "_uri")
+    rows, heads = READERS[fmt](spark, folder)
+    files = snapshot_files(spark, folder).withColumn("Date", snapshot_date(F.col("path")))
     if keep == "last":
-        last = named.groupBy("Date").agg(F.max("name").alias("name"))
-        named = named.join(last, ["Date", "name"])
-    where = where.join(named, "_uri").withColumn("_base", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+        files = files.join(files.groupBy("Date").agg(F.max("name").alias("name")), ["Date", "name"])
+    heads = heads.where(F.size("header") > 0).withColumn("layout", F.xxhash64("header"))
+    known = heads.join(files, "uri")
+    # one row per distinct header
+    plans = {r["layout"]: column_plan(list(r["header"])) for r in known.select("layout", "header").distinct().collect()}
+    if not plans:
+        raise ValueError(f"no snapshot files in {folder}")
+    splits = (rows.groupBy("uri", "block").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+              .join(known.select("uri", "path", "name", "Date", "layout"), "uri"))
+    where = prefix.running_total(splits, [F.col("name"), F.col("path"), F.col("block")], F.col("n"), "upto")
     if since is not None:
         where = where.where(F.col("Date") >= F.lit(since))
-    where = where.select("_uri", "_block", "_base", "_first", "Date")
-    return (out.join(where, ["_uri", "_block"])
-            .withColumn("_row_seq", F.col("_base") + F.col("_pos") - F.col("_first"))
-            .drop("_uri", "_block", "_base", "_first", "_pos"))
+    met = rows.join(where.select("uri", "block", "Date", "layout", "first", (F.col("upto") - F.col("n")).alias("base")), ["uri", "block"])
+    own = {"date", "_row_seq"}                              # the loader's columns win over equally named ones of the files
+    targets = list(dict.fromkeys([*RAW_TYPES, *sorted({t for p in plans.values() for t in p} - own)]))
+    out = met.select("Date", (F.col("base") + F.col("pos") - F.col("first")).alias("_row_seq"), *[_pick(t, plans).alias(t) for t in targets])
+    return to_target(out).select(*[F.col(f"`{t}`") for t in targets], "Date", "_row_seq")
+
+
+def _pick(target: str, plans: dict[int, dict[str, list[int]]]) -> Column:
+    """The target's cell of a row, by the row's layout (layouts that agree share a branch)."""
+    by: dict[tuple, list[int]] = {}
+    for layout, plan in plans.items():
+        if target in plan:
+            by.setdefault(tuple(plan[target]), []).append(layout)
+    expr = None
+    for at, of in sorted(by.items()):
+        value = F.coalesce(*[F.get("cells", F.lit(i)) for i in at])
+        cond = F.col("layout").isin(of)
+        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
+    return F.lit(None).cast("string") if expr is None else expr
 
 
 def layout_frames(raw: DataFrame, split_date) -> tuple[DataFrame, DataFrame]:
