@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..columns import CLEAN, PanelCols
 from ..functions.numeric import pct_change, round_half_up, safe_div
+from ..session import materialize
+from . import prefix
 
 
 def _drop_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -210,22 +212,38 @@ def _qname(q: float) -> str:
     return "p" + (text.zfill(2) if "." not in text else text.replace(".", "_"))
 
 
-def value_buckets(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
-    """(keys, value, _c, _n, _b): the distinct values of each group with their
-    multiplicities, the group's size and a bucket number that rises with the
-    value.
+# Distinct values of one group that a window may hold; larger groups are ranked over range partitions.
+RANK_BUDGET = 1 << 20
 
-    Bucket edges are approximate quantiles of the group's distinct values (a
-    bounded sketch per group), so outliers and long tails do not crowd one
-    bucket: each holds about 1/`buckets` of the distinct values.  Nulls and
-    NaNs are no values.
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, budget: int = RANK_BUDGET) -> DataFrame:
+    """(keys, value, _c, _before, _n, _rows): the distinct values of each group with
+    their multiplicities, the number of the group's values strictly below, the
+    number of its values and of its rows.  Nulls and NaNs are rows but no values:
+    they stand last and count in _rows alone.
+
+    Rows are reduced to distinct values first (partial aggregation) and stored, so
+    that what leads up to them runs once.  If no group
+    has more than `budget` of them -- one number is asked -- a running count per
+    group ranks them.  Otherwise all groups are ranked at once by a distributed
+    running total in (keys, value) order: range partitions split a group of any
+    size, and a group's first total is taken off.
     """
-    vals = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, max(buckets, 2))]) if buckets > 1 else F.array(F.lit(0.5))
-    edges = vals.groupBy(*keys).agg(F.percentile_approx(value, cuts, 16 * max(buckets, 2)).alias("_edges"), F.sum("_c").alias("_n"))
-    number = F.size(F.filter("_edges", lambda e: e < F.col(value))) if buckets > 1 else F.lit(0)
-    return vals.join(edges, keys).withColumn("_b", number).drop("_edges")
+    v = F.col(value)
+    vals = materialize(df.groupBy(*keys, F.when(~F.isnan(v.cast("double")), v).alias(value)).agg(F.count(F.lit(1)).alias("_c")), "values")
+    real = F.when(v.isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    most = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d").alias("d")).first()["d"] or 0
+    if most <= budget:
+        group = Window.partitionBy(*keys)
+        upto = group.orderBy(v.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        return vals.select(*keys, value, "_c", F.coalesce(F.sum(real).over(upto), F.lit(0)).alias("_before"),
+                           F.sum(real).over(group).alias("_n"), F.sum("_c").over(group).alias("_rows"))
+    run = prefix.running_total(vals, [*[F.col(c) for c in keys], v.asc_nulls_last()], real, "_upto")
+    run = run.withColumn("_upto", F.col("_upto") - real)
+    sizes = run.groupBy(*keys).agg(F.min("_upto").alias("_start"), F.sum(real).alias("_n"), F.sum("_c").alias("_rows"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in keys]
+    return (run.alias("r").join(sizes.alias("g"), same)
+            .select(*[F.col(f"r.{c}") for c in keys], F.col(f"r.{value}"), "_c", (F.col("_upto") - F.col("_start")).alias("_before"), "_n", "_rows"))
 
 
 def exact_quantiles_of(df: DataFrame, keys: list[str], values: dict[str, dict[float, str] | str]) -> DataFrame:
@@ -240,51 +258,30 @@ def exact_quantiles_of(df: DataFrame, keys: list[str], values: dict[str, dict[fl
                                       for v, n in names.items() for q, name in n.items()])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,), buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,), budget: int = RANK_BUDGET) -> DataFrame:
     """Exact quantiles per group (linear interpolation between the order
     statistics at (n-1)q, as numpy and SQL `percentile`) without holding a
-    group's values in one task.
-
-    1. rows -> (group, distinct value, multiplicity), combined map-side, in
-       buckets between quantiles of the data (`value_buckets`);
-    2. bucket counts and a running count over the buckets (at most `buckets`
-       rows per group) give every bucket its range of positions;
-    3. only the buckets that contain a requested position are ranked, by a
-       running count over their distinct values (a spilling window per
-       (group, bucket)), and hash aggregates pick the order statistics.
-    """
-    k = list(keys)
-    v = value_buckets(df, k, value, buckets)
-    bc = v.groupBy(*k, "_b", "_n").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bc = bc.withColumn("_bstart", F.coalesce(F.sum("_bc").over(wb), F.lit(0)))
-    # positions needed per group: floor and ceil of (n-1)q for every q
-    need = None
-    for q in quantiles:
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        hit = lambda p: (F.col("_bstart") <= p) & (p < F.col("_bstart") + F.col("_bc"))
-        cond = hit(F.floor(pos)) | hit(F.ceil(pos))
-        need = cond if need is None else (need | cond)
-    sel = bc.where(need).select(*k, "_b", "_bstart")
-    inside = v.join(sel, k + ["_b"])
-    w_run = Window.partitionBy(*k, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    r = (inside.withColumn("_cum", F.col("_bstart") + F.sum("_c").over(w_run))
-               .withColumn("_start", F.col("_cum") - F.col("_c")))
-    aggs = []
-    for q in quantiles:
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        covers = (lambda p: (F.col("_start") <= p) & (p < F.col("_cum")))
-        aggs += [F.max(F.when(covers(lo), F.col(value))).alias(f"_lo{_qname(q)}"),
-                 F.max(F.when(covers(hi), F.col(value))).alias(f"_hi{_qname(q)}"),
-                 F.max(pos - lo).alias(f"_fr{_qname(q)}")]
-    g = r.groupBy(*k).agg(*aggs)
-    out = g
+    group's values in one task: `ranked_values` gives every distinct value its
+    range of positions, and a grouped aggregate picks the ones asked for.
+    Groups without a value give no row."""
+    ranked = ranked_values(df, list(keys), value, budget).where(F.col(value).isNotNull())
+    return pick_quantiles(ranked, list(keys), value, quantiles)
+
+
+def pick_quantiles(ranked: DataFrame, keys: list[str], value: str, quantiles, extra: list[Column] | None = None) -> DataFrame:
+    """The quantiles' columns from `ranked_values` rows (and further aggregates of the same groups)."""
+    aggs, outs = list(extra or []), []
     for q in quantiles:
-        n = _qname(q)
-        lo_v, hi_v, fr = F.col(f"_lo{n}"), F.col(f"_hi{n}"), F.col(f"_fr{n}")
-        out = out.withColumn(n, F.when(fr == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * fr))
-    return out.select(*k, *[_qname(q) for q in quantiles])
+        n, pos = _qname(q), (F.col("_n") - 1) * F.lit(float(q))
+        covers = lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_c"))
+        aggs += [F.max(F.when(covers(F.floor(pos)), F.col(value))).alias(f"_lo{n}"),
+                 F.max(F.when(covers(F.ceil(pos)), F.col(value))).alias(f"_hi{n}"),
+                 F.max(pos - F.floor(pos)).alias(f"_fr{n}")]
+        lo, hi, part = F.col(f"_lo{n}"), F.col(f"_hi{n}"), F.col(f"_fr{n}")
+        outs.append(F.when(part == 0, lo).otherwise(lo + (hi - lo) * part).alias(n))
+    found = ranked.groupBy(*keys).agg(*aggs)
+    own = [c for c in found.columns if not c.startswith(("_lo", "_hi", "_fr"))]
+    return found.select(*own, *outs)
 
 
 def group_stats(df: DataFrame, keys: list[str], value: str, quantiles=(0.1, 0.25, 0.5, 0.75, 0.9),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..columns import CLEAN, PanelCols
 from ..functions.numeric import pct_change
 from ..functions.text import contains_ci
-from .aggregate import exact_quantiles, exact_quantiles_of, histogram, linear_trend, value_buckets
+from .aggregate import exact_quantiles_of, histogram, linear_trend, pick_quantiles, ranked_values
 from .primary import entity_index, primary_rows
 
 PEER_SETS = {
@@ -23,66 +23,52 @@ PEER_SETS = {
 }
 
 
-def peer_ranks(df: DataFrame, keys: list[str], cols: PanelCols = CLEAN) -> DataFrame:
-    """For each (date, peer keys, measure value): rows strictly below it, the
-    number of non-null values and the peer-set size.
+PEER_KEYS = ["peer_set", "peer_date", "_k1", "_k2"]
 
-    The rows are first reduced to distinct values with their multiplicity
-    (partial aggregation) in buckets between quantiles of the peer set: a
-    running count over the buckets, then one inside each bucket, so a window
-    holds a share of a peer set's distinct values.
-    """
-    g = [cols.date] + keys
-    m = cols.measure
-    v = value_buckets(df, g, m)
-    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = (v.groupBy(*g, "_b").agg(F.sum("_c").alias("_bc"))
-              .withColumn("_start", F.coalesce(F.sum("_bc").over(before), F.lit(0))).drop("_bc"))
-    inside = Window.partitionBy(*g, "_b").orderBy(m).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (v.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(start, [*g, "_b"])
-               .select(*g, m, (F.col("_start") + F.col("_in")).alias("lower"), F.col("_n").alias("n_values")))
-    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("peer_count"))
-    return ranked.join(sizes, g)
+
+def in_peer_sets(df: DataFrame, cols: PanelCols, sets: dict | None, *carry: str) -> DataFrame:
+    """Every row once per peer set it belongs to, in one pass: (peer_set,
+    peer_date, _k1, _k2, carried columns).  Sets have one or two keys; rows
+    without one of a set's keys are not in it."""
+    entries = []
+    for name, keyf in (sets or PEER_SETS).items():
+        keys = [F.col(k).cast("string") for k in keyf(cols)]
+        if len(keys) > 2:
+            raise ValueError(f"peer set {name}: at most two keys")
+        entries.append(F.struct(F.lit(name).alias("s"), keys[0].alias("a"), (keys[1] if len(keys) > 1 else F.lit("")).alias("b")))
+    return (df.select(F.col(cols.date).alias("peer_date"), *carry, F.explode(F.array(*entries)).alias("_e"))
+            .select(F.col("_e.s").alias("peer_set"), "peer_date", F.col("_e.a").alias("_k1"), F.col("_e.b").alias("_k2"), *carry)
+            .where(F.col("_k1").isNotNull() & F.col("_k2").isNotNull()))
+
+
+def peer_ranks(df: DataFrame, cols: PanelCols = CLEAN, sets: dict | None = None) -> DataFrame:
+    """For each (peer set, date, keys, measure value): rows strictly below it, the
+    number of non-null values and the peer-set size, for all peer sets at once
+    (`ranked_values`: a peer set of any size is split)."""
+    ranked = ranked_values(in_peer_sets(df, cols, sets, cols.measure), PEER_KEYS, cols.measure)
+    return ranked.select(*PEER_KEYS, cols.measure, F.col("_before").alias("lower"), F.col("_n").alias("n_values"), F.col("_rows").alias("peer_count"))
 
 
 def peer_percentiles(df: DataFrame, cols: PanelCols = CLEAN, sets: dict | None = None,
                      tie: str = "highest") -> DataFrame:
     """Each entity's percentile (share of peers strictly lower x 100) at
     its own last date, in each peer set with more than one row."""
-    sets = sets or PEER_SETS
-    idx = entity_index(df, cols, tie)
-    out = None
-    for name, keyf in sets.items():
-        keys = keyf(cols)
-        r = peer_ranks(df.na.drop(subset=keys), keys, cols)
-        e = idx.select(cols.id, cols.date, *keys, cols.measure).na.drop(subset=keys)
-        j = (e.join(r, [cols.date] + keys + [cols.measure])
-              .where(F.col("peer_count") > 1)
-              .select(cols.id, F.lit(name).alias("peer_set"), "peer_count",
-                      (F.col("lower") / F.col("n_values") * F.lit(100.0)).alias("salary_percentile")))
-        out = j if out is None else out.unionByName(j)
-    return out
+    own = in_peer_sets(entity_index(df, cols, tie), cols, sets, cols.id, cols.measure)
+    return (own.join(peer_ranks(df, cols, sets).where(F.col("peer_count") > 1), [*PEER_KEYS, cols.measure])
+            .select(cols.id, "peer_set", "peer_count", (F.col("lower") / F.col("n_values") * F.lit(100.0)).alias("salary_percentile")))
 
 
 def peer_stats(df: DataFrame, cols: PanelCols = CLEAN, sets: dict | None = None,
                tie: str = "highest") -> DataFrame:
     """Median, mean and size of each entity's peer sets at its last date
-    (exact median by distributed quantiles: a peer set may be a hot group)."""
-    sets = sets or PEER_SETS
-    idx = entity_index(df, cols, tie)
-    out = None
-    for name, keyf in sets.items():
-        keys = keyf(cols)
-        g = [cols.date] + keys
-        base = df.na.drop(subset=keys)
-        s = (base.groupBy(*g).agg(F.count(F.lit(1)).alias("peer_count"), F.avg(cols.measure).alias("salary_mean"))
-                 .join(exact_quantiles(base, g, cols.measure, (0.5,)).withColumnRenamed("p50", "salary_median"),
-                       g, "left"))
-        j = (idx.select(cols.id, *g).na.drop(subset=keys).join(s, g)
-                .where(F.col("peer_count") > 1)
-                .select(cols.id, F.lit(name).alias("peer_set"), "peer_count", "salary_median", "salary_mean"))
-        out = j if out is None else out.unionByName(j)
-    return out
+    (exact medians, all sets in one pass: a peer set may be a hot group)."""
+    m = cols.measure
+    ranked = ranked_values(in_peer_sets(df, cols, sets, m), PEER_KEYS, m).where(F.col("_rows") > 1)
+    stats = pick_quantiles(ranked, PEER_KEYS, m, (0.5,), [
+        F.max("_rows").alias("peer_count"), F.try_divide(F.sum(F.col(m) * F.col("_c")), F.max("_n")).alias("salary_mean")])
+    own = in_peer_sets(entity_index(df, cols, tie), cols, sets, cols.id)
+    return (own.join(stats, PEER_KEYS)
+            .select(cols.id, "peer_set", "peer_count", F.col("p50").alias("salary_median"), "salary_mean"))
 
 
 def peer_lines(df: DataFrame, cols: PanelCols = CLEAN, sets: dict | None = None) -> DataFrame:
