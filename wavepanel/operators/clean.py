@@ -8,8 +8,12 @@ joined by AQE's size check.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..columns import CLEAN, PanelCols
 from ..functions import keys as K
@@ -63,18 +67,19 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
     budget.  A null weight is never admitted, and a null-weight primary
     admits nobody.
 
-    The plan reads `df` three times and is native throughout:
+    The plan reads `df` three times:
     1. per group the total, smallest weight and primary (one grouped aggregate,
        combined map-side); groups above the limit are kept;
     2. their undecided rows.  With non-negative weights the kept total stays
        within [primary, limit], so zero weights are always admitted, rows that
        do not fit beside the primary never are, and of the rows of one weight w
        at most floor((limit - primary) / w) + 1 can be admitted (one more for
-       rounding): the first ones in visiting order.  Only those are kept, by a
-       top-k inside salted parts of (group, weight) and one over the survivors,
-       so no window holds a hot group's rows; they are folded per group;
-    3. the rows meet the group's result and are filtered.
-    Groups with negative weights have no such bound and are folded whole.
+       rounding): the first ones in visiting order.  A top-k inside salted parts
+       of (group, weight) and one over the survivors keep only those.  What is
+       left is sorted by group and visiting order and streamed past one running
+       total (`_admit`): no list of a group's rows, whatever its size, its number
+       of weights or their sign;
+    3. the rows meet the group's facts and the admitted rows and are filtered.
     """
     keys = [cols.id, cols.date]
     w, m, seq = F.col(cols.weight), F.col(cols.measure), F.col(cols.seq)
@@ -92,28 +97,40 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
                 .when(F.col("_pw").isNull() | w.isNull(), F.lit(False))
                 .when(nonneg & (F.col("_pw") + w > F.lit(limit)), F.lit(False))
                 .when(nonneg & (w == 0), F.lit(True)))
-    visit = F.struct(m.isNull().alias("a"), (-m).alias("b"), seq.alias("c"), w.alias("fte"))
     most = F.when(nonneg, F.floor((F.lit(limit) - F.col("_pw")) / w) + F.lit(2))
-    c = (x.join(over, same).withColumn("_open", decided.isNull())
-          .withColumn("_visit", F.when(F.col("_open"), visit)).withColumn("_most", F.when(F.col("_open"), most))
-          .withColumn("_salt", F.pmod(F.xxhash64(seq), F.lit(salts)))
-          .select("_id", "_date", "_minw", "_pseq", "_pw", w.alias("_w"), "_open", "_visit", "_most", "_salt"))
+    visit = [F.col("_m").desc_nulls_last(), F.col("_seq")]
+    c = (x.join(over, same).where(decided.isNull())
+          .select("_id", "_date", "_pw", w.cast("double").alias("_w"), m.alias("_m"), seq.cast("long").alias("_seq"), most.alias("_most"),
+                  F.pmod(F.xxhash64(seq), F.lit(salts)).alias("_salt")))
     for part in (["_id", "_date", "_w", "_salt"], ["_id", "_date", "_w"]):
-        rank = F.row_number().over(Window.partitionBy(*part, "_open").orderBy("_visit"))
-        # decided rows carry nothing on; one per part keeps the group in the result
-        c = c.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("_open"), F.coalesce("_most", F.col("_r"))).otherwise(F.lit(1)))
-    init = F.struct(F.first("_pw").alias("total"), F.array().cast("array<bigint>").alias("kept"))
-    folded = c.groupBy("_id", "_date", "_minw", "_pseq", "_pw").agg(F.sort_array(F.collect_list("_visit")).alias("_rows"), init.alias("_init"))
-
-    def step(acc, r):
-        nxt = acc["total"] + r["fte"]
-        ok = F.coalesce(nxt <= F.lit(limit), F.lit(False))
-        return F.struct(F.when(ok, nxt).otherwise(acc["total"]).alias("total"),
-                        F.when(ok, F.array_append(acc["kept"], r["c"].cast("bigint"))).otherwise(acc["kept"]).alias("kept"))
-
-    groups = folded.select("_id", "_date", "_minw", "_pseq", "_pw", F.aggregate("_rows", F.col("_init"), step)["kept"].alias("_kept"))
-    stays = F.coalesce(decided, F.array_contains("_kept", seq.cast("bigint")), F.lit(False))
-    return x.join(groups, same, "left").where(F.col("_pseq").isNull() | stays).select(*[F.col(f"`{k}`") for k in df.columns])
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(*visit))
+        c = c.withColumn("_r", rank).where(F.col("_most").isNull() | (F.col("_r") <= F.col("_most")))
+    c = (c.select("_id", "_date", F.col("_pw").cast("double").alias("_pw"), "_w", "_m", "_seq")
+          .repartition("_id", "_date").sortWithinPartitions("_id", "_date", *visit).select("_id", "_date", "_pw", "_w", "_seq"))
+    types = c.schema
+    admitted = c.mapInArrow(_admit(limit), T.StructType([types["_id"], types["_date"], types["_seq"]])).toDF("_aid", "_adate", "_aseq")
+    mine = (F.col(cols.id).eqNullSafe(F.col("_aid")) & F.col(cols.date).eqNullSafe(F.col("_adate")) & (seq == F.col("_aseq")))
+    stays = F.col("_pseq").isNull() | F.coalesce(decided, F.col("_aseq").isNotNull())
+    return x.join(over, same, "left").join(admitted, mine, "left").where(stays).select(*[F.col(f"`{k}`") for k in df.columns])
+
+
+def _admit(limit: float):
+    """Rows (group keys, primary's weight, weight, row number), sorted by group and
+    visiting order -> the rows that fit: one running total per group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, total = None, 0.0
+        for batch in batches:
+            ids, dates, first, weights = (batch.column(i).to_pylist() for i in range(4))
+            kept = []
+            for k, weight in enumerate(weights):
+                if group != (ids[k], dates[k]):
+                    group, total = (ids[k], dates[k]), first[k]
+                if total + weight <= limit:
+                    total += weight
+                    kept.append(k)
+            yield batch.select([0, 1, 4]).take(pa.array(kept, pa.int32()))
+
+    return run
 
 
 def add_analysis_flags(df: DataFrame, cols: PanelCols = CLEAN, faculty_label: str = "Faculty",
