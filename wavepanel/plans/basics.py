@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..columns import FIXTURE as FX
 from ..operators import aggregate as agg
+from ..operators.cube import cube_trend
 from ..operators.primary import primary_rows
-from .common import R, deflated_panel, panel, panel_real, rs, with_sql
+from .common import R, deflated_panel, panel, panel_real, rs, trend_cube, with_sql
 from .registry import query
 
 
@@ -20,7 +21,7 @@ select snapshot_date, cast(count(distinct id) as bigint) as employees,
 from panel_real where fte > 0 group by snapshot_date"""))
 def trend_total(spark, sf_dir):
     """Per-snapshot headcount, FTE, nominal and real pay (zero-FTE rows excluded)."""
-    t = agg.trend(panel_real(spark, sf_dir).where(F.col(FX.weight) > 0), FX)
+    t = cube_trend(trend_cube(spark, sf_dir), FX)
     return t.select(FX.date, "employees", R("total_fte", 4).alias("total_fte"),
                     R("total_salary_nominal", 4).alias("total_salary_nominal"),
                     R("total_salary_real").alias("total_salary_real"),

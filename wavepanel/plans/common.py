@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..columns import FIXTURE as FX
 from ..functions.numeric import round_half_up, round_sql
+from ..operators.cube import entity_cube
 from ..operators.deflate import deflate
 from ..session import application_key, input_version, store_table
 from ..sources import fixtures
@@ -52,6 +53,13 @@ def panel_real(spark: SparkSession, sf_dir: str, mode: str = "latest") -> DataFr
     return stored(spark, sf_dir, "panel_real", lambda: deflated_panel(spark, sf_dir, mode))
 
 
+def trend_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity bitmaps and sums per (snapshot, division, type, job group) of the
+    panel without zero-weight rows: every trend reads this table."""
+    return stored(spark, sf_dir, "trend_cube", lambda: entity_cube(
+        panel_real(spark, sf_dir).where(F.col(FX.weight) > 0), [FX.division, FX.div_type, FX.jobgroup], FX))
+
+
 def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw-layout rows of the cleaning job, stored once per application."""
     return stored(spark, sf_dir, "raw_snapshots", lambda: fixtures.raw_snapshots(spark, sf_dir))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..columns import FIXTURE as FX
 from ..operators import aggregate as agg
 from ..operators import primary
-from .common import R, panel, panel_real, rs, with_sql
+from ..operators.cube import cube_trend
+from .common import R, panel, panel_real, rs, trend_cube, with_sql
 from .registry import query
 
 YEARS = list(range(1995, 2002))
@@ -38,20 +39,20 @@ def _trend_out(t, keys):
 @query("trend_by_type", _trend_sql("div_type"))
 def trend_by_type(spark, sf_dir):
     """Trend by snapshot and unit type."""
-    return _trend_out(agg.trend(_pos(spark, sf_dir), FX, by=["div_type"]), ["div_type"])
+    return _trend_out(cube_trend(trend_cube(spark, sf_dir), FX, by=["div_type"]), ["div_type"])
 
 
 @query("trend_one_type_by_division", _trend_sql("division", "and div_type = 'ASIA'"))
 def trend_one_type_by_division(spark, sf_dir):
     """D3: trend by snapshot and division within one unit type."""
-    p = _pos(spark, sf_dir).where(F.col("div_type") == "ASIA")
-    return _trend_out(agg.trend(p, FX, by=["division"]), ["division"])
+    p = trend_cube(spark, sf_dir).where(F.col("div_type") == "ASIA")
+    return _trend_out(cube_trend(p, FX, by=["division"]), ["division"])
 
 
 @query("trend_jobgroup_nonnull", _trend_sql("job_group"))
 def trend_jobgroup_nonnull(spark, sf_dir):
     """Trend by snapshot and job group, null groups dropped."""
-    return _trend_out(agg.trend(_pos(spark, sf_dir), FX, by=["job_group"]), ["job_group"])
+    return _trend_out(cube_trend(trend_cube(spark, sf_dir), FX, by=["job_group"]), ["job_group"])
 
 
 def _cmp_sql(keys: str, ctes_extra: str = "", tail: str = "") -> str:
