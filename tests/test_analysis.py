@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavepanel.columns import PanelCols
-from wavepanel.functions.similarity import edit_similarity, ratio
+from wavepanel.functions.similarity import edit_similarity, name_similarity, ratio
 from wavepanel.functions.text import keyword_category, normalize_dept_name
 from wavepanel.operators import change as CH
 from wavepanel.operators import peers as P
@@ -19,14 +19,16 @@ PC = PanelCols(date="d", org="org", measure="s", weight="w", seq="seq", jobcode=
 D1, D2, D3 = dt.date(2024, 4, 1), dt.date(2024, 9, 1), dt.date(2025, 3, 1)
 
 
+NORMALISED = {"Sch of Med & Public Health - Dept of Medicine": "school of medicine public health department of medicine",
+              "Ag & Life Sci - Bio Sys Eng": "agricultural life science bio sys engineering",
+              "  Über-Ctr ·  Info   Tech ": "über center information technology"}
+
+
 def test_normalize_and_similarity(spark):
-    want = {"Sch of Med & Public Health - Dept of Medicine": "school of medicine and public health department of medicine",
-            "Ag & Life Sci - Bio Sys Eng": None, "  Über-Ctr ·  Info   Tech ": None}
+    want = NORMALISED
     df = spark.createDataFrame([(n,) for n in want], "n STRING")
     got = {r.n: r.x for r in df.select("n", normalize_dept_name("n").alias("x")).collect()}
-    for name, x in got.items():
-        assert x == x.strip().lower() and "  " not in x and "&" not in x and "-" not in x
-    assert "school" in got["Sch of Med & Public Health - Dept of Medicine"] or "sch" in got["Sch of Med & Public Health - Dept of Medicine"]
+    assert got == want
     # the matcher's ratio is 2 * matched / total: 'abcd' and 'bcde' share 'bcd'
     assert ratio("abcd", "bcde") == 0.75 and ratio("tide", "diet") == 0.25 and ratio("diet", "tide") == 0.5
     assert ratio("", "x") == 0.0 and ratio(None, "x") == 0.0
@@ -57,17 +59,21 @@ def test_previous_unit_two_level_matches_single_window(spark):
 
 
 def test_reorg_rule_ladder(spark):
-    pairs = spark.createDataFrame([
-        ("Div A - History Dept", "Div A - History Department", 20),     # similar + volume
-        ("Alpha - One", "Omega - Two", 500),                           # dissimilar
-        ("College X - Chemistry", "School Y - Chemistry", 25),          # same department part
-        ("College X - Chemistry", "School Y - Chemistry", 19)], "prev_org STRING, org STRING, transfer_count BIGINT")
-    out = T.detect_reorganizations(pairs, PC).collect()
-    reasons = [r.reorg_reason for r in out]
-    assert reasons[0] == "name_change" and reasons[1] == "" and reasons[3] == ""
-    assert reasons[2] in ("name_change", "division_rename")
-    edit = {r.prev_org: r for r in T.detect_reorganizations(pairs, PC, T.ReorgRules(similarity=0.99), edit_similarity).collect()}
-    assert edit["Alpha - One"].reorg_reason == "" and 0 < edit["Alpha - One"].name_similarity < 0.5
+    """The default thresholds (0.7, 20, 100, 0.5, 0.85), one literal reason per branch, at and below each threshold."""
+    rows = [("Div A - History Dept", "Div A - History Department", 20, "name_change"),
+            ("Div A - History Dept", "Div A - History Department", 19, ""),
+            ("Alpha - One", "Omega - Two", 500, ""),
+            ("College of Letters - Physics", "College of Science - Optics", 100, "mass_restructure"),
+            ("College of Letters - Physics", "College of Science - Optics", 99, ""),
+            ("North - Library Services", "Southwestern Extension - Library Services", 20, "division_rename"),
+            ("North - Library Services", "Southwestern Extension - Library Services", 19, ""),
+            ("North", "Southwestern Extension - Library Services", 60, "")]
+    pairs = spark.createDataFrame([(*r[:3], i) for i, r in enumerate(rows)], "prev_org STRING, org STRING, transfer_count BIGINT, n INT")
+    for similarity in (name_similarity, edit_similarity):
+        got = {r.n: r for r in T.detect_reorganizations(pairs, PC, similarity=similarity).collect()}
+        assert [got[i].reorg_reason for i in range(len(rows))] == [r[3] for r in rows], similarity
+        assert all(got[i].is_reorg == bool(rows[i][3]) for i in range(len(rows)))
+    assert {r.reorg_reason for r in T.detect_reorganizations(pairs, PC, T.ReorgRules(enabled=False)).collect()} == {""}
 
 
 def test_peer_percentile_strictly_lower(spark):
@@ -299,3 +305,17 @@ def test_matching_with_many_equal_salaries(spark):
     recs = spark.createDataFrame([(i, "D", "T", 100.0) for i in range(500)], "rid BIGINT, dept STRING, title STRING, s DOUBLE")
     out = {r.line: r.record for r in tolerance_match(plan, recs, "dept", "title", "s", "rid").collect()}
     assert out == {1: 0, 2: 1, 3: 2}
+
+
+def test_missing_changes_are_neither_largest_nor_smallest(spark):
+    from wavepanel.operators.aggregate import head_and_tail
+    df = spark.createDataFrame([("a", None), ("b", 3.0), ("c", -1.0), ("d", None)], "k STRING, v DOUBLE")
+    got = sorted((r.side, r.k) for r in head_and_tail(df, "v", ["k"], 3).collect())
+    assert got == [("decrease", "b"), ("decrease", "c"), ("increase", "b"), ("increase", "c")]
+
+
+def test_a_missing_salary_is_in_no_band(spark):
+    df = spark.createDataFrame([(1, "boss", None, "Staff"), (2, "boss", 10.0, "Staff"), (3, "boss", 160_000.0, "Staff")], "seq BIGINT, t STRING, s DOUBLE, cat STRING")
+    cols = PanelCols(measure="s", category="cat", title="t", seq="seq")
+    got = {r.band: (r.headcount, r.total_salary) for r in S.salary_bands(df, S.Scenario(management_keywords=("boss",)), cols).collect()}
+    assert got == {"<$75K": (1, 10.0), "$150K-$200K": (1, 160_000.0), "Total": (2, 160_010.0)}

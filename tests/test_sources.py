@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from wavepanel.sources import fixtures
 from wavepanel.sources.dimensions import load_job_dimension, load_price_index
-from wavepanel.sources.pages import page_records, parse_page
+from wavepanel.sources.pages import page_records
 from wavepanel.sources.sinks import read_panel, write_csv, write_panel
 from wavepanel.sources.snapshots import (detect_layout, layout_frames, list_snapshot_files, normalize_name, probe_columns,
                                          read_snapshots, roles, snapshot_date)
 
 from .conftest import SF001
+from .page_parser import parse_page
 
 
 def _scratch():
@@ -146,17 +147,28 @@ def test_panel_sink_partitioned(spark):
     assert "PartitionFilters: [isnotnull(Date" in plan
 
 
-def test_page_parser_handles_script_and_entities():
+def test_page_records_handle_script_and_entities(spark):
     html = ('<html lang="en"><head><title>A &amp; B</title><script>var t="</p>";</script></head><body>'
             '<nav><ul><li><a href="/x">X</a></li></ul></nav><article><h1>A &amp; B</h1>'
             '<p>one<br><p>two  words</p></article></body></html>')
-    rec = parse_page(1, html)
-    assert rec["title"] == "A & B" and rec["links"] == "X" and rec["n_paragraphs"] == 2
-    assert rec["text"] == "one two words"
-    assert parse_page(2, "<html><body><p>x</p></body></html>") is None
+    pages = spark.createDataFrame([(1, html), (2, "<html><body><p>x</p></body></html>"), (3, None)], "page_id long, html string")
+    assert [r.asDict() for r in page_records(pages).collect()] == [
+        {"page_id": 1, "title": "A & B", "lang": "en", "heading": "A & B", "links": "X", "n_links": 1, "n_paragraphs": 2, "text": "one two words"}]
 
 
-def test_page_records_cover_all_pages(spark):
+def test_page_records_match_a_parser(spark):
     pages = spark.read.parquet(f"{SF001}/pages.parquet")
-    recs = page_records(pages)
-    assert recs.count() == pages.count()            # every fixture page has a title
+    got = {r.page_id: r.asDict() for r in page_records(pages).collect()}
+    assert len(got) == pages.count()                 # every fixture page has a title
+    for r in pages.collect():
+        assert got[r.page_id] == parse_page(r.page_id, r.html)
+
+
+def test_job_rows_of_many_files_in_file_order(spark):
+    """The first row of a code by file name and position, whatever Spark packs together."""
+    folder = _scratch()
+    for name, first, n in (("a.csv", "small", 1), ("b.csv", "large", 3000), ("c.csv", "last", 10)):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write("job_code,job_group\n" + "".join(f"{'x1' if i == n - 1 else 'y' + str(i)},{first}{i}\n" for i in range(n)) + f"x1,{first}-again\n")
+    got = {r.jobcode: r.job_group for r in load_job_dimension(spark, folder).collect()}
+    assert got["X1"] == "small0" and got["Y0"] == "large0" and got["Y2000"] == "large2000"

@@ -1,7 +1,7 @@
 """Presentation formats (J10): display strings for report tables.
 
-Kept out of every checked query: Java's formatter rounds half-up where
-Python's rounds half-even, so formatted text is for display only.
+Whole amounts are rounded half away from zero, decimals half to even on the
+exact binary value; Python's formatter rounds both half to even.
 """
 
 from __future__ import annotations

@@ -133,9 +133,10 @@ def with_total_row(cmp: DataFrame, key: str, value_names: list[str],
 
 
 def top_k(df: DataFrame, value: str, ties: list[str], k: int, largest: bool = True) -> DataFrame:
-    """the `k` rows with the largest (or smallest) value, ties by `ties`."""
+    """the `k` rows with the largest (or smallest) value, ties by `ties`; a
+    missing value is neither."""
     order = F.col(value).desc() if largest else F.col(value).asc()
-    return df.orderBy(order, *ties).limit(k)
+    return df.where(F.col(value).isNotNull()).orderBy(order, *ties).limit(k)
 
 
 def head_and_tail(df: DataFrame, value: str, ties: list[str], k: int) -> DataFrame:

@@ -109,15 +109,20 @@ def consecutive_pairs(df: DataFrame, cols: PanelCols = CLEAN, values: list[str]
     return out.select(*sel)
 
 
+# Labels of what changed.
+TITLE_CHANGED, DIVISION_CHANGED, CATEGORY_CHANGED = "Title change", "Division transfer", "Category change"
+PURE_INCREASE = "Same title/division — pure salary increase"
+
+
 def change_reason(pairs: DataFrame, cols: PanelCols = CLEAN) -> Column:
     """B24: '; '-joined list of what changed, else the pure-increase label."""
     def differs(c):
         return ~F.col(f"{c}_before").eqNullSafe(F.col(f"{c}_after"))
     parts = F.concat_ws("; ",
-                        F.when(differs(cols.title), F.lit("Title change")),
-                        F.when(differs(cols.division), F.lit("Division transfer")),
-                        F.when(differs(cols.category), F.lit("Category change")))
-    return F.when(parts == "", F.lit("Same title/division — pure salary increase")).otherwise(parts)
+                        F.when(differs(cols.title), F.lit(TITLE_CHANGED)),
+                        F.when(differs(cols.division), F.lit(DIVISION_CHANGED)),
+                        F.when(differs(cols.category), F.lit(CATEGORY_CHANGED)))
+    return F.when(parts == "", F.lit(PURE_INCREASE)).otherwise(parts)
 
 
 def first_last_snapshot(df: DataFrame, cols: PanelCols = CLEAN, values: list[str] | None = None,

@@ -164,8 +164,9 @@ def salary_band(c: Column) -> Column:
 
 
 def salary_bands(df: DataFrame, sc: Scenario, cols: PanelCols = CLEAN) -> DataFrame:
-    """Management headcount and salary per band, plus the total (rollup)."""
-    x = classify(df, sc, cols).where(F.col("is_management")).withColumn("band", salary_band(F.col(cols.measure)))
+    """Management headcount and salary per band, plus the total (rollup).
+    Rows without a salary are in no band and not in the total."""
+    x = classify(df, sc, cols).where(F.col("is_management") & F.col(cols.measure).isNotNull()).withColumn("band", salary_band(F.col(cols.measure)))
     g = x.rollup("band").agg(F.count(F.lit(1)).alias("headcount"), F.sum(cols.measure).alias("total_salary"))
     return g.withColumn("band", F.coalesce("band", F.lit("Total")))
 

@@ -173,7 +173,7 @@ _BAND_SQL = """case when salary > 200000 then '>$200K' when salary >= 150000 the
 
 @query("salary_bands", with_sql(f"""
 select coalesce(band, 'Total') as band, cast(count(*) as bigint) as headcount, {rs('sum(salary)')} as total_salary
-from (select *, {_BAND_SQL} as band from snap where is_management) group by rollup(band)""", _BASE_SQL))
+from (select *, {_BAND_SQL} as band from snap where is_management and salary is not null) group by rollup(band)""", _BASE_SQL))
 def salary_bands(spark, sf_dir):
     """Management salary bands with the total."""
     b = S.salary_bands(_snap(spark, sf_dir), SC, FX)

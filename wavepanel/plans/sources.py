@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources import fixtures
 from ..sources import pages as PG
 from ..session import application_key, ensure_checkpoint_dir
-from ..sources.snapshots import RAW_TYPES, layout_frames, normalize_frame, read_snapshots, to_target
+from ..sources.snapshots import RAW_TYPES, layout_frames, normalize_columns, normalize_frame, read_snapshots, to_target
 from ..sources.dimensions import JOB_COLUMNS, load_job_dimension, load_price_index
 from ..sources.sinks import read_panel, write_csv
 from ..sources.tables import read_table
@@ -100,12 +100,48 @@ def page_fields(spark, sf_dir):
                     F.col("n_a_tags").cast("bigint").alias("n_a_tags"), F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
-@query("pages_extract")
+def _plain_sql(html: str) -> str:
+    text = f"regexp_replace({html}, '<[^>]*>', ' ', 'gs')"
+    for entity, char in PG.ENTITIES.items():
+        text = f"replace({text}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+def _inner_sql(name: str) -> str:
+    return rf"regexp_extract(h, '<{name}\b[^>]*>(.*?)</{name}', 1, 'si')"
+
+
+_ARTICLE_SQL = rf"regexp_replace({_inner_sql('article')}, '<h1\b[^>]*>.*?</h1\s*>', '', 'gsi')"
+_ONE_SQL = "string_split_regex(x, '(?i)</p')[1]"
+
+
+@query("pages_extract", rf"""
+with clean as (select page_id, html, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'),
+                 '<script\b[^>]*>.*?</script\s*>', '', 'gsi'), '<style\b[^>]*>.*?</style\s*>', '', 'gsi') as h from pages),
+part as (select page_id, html, {_plain_sql(_inner_sql("title"))} as t, {_plain_sql(_inner_sql("h1"))} as heading,
+                regexp_extract_all({_inner_sql("nav")}, '<a\b[^>]*>(.*?)</a', 1, 'si') as a,
+                string_split_regex({_ARTICLE_SQL}, '(?i)<p\b[^>]*>')[2:] as p from clean),
+texts as (select *, list_transform(a, lambda x: {_plain_sql("x")}) as l,
+                 list_filter(list_transform(p, lambda x: {_plain_sql(_ONE_SQL)}), lambda x: x <> '') as ps from part)
+select page_id, coalesce(nullif(t, ''), heading) as title, nullif(regexp_extract(html, '(?i)<html\b[^>]*\blang="([^"]*)"', 1), '') as lang, heading,
+       array_to_string(l, '; ') as links, len(l)::int as n_links, len(ps)::int as n_paragraphs, array_to_string(ps, ' ') as text
+from texts where coalesce(nullif(t, ''), heading) <> ''""")
 def pages_extract(spark, sf_dir):
-    """A12 (rows-only): full HTML parse of every page into one record per titled page."""
+    """One record per titled page: title, heading, navigation links, paragraphs (native)."""
     return PG.page_records(read_table(spark, sf_dir, "pages"))
 
 
+@query("alt_normalize", f"""
+with raw as ({fixtures.RAW_SNAPSHOTS_SQL})
+select last_name, first_name, jobcode as job_code, full_time_equivalent, current_annual_contracted_salary as annual_full_salary, 'Annual' as pay_basis
+from raw where "Date" < date '{fixtures.NEW_LAYOUT_FROM}'""")
+def alt_normalize(spark, sf_dir):
+    """The older layout's column names stripped, lower-cased, blanks and hyphens to underscores."""
+    legacy, _ = layout_frames(raw_snapshots(spark, sf_dir), fixtures.NEW_LAYOUT_FROM)
+    return normalize_columns(legacy.withColumnRenamed("Last Name", " Last Name "), hyphens=True).select(
+        "last_name", "first_name", "job_code", "full_time_equivalent", "annual_full_salary", "pay_basis")
+
+
 def _job_html():
     return F.concat(
         F.lit('<details><summary><h3>'), F.col("p_name"), F.lit('</h3><div>Job Group: '), F.col("p_brand"),

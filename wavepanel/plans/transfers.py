@@ -123,6 +123,47 @@ def reorg_detect(spark, sf_dir):
     return p.select("prev_org", "org", "transfer_count", R("name_similarity", 6).alias("name_similarity"), "reorg_reason", "is_reorg")
 
 
+_UNITS_SQL = """
+u as (select l_orderkey, l_linenumber, min(case when r_name = 'AFRICA' then 'AMERICA' else r_name end || ' - ' || p_type) as org
+      from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+      join region on n_regionkey = r_regionkey join part on l_partkey = p_partkey group by l_orderkey, l_linenumber),
+fl as (select *, lag(org) over (partition by l_orderkey order by l_linenumber) as prev_org from u),
+tp as (select prev_org, org, cast(count(*) as bigint) as transfer_count from fl
+       where prev_org is not null and org is distinct from prev_org group by prev_org, org)"""
+DEFAULT = T.ReorgRules()
+
+
+def _ladder_sql(rules: T.ReorgRules) -> str:
+    norm = normalize_dept_name_sql
+    return f"""
+tn as (select *, {norm('prev_org')} as np, {norm('org')} as nc, {norm(_part_sql('prev_org'))} as pp, {norm(_part_sql('org'))} as pc from tp),
+ts as (select *, {edit_similarity_sql('np', 'nc')} as name_similarity, {edit_similarity_sql('pp', 'pc')} as part_similarity from tn),
+pairs as (select prev_org, org, transfer_count, name_similarity,
+            case when name_similarity >= {rules.similarity} and transfer_count >= {rules.min_transfers} then 'name_change'
+                 when transfer_count >= {rules.mass_transfers} and name_similarity >= {rules.mass_similarity} then 'mass_restructure'
+                 when part_similarity >= {rules.rename_similarity} and transfer_count >= {rules.min_transfers} then 'division_rename'
+                 else '' end as reorg_reason from ts)"""
+
+
+@query("reorg_default_rules", f"""
+with {_UNITS_SQL}, {_ladder_sql(DEFAULT)}
+select prev_org, org, transfer_count, {rs('name_similarity', 6)} as name_similarity, reorg_reason, reorg_reason <> '' as is_reorg from pairs""")
+def reorg_default_rules(spark, sf_dir):
+    """K3: the rule ladder at its default thresholds (0.7, 20, 100, 0.5, 0.85) over moves of orders between units
+    of their lines (supplier's region, two taken together, and part's type); every branch of the ladder is taken at sf0.01."""
+    t = lambda name: read_table(spark, sf_dir, name)
+    # nation x region: 25 rows by the specification
+    geo = F.broadcast(t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name"))
+    lines = (t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
+             .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+             .groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias(FX.seq))
+             .agg(F.min(F.concat(F.replace("r_name", F.lit("AFRICA"), F.lit("AMERICA")), F.lit(" - "), F.col("p_type"))).alias(FX.org))
+             .withColumn(FX.date, F.lit("2000-01-01").cast("date")))
+    pairs = T.transfer_pairs(previous_value(lines, FX, FX.org), FX)
+    p = T.detect_reorganizations(pairs, FX, DEFAULT, edit_similarity)
+    return p.select(f"prev_{FX.org}", FX.org, "transfer_count", R("name_similarity", 6).alias("name_similarity"), "reorg_reason", "is_reorg")
+
+
 @query("reorg_summary", with_sql(SUMMARY_SQL, reorg_sql()))
 def reorg_summary(spark, sf_dir):
     """Re-organisation pairs by reason: count, moves, mean similarity."""

@@ -8,6 +8,7 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from ..columns import FIXTURE as FX
+from ..functions import present
 from ..operators import aggregate as agg
 from ..operators import primary
 from ..operators.cube import cube_trend
@@ -93,6 +94,24 @@ def compare_by_division(spark, sf_dir):
     return _cmp_out(agg.compare_snapshots(_pos(spark, sf_dir), ["division"], FX), ["division"])
 
 
+@query("display_formats", with_sql(f"""
+select division, strftime((select d0 from bounds), '%Y-%m') as first_label, strftime((select d1 from bounds), '%B %Y') as last_label,
+       '$' || format('{{:,}}', cast(floor(salary_end + 0.5) as bigint)) as pay,
+       '$' || case when salary_change < 0 then '-' else '+' end || format('{{:,}}', cast(floor(abs(salary_change) + 0.5) as bigint)) as pay_change,
+       case when fte_change < 0 then '-' else '+' end || format('{{:,.2f}}', abs(fte_change)) as fte_change,
+       case when fte_pct_change is null then 'New'
+            else case when fte_pct_change < 0 then '-' else '+' end || format('{{:,.1f}}', abs(fte_pct_change)) || '%' end as fte_pct
+from (select division, {CMP_COLS_SQL} from cmp)""", _cmp_sql("division")))
+def display_formats(spark, sf_dir):
+    """The report's display strings of a comparison: money, signed money, signed numbers and percentages, months."""
+    p = _pos(spark, sf_dir)
+    d0, d1 = agg.snapshot_bounds(p, FX)
+    c = _cmp_out(agg.compare_snapshots(p, ["division"], FX), ["division"])
+    return c.select("division", present.month_label(d0).alias("first_label"), present.month_label(d1, long=True).alias("last_label"),
+                    present.money("salary_end").alias("pay"), present.signed_money("salary_change").alias("pay_change"),
+                    present.signed_number("fte_change", 2).alias("fte_change"), present.signed_pct("fte_pct_change").alias("fte_pct"))
+
+
 @query("compare_cross_topk", with_sql(f"""
 select c.division, c.job_group, {CMP_COLS_SQL} from cmp c
 where c.division in (select division from (

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.deflate import base_index
-from ..operators.primary import pick_one
 
 PRICE_SCHEMA = "Date DATE, CPI DOUBLE, CPI_2021_Index DOUBLE"
 JOB_COLUMNS = ["job_code", "title", "job_group", "job_subgroup", "employee_category",
@@ -27,10 +26,12 @@ def load_price_index(spark: SparkSession, path: str, base_date=None) -> DataFram
 
 
 def load_job_dimension(spark: SparkSession, path: str) -> DataFrame:
-    """Job CSV -> one row per upper-cased code (first row in file order),
-    keeping the descriptive columns that exist."""
-    raw = spark.read.option("header", True).csv(path).withColumn("_seq", F.monotonically_increasing_id())
-    raw = raw.withColumn("jobcode", F.upper(F.col("job_code")))
+    """Job CSV (a file or a folder) -> one row per upper-cased code (first row
+    in file order), keeping the descriptive columns that exist."""
+    raw = spark.read.option("header", True).csv(path)
     keep = [c for c in JOB_KEEP if c in raw.columns]
-    first = pick_one(raw.select("jobcode", "_seq", *keep), ["jobcode"], [(F.col("_seq"), True)])
-    return first.drop("_seq")
+    # file order: by path, split of the file, and position, which grows inside a split
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = raw.select(F.upper("job_code").alias("jobcode"), at.alias("_at"), F.struct(*keep).alias("_row") if keep else F.lit(0).alias("_row"))
+    first = rows.groupBy("jobcode").agg(F.min_by("_row", "_at").alias("_row"))
+    return first.select("jobcode", *[F.col(f"_row.{c}").alias(c) for c in keep])

@@ -3,106 +3,18 @@
 Three forms:
 * `job_records` -- many records per page: folding blocks with a title, a summary
   of labelled values and a list of labelled fields, by native expressions;
-* `page_fields` -- native per-field regex extraction (`regexp_extract`),
-  JVM-side, for fields with a fixed pattern (title, language, counts);
-* `page_records` -- a real HTML parse with the standard library's
-  `html.parser` inside `mapInPandas` (Arrow batches, one pass per
-  partition), which handles what regexes cannot (script bodies, nesting,
-  character references).  Records without a title are dropped.
+* `page_fields` -- per-field regex extraction (`regexp_extract`) for fields
+  with a fixed pattern (title, language, counts);
+* `page_records` -- one record per titled page: navigation links and the
+  article's paragraphs as plain text, scripts, styles and comments left out.
+All are native expressions.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RECORD_SCHEMA = ("page_id BIGINT, title STRING, lang STRING, heading STRING, links STRING, "
-                 "n_links INT, n_paragraphs INT, text STRING")
-
-
-def _squeeze(parts: list[str]) -> str:
-    return " ".join("".join(parts).split())
-
-
-class _PageParser(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.title, self.heading, self.lang = [], [], None
-        self.links: list[str] = []
-        self.paras: list[list[str]] = []
-        self._in_link = False
-        self._link: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("br", "meta", "img", "hr", "input", "link"):
-            return
-        if tag == "p" and self.stack and self.stack[-1] == "p":
-            self.stack.pop()                      # an open <p> is closed by the next <p>
-        self.stack.append(tag)
-        if tag == "html":
-            self.lang = dict(attrs).get("lang")
-        elif tag == "a" and "nav" in self.stack:
-            self._in_link, self._link = True, []
-        elif tag == "p" and "article" in self.stack:
-            self.paras.append([])
-
-    def handle_endtag(self, tag):
-        if tag == "a" and self._in_link:
-            self.links.append(_squeeze(self._link))
-            self._in_link = False
-        if tag in self.stack:
-            while self.stack and self.stack.pop() != tag:
-                pass
-
-    def handle_data(self, data):
-        if not self.stack or self.stack[-1] in ("script", "style"):
-            return
-        top = self.stack[-1]
-        if top == "title":
-            self.title.append(data)
-        if "h1" in self.stack:
-            self.heading.append(data)
-        if self._in_link:
-            self._link.append(data)
-        if self.paras and "article" in self.stack and "p" in self.stack and "h1" not in self.stack:
-            self.paras[-1].append(data)
-
-
-def parse_page(page_id: int, html: str | None) -> dict | None:
-    """One page -> one record dict (None when the page has no title)."""
-    p = _PageParser()
-    try:
-        p.feed(html or "")
-        p.close()
-    except Exception:  # noqa: BLE001 - malformed page: keep what was parsed
-        pass
-    title = _squeeze(p.title) or _squeeze(p.heading)
-    if not title:
-        return None
-    paras = [_squeeze(x) for x in p.paras]
-    paras = [x for x in paras if x]
-    return {"page_id": page_id, "title": title, "lang": p.lang, "heading": _squeeze(p.heading),
-            "links": "; ".join(p.links), "n_links": len(p.links), "n_paragraphs": len(paras),
-            "text": " ".join(paras)}
-
-
-def _records(batches):
-    for pdf in batches:
-        rows = [parse_page(int(i), h) for i, h in zip(pdf["page_id"], pdf["html"])]
-        rows = [r for r in rows if r is not None]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")]) \
-            .astype({"page_id": "int64", "n_links": "int32", "n_paragraphs": "int32"})
-
-
-def page_records(pages: DataFrame) -> DataFrame:
-    """Parsed records, one per page with a title (whole pages, no caps)."""
-    return pages.select("page_id", "html").mapInPandas(_records, RECORD_SCHEMA)
-
-
 def page_fields(pages: DataFrame) -> DataFrame:
     """A12 (native): title, language, URL host and tag counts via regexes."""
     h = F.col("html")
@@ -135,6 +47,25 @@ def plain_text(html: "F.Column") -> "F.Column":
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def page_records(pages: DataFrame) -> DataFrame:
+    """(page_id, title, lang, heading, links, n_links, n_paragraphs, text) of
+    every page with a title or a heading (whole pages, no caps).  A paragraph ends
+    at its end tag or where the next one begins."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<!--.*?-->", ""),
+                             r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    inner = lambda h, name: F.regexp_extract(h, f"(?is)<{name}\\b[^>]*>(.*?)</{name}\\s*>", 1)
+    links = F.transform(F.regexp_extract_all(inner(clean, "nav"), F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), plain_text)
+    article = F.regexp_replace(inner(clean, "article"), r"(?is)<h1\b[^>]*>.*?</h1\s*>", "")
+    paragraphs = F.transform(F.slice(F.split(article, r"(?i)<p\b[^>]*>"), 2, 1 << 30), lambda p: plain_text(F.split(p, r"(?i)</p\s*>", 2)[0]))
+    heading = plain_text(inner(clean, "h1"))
+    rows = pages.select("page_id", F.coalesce(F.nullif(plain_text(inner(clean, "title")), F.lit("")), heading).alias("title"),
+                        F.nullif(F.regexp_extract("html", r'(?i)<html\b[^>]*\blang="([^"]*)"', 1), F.lit("")).alias("lang"), heading.alias("heading"),
+                        links.alias("_links"), F.filter(paragraphs, lambda p: p != "").alias("_text"))
+    return rows.where(F.col("title") != "").select(
+        "page_id", "title", "lang", "heading", F.array_join("_links", "; ").alias("links"), F.size("_links").alias("n_links"),
+        F.size("_text").alias("n_paragraphs"), F.array_join("_text", " ").alias("text"))
+
+
 def job_records(pages: DataFrame) -> DataFrame:
     """One row per titled folding block of every page: page_id, position,
     title, the summary's labelled values, the labelled fields and the direct link

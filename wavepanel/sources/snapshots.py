@@ -83,10 +83,15 @@ def detect_layout(columns: list[str]) -> str:
     return "unknown"
 
 
+def normalize_columns(df: DataFrame, hyphens: bool = False) -> DataFrame:
+    """All column names normalised, nothing renamed or dropped."""
+    return df.toDF(*[normalize_name(c, hyphens) for c in df.columns])
+
+
 def normalize_frame(df: DataFrame, layout: str | None = None) -> DataFrame:
     """A5: normalised names, marker columns dropped, renames by layout; when two
     source columns map to one target the first non-null wins (coalesce)."""
-    df = df.toDF(*[normalize_name(c) for c in df.columns])
+    df = normalize_columns(df)
     layout = layout or detect_layout(df.columns)
     df = df.drop(*[c for c in COLUMNS_TO_DROP if c in df.columns])
     renames = NEW_RENAMES if layout == "new" else LEGACY_RENAMES
