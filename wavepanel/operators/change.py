@@ -36,8 +36,8 @@ def previous_value(df: DataFrame, cols: PanelCols = CLEAN, value: str | None = N
     holds more than `bucket_rows` rows, whatever the size of one entity:
     (1) a lag inside (entity, date, row bucket), where the row bucket is
     `_row_seq // bucket_rows`; (2) for the first row of each bucket, the last
-    value of the entity's previous non-empty bucket, from a lag over the
-    per-bucket summaries (one row per bucket).
+    value of the entity's previous non-empty bucket, from a lag over the first
+    rows (one per bucket, each carrying its bucket's last value).
     per="snapshot" first keeps the primary row per snapshot (at most one row
     per snapshot per entity) and lags over those.
     """
@@ -47,20 +47,17 @@ def previous_value(df: DataFrame, cols: PanelCols = CLEAN, value: str | None = N
         src = primary_rows(df, cols)
         out = src.withColumn(out_col, F.lag(value).over(Window.partitionBy(cols.id).orderBy(cols.date, cols.seq)))
     else:
-        part = [cols.id, cols.date, "_sb"]
         x = df.withColumn("_sb", F.floor(F.col(cols.seq) / F.lit(bucket_rows)))
-        w_in = Window.partitionBy(*part).orderBy(cols.seq)
-        x = x.withColumn("_lag_in", F.lag(value).over(w_in)).withColumn("_rn", F.row_number().over(w_in))
-        # per-bucket summaries (same partitioning as the window: no extra shuffle of rows)
-        last = x.groupBy(*part).agg(F.max_by(F.col(value), F.col(cols.seq)).alias("_last"))
-        w_out = Window.partitionBy(cols.id).orderBy(F.col(cols.date).asc_nulls_last(), "_sb")
-        last = last.withColumn("_prev_bucket", F.lag("_last").over(w_out)).drop("_last")
-        last = last.toDF("_k_id", "_k_date", "_k_sb", "_prev_bucket")
-        same = (F.col(cols.id).eqNullSafe(F.col("_k_id")) & F.col(cols.date).eqNullSafe(F.col("_k_date"))
-                & F.col("_sb").eqNullSafe(F.col("_k_sb")))
-        out = (x.join(last, same)                       # null-safe: rows without an id or a date stay
-                .withColumn(out_col, F.when(F.col("_rn") == 1, F.col("_prev_bucket")).otherwise(F.col("_lag_in")))
-                .drop("_sb", "_lag_in", "_rn", "_prev_bucket", "_k_id", "_k_date", "_k_sb"))
+        w_in = Window.partitionBy(cols.id, cols.date, "_sb").orderBy(cols.seq)
+        whole = w_in.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        x = (x.withColumn("_lag_in", F.lag(value).over(w_in)).withColumn("_first", F.row_number().over(w_in) == 1)
+              .withColumn("_last", F.last(value).over(whole)))
+        # the first rows of an entity's buckets are one window, other rows stay with their bucket: every
+        # window is by the entity first, so rows laid out by entity are not exchanged
+        others = [F.when(~F.col("_first"), F.col(c)) for c in (cols.date, "_sb")]
+        w_out = Window.partitionBy(cols.id, "_first", *others).orderBy(F.col(cols.date).asc_nulls_last(), "_sb")
+        out = (x.withColumn(out_col, F.when(F.col("_first"), F.lag("_last").over(w_out)).otherwise(F.col("_lag_in")))
+                .drop("_sb", "_lag_in", "_first", "_last"))
         # no id, no history (a grouped shift gives nothing for a missing key)
         out = out.withColumn(out_col, F.when(F.col(cols.id).isNotNull(), F.col(out_col)))
     p, v = F.col(out_col), F.col(value)

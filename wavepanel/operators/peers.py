@@ -115,8 +115,9 @@ def growth_in_current_division(df: DataFrame, cols: PanelCols = CLEAN) -> DataFr
     """First and latest primary measure while in the entity's current
     division, with growth (null when the first value is not positive)."""
     prim = primary_rows(df, cols)
-    cur = prim.groupBy(cols.id).agg(F.max_by(cols.division, cols.date).alias("_cd"))
-    inside = prim.join(cur, cols.id).where(F.col(cols.division) == F.col("_cd"))
+    # a window over primary rows: one per snapshot and entity
+    inside = (prim.withColumn("_cd", F.max_by(cols.division, cols.date).over(Window.partitionBy(cols.id)))
+              .where(F.col(cols.division) == F.col("_cd")))
     g = inside.groupBy(cols.id, F.col("_cd").alias("current_division")).agg(
         F.min(cols.date).alias("first_date"),
         F.min_by(cols.measure, cols.date).alias("first_salary"),

@@ -31,11 +31,12 @@ def pick_one(df: DataFrame, keys: list[str], order: list[tuple[Column, bool]],
     """
     if drop_null_keys:
         df = df.na.drop(subset=keys)
-    cols = df.columns
+    rest = [c for c in df.columns if c not in keys]
     ord_struct = F.struct(*[_rank_key(e, asc).alias(f"k{i}") for i, (e, asc) in enumerate(order)])
     picked = (df.groupBy(*keys)
-                .agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]), ord_struct).alias("_best")))
-    return picked.select("_best.*")
+                .agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), ord_struct).alias("_best")))
+    # the keys themselves, not copies of them: a layout by key still holds for the result
+    return picked.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_best.`{c}`") for c in df.columns])
 
 
 def exact_dedup(df: DataFrame, subset: list[str], seq: str = CLEAN.seq) -> DataFrame:

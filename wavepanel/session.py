@@ -87,12 +87,14 @@ def application_key(spark: SparkSession) -> str:
     return getattr(spark, "session_id", None) or str(id(spark))
 
 
+def stored_path(spark: SparkSession, name: str | None = None) -> str:
+    """A new path for a stored table of this application, under the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), "stored", application_key(spark), f"{name or 'table'}-{uuid.uuid4().hex[:8]}")
+
+
 def store_table(df: DataFrame, name: str | None = None, partition_by: list[str] | None = None) -> str:
     """Write `df` as Parquet under the shared checkpoint folder; return the path."""
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "stored", application_key(spark),
-                        f"{name or 'table'}-{uuid.uuid4().hex[:8]}")
+    path = stored_path(df.sparkSession, name)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
