@@ -61,9 +61,23 @@ def variants(n, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("which", ["table", "variants"])
+def spread(n, seed=8):
+    """A large group whose similarities run from 0.25 to 0.97 without a gap, around three drifting centres."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randint(0, 900)}" for _ in range(160)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for k in range(rnd.choice([1, 2, 3, 5, 8, 12, 20, 30])):
+            copy[rnd.randrange(len(copy))] = f"v{rnd.randrange(3) if i % 2 else i}_{rnd.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("which", ["table", "variants", "spread"])
 def test_classes_match_brute_force(spark, make, which):
-    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()] if which == "table" else variants(40)
+    rows = {"variants": lambda: variants(40), "spread": lambda: spread(260),
+            "table": lambda: [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]}[which]()
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(make(rows)).collect()}
     assert got == brute_classes(rows)
 

@@ -41,6 +41,7 @@ from . import textvec as tv
 from .common import components, fresh, row_key, stored
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 5, 0.8
+BITS, HEAD = 1024, 32          # of the bitmap of a node's tokens; of its first tokens that a row carries
 SIGN_BYTES = 256 << 10        # text signed at a time: the points fit a core's cache
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,6 +168,12 @@ def bags(docs: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame:
             .join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
+def tokens_of(grams: bytes, counts: bytes) -> np.ndarray:
+    """A multiset as a set: a shingle with count c is c tokens."""
+    count = np.frombuffer(counts, np.uint32).astype(np.int64)
+    return tv.mix(np.repeat(np.frombuffer(grams, np.uint64), count) + tv.spread(count).astype(np.uint64) * GOLD)
+
+
 def rare_prefixes(bag: DataFrame, threshold: float) -> DataFrame:
     """(node, token, rank, size): of every node the rarest tokens that any partner
     at the threshold must share one of, rarest first.
@@ -179,8 +186,7 @@ def rare_prefixes(bag: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, grams, counts in zip(batch["node"].to_pylist(), batch["grams"].to_pylist(), batch["counts"].to_pylist()):
-                count = np.frombuffer(counts, np.uint32).astype(np.int64)
-                token = tv.mix(np.repeat(np.frombuffer(grams, np.uint64), count) + tv.spread(count).astype(np.uint64) * GOLD).view(np.int64)
+                token = tokens_of(grams, counts).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([node] * len(token), pa.binary()), pa.array(token),
                                                   pa.array(np.full(len(token), len(token)))], names=["node", "token", "size"])
 
@@ -192,20 +198,52 @@ def rare_prefixes(bag: DataFrame, threshold: float) -> DataFrame:
             .select("node", "token", "rank", "size"))
 
 
-def prefix_pairs(prefixes: DataFrame, threshold: float) -> DataFrame:
+def token_bits(bag: DataFrame) -> DataFrame:
+    """(node, w0, w1, ...): the set of a node's tokens as a bitmap of BITS hashed bits."""
+    words = BITS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, words), np.uint64)
+            for i, (grams, counts) in enumerate(zip(batch["grams"].to_pylist(), batch["counts"].to_pylist())):
+                bit = tokens_of(grams, counts) % np.uint64(BITS)
+                np.bitwise_or.at(out[i], (bit // np.uint64(64)).astype(np.int64), np.uint64(1) << (bit % np.uint64(64)))
+            yield pa.RecordBatch.from_arrays([batch["node"], *[pa.array(np.ascontiguousarray(out[:, j]).view(np.int64)) for j in range(words)]],
+                                             names=["node", *[f"w{j}" for j in range(words)]])
+
+    return bag.select("node", "grams", "counts").mapInArrow(run, "node binary, " + ", ".join(f"w{j} long" for j in range(words)))
+
+
+def prefix_pairs(prefixes: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b), a > b, of different components that can reach the threshold:
-    they share a token within the rank that their sizes allow.
+    they share a token within the rank that their sizes allow, and their bitmaps
+    leave room for the overlap.
 
     Of the nodes with one token those of its largest component meet the others
-    only, so a large group of near copies is not paired with itself."""
+    only, so a large group of near copies is not paired with itself.  Every bit
+    in which two bitmaps differ stands for a token of one node alone, so the
+    overlap is at most half of (both sizes - differing bits).  A pair is made at
+    the first token it shares: each row carries the HEAD first tokens of its node
+    that lie before its own, and a token that both carry has made the pair already.
+    """
     most = (prefixes.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
             .agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    left = prefixes.join(most, "token").where(F.col("component") != F.col("top"))
-    cols = lambda df, n: df.select("token", F.col("node").alias(n), F.col("rank").alias(f"r{n}"), F.col("size").alias(f"s{n}"),
-                                   F.col("component").alias(f"c{n}"))
+    shared = stored(prefixes.join(most.drop("kinds"), "token"), "minhash-shared")
+    head = shared.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "token"))), 1, HEAD).alias("head"))   # tokens of one text
+    facts = head.join(token_bits(bag.join(head.select("node"), "node", "left_semi")), "node")
+    rows = shared.join(facts, "node").withColumn("earlier", F.transform(F.filter("head", lambda h: h["rank"] < F.col("rank")), lambda h: h["token"]))
+    words = [f"w{j}" for j in range(BITS // 64)]
+    cols = lambda df, n, *more: df.select("token", F.col("node").alias(n), F.col("rank").alias(f"r{n}"), F.col("size").alias(f"s{n}"),
+                                          F.col("component").alias(f"c{n}"), F.col("earlier").alias(f"e{n}"), *[F.col(w).alias(f"{n}{w}") for w in words], *more)
+    rows = stored(rows.select("token", "node", "rank", "size", "component", "top", "earlier", *words), "minhash-shared-rows")
     need = F.ceil(threshold / (1 + threshold) * (F.col("sa") + F.col("sb")) - 1e-9)
-    return (cols(left, "a").join(cols(prefixes, "b"), "token")
-            .where((F.col("ca") != F.col("cb")) & (F.col("ra") <= F.col("sa") - need + 1) & (F.col("rb") <= F.col("sb") - need + 1))
+    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words[1:]), F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0"))))
+    # of two nodes that are both outside the largest component the larger one is on the left
+    left = cols(rows.where(F.col("component") != F.col("top")), "a")
+    return (left.join(cols(rows, "b", "top"), "token")
+            .where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") > F.col("b")))
+                   & (F.col("ra") <= F.col("sa") - need + 1) & (F.col("rb") <= F.col("sb") - need + 1)
+                   & (2 * need <= F.col("sa") + F.col("sb") - differ) & ~F.arrays_overlap("ea", "eb"))
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
@@ -294,7 +332,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     if not placed.isEmpty():
         bag = stored(bags(docs, nodes.join(placed.select("node"), "node", "left_semi"), k), "minhash-mixed-bags")
         prefixes = stored(rare_prefixes(bag, threshold).join(placed, "node"), "minhash-prefixes")
-        cross = prefix_pairs(prefixes, threshold).join(star.select("a", "b"), ["a", "b"], "left_anti")
+        cross = prefix_pairs(prefixes, bag, threshold).join(star.select("a", "b"), ["a", "b"], "left_anti")
         cross = stored(cross, "minhash-cross")
         if not cross.isEmpty():
             links = links.union(verify(cross, docs, nodes, threshold, k, "minhash-cross"))
