@@ -99,3 +99,54 @@ def test_registered_search(spark):
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
     got = queries.QUERIES["op3_nearest_neighbours"](spark, SF).collect()
     assert recall(got, ids, x, [i for i in ids if i % 20 == 0]) > 0.95
+
+
+def shapes(n=3000, d=32, seed=1):
+    """Data on which a beam of fixed width, or links to the nearest alone, lose neighbours."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, d))
+    centres = r.normal(size=(n // 60, d))
+    tight = np.repeat(centres, 60, 0) + 0.05 * r.normal(size=(n // 60 * 60, d))
+    return {"normal": x, "lengths": x * np.exp(r.normal(0, 0.25, size=(n, 1))), "long tails": x * np.exp(r.normal(0, 1, size=(n, 1))),
+            "clusters of 60": tight / np.linalg.norm(tight, axis=1)[:, None]}
+
+
+@pytest.mark.parametrize("shape", ["normal", "lengths", "long tails", "clusters of 60"])
+def test_recall_does_not_depend_on_the_data(spark, shape):
+    x = shapes()[shape].astype(np.float32).astype(float)
+    ids = np.arange(len(x))
+    df = frame(spark, ids.tolist(), x)
+    got = hnsw.nearest(df, df.where("vec_id % 20 = 0"), shard=1600).collect()
+    assert recall(got, ids, x, range(0, len(x), 20)) >= 0.95
+
+
+def test_graph_hangs_together():
+    """Tight groups larger than a node's links; far pairs; copies."""
+    x = shapes()["clusters of 60"]
+    for y in (x, np.concatenate([x[:100], x[:3] + 100, x[:2] - 100])):
+        links = hnsw.link(y, hnsw.DEGREE, hnsw.CANDIDATES)
+        joined = hnsw.join_parts(y, links)
+        assert len(np.unique(hnsw.parts(joined))) == 1
+        assert (joined[:, :links.shape[1]] == links)[links >= 0].all() and joined.max() < len(y)     # nothing is lost
+    assert hnsw.join_parts(x[:1], hnsw.link(x[:1], 16, 48)).shape[0] == 1
+
+
+def test_a_shard_without_a_good_beam_is_scanned():
+    x = np.random.default_rng(2).normal(size=(25, 8))
+    index = hnsw.build(np.arange(25), x)
+    assert index["width"] == 0                                   # fewer nodes than the narrowest beam
+    q, found, score = hnsw.search(index, np.array([3]), x[3:4], 20)
+    best = np.argsort(-(x @ x[3]), kind="stable")
+    assert found.tolist() == [i for i in best if i != 3][:20]
+
+
+def test_search_with_ties_repeated_rows_and_null_ids(spark):
+    """Equal scores go to the smaller id, repeated rows count each, null ids take no part."""
+    rows = [(i, [1.0, 0.0]) for i in range(40, 0, -1)] + [(50, [0.5, 0.0]), (50, [0.5, 0.0]), (None, [9.0, 0.0]), (60, [0.0, 1.0])]
+    df = frame(spark, [i for i, _ in rows], [v for _, v in rows])
+    got = {}
+    for r in hnsw.nearest(df, df.where("vec_id = 20 or vec_id = 60 or vec_id is null"), k=42).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {20, 60}
+    assert [v for _, v, _ in sorted(got[20])] == [i for i in range(1, 41) if i != 20] + [50, 50, 60]
+    assert [(v, s) for _, v, s in sorted(got[60])][:3] == [(1, 0.0), (2, 0.0), (3, 0.0)]

@@ -6,12 +6,16 @@ level is geometric in a hash of its vector; every level links each of its nodes
 to diverse near nodes (a candidate is taken if it is nearer to the node than to
 every neighbour taken before; then the nearest fill up), and links run both ways.
 A level's links are one flat array of node numbers with a fixed number of places
-per node.  Largest inner product is turned into nearness by the usual extra
-coordinate sqrt(M^2 - |x|^2) when the graph is built.
+per node.  Parts of a level that no link joins (tight groups larger than a node's
+links) are joined by their nearest outside nodes.  Largest inner product is turned
+into nearness by the usual extra coordinate sqrt(M^2 - |x|^2) when the graph is built.
 
 A search descends from the few nodes of the top level and runs a best-first beam
 on each level; all queries of a block advance together, one numpy step at a time.
 The nodes of the last beam are scored on the original vectors in double precision.
+How wide the beam has to be depends on the data: each shard measures it when it is
+built, on SAMPLE of its own rows against an exact scan, and keeps the narrowest of
+WIDTHS that finds TARGET of the true neighbours; a shard where none does is scanned.
 Shard results are merged by score.  Query blocks meet every shard: each block is
 copied once per shard and joined by shard number.
 """
@@ -30,8 +34,9 @@ from . import textvec as tv
 from .common import stored
 from .vectors import matrix, small_batches, usable
 
-K, SHARD, BLOCK = 20, 4096, 512
-DEGREE, CANDIDATES, WIDTH, TOP_WIDTH, AT_ONCE = 16, 48, 96, 16, 4
+K, SHARD, BLOCK = 20, 8192, 512
+DEGREE, CANDIDATES, TOP_WIDTH, AT_ONCE, JOINS = 16, 48, 16, 4, 4
+WIDTHS, SAMPLE, TARGET = (32, 48, 72, 108, 162, 243, 364, 546, 819, 1228), 64, 0.985
 
 
 def link(x: np.ndarray, degree: int, candidates: int) -> np.ndarray:
@@ -79,8 +84,52 @@ def link(x: np.ndarray, degree: int, candidates: int) -> np.ndarray:
     return out
 
 
-def build(ids: np.ndarray, x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES) -> dict:
-    """The index of a shard as flat arrays: distinct vectors, their ids, and per level nodes and links."""
+def parts(links: np.ndarray) -> np.ndarray:
+    """A label per node, equal for nodes that links join (in either direction)."""
+    label = np.arange(len(links))
+    src, slot = np.nonzero(links >= 0)
+    dst = links[src, slot]
+    while True:
+        low = label.copy()
+        np.minimum.at(low, src, label[dst])
+        np.minimum.at(low, dst, label[src])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def join_parts(x: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """`links` with JOINS more places per node, filled so that the graph hangs together:
+    each part but the largest is linked, both ways, from some of its nodes to the
+    nearest nodes outside it that have a place left."""
+    square = (x ** 2).sum(1)
+    links = np.column_stack([links, np.full((len(links), JOINS), -1, np.int32)])
+    while True:
+        label = parts(links)
+        names, count = np.unique(label, return_counts=True)
+        if len(names) == 1:
+            return links
+        free = links.shape[1] - (links >= 0).sum(1)
+        for c in names[np.argsort(count, kind="stable")][:-1]:
+            inside = np.flatnonzero(label == c)
+            some = inside[np.linspace(0, len(inside) - 1, min(len(inside), 3)).astype(int)]
+            gap = square[None] - 2 * x[some] @ x.T
+            gap[:, inside] = np.inf
+            gap[:, free <= 0] = np.inf
+            for i, node in enumerate(some):
+                other = int(gap[i].argmin())
+                if np.isfinite(gap[i, other]) and free[node] > 0 and free[other] > 0:
+                    for u, v in ((node, other), (other, node)):
+                        links[u, np.flatnonzero(links[u] < 0)[0]] = v
+                        free[u] -= 1
+        if len(np.unique(parts(links))) == len(names):     # no place was left where one was needed: more of them
+            links = np.column_stack([links, np.full((len(links), JOINS), -1, np.int32)])
+
+
+def build(ids: np.ndarray, x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, k: int = K) -> dict:
+    """The index of a shard as flat arrays: distinct vectors, their ids, per level
+    nodes and links, and the width of the beam (0: scan)."""
     nodes, at = np.unique(x, axis=0, return_inverse=True)
     order = np.lexsort((ids, at.ravel()))
     count = np.bincount(at.ravel(), minlength=len(nodes))
@@ -90,12 +139,31 @@ def build(ids: np.ndarray, x: np.ndarray, degree: int = DEGREE, candidates: int
     norms = (nodes ** 2).sum(1)
     wide = np.column_stack([nodes, np.sqrt(np.maximum(norms.max() - norms, 0))])
     members, links = [], []
-    for k in range(int(level.max()) + 1):
-        m = np.flatnonzero(level >= k).astype(np.int32)
-        near = link(wide[m], degree, candidates)
+    for j in range(int(level.max()) + 1):
+        m = np.flatnonzero(level >= j).astype(np.int32)
+        near = join_parts(wide[m], link(wide[m], degree, candidates))
         members.append(m)
         links.append(np.where(near >= 0, m[near], -1).astype(np.int32))
-    return {"ids": ids[order], "count": count.astype(np.int64), "nodes": nodes, "members": members, "links": links}
+    index = {"ids": ids[order], "count": count.astype(np.int64), "nodes": nodes, "members": members, "links": links}
+    return index | {"width": narrowest(index, nodes[np.argsort(bits)[:SAMPLE]], k)}
+
+
+def narrowest(index: dict, q: np.ndarray, k: int) -> int:
+    """The narrowest beam that finds TARGET of the sample's k + 1 best nodes; 0 if none does."""
+    nodes = index["nodes"]
+    best = q @ nodes.T
+    n = min(k + 1, len(nodes))
+    worst = np.partition(best, len(nodes) - n, axis=1)[:, len(nodes) - n]
+    for width in WIDTHS:
+        if width < n:
+            continue
+        if width >= len(nodes):
+            break
+        found = descend(index, q, width)
+        value = np.where(found >= 0, np.take_along_axis(best, np.maximum(found, 0), 1), -np.inf)
+        if np.minimum((value >= worst[:, None]).sum(1), n).mean() >= TARGET * n:
+            return width
+    return 0
 
 
 def beam(q: np.ndarray, nodes: np.ndarray, links: np.ndarray, row: np.ndarray, start: np.ndarray, width: int, at_once: int) -> np.ndarray:
@@ -104,7 +172,7 @@ def beam(q: np.ndarray, nodes: np.ndarray, links: np.ndarray, row: np.ndarray, s
     links: neighbours by row; row: the row of every node of the level; start: (queries, s) nodes."""
     n_q = len(q)
     seen = np.zeros((n_q, len(nodes) + 1), bool)                 # the last column takes the missing places
-    score = lambda who, ids: np.where(ids >= 0, np.einsum("qd,qkd->qk", q[who], nodes[ids]), -np.inf)
+    score = lambda who, ids: np.where(ids >= 0, (nodes[ids] @ q[who][:, :, None])[:, :, 0], -np.inf)
     everyone = np.arange(n_q)
     held = np.full((n_q, width), -1, np.int64)
     held[:, :start.shape[1]] = start[:, :width]
@@ -137,18 +205,29 @@ def beam(q: np.ndarray, nodes: np.ndarray, links: np.ndarray, row: np.ndarray, s
     return np.take_along_axis(held, order, 1)
 
 
-def search(index: dict, own: np.ndarray, q: np.ndarray, k: int, width: int = WIDTH):
-    """Per query the k best ids of the shard other than its own: (query id, id, score)."""
-    nodes = index["nodes"]
+def descend(index: dict, q: np.ndarray, width: int) -> np.ndarray:
+    """(queries, width) nodes of the last beam, -1 where fewer.  The way down is
+    taken in single precision."""
+    nodes, q = index["nodes"].astype(np.float32), q.astype(np.float32)
     found = None
     for level in range(len(index["members"]) - 1, -1, -1):
         members = index["members"][level]
         row = np.zeros(len(nodes), np.int64)
         row[members] = np.arange(len(members))
-        w = max(width, k + 1) if level == 0 else TOP_WIDTH
         if found is None:
             found = np.repeat(members[None, :TOP_WIDTH].astype(np.int64), len(q), axis=0)
-        found = beam(q, nodes, index["links"][level], row, found, w, AT_ONCE)
+        found = beam(q, nodes, index["links"][level], row, found, width if level == 0 else TOP_WIDTH, AT_ONCE)
+    return found
+
+
+def search(index: dict, own: np.ndarray, q: np.ndarray, k: int):
+    """Per query the k best ids of the shard other than its own: (query id, id, score)."""
+    nodes = index["nodes"]
+    if index["width"]:
+        found = descend(index, q, index["width"])
+    else:                                                        # no beam was good enough: the k + 1 best of all nodes
+        n = min(k + 1, len(nodes))
+        found = np.concatenate([np.argpartition(-(q[a:a + 64] @ nodes.T), n - 1, axis=1)[:, :n] for a in range(0, len(q), 64)])
     first = np.cumsum(index["count"]) - index["count"]
     out = []
     for i in range(len(q)):
@@ -164,7 +243,7 @@ def search(index: dict, own: np.ndarray, q: np.ndarray, k: int, width: int = WID
     return [np.concatenate(v) for v in zip(*out)]
 
 
-INDEX = "shard long, ids binary, count binary, nodes binary, members array<binary>, links array<binary>"
+INDEX = "shard long, width int, ids binary, count binary, nodes binary, members array<binary>, links array<binary>"
 
 
 def index_shards(rows: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -173,7 +252,8 @@ def index_shards(rows: DataFrame, shard: int = SHARD) -> DataFrame:
 
     def made(t: pa.Table) -> pa.Table:
         index = build(t["id"].to_numpy(), matrix(t["v"]))
-        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int64()), "ids": [index["ids"].astype(np.int64).tobytes()],
+        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int64()), "width": pa.array([index["width"]], pa.int32()),
+                         "ids": [index["ids"].astype(np.int64).tobytes()],
                          "count": [index["count"].tobytes()], "nodes": [index["nodes"].tobytes()],
                          "members": pa.array([[m.tobytes() for m in index["members"]]], pa.list_(pa.binary())),
                          "links": pa.array([[m.tobytes() for m in index["links"]]], pa.list_(pa.binary()))})
@@ -214,14 +294,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
                 links = [np.frombuffer(b, np.int32) for b in r["links"]]
                 members = [np.frombuffer(b, np.int32) for b in r["members"]]
                 own = np.frombuffer(r["own"], np.int64)
-                got = search({"ids": np.frombuffer(r["ids"], np.int64), "count": count, "members": members,
+                got = search({"ids": np.frombuffer(r["ids"], np.int64), "count": count, "width": r["width"], "members": members,
                               "nodes": np.frombuffer(r["nodes"], np.float64).reshape(len(count), -1),
                               "links": [v.reshape(len(m), -1) for v, m in zip(links, members)]},
                              own, np.frombuffer(r["asked"], np.float64).reshape(len(own), -1), k)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], names=["query_id", "vec_id", "score"])
 
     with small_batches(spark, 4):
-        found = stored(work.select("own", "asked", "ids", "count", "nodes", "members", "links")
+        found = stored(work.select("own", "asked", "width", "ids", "count", "nodes", "members", "links")
                        .mapInArrow(run, "query_id long, vec_id long, score double"), "hnsw-found")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
