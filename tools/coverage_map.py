@@ -19,7 +19,7 @@ import wavepanel  # noqa: E402
 from wavepanel.plans import REGISTRY  # noqa: E402
 
 MANUAL = {
-    "A2": ("`sources.snapshots.read_snapshots` (CSV/Parquet exports; no workbook reader is installed)", "layout_union"),
+    "A2": ("`sources.workbooks.read_workbooks`, `sources.snapshots.read_snapshots` (workbooks, CSV, Parquet)", "workbook_files, snapshot_files"),
     "B12": ("`where` thresholds in the queries (fte > 0, > 0.01, >= 30000, >= 0.5)", "trend_total, consecutive_jumps_top15"),
     "B14": ("`Column.isin` / broadcast semi join for top-k lists", "type_share, compare_cross_topk"),
     "B25": ("`~eqNullSafe` in `plans.changes._jumps`", "consecutive_jumps_top15"),
@@ -38,18 +38,18 @@ MANUAL = {
     "J3": ("native `functions.keys.normalize_jobcode`", "jobcode_normalize"),
     "J4": ("native `functions.text.classify_lookup`, `keyword_category`", "unit_type_lookup, keyword_category"),
     "J5": ("native `when` ladder in `operators.transfers.detect_reorganizations`; join in `track_transfers`",
-           "reorg_detect"),
+           "reorg_detect, reorg_default_rules"),
     "J6": ("`operators.aggregate.exact_quantiles` (distributed), `F.percentile` / `percentile_approx` as options", "group_quantiles"),
-    "J7": ("`aggregate` fold over bounded lists in `operators.clean.prune_overallocated`", "overallocation_prune"),
-    "J8": ("`applyInPandas` in `operators.matching.tolerance_match`", "tolerance_match"),
-    "J9": ("native `sources.pages.job_records`; `mapInPandas` in `sources.pages.page_records`", "job_records, pages_extract (rows-only)"),
-    "J10": ("`functions.present` (display only, never in checked queries)", "tests"),
+    "J7": ("streamed walk in `operators.clean.prune_overallocated`", "overallocation_prune"),
+    "J8": ("cogrouped pieces in `operators.matching.tolerance_match`", "tolerance_match"),
+    "J9": ("native `sources.pages.job_records`, `sources.pages.page_records`", "job_records, pages_extract"),
+    "J10": ("`functions.present`", "display_formats"),
     "K12": ("`operators.peers.peer_percentiles`, `peer_stats`, `peer_lines`, `peer_histograms`",
             "peer_percentile, peer_stats, peer_lines, peer_histograms"),
-    "K14": ("`operators.aggregate.trend`, `compare_snapshots`, `with_total_row`",
+    "K14": ("`operators.cube.cube_trend`, `operators.aggregate.trend`, `compare_snapshots`, `with_total_row`",
             "trend_total, trend_by_type, trend_one_type_by_division, compare_*"),
 }
-TESTED = {"A1", "A3", "A6", "A19"}
+TESTED = {"A3"}
 
 
 def main():
