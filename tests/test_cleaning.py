@@ -213,3 +213,50 @@ def test_job_dimension_null_safe(spark):
 def test_not_faculty_keeps_null(spark):
     df = spark.createDataFrame([("Faculty",), (None,), ("Staff",)], "c STRING")
     assert df.where(~F.col("c").eqNullSafe("Faculty")).count() == 2
+
+
+def _panel_rows(n=900, seed=5):
+    """Raw rows with repeated and missing names, null dates and weights, over-allocated groups and exact duplicates."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(1, n):
+        rows.append((i, rnd.choice([dt.date(1996, 1, 1), dt.date(1999, 1, 1), dt.date(1999, 1, 1), None]), rnd.choice([" Ann", "ann", "Bob", None]),
+                     rnd.choice(["Lee", "lee ", "Ray"]), rnd.choice([dt.date(1990, 1, 1), dt.date(1991, 1, 1), None]), rnd.choice(["A", "B", None]),
+                     rnd.choice(["X", "Y"]), rnd.choice(["t1", "t2"]), rnd.choice(["AB100U", "AB101", None]), rnd.choice(["FA", "LI", "Limited Appointee", None]),
+                     "P", rnd.choice([0.1, 0.25, 0.5, 1.0, 0.0, None]), rnd.choice([10.0, 20.0, 30.0, None])))
+    return rows + [(n + r[0], *r[1:]) for r in rows[:200]]
+
+
+RAW = ("_row_seq long, Date date, last_name string, first_name string, date_of_hire date, division string, department string, title string, "
+       "jobcode string, employee_category string, appt_type_length string, full_time_equivalent double, current_annual_contracted_salary double")
+
+
+def test_cleaning_dealt_by_entity_gives_the_same_rows(spark, monkeypatch):
+    """Facts by windows inside an entity, or by aggregates and joins when a name is hot."""
+    raw = spark.createDataFrame(_panel_rows(), RAW)
+    jobs = spark.createDataFrame([("AB100", "g", "s"), (None, "none", None)], "jobcode string, job_group string, job_subgroup string")
+    job = lambda store: sorted(map(str, C.clean_panel(raw, None, jobs, hire_cutoff=dt.date(1998, 1, 1), store=store).collect()))
+    assert C.names_are_even(raw)
+    dealt = job(True)
+    monkeypatch.setattr(C, "MIN_BUCKET_ROWS", 0)
+    monkeypatch.setattr(C, "BUCKET_SKEW", 0)
+    assert not C.names_are_even(raw)
+    assert dealt == job(True) == job(False) and len(dealt) > 100
+    assert C.names_are_even(raw.limit(0))
+
+
+def test_stored_cleaning_moves_only_undecided_rows(spark):
+    """After the stored step, rows outside the over-allocated groups are not shuffled, nor is the panel for its job codes."""
+    raw = spark.createDataFrame(_panel_rows(), RAW)
+    jobs = spark.createDataFrame([("AB100", "g", "s")], "jobcode string, job_group string, job_subgroup string").distinct()
+    out = C.clean_panel(raw, None, jobs, hire_cutoff=dt.date(1998, 1, 1))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(jobcode" not in plan
+    settled = plan[plan.index("Union"):].split("FileScan parquet")[0]
+    assert "Exchange" not in settled, settled
+
+
+def test_hire_dates_leave_earlier_rows_out_of_the_join(spark):
+    raw = spark.createDataFrame(_panel_rows(), RAW)
+    plan = C.reconcile_hire_dates(raw, dt.date(1998, 1, 1), CLEAN)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join")

@@ -1,9 +1,12 @@
 """Cleaning job: raw snapshot rows -> panel (K1, K2; B1-B11, C1-C3, E4-E6).
 
-Shuffles: the name-key aggregate of the hire-date fix, the dedup aggregate
-(whose result is stored), and the (id, Date) aggregate and joins of the pruning.
-The price index has one row per month and is broadcast; the job dimension is
-joined by AQE's size check.
+Whole rows are shuffled twice: the later rows by name for the hire-date fix, and
+all rows by entity.  Dedup, group totals and primaries of the pruning work inside
+an entity and follow without an exchange; their result is stored.  Input in which
+one name holds very many rows is not dealt by entity: totals then come from
+aggregates combined map-side and joins (`prune_overallocated`).  The price index
+has one row per month and is broadcast; the job dimension is stored first, so
+that its size is known when its join is planned.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from ..functions import keys as K
 from ..functions.lookups import CATEGORY_RECODE, MAX_TOTAL_FTE
 from ..functions.numeric import round_half_up
 from ..session import materialize
+from ..sources.sinks import BUCKET_SKEW, MIN_BUCKET_ROWS
 from .deflate import deflate
 from .primary import exact_dedup
 
@@ -34,9 +38,11 @@ def reconcile_hire_dates(df: DataFrame, cutoff, cols: PanelCols = CLEAN,
 
     The per-name map grows with the data, so it is a plain join: AQE turns
     it into a broadcast at run time when it is small and keeps a
-    shuffle join (with skew splitting) when it is not.
+    shuffle join (with skew splitting) when it is not.  Only rows it may change
+    (dated >= `cutoff`, with a name) meet it.
     """
     nk = K.name_key(last, first)
+    later = F.coalesce((F.col(cols.date) >= F.lit(cutoff)) & nk.isNotNull(), F.lit(False))
     legacy = (df.where(F.col(cols.date) < F.lit(cutoff))
                 .select(nk.alias("_nk"), F.col(cols.hire_date).alias("_h"))
                 .where(F.col("_nk").isNotNull())
@@ -44,10 +50,9 @@ def reconcile_hire_dates(df: DataFrame, cutoff, cols: PanelCols = CLEAN,
                 .agg(F.min("_h").alias("_legacy_hire"), F.count_distinct("_h").alias("_nh"))
                 .where(F.col("_nh") == 1)
                 .drop("_nh"))
-    j = df.withColumn("_nk", nk).join(legacy, "_nk", "left")
-    fixed = F.when((F.col(cols.date) >= F.lit(cutoff)) & F.col("_legacy_hire").isNotNull(),
-                   F.col("_legacy_hire")).otherwise(F.col(cols.hire_date))
-    return j.withColumn(cols.hire_date, fixed).drop("_nk", "_legacy_hire")
+    j = df.where(later).withColumn("_nk", nk).join(legacy, "_nk", "left")
+    fixed = j.withColumn(cols.hire_date, F.coalesce("_legacy_hire", cols.hire_date)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return fixed.unionByName(df.where(~later))
 
 
 def _limited_flag(df: DataFrame, cols: PanelCols, limited_col: str | None) -> Column:
@@ -56,6 +61,28 @@ def _limited_flag(df: DataFrame, cols: PanelCols, limited_col: str | None) -> Co
     return F.coalesce(F.lower(F.col(cols.category)).contains("limited"), F.lit(False))
 
 
+FACTS = ["_minw", "_pseq", "_pw"]
+
+
+def with_group_facts(df: DataFrame, cols: PanelCols = CLEAN, limit: float = MAX_TOTAL_FTE,
+                     limited_col: str | None = None) -> DataFrame:
+    """`df` with the FACTS of its (id, date) group: smallest weight, row number and
+    weight of the primary; null in groups within `limit`.  By windows: for rows
+    that are dealt by entity already."""
+    group = Window.partitionBy(cols.id, cols.date)
+    tot, least, primary = _facts(cols, _limited_flag(df, cols, limited_col))
+    x = df.withColumns({"_tot": tot.over(group), "_minw": least.over(group), "_p": primary.over(group)})
+    over = round_half_up("_tot", 9) > F.lit(limit)
+    return x.select(*[F.col(f"`{c}`") for c in df.columns], F.when(over, F.col("_minw")).alias("_minw"),
+                    F.when(over, F.col("_p.seq")).alias("_pseq"), F.when(over, F.col("_p.w")).alias("_pw"))
+
+
+def _facts(cols: PanelCols, limited: Column) -> tuple[Column, Column, Column]:
+    """Aggregates of a group: total and smallest weight, the primary's row number and weight."""
+    w, m, seq = F.col(cols.weight), F.col(cols.measure), F.col(cols.seq)
+    return F.sum(w), F.min(w), F.max_by(F.struct(seq.alias("seq"), w.alias("w")), F.struct(limited.cast("int"), m, -seq))
+
+
 def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = MAX_TOTAL_FTE,
                         limited_col: str | None = None, salts: int = 64) -> DataFrame:
     """Prune the rows of (id, date) groups whose total weight exceeds `limit`.
@@ -80,18 +107,24 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
        total (`_admit`): no list of a group's rows, whatever its size, its number
        of weights or their sign;
     3. the rows meet the group's facts and the admitted rows and are filtered.
+
+    Rows that carry their group's facts (`with_group_facts`; not returned) need no
+    pass for them, and only the undecided rows meet the admitted ones.
     """
     keys = [cols.id, cols.date]
     w, m, seq = F.col(cols.weight), F.col(cols.measure), F.col(cols.seq)
-    x = df.withColumn("_lim", _limited_flag(df, cols, limited_col))
-    over = (x.groupBy(*keys).agg(
-        F.sum(cols.weight).alias("_tot"), F.min(cols.weight).alias("_minw"),
-        F.max_by(F.struct(seq.alias("seq"), w.alias("w")), F.struct(F.col("_lim").cast("int"), m, -seq)).alias("_p"))
-        # compared at 1e-9: the order of a distributed floating-point sum must not matter
-        .where(round_half_up("_tot", 9) > F.lit(limit))
-        .select(F.col(cols.id).alias("_id"), F.col(cols.date).alias("_date"), "_minw",
-                F.col("_p.seq").alias("_pseq"), F.col("_p.w").alias("_pw")))
-    same = F.col(cols.id).eqNullSafe(F.col("_id")) & F.col(cols.date).eqNullSafe(F.col("_date"))
+    known = set(FACTS) <= set(df.columns)
+    if known:
+        x = df.withColumns({"_id": F.col(cols.id), "_date": F.col(cols.date)})
+    else:
+        x = df.withColumn("_lim", _limited_flag(df, cols, limited_col))
+        tot, least, primary = _facts(cols, F.col("_lim"))
+        over = (x.groupBy(*keys).agg(tot.alias("_tot"), least.alias("_minw"), primary.alias("_p"))
+                # compared at 1e-9: the order of a distributed floating-point sum must not matter
+                .where(round_half_up("_tot", 9) > F.lit(limit))
+                .select(F.col(cols.id).alias("_id"), F.col(cols.date).alias("_date"), "_minw",
+                        F.col("_p.seq").alias("_pseq"), F.col("_p.w").alias("_pw")))
+        same = F.col(cols.id).eqNullSafe(F.col("_id")) & F.col(cols.date).eqNullSafe(F.col("_date"))
     nonneg = F.col("_minw") >= 0
     decided = (F.when(seq == F.col("_pseq"), F.lit(True))
                 .when(F.col("_pw").isNull() | w.isNull(), F.lit(False))
@@ -99,7 +132,8 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
                 .when(nonneg & (w == 0), F.lit(True)))
     most = F.when(nonneg, F.floor((F.lit(limit) - F.col("_pw")) / w) + F.lit(2))
     visit = [F.col("_m").desc_nulls_last(), F.col("_seq")]
-    c = (x.join(over, same).where(decided.isNull())
+    met = x.where(F.col("_pseq").isNotNull()) if known else x.join(over, same)
+    c = (met.where(decided.isNull())
           .select("_id", "_date", "_pw", w.cast("double").alias("_w"), m.alias("_m"), seq.cast("long").alias("_seq"), most.alias("_most"),
                   F.pmod(F.xxhash64(seq), F.lit(salts)).alias("_salt")))
     for part in (["_id", "_date", "_w", "_salt"], ["_id", "_date", "_w"]):
@@ -110,6 +144,10 @@ def prune_overallocated(df: DataFrame, cols: PanelCols = CLEAN, limit: float = M
     types = c.schema
     admitted = c.mapInArrow(_admit(limit), T.StructType([types["_id"], types["_date"], types["_seq"]])).toDF("_aid", "_adate", "_aseq")
     mine = (F.col(cols.id).eqNullSafe(F.col("_aid")) & F.col(cols.date).eqNullSafe(F.col("_adate")) & (seq == F.col("_aseq")))
+    if known:
+        rest = [F.col(f"`{k}`") for k in df.columns if k not in FACTS]
+        return (x.where(F.col("_pseq").isNull() | F.coalesce(decided, F.lit(False))).select(*rest)
+                .unionByName(met.where(decided.isNull()).join(admitted, mine).select(*rest)))
     stays = F.col("_pseq").isNull() | F.coalesce(decided, F.col("_aseq").isNotNull())
     return x.join(over, same, "left").join(admitted, mine, "left").where(stays).select(*[F.col(f"`{k}`") for k in df.columns])
 
@@ -168,6 +206,16 @@ def attach_job_dimension(df: DataFrame, jobs: DataFrame, cols: PanelCols = CLEAN
     return j.withColumn("jobgroup", F.lit(None).cast("string"))
 
 
+def names_are_even(raw: DataFrame, last: str = "last_name", first: str = "first_name") -> bool:
+    """Whether rows dealt by name make no partition much larger than the others:
+    an entity, whose rows share a name, may then be the work of one task."""
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = F.xxhash64(*[F.upper(F.coalesce(F.col(c).cast("string"), F.lit("NAN"))) for c in (last, first)])
+    sizes = (raw.groupBy(F.pmod(name, F.lit(parts)).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+             .agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first())
+    return (sizes["most"] or 0) <= max(BUCKET_SKEW * (sizes["rows"] or 0) / parts, MIN_BUCKET_ROWS)
+
+
 def clean_panel(raw: DataFrame, price: DataFrame | None, jobs: DataFrame | None = None,
                 hire_cutoff=None, category_map=None, division_map=None,
                 cols: PanelCols = CLEAN, limit: float = MAX_TOTAL_FTE,
@@ -175,8 +223,10 @@ def clean_panel(raw: DataFrame, price: DataFrame | None, jobs: DataFrame | None
                 price_mode: str = "latest", store: bool = True) -> DataFrame:
     """K1: the reference's cleaning order.
 
-    With `store` the deduplicated rows are written once to the shared folder
-    (pruning reads them three times); without it the whole job is one lazy plan.
+    With `store` the rows are dealt by entity (unless one name holds very many of
+    them) and the deduplicated ones, with the facts the pruning needs, are written
+    once to the shared folder, as is the job dimension; without it the whole job is
+    one lazy plan.
 
     hire-date fix -> id -> category recode -> exact dedup -> over-allocation
     pruning -> job-code normalisation -> division recode -> derived columns ->
@@ -189,7 +239,10 @@ def clean_panel(raw: DataFrame, price: DataFrame | None, jobs: DataFrame | None
     df = df.withColumn(cols.category, K.recode(cols.category,
                                                CATEGORY_RECODE if category_map is None else category_map))
     dedup_keys = [c for c in DEDUP_COLUMNS if c in df.columns]
-    df = exact_dedup(df, dedup_keys, cols.seq)
+    dealt = store and names_are_even(raw)
+    df = exact_dedup(df.repartition(F.col(cols.id)) if dealt else df, dedup_keys, cols.seq)
+    if dealt:
+        df = with_group_facts(df, cols, limit)
     if store:
         df = materialize(df, "deduplicated")
     df = prune_overallocated(df, cols, limit)
@@ -204,7 +257,7 @@ def clean_panel(raw: DataFrame, price: DataFrame | None, jobs: DataFrame | None
         df = deflate(df, price, cols, idx_date=price_date, idx_val=price_value, mode=price_mode,
                      carry=[c for c in ("CPI", "CPI_2021_Index") if c in price.columns])
     if jobs is not None:
-        df = attach_job_dimension(df, jobs, cols)
+        df = attach_job_dimension(df, materialize(jobs, "jobs") if store else jobs, cols)
     else:
         df = df.withColumn("jobgroup", F.lit(None).cast("string"))
     return df

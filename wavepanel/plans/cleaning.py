@@ -168,6 +168,7 @@ def overallocation_prune(spark, sf_dir):
 _CLEAN_OUT = ["_row_seq", "id", "Date", "date_of_hire", "employee_category", "jobcode", "division",
               "current_annual_contracted_salary",
               "division_department", "id_jobcode", "FullTime", "JobGroupCode", "JobNumber", "2021_Index"]
+_CLEAN_MORE = ["fte_adjusted_salary", "FTE_Adjusted_Salary_2021_Dollars", "Real_Salary_2021_Dollars", "jobgroup", "job_subgroup"]
 
 
 @query("clean_panel", f"""
@@ -211,7 +212,7 @@ def clean_panel(spark, sf_dir):
     """The whole cleaning job from raw snapshot rows to the panel."""
     p = stored(spark, sf_dir, "clean_panel", lambda: C.clean_panel(
         _raw(spark, sf_dir), fixtures.price_index(spark), fixtures.job_dimension(spark, sf_dir),
-        hire_cutoff=CUTOFF, division_map=DIVISION_MAP, price_date="d", price_value="idx"))
+        hire_cutoff=CUTOFF, division_map=DIVISION_MAP, price_date="d", price_value="idx").select(*_CLEAN_OUT, *_CLEAN_MORE))
     return p.select(*_CLEAN_OUT, R("fte_adjusted_salary", 4).alias("fte_adjusted_salary"),
                     R("FTE_Adjusted_Salary_2021_Dollars", 4).alias("FTE_Adjusted_Salary_2021_Dollars"),
                     R("Real_Salary_2021_Dollars", 4).alias("Real_Salary_2021_Dollars"),
