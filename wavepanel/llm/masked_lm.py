@@ -84,13 +84,14 @@ class Model:
     heads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))     # sorted keys of the frequent words
 
     def hidden(self, around):
-        h = self.tables[0][around[:, 0]]
+        h = np.take(self.tables[0], around[:, 0], axis=0)
         for k in range(1, len(PLACES)):
-            h = h + self.tables[k][around[:, k]]
-        return np.tanh(h)
+            h += np.take(self.tables[k], around[:, k], axis=0)
+        return np.tanh(h, out=h)
 
     def class_scores(self, h):
-        z = h @ self.out[:-1] + self.out[-1]
+        z = h @ self.out[:-1]
+        z += self.out[-1]
         z -= z.max(axis=1, keepdims=True)
         return z
 
@@ -100,7 +101,8 @@ class Model:
         for a in range(0, len(w), BATCH):
             x, c = around[a:a + BATCH], self.class_of[w[a:a + BATCH]]
             z = self.class_scores(self.hidden(x))
-            out[a:a + BATCH] = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(axis=1))
+            own = z[np.arange(len(c)), c]
+            out[a:a + BATCH] = own - np.log(np.exp(z, out=z).sum(axis=1))
         return out + self.log_share[w]
 
 
@@ -148,7 +150,8 @@ class Trainer:
     def step(self, w, around):
         m, n = self.m, len(w)
         h = m.hidden(around)
-        p = np.exp(m.class_scores(h))
+        p = m.class_scores(h)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n), m.class_of[w]] -= 1
         p /= n
@@ -157,13 +160,16 @@ class Trainer:
         self.g_out += g * g
         m.out -= self.rate * g / np.sqrt(self.g_out)
         rows, width = m.tables.shape[1:]
-        cell = np.arange(width)
+        back = back.T.astype(np.float64, order="C")
         for k in range(len(PLACES)):
-            g = np.bincount((around[:, k, None] * width + cell).ravel(), back.ravel(), rows * width).reshape(rows, width).astype(np.float32)
+            at = np.ascontiguousarray(around[:, k])
+            g = np.empty((rows, width), np.float32)
+            for c in range(width):                          # a column's sums fit the cache
+                g[:, c] = np.bincount(at, back[c], rows)
             g[-1] = 0
             self.g_tables[k] += g * g
             m.tables[k] -= self.rate * g / np.sqrt(self.g_tables[k])
-            self.used[k] += np.bincount(around[:, k], minlength=rows)
+            self.used[k] += np.bincount(at, minlength=rows)
         self.words += n
 
     def run(self, w, around):
