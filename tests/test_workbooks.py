@@ -184,3 +184,27 @@ def test_thousands_of_files(spark):
 def test_workbook_class_reads_no_sheet_twice():
     book = Workbook(made({"A": '<row r="1"><c r="A1"><v>1</v></c></row>'}))
     assert [n for n, _ in book.sheets] == ["A"] and list(book.rows(book.sheets[0][1])) == [["1"]]
+
+
+def test_sheets_are_read_by_pieces_not_by_elements(monkeypatch):
+    """Rows cut anywhere by the pieces of the file come whole, without an event per cell."""
+    import io
+
+    from wavepanel.sources import workbooks as W
+    stream = io.BytesIO()
+    book = W.SheetFile(stream, ["a", "b"])
+    rows = [(f"x{i}<&_x0041_", None if i % 3 else float(i)) for i in range(300)]
+    for r in rows:
+        book.add(r)
+    book.close()
+    nodes = W.Workbook._nodes
+
+    def no_rows(self, part, name):
+        assert name != "row"
+        return nodes(self, part, name)
+
+    monkeypatch.setattr(W.Workbook, "_nodes", no_rows)
+    want = [("Sheet1", -1, ["a", "b"])] + [("Sheet1", i, [r[0]] + ([repr(r[1])] if r[1] is not None else [])) for i, r in enumerate(rows)]
+    for size in (1, 97, 1 << 16):
+        monkeypatch.setattr(W, "PIECE_BYTES", size)
+        assert list(W.sheet_rows(stream.getvalue())) == want
