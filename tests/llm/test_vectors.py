@@ -68,6 +68,67 @@ def test_repeated_and_null_ids(spark):
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, True)], key=str)
 
 
+def test_tile_pairs_are_not_shuffled(spark, monkeypatch):
+    """Of the vectors there are two stored copies and a shuffle for each, however many tile pairs there are."""
+    plans, kept = {}, neardup_vectors.stored
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        plans[name, "types"] = {t for _, t in df.dtypes}
+        out = kept(df, name)
+        if name == "vector-tiles":
+            plans["bytes"] = out.selectExpr("sum(length(data)) as b").first()["b"]
+        return out
+
+    monkeypatch.setattr(neardup_vectors, "stored", spied)
+    x, ids = clustered(), np.arange(1500)
+    got = {tuple(r) for r in neardup_vectors.near_duplicates(frame(spark, ids.tolist(), x), tile=100).collect()}
+    assert got == brute_links(ids, x, 0.9)
+    assert "Exchange" not in plans["vector-links"]
+    with_vectors = {n for n, _ in (k for k in plans if isinstance(k, tuple)) if plans[n, "types"] & {"binary", "array<float>", "array<double>"}}
+    assert with_vectors == {"vector-classes", "vector-tiles"}
+    assert plans["bytes"] == len(np.unique(x, axis=0)) * 24 * 4      # single precision stays single
+
+
+def test_vectors_in_double_precision(spark):
+    x, ids = clustered()[:400] + 1e-12, np.arange(400)
+    df = spark.createDataFrame([(i, v) for i, v in zip(ids.tolist(), x.tolist())], "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in neardup_vectors.near_duplicates(df, tile=100).collect()} == brute_links(ids, x, 0.9)
+
+
+def test_keys_of_vectors_never_clash(spark, monkeypatch):
+    """A seed under which two vectors share a key is passed over; a vector with a null shares no key with the one without."""
+    import pyspark.sql.functions as F
+    real = neardup_vectors.vector_key
+    monkeypatch.setattr(neardup_vectors, "vector_key", lambda seed: F.lit(7).cast("long") if seed == 0 else real(seed))
+    x, ids = clustered()[:300], np.arange(300)
+    df = frame(spark, ids.tolist() + [900, 901], [*x, [None, *x[0]], [*x[0], None]])
+    got = {tuple(r) for r in neardup_vectors.near_duplicates(df).collect()}
+    assert got == brute_links(ids, x, 0.9) | {(900, 0, 900, True), (901, 0, 901, True)}
+
+
+def test_links_are_added_up_within_a_task(monkeypatch):
+    """Whatever the room for held counts, ids occur a few times only and sum to all links."""
+    import pyarrow as pa
+    x = clustered(600)
+    ids, links, label = (np.array(v) for v in zip(*[(i, k, c) for i, k, c, _ in sorted(brute_links(np.arange(600), x, 0.9))]))
+    _, axes = np.linalg.eigh(x.T @ x)
+    tiles = [np.arange(a, a + 100) for a in range(0, 600, 100)]
+    rows = [(p, q) for p in range(6) for q in range(p, 6)]
+    batch = pa.RecordBatch.from_pydict({"tile": [p for p, _ in rows], "other": [q for _, q in rows]}
+                                       | {c + e: [f(tiles[r[k]]) for r in rows] for k, e in ((0, ""), (1, "2"))
+                                          for c, f in (("ids", lambda t: t.tobytes()), ("copies", lambda t: np.ones(len(t), np.int64).tobytes()),
+                                                       ("data", lambda t: x[t].tobytes()))})
+    for held in (1 << 18, 100):
+        monkeypatch.setattr(neardup_vectors, "HELD", held)
+        out = pa.Table.from_batches(list(neardup_vectors.compare(axes, 8, 0.9, "float64")(iter([batch]))))
+        got = np.bincount(out["id"].to_numpy(), out["links"].to_numpy(), 600)
+        assert got.tolist() == links.tolist()
+        if held > 600:                                               # one row an id, one label a component
+            assert len(out) == len(set(out["id"].to_pylist())) and dict(zip(out["id"].to_pylist(), out["label"].to_pylist())) == \
+                {i: c for i, c, k in zip(ids.tolist(), label.tolist(), links.tolist()) if k}
+
+
 def recall(rows, ids, x, asked, k=20):
     by = {}
     for r in rows:
